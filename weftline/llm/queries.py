@@ -1,7 +1,7 @@
 """The queries opN_<name> of this subpackage, and their SQL where SQL can express them."""
 
-from . import exact_dedup, langid, mixing, near_dedup, pieces
+from . import exact_dedup, html_text, langid, mixing, near_dedup, pieces
 
-_MODULES = (pieces, mixing, exact_dedup, near_dedup, langid)
+_MODULES = (pieces, mixing, html_text, exact_dedup, near_dedup, langid)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
