@@ -128,3 +128,25 @@ def span_hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         total = np.zeros(len(body) + 1, np.uint64)
         np.cumsum(mix64(np.arange(256, dtype=np.uint64))[body] * up[: len(body)], out=total[1:])
         return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+_TYPES = [np.dtype(t) for t in (np.uint64, np.int64, np.uint32, np.uint8)]
+
+
+def pack(arrays: list[np.ndarray]) -> bytes:
+    """Arrays behind one another, their lengths and types in front, compressed. Arrays of 64-bit words go as differences."""
+    arrays = [np.diff(a, prepend=a.dtype.type(0)) if a.dtype.itemsize == 8 else a for a in arrays]
+    raw = np.array([x for a in arrays for x in (len(a), _TYPES.index(a.dtype))], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
+    return np.array([len(raw), len(arrays)], np.int64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    size, n = np.frombuffer(blob[:16], np.int64)
+    raw = pa.decompress(blob[16:], decompressed_size=int(size), codec="zstd", asbytes=True)
+    head = np.frombuffer(raw, np.int64, 2 * int(n)).reshape(-1, 2)
+    at, out = 16 * int(n), []
+    for length, kind in head:
+        a = np.frombuffer(raw, _TYPES[kind], int(length), at)
+        at += a.nbytes
+        out.append(np.cumsum(a, dtype=a.dtype) if a.dtype.itemsize == 8 else a)
+    return out

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import mix64, slices, span_hashes, stored, table, text_bytes, to_unit, token_spans
+from ._shared import mix64, pack, slices, span_hashes, stored, table, text_bytes, to_unit, token_spans, unpack
 
 CONTEXTS = 1 << 16
 DISCOUNT, STRENGTH = 0.75, 2.0
@@ -109,7 +109,7 @@ def _packer(plan: Plan):
                 here, local = np.unique(rows[low:high], return_inverse=True)
                 part = [words[low:high], context[low:high].astype(np.uint32), local.astype(np.uint32), count[low:high].astype(np.uint32), docs[here], train[here]]
                 names.append(int(bucket[low]))
-                blobs.append(_pack(part))
+                blobs.append(pack(part))
             yield pa.record_batch([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "block"])
 
     return run
@@ -125,27 +125,6 @@ def _bucket(plan: Plan, words: np.ndarray, context: np.ndarray) -> np.ndarray:
     return (home % np.uint64(plan.buckets)).astype(np.int32)
 
 
-def _pack(arrays: list[np.ndarray]) -> bytes:
-    """Arrays behind one another, their lengths in front, compressed. Arrays of words go as differences."""
-    arrays = [np.diff(a, prepend=a.dtype.type(0)) if a.dtype.itemsize == 8 else a for a in arrays]
-    raw = np.array([x for a in arrays for x in (len(a), _TYPES.index(a.dtype))], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
-    return np.array([len(raw), len(arrays)], np.int64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    size, n = np.frombuffer(blob[:16], np.int64)
-    raw = pa.decompress(blob[16:], decompressed_size=int(size), codec="zstd", asbytes=True)
-    head = np.frombuffer(raw, np.int64, 2 * int(n)).reshape(-1, 2)
-    at, out = 16 * int(n), []
-    for length, kind in head:
-        a = np.frombuffer(raw, _TYPES[kind], int(length), at)
-        at += a.nbytes
-        with np.errstate(over="ignore"):
-            out.append(np.cumsum(a, dtype=a.dtype) if a.dtype.itemsize == 8 else a)
-    return out
-
-
-_TYPES = [np.dtype(t) for t in (np.uint64, np.int64, np.uint32, np.uint8)]
 _MERGED = "bucket int, word binary, context binary, count binary, pair binary, doc binary, times binary, docs binary"
 
 
@@ -156,7 +135,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done() -> pa.RecordBatch:
         words, context, doc, times, docs, train, shift = [], [], [], [], [], [], 0
         for block in blocks:
-            w, c, d, t, ids, learn = _unpack(block)
+            w, c, d, t, ids, learn = unpack(block)
             words.append(w)
             context.append(c)
             doc.append(d + np.uint32(shift))
