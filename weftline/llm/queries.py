@@ -1,7 +1,7 @@
 """The queries opN_<name> of this subpackage, and their SQL where SQL can express them."""
 
-from . import exact_dedup, html_text, langid, mixing, near_dedup, neighbours, pieces, pitman_yor, suffix_dedup
+from . import exact_dedup, html_text, langid, licenses, mixing, near_dedup, neighbours, pieces, pitman_yor, suffix_dedup
 
-_MODULES = (neighbours, pieces, mixing, suffix_dedup, html_text, exact_dedup, near_dedup, pitman_yor, langid)
+_MODULES = (neighbours, pieces, mixing, suffix_dedup, licenses, html_text, exact_dedup, near_dedup, pitman_yor, langid)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
