@@ -1,15 +1,7 @@
 """All named queries of the engine and the SQL that checks them."""
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from . import text_queries
 
-QUERIES = {}
-ORACLE_SQL = {}
-
-
-def preprocess_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count("*").alias("n"))
-
-
-QUERIES["preprocess_reasons"] = preprocess_reasons
+_MODULES = (text_queries,)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
