@@ -29,7 +29,7 @@ def literal_sql(columns: str, rows: list[tuple]) -> str:
 
 def sql_value(v: object, duck: bool = False) -> str:
     if v is None:
-        return "CAST(NULL AS VARCHAR)" if duck else "CAST(NULL AS STRING)"
+        return "NULL"
     if isinstance(v, bool):
         return str(v).upper()
     if isinstance(v, float):
