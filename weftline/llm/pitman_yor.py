@@ -34,7 +34,7 @@ PARENT_DISCOUNT, PARENT_STRENGTH = 0.6, 20.0
 SWEEPS, SAMPLES = 3, 2
 SEED = 42
 #: Text bytes for each bucket of words.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 6 << 20
 #: Documents that tell which words are frequent; this only steers how the work is cut.
 SAMPLE_DOCS = 2000
 #: Words of a smaller share of all tokens are never cut.
@@ -125,11 +125,14 @@ def _bucket(plan: Plan, words: np.ndarray, context: np.ndarray) -> np.ndarray:
     return (home % np.uint64(plan.buckets)).astype(np.int32)
 
 
-_MERGED = "bucket int, word binary, context binary, count binary, pair binary, doc binary, times binary, docs binary"
+_MERGED = "bucket int, pairs binary, tokens binary"
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All blocks of a bucket, which follow one another, to one row: pairs of word and context with training counts, and their documents."""
+    """All blocks of a bucket, which follow one another, to one row: pairs of word and context with training counts, and their documents.
+
+    Rows stay packed, since many rows make one Arrow batch.
+    """
     bucket, blocks = None, []
 
     def done() -> pa.RecordBatch:
@@ -149,8 +152,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (c[1:] != c[:-1])]))
         pair = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(w))))
         count = np.bincount(pair, weights=t * learn[d], minlength=len(head)).astype(np.int64)
-        columns = [w[head], c[head].astype(np.int32), count, pair.astype(np.int32), d.astype(np.int32), t.astype(np.int32), np.concatenate(docs)]
-        return pa.record_batch([pa.array([bucket], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], names=[x.split()[0] for x in _MERGED.split(", ")])
+        pairs = pack([w[head], c[head].astype(np.uint32), count])
+        tokens = pack([pair.astype(np.uint32), d.astype(np.uint32), t.astype(np.uint32), np.concatenate(docs)])
+        return pa.record_batch([pa.array([bucket], pa.int32()), pa.array([pairs], pa.binary()), pa.array([tokens], pa.binary())], names=["bucket", "pairs", "tokens"])
 
     for batch in batches:
         for name, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), strict=True):
@@ -198,11 +202,10 @@ def seat(customers: np.ndarray, others: np.ndarray, base: np.ndarray, name: np.n
 class _Chain:
     """The seats of one bucket's words, sweep after sweep."""
 
-    def __init__(self, plan: Plan, row: dict):
+    def __init__(self, plan: Plan, pairs: bytes):
         self.plan = plan
-        self.pair_word = np.frombuffer(row["word"], np.uint64)
-        self.context = np.frombuffer(row["context"], np.int32)
-        self.count = np.frombuffer(row["count"], np.int64)
+        self.pair_word, context, self.count = unpack(pairs)
+        self.context = context.astype(np.int64)
         head = np.flatnonzero(np.concatenate([[True], self.pair_word[1:] != self.pair_word[:-1]]))
         self.words = self.pair_word[head]
         self.of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(self.pair_word))))
@@ -265,8 +268,8 @@ def _summer(plan: Plan, number: int):
         frequent, counts = np.zeros(len(plan.frequent)), np.zeros(len(plan.frequent))
         tables = shares = known = tokens = 0.0
         for batch in batches:
-            for row in batch.to_pylist():
-                chain = _Chain(plan, row)
+            for pairs in batch.column("pairs"):
+                chain = _Chain(plan, pairs.as_py())
                 chain.start()
                 for k in range(1, number + 1):
                     chain.sweep(k)
@@ -294,7 +297,7 @@ def _summer(plan: Plan, number: int):
 
 
 def _totals(words: DataFrame, plan: Plan, number: int) -> dict[int, np.ndarray]:
-    rows = words.select("word", "context", "count").mapInArrow(_summer(plan, number), "kind int, key int, value double")
+    rows = words.select("pairs").mapInArrow(_summer(plan, number), "kind int, key int, value double")
     found = rows.groupBy("kind", "key").agg(F.sum("value").alias("value")).toPandas()
     sizes = {0: CONTEXTS, 1: len(plan.frequent), 2: 2, 3: CONTEXTS, 4: len(plan.frequent), 5: 2}
     out = {}
@@ -325,8 +328,8 @@ def _scorer(plan: Plan):
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for row in batch.to_pylist():
-                chain = _Chain(plan, row)
+            for pairs, tokens in zip(batch.column("pairs"), batch.column("tokens"), strict=True):
+                chain = _Chain(plan, pairs.as_py())
                 chain.start()
                 p, taken = np.zeros(len(chain.count)), 0
                 for k in range(1, SWEEPS + 1):
@@ -336,8 +339,7 @@ def _scorer(plan: Plan):
                         taken += 1
                 score = np.log10(p / taken)
                 base = np.log10((chain.word_count[chain.of] + 0.1) / (plan.tokens + 0.1 * (plan.known + 1)))
-                pair, doc, times = (np.frombuffer(row[c], np.int32) for c in ("pair", "doc", "times"))
-                docs = np.frombuffer(row["docs"], np.int64)
+                pair, doc, times, docs = unpack(tokens.as_py())
                 known = (chain.word_count > 0)[chain.of][pair]
                 sums = [np.bincount(doc, weights=w, minlength=len(docs)) for w in (times, times * known, times * base[pair], times * score[pair])]
                 held.append(np.vstack([docs.view(np.float64), *sums]))
@@ -382,7 +384,7 @@ def score(docs: DataFrame, train: Column, *, text: str = "text", key: str = "doc
     packed = rows.mapInArrow(_packer(plan), "bucket int, block binary")
     words = stored(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge, _MERGED), "words")
     _learn(words, plan)
-    parts = words.select("word", "context", "count", "pair", "doc", "times", "docs").mapInArrow(_scorer(plan), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    parts = words.select("pairs", "tokens").mapInArrow(_scorer(plan), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     summed = parts.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
     return summed.withColumn("train_tokens", F.lit(int(plan.tokens)).cast("long"))
 
