@@ -351,3 +351,14 @@ def truncation_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P23 as a report; operators.checks.require() raises."""
     n = T.word_count(F.col("text"))
     return docs(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(n > 5000).alias("too_long"), F.max(n).cast("long").alias("longest"))
+
+
+@query("page_articles")
+def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F60, SRC8, P16: headline, size and category of each page's article."""
+    from ..functions.pages import article_of
+
+    a = table(spark, sf_dir, "pages").select("page_id", article_of("html").alias("a")).select("page_id", "a.*")
+    category = T.category(T.matcher_text(F.col("headline")), T.matcher_text(F.col("content")))
+    accepted = (F.col("headline") != "") & (F.col("content") != "") & (T.word_count(F.col("content")) >= 10)
+    return a.select("page_id", F.sha2("headline", 256).alias("headline_sha"), T.word_count(F.col("content")).alias("n_words"), category.alias("category"), accepted.alias("accepted"))
