@@ -36,6 +36,21 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Appended:
+    """A table in the shared folder that grows by whole results; each reading plans as one scan, however many were added."""
+
+    def __init__(self, spark: SparkSession, tag: str, schema: str):
+        self.spark, self.schema = spark, schema
+        self.path = f"{shared_folder(spark)}/weftline/{tag}-{uuid.uuid4().hex}"
+        spark.createDataFrame([], schema).write.parquet(self.path)
+
+    def add(self, df: DataFrame) -> None:
+        df.write.mode("append").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
 def uniform(*parts: Column, seed: int) -> Column:
     """A number in (0, 1) that depends on seed and parts only; the same in DuckDB's md5()."""
     text = F.concat_ws("|", F.lit(str(seed)), *(p.cast("string") for p in parts))
@@ -130,12 +145,12 @@ def span_hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-_TYPES = [np.dtype(t) for t in (np.uint64, np.int64, np.uint32, np.uint8)]
+_TYPES = [np.dtype(t) for t in (np.uint64, np.int64, np.uint32, np.uint8, np.float64, np.float32)]
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
-    """Arrays behind one another, their lengths and types in front, compressed. Arrays of 64-bit words go as differences."""
-    arrays = [np.diff(a, prepend=a.dtype.type(0)) if a.dtype.itemsize == 8 else a for a in arrays]
+    """Arrays behind one another, their lengths and types in front, compressed. Arrays of 64-bit integers go as differences."""
+    arrays = [np.diff(a, prepend=a.dtype.type(0)) if a.dtype.kind in "iu" and a.dtype.itemsize == 8 else a for a in arrays]
     raw = np.array([x for a in arrays for x in (len(a), _TYPES.index(a.dtype))], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
     return np.array([len(raw), len(arrays)], np.int64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
@@ -148,5 +163,5 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     for length, kind in head:
         a = np.frombuffer(raw, _TYPES[kind], int(length), at)
         at += a.nbytes
-        out.append(np.cumsum(a, dtype=a.dtype) if a.dtype.itemsize == 8 else a)
+        out.append(np.cumsum(a, dtype=a.dtype) if a.dtype.kind in "iu" and a.dtype.itemsize == 8 else a)
     return out

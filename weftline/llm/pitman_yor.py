@@ -104,10 +104,12 @@ def _packer(plan: Plan):
             docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
             train = batch.column("train").to_numpy(zero_copy_only=False).astype(np.uint8)
             edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            with np.errstate(over="ignore"):  # a block's name depends on its documents only
+                block = mix64(mix64(docs.astype(np.int64).view(np.uint64)) + np.arange(len(docs), dtype=np.uint64)).sum(keepdims=True)
             names, blobs = [], []
             for low, high in zip(edge, np.append(edge[1:], len(bucket)), strict=True):
                 here, local = np.unique(rows[low:high], return_inverse=True)
-                part = [words[low:high], context[low:high].astype(np.uint32), local.astype(np.uint32), count[low:high].astype(np.uint32), docs[here], train[here]]
+                part = [words[low:high], context[low:high].astype(np.uint32), local.astype(np.uint32), count[low:high].astype(np.uint32), docs[here], train[here], block]
                 names.append(int(bucket[low]))
                 blobs.append(pack(part))
             yield pa.record_batch([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "block"])
@@ -136,9 +138,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bucket, blocks = None, []
 
     def done() -> pa.RecordBatch:
-        words, context, doc, times, docs, train, shift = [], [], [], [], [], [], 0
+        words, context, doc, times, docs, train, names, sizes, shift = [], [], [], [], [], [], [], [], 0
         for block in blocks:
-            w, c, d, t, ids, learn = unpack(block)
+            w, c, d, t, ids, learn, name = unpack(block)
+            names.append(name)
+            sizes.append(len(ids))
             words.append(w)
             context.append(c)
             doc.append(d + np.uint32(shift))
@@ -153,7 +157,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(w))))
         count = np.bincount(pair, weights=t * learn[d], minlength=len(head)).astype(np.int64)
         pairs = pack([w[head], c[head].astype(np.uint32), count])
-        tokens = pack([pair.astype(np.uint32), d.astype(np.uint32), t.astype(np.uint32), np.concatenate(docs)])
+        tokens = pack([pair.astype(np.uint32), d.astype(np.uint32), t.astype(np.uint32), np.concatenate(docs), np.concatenate(names), np.array(sizes, np.uint32)])
         return pa.record_batch([pa.array([bucket], pa.int32()), pa.array([pairs], pa.binary()), pa.array([tokens], pa.binary())], names=["bucket", "pairs", "tokens"])
 
     for batch in batches:
@@ -322,10 +326,10 @@ def _learn(words: DataFrame, plan: Plan) -> None:
 
 
 def _scorer(plan: Plan):
-    names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+    """Sums of each block's documents over the words of a task: block, sums (ids, tokens, known tokens, base and model score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: dict[int, list[np.ndarray]] = {}
         size = 0
         for batch in batches:
             for pairs, tokens in zip(batch.column("pairs"), batch.column("tokens"), strict=True):
@@ -339,22 +343,51 @@ def _scorer(plan: Plan):
                         taken += 1
                 score = np.log10(p / taken)
                 base = np.log10((chain.word_count[chain.of] + 0.1) / (plan.tokens + 0.1 * (plan.known + 1)))
-                pair, doc, times, docs = unpack(tokens.as_py())
+                pair, doc, times, docs, names, sizes = unpack(tokens.as_py())
                 known = (chain.word_count > 0)[chain.of][pair]
-                sums = [np.bincount(doc, weights=w, minlength=len(docs)) for w in (times, times * known, times * base[pair], times * score[pair])]
-                held.append(np.vstack([docs.view(np.float64), *sums]))
+                sums = np.vstack([docs.view(np.float64), *(np.bincount(doc, weights=w, minlength=len(docs)) for w in (times, times * known, times * base[pair], times * score[pair]))])
+                start = 0
+                for name, n in zip(names.tolist(), sizes.tolist(), strict=True):
+                    held.setdefault(name, []).append(sums[:, start : start + n])
+                    start += n
                 size += len(docs)
-                if size > 1_000_000:
-                    held, size = [_by_doc(held)], 0
-        if held:
-            ids, *sums = _by_doc(held)
-            for k in range(0, len(ids), 20_000):
-                part = slice(k, k + 20_000)
-                yield pa.record_batch([pa.array(ids[part].view(np.int64)), pa.array(sums[0][part].astype(np.int64)), pa.array(sums[1][part].astype(np.int64)), pa.array(sums[2][part]), pa.array(sums[3][part])], names=names)
+                if size > 2_000_000:
+                    yield from _packed(held)
+                    held, size = {}, 0
+        yield from _packed(held)
 
     return run
 
 
+def _packed(held: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    names, blobs = [], []
+    for name, parts in held.items():
+        ids, n, known, base, score = _by_doc(parts)
+        names.append(name)
+        blobs.append(pack([ids.view(np.int64), n.astype(np.uint32), known.astype(np.uint32), base, score]))
+    yield pa.record_batch([pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(blobs, pa.binary())], names=["block", "sums"])
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of each block, whose rows follow one another."""
+    name, parts = None, []
+
+    def done() -> pa.RecordBatch:
+        ids, n, known, base, score = _by_doc(parts)
+        return pa.record_batch([pa.array(ids.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    for batch in batches:
+        for block, sums in zip(batch.column("block").to_pylist(), batch.column("sums"), strict=True):
+            if block != name and parts:
+                yield done()
+                parts = []
+            name = block
+            ids, *rest = unpack(sums.as_py())
+            parts.append(np.vstack([ids.view(np.float64), *rest]))
+    if parts:
+        yield done()
+
+
 def _by_doc(held: list[np.ndarray]) -> np.ndarray:
     together = np.concatenate(held, axis=1)
     ids, inverse = np.unique(together[0].view(np.int64), return_inverse=True)
@@ -384,7 +417,9 @@ def score(docs: DataFrame, train: Column, *, text: str = "text", key: str = "doc
     packed = rows.mapInArrow(_packer(plan), "bucket int, block binary")
     words = stored(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge, _MERGED), "words")
     _learn(words, plan)
-    parts = words.select("pairs", "tokens").mapInArrow(_scorer(plan), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    sums = words.select("pairs", "tokens").mapInArrow(_scorer(plan), "block long, sums binary")
+    parts = sums.repartition("block").sortWithinPartitions("block").mapInArrow(_documents, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    # A document is in one block; only rows that repeat a doc_id meet here.
     summed = parts.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
     return summed.withColumn("train_tokens", F.lit(int(plan.tokens)).cast("long"))
 
