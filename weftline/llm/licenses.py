@@ -6,8 +6,8 @@ window's signature has BANDS minima of one row each: a stretch of which the temp
 2/3 or more with it, and is retrieved with a probability of 1 - (1/3)^BANDS, over 0.9998. What was retrieved is then laid on the
 template where the windows met, and the share of the template's shingles found there is counted exactly.
 
-Every match holds one of the template's shingles, and so that shingle's longest word: texts with none of these words are dropped
-first, which loses no match.
+Every match holds most of the template's shingles, and so one of a few long words that stand in many of them: texts with none of these
+words are dropped first, which loses no match.
 
 Defined results: words are runs outside `[\\x20\\x09-\\x0D]` of the lower-case text. A null text, and one under five words, matches nothing.
 Per document and template the largest containment counts, at its first place. Rows that repeat a doc_id count as one document. Extra
@@ -44,10 +44,14 @@ TEMPLATES = {
 }
 
 
-def shingle_hashes(text: Column) -> Column:
-    """Hashes of the five-word shingles of a text, in order; empty for fewer words."""
-    words = F.filter(F.split(F.lower(text), BLANKS), lambda w: w != "")
-    return F.when(F.size(words) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size(words) - SHINGLE + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " ")))).otherwise(F.array().cast("array<bigint>"))
+def with_shingles(rows: DataFrame, text: str = "text") -> DataFrame:
+    """rows with a column shingles: the hashes of the text's five-word shingles, in order; empty for fewer words.
+
+    The words are a column of their own first, so that they are not split anew for every shingle.
+    """
+    words = rows.withColumn("words", F.filter(F.split(F.lower(text), BLANKS), lambda w: w != ""))
+    hashed = F.transform(F.sequence(F.lit(1), F.size("words") - SHINGLE + 1), lambda i: F.xxhash64(F.array_join(F.slice("words", i, F.lit(SHINGLE)), " ")))
+    return words.withColumn("shingles", F.when(F.size("words") >= SHINGLE, hashed).otherwise(F.array().cast("array<bigint>"))).drop("words")
 
 
 def _banded(rows: DataFrame) -> DataFrame:
@@ -76,15 +80,24 @@ def _retrieved(size: int, band: int, wanted: list[int]) -> Column:
 
 def _template_rows(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     listed = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in templates.items()))
-    return spark.range(1).select(F.inline(listed)).withColumn("shingles", shingle_hashes(F.col("text")))
+    return with_shingles(spark.range(1).select(F.inline(listed)))
+
 
+def signature_words(templates: dict[str, str], containment: float = CONTAINMENT) -> list[str]:
+    """Words of which every match holds one.
 
-def signature_words(templates: dict[str, str]) -> list[str]:
-    """The longest word of every shingle of every template."""
+    A match may lack a share 1 - containment of a template's shingles, so words that stand in more shingles than that are enough: the
+    longest ones, until they do.
+    """
     out = set()
     for text in templates.values():
         words = text.lower().split()
-        out |= {max(words[i : i + SHINGLE], key=len) for i in range(len(words) - SHINGLE + 1)}
+        shingles = [set(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)]
+        spare = int((1 - containment) * len(shingles) + 1e-9)
+        for word in sorted(set(words), key=lambda w: (-len(w), w)):
+            if not shingles or sum(bool(s & out) for s in shingles) > spare:
+                break
+            out.add(word)
     return sorted(out)
 
 
@@ -104,8 +117,8 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, text: str
     if not places:
         return docs.select(F.col(key).cast("long").alias("doc_id"), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_word")).limit(0)
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.lower(F.col("text")).rlike("|".join(map(re.escape, signature_words(templates)))))
-    rows = _banded(rows.select("doc_id", shingle_hashes(F.col("text")).alias("shingles")))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.lower(F.col("text")).rlike("|".join(map(re.escape, signature_words(templates, containment)))))
+    rows = _banded(with_shingles(rows).select("doc_id", "shingles"))
     # Of each size the windows that share a band with a template, as (size, band, minimum, start).
     found = []
     for size in sorted({p[0] for p in places}):
