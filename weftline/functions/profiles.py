@@ -24,6 +24,12 @@ class ScriptProfile:
     opening_marker: str = ""
     closing_marker: str = ""
     categories: tuple[tuple[str, tuple[str, ...]], ...] = field(default=())
+    #: Pairs of a pattern of a word torn apart and the word.
+    repairs: tuple[tuple[str, str], ...] = ()
+    #: Characters that may end the first part of a torn cluster, the sign that joins, and signs that must not follow it.
+    cluster_ends: str = ""
+    joining_sign: str = ""
+    dependent_signs: str = ""
 
 
 # Word lists and labels of the Latin profile, for the languages of the test tables.
@@ -65,6 +71,16 @@ SINHALA = ScriptProfile(
     endings=(".", "!", "?", "।", "යි", "වේ", "බව", "තිබේ", "කරයි", "විය", "ඇත", "තිබුණි", "තිබුණා", "කළේය"),
     meta_patterns=("මෙන්න", "නැවත ලියූ ලිපිය", "rewritten article", "here is the rewritten"),
     repetition_ignored=("සඳහන්", "විසින්", "සඳහා", "ලෙස", "අතර", "පිළිබඳ", "කිරීම", "තිබේ"),
+    repairs=(
+        ("ප්‍ර +දේශ", "ප්‍රදේශ"),
+        ("පා +රිභෝගික", "පාරිභෝගික"),
+        ("වී +යාජ", "ව්‍යාජ"),
+        ("මහේස්ත්‍ +රාත්", "මහේස්ත්‍රාත්"),
+        ("අත් +අඩංගුවට", "අත්අඩංගුවට"),
+    ),
+    cluster_ends="ර්‍",
+    joining_sign="්",
+    dependent_signs="ාැෑිීුූෘෙේෛොෝෞෟ",
 )
 
 

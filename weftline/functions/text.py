@@ -308,3 +308,20 @@ def span_count(c: Column, span: Column) -> Column:
 
 def clamp(c: Column, low: int, high: int) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
+
+
+def heal(c: Column, profile: ScriptProfile) -> Column:
+    """clusters and words that a tokeniser tore apart are joined; white space is squeezed."""
+    torn = rf"(^|[^\p{{L}}\p{{N}}_])([{profile.block}][\x{{200d}}{profile.joining_sign}]?[{profile.cluster_ends}])[{WS}]+([{profile.block}]+)"
+    joined = F.regexp_replace(text_or_empty(c), torn, "$1$2$3") if profile.cluster_ends else text_or_empty(c)
+    return squeeze(reduce(lambda text, r: F.regexp_replace(text, *r), profile.repairs, joined))
+
+
+def is_garbled(c: Column, profile: ScriptProfile) -> Column:
+    """whether a dependent sign follows the joining sign at once."""
+    return c.rlike(f"{profile.joining_sign}[{profile.dependent_signs}]") if profile.dependent_signs else F.lit(False)
+
+
+def drop_garbled(c: Column, profile: ScriptProfile) -> Column:
+    """Such pairs are cut out."""
+    return F.regexp_replace(c, f"{profile.joining_sign}[{profile.dependent_signs}]", "") if profile.dependent_signs else c

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.profiles import LATIN
+from ..functions.profiles import LATIN, SINHALA
 from ._tables import WS, docs, literal, literal_sql, ngrams_sql, r6, sentences_sql, squeeze_sql, tokens_sql, trim_sql, words_sql
 
 QUERIES: dict = {}
@@ -432,3 +432,32 @@ def clean_end_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F73."""
     c = F.col("text")
     return docs(spark, sf_dir).select("doc_id", T.trim_ws(c).rlike("[.?!]$").alias("clean_end"), T.word_count(c).between(8, 130).alias("in_band"), (T.trim_ws(c) == "").alias("empty"))
+
+
+_TORN = [
+    (1, "මෙම ප්‍ර දේශයේ වාහන"),
+    (2, "පා රිභෝගික සේවා අත් අඩංගුවට"),
+    (3, "වැරදි ්ා පද"),
+    (4, "plain text"),
+    (5, ""),
+]
+_HEALED = rf"regexp_replace(text, '(^|[^\p{{L}}\p{{N}}_])([{SINHALA.block}][\x{{200d}}{SINHALA.joining_sign}]?[{SINHALA.cluster_ends}])[{WS}]+([{SINHALA.block}]+)', '\1\2\3', 'g')"
+for _pattern, _word in SINHALA.repairs:
+    _HEALED = f"regexp_replace({_HEALED}, '{_pattern}', '{_word}', 'g')"
+
+
+@query("sinhala_repairs", f"SELECT id, {squeeze_sql(_HEALED)} AS healed, regexp_matches(text, '{SINHALA.joining_sign}[{SINHALA.dependent_signs}]') AS garbled, regexp_replace(text, '{SINHALA.joining_sign}[{SINHALA.dependent_signs}]', '', 'g') AS without FROM " + literal_sql("id text", _TORN))
+def sinhala_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F11, F35, P14, on given rows."""
+    c = F.col("text")
+    return literal(spark, "id text", _TORN).select("id", T.heal(c, SINHALA).alias("healed"), T.is_garbled(c, SINHALA).alias("garbled"), T.drop_garbled(c, SINHALA).alias("without"))
+
+
+@query("sql_functions", f"SELECT lang, count(*) AS n, sum(len({words_sql('text')})) AS words, sum(len({sentences_sql('text')})) AS sentences FROM documents GROUP BY lang")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions under names that SQL can call."""
+    from ..functions.register import register
+
+    register(spark)
+    docs(spark, sf_dir).createOrReplaceTempView("weftline_documents")
+    return spark.sql("SELECT lang, count(*) AS n, sum(size(text_words(text))) AS words, sum(size(text_sentences(text))) AS sentences FROM weftline_documents GROUP BY lang")
