@@ -25,6 +25,8 @@ MOST_EPOCHS = 2.0
 SEED = 42
 #: Bins of keys for each source; rows in a bin are about its source's rows divided by this.
 BINS = 4096
+#: Up to so many sources their table is broadcast, under 1 MB.
+FEW_SOURCES = 10_000
 #: A document without any letter still has this quality.
 LEAST_QUALITY = 0.1
 
@@ -74,27 +76,33 @@ def mix(docs: DataFrame, *, quality: Column | None = None, weights: tuple[float,
 
     along = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("bin_size").over(along), F.lit(0)))
-    border_bin = (
+    border_bin = stored(
         starts.withColumnRenamed("source", "its")
         .join(targets, F.col("its").eqNullSafe(F.col("source")))
         .where((F.col("start") < F.col("rest")) & (F.col("start") + F.col("bin_size") >= F.col("rest")))
-        .select("its", F.col("bin").alias("border"), "start", "rest")
+        .select("its", F.col("bin").alias("border"), "start", "rest"),
+        "borders",
     )
-    inside = binned.join(border_bin, F.col("source").eqNullSafe(F.col("its")) & (F.col("bin") == F.col("border")))
+    inside = binned.join(_small(border_bin), F.col("source").eqNullSafe(F.col("its")) & (F.col("bin") == F.col("border")))
     sorted_bin = Window.partitionBy("its", "border").orderBy("key", "doc_id")
     upto = F.col("start") + F.sum("size").over(sorted_bin)
     prefix = inside.withColumn("upto", upto)
     # Taken while the middle of the document lies before the border: the document across it goes to the nearer side.
     last = prefix.where(F.col("upto") - F.col("size") / 2 <= F.col("rest")).groupBy("its").agg(F.max(F.struct("key", "doc_id")).alias("last"))
     borders = border_bin.select("its", "border").join(last.withColumnRenamed("its", "also"), F.col("its").eqNullSafe(F.col("also")), "left").drop("also")
-    plan = targets.join(borders, F.col("source").eqNullSafe(F.col("its")), "left").drop("its").withColumnRenamed("source", "its")
+    plan = stored(targets.join(borders, F.col("source").eqNullSafe(F.col("its")), "left").drop("its").withColumnRenamed("source", "its"), "plan")
 
-    placed = binned.join(plan, F.col("source").eqNullSafe(F.col("its")))
+    placed = binned.join(_small(plan), F.col("source").eqNullSafe(F.col("its")))
     chosen = F.when(F.col("rest") <= 0, F.lit(False)).otherwise((F.col("bin") < F.col("border")) | ((F.col("bin") == F.col("border")) & F.coalesce(F.struct("key", "doc_id") <= F.col("last"), F.lit(False))))
     epochs = (F.col("whole") + F.coalesce(chosen, F.lit(False)).cast("int")).cast("int")
     return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * epochs).alias("taken"), epochs.alias("epochs"))
 
 
+def _small(by_source: DataFrame) -> DataFrame:
+    """A table of one row for each source, marked for broadcast if there are few; else the join shuffles, and Spark splits a hot source."""
+    return F.broadcast(by_source) if by_source.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES else by_source
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
