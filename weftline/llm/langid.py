@@ -27,6 +27,9 @@ DIMENSIONS = 1 << 14
 SPECTRUM = (1, 2, 3, 4)
 #: The bound of the sample: labelled documents of each language that the model is fitted on.
 PER_LANGUAGE = 400
+#: Rows that are ranked for each one taken, on average, and the most languages that are learned, the most frequent ones.
+OVERSAMPLE = 4
+MOST_LANGUAGES = 500
 LANDMARKS = 320
 RIDGE = 0.05
 UNKNOWN = "und"
@@ -112,8 +115,12 @@ def identify(docs: DataFrame, labelled: DataFrame, carry: list[str], *, text: st
     def lettered(body: Column) -> Column:
         return F.coalesce(body.rlike(r"\p{L}"), F.lit(False))
 
-    usable = labelled.where(F.col(lang).isNotNull() & lettered(F.col(text))).select(F.col(lang).alias("lang"), F.col(key).alias("id"), F.col(text).alias("body"))
-    # row_number() under a limit keeps per_language rows of each language in each task before the shuffle.
+    named = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(key).alias("id"), F.col(text).alias("body"))
+    counts = {r["lang"]: r["count"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    # Only rows of small hashes are ranked, a few times as many as are taken, so what is ranked does not grow with the table.
+    shares = [x for name, n in counts.items() for x in (F.lit(name), F.lit(min(1.0, OVERSAMPLE * per_language / n)))]
+    share = F.element_at(F.create_map(*shares), F.col("lang")) if shares else F.lit(0.0)
+    usable = named.where((F.xxhash64("id") / float(1 << 64) + 0.5 <= share) & lettered(F.col("body")))
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     sample = usable.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= per_language).select("lang", "place", normalised(F.col("body")).alias("norm"))
     languages, folded = fit(sample, landmarks=landmarks)
