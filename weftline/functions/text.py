@@ -163,6 +163,12 @@ def graphemes(c: Column) -> Column:
     return F.filter(F.regexp_extract_all(c, F.lit(f"(?s).[{combining_class()}]*"), F.lit(0)), lambda g: trim_ws(g) != "")
 
 
+def grapheme_count(c: Column) -> Column:
+    """The number of graphemes(), without making them."""
+    marks = combining_class()
+    return F.regexp_count(c, F.lit(f"(?s)[^{WS}][{marks}]*|[{WS}][{marks}]+"))
+
+
 def sentences(c: Column, least: int = SENTENCE_LEAST) -> Column:
     """cut after . ! ? and white space; trimmed, short ones dropped."""
     return F.filter(F.transform(F.split(trim_ws(c), rf"(?<=[.!?])[{WS}]+"), trim_ws), lambda s: F.length(s) >= least)

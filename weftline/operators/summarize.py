@@ -1,5 +1,8 @@
 """Extractive summaries: documents to their best sentences.
 
+Documents are dealt by their key once, before their words become rows: all joins, windows and aggregates by document, sentence or word
+then find their rows together, so the text is shuffled in place of the words.
+
 TF-IDF, RAKE and YAKE are relational: words are rows, and scores are aggregates and joins by document. TextRank and MMR need a document's
 whole sentence matrix, which is built in Arrow batches; blocks of rows of the matrix bound the memory of long documents.
 
@@ -9,6 +12,8 @@ earlier one, stand in their order in the text.
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -88,21 +93,34 @@ def yake_scores(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
     return distinct.join(weights, [key, "w"]).groupBy(key, "k").agg((F.sum("weight") / F.sqrt(F.first("size"))).alias("score"))
 
 
-def _vectors(tokens: list) -> np.ndarray:
-    """TF-IDF vectors of token lists, of length 1 unless empty."""
+def _counts(text: str) -> dict[str, int]:
+    """Grapheme counts of a text; most texts have no combining marks, and then their graphemes are their characters."""
+    counts = Counter(text)
+    if any(unicodedata.combining(c) for c in counts):
+        clusters: list[str] = []
+        for c in text:
+            if clusters and unicodedata.combining(c):
+                clusters[-1] += c
+            else:
+                clusters.append(c)
+        counts = Counter(clusters)
+    return {g: n for g, n in counts.items() if g.strip()}
+
+
+def _vectors(texts: list[str]) -> np.ndarray:
+    """TF-IDF vectors of the graphemes of texts, of length 1 unless empty."""
     names: dict = {}
     rows, columns, values = [], [], []
-    for k, ts in enumerate(tokens):
-        counts: dict = {}
-        for t in ts:
-            counts[t] = counts.get(t, 0) + 1
+    for k, text in enumerate(texts):
+        counts = _counts(text)
+        total = sum(counts.values())
         for t, c in counts.items():
             rows.append(k)
             columns.append(names.setdefault(t, len(names)))
-            values.append(c / len(ts))
-    x = np.zeros((len(tokens), max(len(names), 1)))
+            values.append(c / total)
+    x = np.zeros((len(texts), max(len(names), 1)))
     x[rows, columns] = values
-    x *= np.log((len(tokens) + 1) / ((x > 0).sum(axis=0) + 1)) + 1
+    x *= np.log((len(texts) + 1) / ((x > 0).sum(axis=0) + 1)) + 1
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return x / np.where(norm > 0, norm, 1)
 
@@ -126,9 +144,9 @@ def _rank(x: np.ndarray, damping: float = 0.85, rounds: int = 100, settled: floa
 
 
 @pandas_udf(ArrayType(DoubleType()))
-def textrank_score(graphemes: pd.Series) -> pd.Series:
-    """A score for each sentence, given as arrays of graphemes. The scores before the last round are returned when it settles."""
-    return pd.Series([_rank(_vectors([list(t) for t in doc])).tolist() if doc is not None and len(doc) else [] for doc in graphemes])
+def textrank_score(sentences: pd.Series) -> pd.Series:
+    """A score for each of a document's sentences. The scores before the last round are returned when it settles."""
+    return pd.Series([_rank(_vectors(list(doc))).tolist() if doc is not None and len(doc) else [] for doc in sentences])
 
 
 def _mmr(x: np.ndarray, target: np.ndarray, n: int, diversity: float) -> list[int]:
@@ -145,7 +163,7 @@ def _mmr(x: np.ndarray, target: np.ndarray, n: int, diversity: float) -> list[in
 
 def mmr_choice(n: int, diversity: float = 0.5):
     """T5: places of the chosen sentences; the first is the nearest to the whole text, the others trade nearness against likeness to those
-    chosen before. Takes the sentences' and the text's graphemes."""
+    chosen before. Takes the sentences and the text."""
 
     @pandas_udf(ArrayType(IntegerType()))
     def choose(sentences: pd.Series, whole: pd.Series) -> pd.Series:
@@ -154,18 +172,13 @@ def mmr_choice(n: int, diversity: float = 0.5):
             if s is None or not len(s):
                 out.append([])
                 continue
-            x = _vectors([list(t) for t in s] + [list(w)])
+            x = _vectors([*s, w])
             out.append(_mmr(x[:-1], x[-1], n, diversity))
         return pd.Series(out)
 
     return choose
 
 
-def _with_graphemes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    s = docs.select(key, F.col(text).alias("_text"), T.sentences(F.col(text)).alias("s"))
-    return s.withColumn("g", F.transform("s", T.graphemes))
-
-
 def _relational(scores: Callable) -> Callable:
     def run(docs: DataFrame, n: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
         s = sentence_rows(docs, key, text)
@@ -175,15 +188,15 @@ def _relational(scores: Callable) -> Callable:
 
 
 def textrank(docs: DataFrame, n: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    g = _with_graphemes(docs, key, text).where(F.size("s") > 0)
-    scored = g.select(key, "s", textrank_score("g").alias("r")).select(key, F.size("s").alias("total"), F.posexplode(F.arrays_zip("s", "r")).alias("k", "x"))
+    s = docs.select(key, T.sentences(F.col(text)).alias("s")).where(F.size("s") > 0)
+    scored = s.select(key, "s", textrank_score("s").alias("r")).select(key, F.size("s").alias("total"), F.posexplode(F.arrays_zip("s", "r")).alias("k", "x"))
     rows = scored.select(key, "total", "k", F.col("x.s").alias("sentence"))
     return pick(rows, scored.select(key, "k", F.col("x.r").alias("score")), n, key)
 
 
 def mmr(docs: DataFrame, n: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    g = _with_graphemes(docs, key, text).where(F.size("s") > 0)
-    chosen = g.select(key, "s", F.when(F.size("s") > n, mmr_choice(n)(F.col("g"), T.graphemes(F.col("_text")))).alias("c"))
+    s = docs.select(key, F.col(text).alias("_text"), T.sentences(F.col(text)).alias("s")).where(F.size("s") > 0)
+    chosen = s.select(key, "s", F.when(F.size("s") > n, mmr_choice(n)("s", "_text")).alias("c"))
     return chosen.select(key, F.array_join(F.when(F.col("c").isNull(), F.col("s")).otherwise(F.transform("c", lambda i: F.get("s", i))), " ").alias("summary"))
 
 
@@ -198,4 +211,5 @@ METHODS: dict[str, Callable] = {
 
 def summarize(docs: DataFrame, method: str = "textrank", n: int = 3, **names) -> DataFrame:
     """By a method's name, with or without the prefix extractive_; an unknown one means TextRank."""
-    return METHODS.get(method.removeprefix("extractive_"), textrank)(docs, n, **names)
+    dealt = docs.select(names.get("key", "doc_id"), names.get("text", "text")).repartition(names.get("key", "doc_id"))
+    return METHODS.get(method.removeprefix("extractive_"), textrank)(dealt, n, **names)

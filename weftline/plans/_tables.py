@@ -10,6 +10,11 @@ def docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text", "lang", "source", "n_chars")))
 
 
+def dealt_docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """documents dealt by doc_id. Words that become rows then need no shuffle of their own for what is counted by document."""
+    return docs(spark, sf_dir, *columns).repartition("doc_id")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.profiles import LATIN
 from ..operators import quality as Q
-from ._tables import docs, literal, literal_sql, r6, sentences_sql, table, trim_sql, words_sql
+from ._tables import dealt_docs, docs, literal, literal_sql, r6, sentences_sql, table, trim_sql, words_sql
 from .text_queries import _phrase_sql, repeated_phrases
 
 QUERIES: dict = {}
@@ -267,7 +267,7 @@ SELECT doc_id, array_to_string(issues, ',') AS issues, len(list_filter(issues, l
 )
 def rewrite_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P13, F31, F32, F33, S5."""
-    d = docs(spark, sf_dir).select("doc_id", F.col("text").alias("original"), _rewritten().alias("text"))
+    d = dealt_docs(spark, sf_dir).select("doc_id", F.col("text").alias("original"), _rewritten().alias("text"))
     words = d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"[{B}]+"), F.lit(0))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
     often = (F.length("w") > 3) & (F.col("n") >= 12) & ~F.col("w").isin(*LATIN.repetition_ignored)
     word = words.groupBy("doc_id").agg(((F.sum("n") >= 20) & F.bool_or(often)).alias("word_repeat"))

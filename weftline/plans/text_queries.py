@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.profiles import LATIN, SINHALA
-from ._tables import WS, docs, literal, literal_sql, ngrams_sql, r6, sentences_sql, squeeze_sql, tokens_sql, trim_sql, words_sql
+from ._tables import WS, dealt_docs, docs, literal, literal_sql, ngrams_sql, r6, sentences_sql, squeeze_sql, tokens_sql, trim_sql, words_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -131,7 +131,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F17 to F21, F44."""
     c = F.col("text")
     return docs(spark, sf_dir).select(
-        "doc_id", T.word_count(c).alias("n_words"), F.size(T.word_tokens(c)).alias("n_tokens"), F.size(T.script_tokens(c)).alias("n_script_tokens"), F.size(T.graphemes(c)).alias("n_graphemes"), F.length(c).alias("n_chars")
+        "doc_id", T.word_count(c).alias("n_words"), F.size(T.word_tokens(c)).alias("n_tokens"), F.size(T.script_tokens(c)).alias("n_script_tokens"), T.grapheme_count(c).alias("n_graphemes"), F.length(c).alias("n_chars")
     )
 
 
@@ -242,7 +242,7 @@ SELECT d.doc_id, coalesce(total >= 20 AND hit, false) AS repeated FROM documents
 )
 def word_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F32: some word of more than 3 characters 12 times or more, among 20 words or more."""
-    d = docs(spark, sf_dir)
+    d = dealt_docs(spark, sf_dir)
     counts = d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"[{BLOCK}]+"), F.lit(0))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
     often = (F.length("w") > 3) & (F.col("n") >= 12) & ~F.col("w").isin(*LATIN.repetition_ignored)
     found = counts.groupBy("doc_id").agg(((F.sum("n") >= 20) & F.bool_or(often)).alias("repeated"))
@@ -280,14 +280,14 @@ SELECT d.doc_id, coalesce(f.repeated, false) AS repeated FROM documents d LEFT J
 @query("phrase_repetition", _phrase_sql(4))
 def phrase_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F33, four tokens."""
-    d = docs(spark, sf_dir)
+    d = dealt_docs(spark, sf_dir)
     return d.select("doc_id").join(repeated_phrases(d, 4), "doc_id", "left").select("doc_id", F.coalesce("repeated", F.lit(False)).alias("repeated"))
 
 
 @query("phrase_repetition_3", _phrase_sql(3))
 def phrase_repetition_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F33, the older rule of three tokens."""
-    d = docs(spark, sf_dir)
+    d = dealt_docs(spark, sf_dir)
     return d.select("doc_id").join(repeated_phrases(d, 3), "doc_id", "left").select("doc_id", F.coalesce("repeated", F.lit(False)).alias("repeated"))
 
 
@@ -301,7 +301,7 @@ SELECT d.doc_id, CAST(coalesce(f.n, 0) AS BIGINT) AS most, coalesce(f.n >= 3, fa
 )
 def repetition_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some window of four words three times or more, among 12 words or more."""
-    d = docs(spark, sf_dir)
+    d = dealt_docs(spark, sf_dir)
     grams = d.select("doc_id", T.words(F.col("text")).alias("w")).where(F.size("w") >= 12).select("doc_id", F.explode(T.ngrams(F.col("w"), 4)).alias("g"))
     most = grams.groupBy("doc_id", "g").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
     return d.select("doc_id").join(most, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("most"), F.coalesce(F.col("n") >= 3, F.lit(False)).alias("looping"))
