@@ -4,7 +4,8 @@ Equal vectors become one node, which keeps its smallest identifiers, so copies c
 first graph links each node with the nearest of its block, for several random orders of the nodes. Then each round joins the
 neighbours of every node, forward and backward, with one another: pairs closer than what either already has are links of the next graph.
 It ends when few links are new. A query walks the graph greedily: again and again the best nodes of its pool that were not yet opened are
-opened, until the pool's best BEAM are all open. At the end, scores are computed once more from the original vectors, in double precision.
+opened, until the pool's best BEAM are all open. Graph and walk compare vectors rounded to one byte for each component, which is all
+that their joins move; at the end, scores are computed from the original vectors, in double precision.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, as queries or as candidates. Shorter
 vectors count as padded with zeros. Ties go to the smaller identifier. A query with fewer candidates than asked for gets all that
@@ -23,17 +24,19 @@ from pyspark.sql import functions as F
 from ._shared import stored, table
 
 #: Links of a node, and the links backward that join in a round.
-LINKS = 14
-BACK = 12
-BLOCK = 96
-ORDERS = 4
-ROUNDS = 5
+LINKS = 30
+BACK = 30
+BLOCK = 128
+ORDERS = 6
+ROUNDS = 8
+#: Of a node's new links a task gives the best, LINKS / FOUND_SHARE of them; what is left out is found again in the next round.
+FOUND_SHARE = 3
 #: Rounds end when under this share of all links is new.
 SETTLED = 0.01
-BEAM = 40
+BEAM = 200
 #: Nodes that a query opens in one step.
-OPENED = 6
-STEPS = 16
+OPENED = 20
+STEPS = 20
 SEED = 42
 
 
@@ -61,6 +64,27 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _code(x: np.ndarray) -> np.ndarray:
+    """Vectors to bytes, by component, each scaled by its own largest."""
+    return np.rint(x / np.abs(x).max(axis=1, keepdims=True, initial=1e-300) * 127).astype(np.int8)
+
+
+def _codes(column: pa.Array, width: int) -> np.ndarray:
+    """Unit vectors of a column of codes."""
+    flat = np.frombuffer(column.buffers()[2], np.int8)[column.offset * width : (column.offset + len(column)) * width] if len(column) else np.zeros(0, np.int8)
+    x = flat.reshape(len(column), width).astype(np.float32)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _coder(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = _code(_matrix(batch.column("vector"), width))
+            yield pa.record_batch([batch.column("node"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["node", "code"])
+
+    return run
+
+
 def nodes_of(vectors: DataFrame, id_col: str, vec_col: str, copies: int) -> DataFrame:
     """node, vector, and the `copies` smallest ids with that vector, of each distinct usable vector."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vector")).where(usable(F.col("vector")))
@@ -76,12 +100,12 @@ def _orderer(width: int, orders: int, bits: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = np.random.default_rng(seed).standard_normal((width, orders * (bits + 1)))
         for batch in batches:
-            x = _matrix(batch.column("vector"), width)
-            side = _unit(x) @ planes
+            x = _codes(batch.column("code"), width)
+            side = x.astype(np.float64) @ planes
             side = side.reshape(len(x), orders, bits + 1)
-            code = ((side[:, :, :bits] > 0) << np.arange(bits)).sum(axis=2)
+            signs = ((side[:, :, :bits] > 0) << np.arange(bits)).sum(axis=2)
             for k in range(orders):
-                yield pa.record_batch([batch.column("node"), batch.column("vector"), pa.array(np.full(len(x), k), pa.int32()), pa.array(code[:, k], pa.int64()), pa.array(side[:, k, bits])], names=["node", "vector", "turn", "code", "along"])
+                yield pa.record_batch([batch.column("node"), batch.column("code"), pa.array(np.full(len(x), k), pa.int32()), pa.array(signs[:, k], pa.int64()), pa.array(side[:, k, bits])], names=["node", "code", "turn", "side", "along"])
 
     return run
 
@@ -95,7 +119,7 @@ def _blocks(width: int, links: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("node").to_numpy()
-            x = _unit(_matrix(batch.column("vector"), width))
+            x = _codes(batch.column("code"), width)
             turn = batch.column("turn").to_numpy()
             # Blocks overlap by half, so nodes at a border meet both sides.
             for k in np.unique(turn):
@@ -109,7 +133,7 @@ def _blocks(width: int, links: int):
                     best = _best(s, min(links, len(b) - 1))
                     head = np.repeat(np.arange(len(b)), best.shape[1])
                     tail = best.reshape(-1)
-                    yield pa.record_batch([pa.array(ids[b[head]]), pa.array(ids[b[tail]]), pa.array(s[head, tail])], names=["node", "link", "score"])
+                    yield pa.record_batch([pa.array(ids[b[head]]), pa.array(ids[b[tail]]), pa.array(s[head, tail].astype(np.float64))], names=["node", "link", "score"])
 
     return run
 
@@ -129,7 +153,7 @@ def _joiner(width: int, links: int):
             group = np.concatenate([[] if rest is None else rest[0], batch.column("hub").to_numpy()]).astype(np.int64)
             ids = np.concatenate([[] if rest is None else rest[1], batch.column("node").to_numpy()]).astype(np.int64)
             least = np.concatenate([[] if rest is None else rest[2], batch.column("least").to_numpy()])
-            x = _unit(_matrix(batch.column("vector"), width, np.float32))
+            x = _codes(batch.column("code"), width)
             x = x if rest is None else np.concatenate([rest[3], x])
             edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             last = edge[-1]
@@ -169,19 +193,19 @@ _EDGE = "node long, link long, score double"
 
 
 def build_graph(nodes: DataFrame, *, width: int, count: int, links: int = LINKS, orders: int = ORDERS, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
-    """NN-descent: node, links (array of score and link, best first) over nodes(node, vector)."""
+    """NN-descent: node, links (array of score and link, best first) over nodes(node, code)."""
     bits = max(0, int(np.ceil(np.log2(max(count, 1) / BLOCK))))
-    placed = nodes.select("node", "vector").mapInArrow(_orderer(width, orders, bits, seed), "node long, vector array<float>, turn int, code long, along double")
-    ranged = placed.repartitionByRange("turn", "code", "along", "node").sortWithinPartitions("turn", "code", "along", "node")
+    placed = nodes.select("node", "code").mapInArrow(_orderer(width, orders, bits, seed), "node long, code binary, turn int, side long, along double")
+    ranged = placed.repartitionByRange("turn", "side", "along", "node").sortWithinPartitions("turn", "side", "along", "node")
     graph = stored(_keep(ranged.mapInArrow(_blocks(width, links), _EDGE), links), "graph")
     for _ in range(rounds):
         edges = graph.select("node", F.explode("links").alias("e")).select("node", F.col("e.link").alias("link"), F.col("e.score").alias("score"))
         back = edges.withColumn("place", F.row_number().over(Window.partitionBy("link").orderBy(F.desc("score"), "node"))).where(F.col("place") <= BACK)
         group = edges.select(F.col("node").alias("hub"), F.col("link").alias("node")).union(back.select(F.col("link").alias("hub"), "node")).distinct()
         least = graph.select("node", F.when(F.size("links") >= links, F.element_at("links", -1)["score"]).otherwise(F.lit(-2.0)).alias("least"))
-        known = nodes.select("node", "vector").join(least, "node", "left").fillna({"least": -2.0})
-        brought = group.join(known, "node").repartition("hub").sortWithinPartitions("hub").select("hub", "node", "least", "vector")
-        found = brought.mapInArrow(_joiner(width, links), _EDGE).join(edges.select("node", "link"), ["node", "link"], "left_anti").withColumn("new", F.lit(True))
+        known = nodes.select("node", "code").join(least, "node", "left").fillna({"least": -2.0})
+        brought = group.join(known, "node").repartition("hub").sortWithinPartitions("hub").select("hub", "node", "least", "code")
+        found = brought.mapInArrow(_joiner(width, max(1, links // FOUND_SHARE)), _EDGE).join(edges.select("node", "link"), ["node", "link"], "left_anti").withColumn("new", F.lit(True))
         # Pairs are found anew at different hubs with the same score, so the set drops repeats.
         scored = edges.withColumn("new", F.lit(False)).union(found)
         best = F.slice(F.sort_array(F.collect_set(F.struct("score", "link", "new")), asc=False), 1, links)
@@ -193,30 +217,29 @@ def build_graph(nodes: DataFrame, *, width: int, count: int, links: int = LINKS,
     return graph
 
 
-def _scorer(width: int, carry: list[str]):
-    """Cosines of columns q and vector, row by row."""
+def _scorer(width: int, carry: list[str], a: str, b: str, coded: bool):
+    """Cosines of two columns, row by row: of codes in single precision, of vectors in double."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = _unit(_matrix(batch.column("q"), width)), _unit(_matrix(batch.column("vector"), width))
-            yield pa.record_batch([*(batch.column(c) for c in carry), pa.array((a * b).sum(axis=1))], names=[*carry, "score"])
+            x, y = ((_codes(batch.column(c), width) if coded else _unit(_matrix(batch.column(c), width))) for c in (a, b))
+            yield pa.record_batch([*(batch.column(c) for c in carry), pa.array((x * y).sum(axis=1).astype(np.float64))], names=[*carry, "score"])
 
     return run
 
 
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, width: int, beam: int = BEAM, opened: int = OPENED, steps: int = STEPS) -> DataFrame:
-    """Greedy graph search: query, node, score of the best `beam` nodes of each row of queries(query, q, entry)."""
+    """Greedy graph search: query, node, score of the best `beam` nodes of each row of queries(query, code, entry)."""
     out = graph.select("node", F.explode("links.link").alias("to"))
     back = graph.select(F.explode("links").alias("e"), F.col("node").alias("to")).select(F.col("e.link").alias("node"), "to", F.col("e.score").alias("score"))
     back = back.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "to"))).where(F.col("place") <= BACK).select("node", "to")
     ways = stored(out.union(back).distinct().groupBy("node").agg(F.collect_list("to").alias("ways")), "ways")
-    vectors = nodes.select("node", "vector")
+    codes, asked = nodes.select("node", "code"), queries.select("query", F.col("code").alias("q"))
 
     def scored(pairs: DataFrame) -> DataFrame:
-        return pairs.join(vectors, "node").join(queries.select("query", "q"), "query").mapInArrow(_scorer(width, ["query", "node"]), "query long, node long, score double")
+        return pairs.join(codes, "node").join(asked, "query").select("query", "node", "code", "q").mapInArrow(_scorer(width, ["query", "node"], "code", "q", True), "query long, node long, score double")
 
-    pool = scored(queries.select("query", F.col("entry").alias("node"))).withColumn("open", F.lit(False))
-    pool = stored(pool, "pool")
+    pool = stored(scored(queries.select("query", F.col("entry").alias("node"))).withColumn("open", F.lit(False)), "pool")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     for _ in range(steps):
         # Nodes to open: the best of the pool that are still closed.
@@ -240,13 +263,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", v
     nodes = stored(nodes_of(vectors, id_col, vec_col, k + 1), "nodes")
     count, width = nodes.agg(F.count("*"), F.max(F.size("vector"))).first()
     width = width or 1
-    graph = build_graph(nodes, width=width, count=count)
+    coded = stored(nodes.select("node", "vector").mapInArrow(_coder(width), "node long, code binary"), "codes")
+    graph = build_graph(coded, width=width, count=count)
     asked = queries.select(F.col(id_col).cast("long").alias("query"), F.col(vec_col).alias("q")).where(usable(F.col("q"))).distinct()
-    entered = asked.join(nodes.select(F.col("vector").alias("q"), F.col("node").alias("entry")), "q").select("query", "q", "entry")
-    entered = stored(entered.dropDuplicates(["query"]), "queries")
-    found = search(nodes, graph, entered, width=width)
-    pairs = found.join(nodes.select("node", "ids", "vector"), "node").join(entered.select("query", "q"), "query")
-    exact = pairs.select("query", "ids", "q", "vector").mapInArrow(_scorer(width, ["query", "ids"]), "query long, ids array<long>, score double")
+    entered = asked.join(nodes.select(F.col("vector").alias("q"), F.col("node").alias("entry")), "q").dropDuplicates(["query"])
+    entered = stored(entered.join(coded.withColumnRenamed("node", "entry"), "entry").select("query", "q", "entry", "code"), "queries")
+    found = search(coded, graph, entered, width=width)
+    pairs = found.select("query", "node").join(nodes, "node").join(entered.select("query", "q"), "query")
+    exact = pairs.select("query", "ids", "q", "vector").mapInArrow(_scorer(width, ["query", "ids"], "q", "vector", False), "query long, ids array<long>, score double")
     candidates = exact.select("query", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query")
     rank = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return candidates.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", "vec_id", "score")
