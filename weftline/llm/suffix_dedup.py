@@ -263,4 +263,16 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_suffix_dedup": op4_suffix_dedup}
-SQL: dict[str, str] = {}
+SQL = {
+    "op4_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 49, 0))) AS p FROM d)),
+f AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) < doc_id AS gone FROM w),
+g AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM f WHERE gone),
+r AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM r GROUP BY doc_id, k),
+pieces AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS low, a AS high FROM spans UNION ALL SELECT d.doc_id, coalesce(max(b), 0), d.n FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id, d.n),
+kept AS (SELECT p.doc_id, sha256(unhex(string_agg(substr(d.h, 2 * p.low + 1, 2 * (p.high - p.low)), '' ORDER BY p.low, p.high))) AS sha FROM pieces p JOIN d USING (doc_id) GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(s.removed, 0) AS BIGINT) AS n_removed, coalesce(s.spans, 0) AS n_spans, kept.sha AS kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM spans GROUP BY doc_id) s USING (doc_id) JOIN kept USING (doc_id)"""
+}
