@@ -152,7 +152,7 @@ def pack(arrays: list[np.ndarray]) -> bytes:
     """Arrays behind one another, their lengths and types in front, compressed. Arrays of 64-bit integers go as differences."""
     arrays = [np.diff(a, prepend=a.dtype.type(0)) if a.dtype.kind in "iu" and a.dtype.itemsize == 8 else a for a in arrays]
     raw = np.array([x for a in arrays for x in (len(a), _TYPES.index(a.dtype))], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
-    return np.array([len(raw), len(arrays)], np.int64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+    return np.array([len(raw), len(arrays)], np.int64).tobytes() + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:

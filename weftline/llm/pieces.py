@@ -29,7 +29,7 @@ from ._shared import mix64, slices, span_hashes, table, text_bytes, to_unit
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 42
 #: Chunks whose lattices a task keeps; beyond that it starts anew.
-MOST_CHUNKS = 250_000
+MOST_CHUNKS = 180_000
 
 
 @dataclass
@@ -252,7 +252,7 @@ def _encoder(vocabulary: Vocabulary, seed: int):
         lattices = _Lattices(vocabulary)
         table_at = np.concatenate([[0], np.cumsum([len(p) for p in vocabulary.pieces])])
         table_body = np.frombuffer(b"".join(vocabulary.pieces), np.uint8)
-        for batch in slices(batches, "body", 3 << 20):
+        for batch in slices(batches, "body", 1 << 20):
             column = batch.column("body")
             plain, plain_at = text_bytes(column)
             body, at = _with_space(plain, plain_at)
