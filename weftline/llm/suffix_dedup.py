@@ -1,8 +1,9 @@
 """Suffix-array deduplication: prefix doubling over positions, ranked by the strings of 8, 16, 32 and LENGTH bytes that start there.
 
 Two equal strings of LENGTH bytes hold the same 8-byte words, so also the same smallest word by hash (their key). All positions with
-one key meet in one bucket, and doubling runs there: positions are sorted by pairs of ranks, of a position and of the one an offset
-further on, and ranked anew; positions whose rank is unique drop out, until the offset has passed LENGTH. Neighbouring positions mostly
+one key meet in one bucket, and doubling runs there: a rank is a hash made of the pair of ranks of a position and of the one an offset
+further on, for 8, 16 and 32 bytes. At 32 bytes positions are sorted and those of unique rank drop out; the others are sorted once
+more by two hashes of all LENGTH bytes. Neighbouring positions mostly
 share their key, so a task sends runs of positions as one stretch of text (about 3 bytes for each byte of the input, before
 compression), with all places of its block of documents where the same stretch stands; a stretch with many copies goes once for
 each block. Ranking all positions in every round over Spark's shuffle instead would send some 50 bytes for each byte and round.
