@@ -101,6 +101,20 @@ def test_near_duplicates_hot_group_and_empty_table(spark):
     assert sorted((r[0], r[1]) for r in got) == [(0, 60), (100, 60)]
 
 
+def test_near_duplicates_star_of_edits_around_a_middle_id(spark):
+    base = prose(1).split()
+    rows = [(100, " ".join(base))]
+    for k in range(201):  # two words changed: alike to the base, less so to one another
+        if k != 100:
+            words = list(base)
+            first, second = 5 + k * 7 % 50, 62 + k * 11 % 51
+            words[first], words[second] = f"new{k}", f"other{k}"
+            rows.append((k, " ".join(words)))
+    want = brute_near(rows)
+    assert set(want.values()) == {0}
+    assert {r.doc_id: r.class_id for r in near_duplicates(docs(spark, rows)).collect()} == want
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 40).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     found = {r.node: r.root for r in components(edges.union(edges)).collect()}

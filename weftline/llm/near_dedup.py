@@ -7,11 +7,11 @@ agree in a coordinate with the probability of their weighted Jaccard similarity.
 limit, which changes no coordinate already found.
 
 Documents with equal shingle sets are one from the start, whatever their number. In every band's bucket the smallest identifier is
-the centre and all others are compared with it. Who is then in one component with the centre is done there; the rest, texts that share a
-bucket but are no near-duplicates of the centre, are compared across components, each pair once, whatever the buckets it shares, unless
+the centre and all others are compared with it. While a bucket's members are in several components and the pairs across these are many,
+a further centre is compared with the members of other components: the member with most links so far, which is the base of a family
+of edits. At last all pairs of a bucket that are in two components are compared, each pair once, whatever the buckets it shares, unless
 its signatures agree in under 0.65 of their coordinates, which at similarity 0.8 has a probability of under 0.0001. So
-groups of copies of any size give as many pairs as members, and no pair that shares a bucket stays apart unseen but by way of a
-component it is in. Similarity is checked exactly on the sets of shingles. With BANDS
+groups of copies of any size give as many pairs as members, and no pair that shares a bucket stays apart untested. Similarity is checked exactly on the sets of shingles. With BANDS
 of ROWS a pair of similarity 0.8 shares a bucket with a probability of 0.9999.
 
 Defined results: words are runs outside `[\\x20\\x09-\\x0D]` of the lower-case text; a text of 1 to 4 words is one shingle; a null text or
@@ -37,6 +37,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 #: Four standard deviations of the share of equal coordinates at similarity 0.8.
 AGREEMENT_MARGIN = 0.15
+#: Pairs of two components a member of the open buckets up to which they are compared without looking for further centres.
+FEW_PAIRS = 4
 #: Cumulative probabilities of a Poisson variable of mean 1.
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 
@@ -187,17 +189,28 @@ def _links(texts: DataFrame, buckets: DataFrame, marks: DataFrame, threshold: fl
         tested.add(new.join(a, "u").join(b, "v").select("u", "v", (common / (F.size("a") + F.size("b") - common) >= threshold).alias("ok")))
         return components(tested.read().where("ok"))
 
-    centres = stored(now.groupBy("bucket").agg(F.min("rep").alias("centre")), "centres")
-    roots = check(now.join(centres, "bucket").where("rep <> centre").select(F.col("rep").alias("u"), F.col("centre").alias("v")))
-    # Who is now in one component with the bucket's centre is done there, and so are buckets of which one component is left.
-    label = now.select("bucket", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("label"))
-    held = centres.join(roots.withColumnRenamed("node", "centre"), "centre", "left").select("bucket", F.coalesce("root", "centre").alias("label"))
-    rest = label.join(held, ["bucket", "label"], "left_anti")
-    open_buckets = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    rest = stored(rest.join(open_buckets, "bucket", "left_semi"), "members")
-    if rest.isEmpty():
-        return roots
-    # The others are compared across components, each pair once: in the least of the buckets where both are left.
+    used = now.groupBy("bucket").agg(F.min("rep").alias("centre"))
+    roots = check(_spokes(now, used))
+    last = math.inf
+    while True:
+        # A bucket whose members are of one component is done; of any other all members stay, those that joined the centre too.
+        label = now.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("label"))
+        open_buckets = label.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+        rest = stored(label.join(open_buckets, "bucket", "left_semi"), "members")
+        parts = rest.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        size = parts.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+        if not size[0]:
+            return roots
+        if size[1] <= FEW_PAIRS * size[0] or 2 * size[1] > last:
+            break
+        last = size[1]
+        # Many pairs: first compare with one more centre a bucket, the member with most links so far, as long as that halves them.
+        links = tested.read().where("ok").select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+        fresh = rest.join(used.withColumnRenamed("centre", "rep"), ["bucket", "rep"], "left_anti").join(links, "rep", "left")
+        hubs = stored(fresh.groupBy("bucket").agg(F.max_by("rep", F.struct(F.coalesce("links", F.lit(0)), F.xxhash64("rep", "bucket"), "rep")).alias("centre")), "centres")
+        used = used.union(hubs)
+        roots = check(_spokes(rest, hubs))
+    # Every pair of a bucket that is in two components, each pair once: in the least of the open buckets it shares.
     kept = rest.join(rest.groupBy("rep").agg(F.collect_list("bucket").alias("buckets")), "rep").join(marks, "rep")
     x, y = kept.alias("x"), kept.alias("y")
     both = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))
@@ -207,6 +220,15 @@ def _links(texts: DataFrame, buckets: DataFrame, marks: DataFrame, threshold: fl
     return check(x.join(y, both & once & alike).select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")))
 
 
+def _spokes(members: DataFrame, centres: DataFrame) -> DataFrame:
+    """u > v: each bucket's centre with the bucket's other members, but those whose label is the centre's."""
+    pairs = members.join(centres, "bucket").where("rep <> centre")
+    if "label" in members.columns:
+        own = members.select("bucket", F.col("rep").alias("centre"), F.col("label").alias("held"))
+        pairs = pairs.join(own, ["bucket", "centre"]).where("label <> held")
+    return pairs.select(F.greatest("rep", "centre").alias("u"), F.least("rep", "centre").alias("v"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
