@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tests.llm.test_dedup import docs, prose
 from tests.oracle import connect, rows_of, sql_rows
 from weftline.llm import queries
-from weftline.llm.html_text import extract
+from weftline.llm.html_text import _Lines, extract, main_text
 from weftline.llm.licenses import TEMPLATES, scan
 from weftline.llm.mixing import mix, source_targets
 
@@ -31,6 +31,24 @@ def test_extraction_cases(spark):
     assert got[99].n_chars == 5 * 50001 - 1 and extract(frame.limit(0)).count() == 0
 
 
+LAYOUTS = "content with-sidebar|site has-sidebar|no-sidebar|post-content no-comments|search-results|elementor-widget-theme-post-content|hfeed comments-open".split("|")
+SPARED = [(f"<div class='{c}'><article><h1>T</h1><p>{LONG}</p></article></div><div class='sidebar'><p>{LONG}</p></div>", f"T\n{LONG}") for c in LAYOUTS]
+SPARED += [(f"<body><section class='{c}'><p>{LONG}</p><p>{LONG}</p></section><div class=sidebar><p>{LONG}</p></div></body>", f"{LONG}\n{LONG}") for c in LAYOUTS]
+SPARED += [
+    (f"<article><h1>T</h1><div class='widget-post-content'><p>{LONG}</p><div class=ad>buy</div></div></article>", f"T\n{LONG}"),
+    (f"<article><p>{LONG}</p></article><div class=comments><article><p>{LONG} {LONG}</p></article></div>", LONG),
+    (f"<article><p>{LONG}</p><div class=comments><p>{LONG}</p><p>{LONG}</p></div></article>", LONG),
+    (f"<div id=content><p>{LONG}</p><p>{LONG}</p></div><div class=related><article><p>{LONG}</p></article></div>", f"{LONG}\n{LONG}"),
+    (f"<article><p class='ad'>buy<p>{LONG}</p><p hidden>secret</p><ul><li class=ad>x<ul><li>y</li></ul>z<li>kept</ul><p>Short.</article>", f"{LONG}\nkept\nShort."),
+    (f"<body><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>The end.</p></body>", f"{LONG}\n{LONG}\n{LONG}\nThe end."),
+]
+
+
+@pytest.mark.parametrize("html,want", SPARED)
+def test_elements_that_hold_the_article_are_spared(html, want):
+    assert main_text(_Lines(), html) == want
+
+
 def targets_by_hand(sizes, weights=(5.0, 2.0, 1.0)):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
     w = {s: weights[k % 3] for k, s in enumerate(names)}

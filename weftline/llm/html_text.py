@@ -4,7 +4,9 @@ The standard library's streaming parser turns a page into lines, one for each bl
 its characters, its tags and the elements around it. The ratio of characters to tags is smoothed along the page with a Gaussian kernel
 and split into two clusters; the upper one marks content. The region is the article (or main element) that holds most of the
 content's text, or without such an element the deepest element that holds nearly all of it. Lines of the region are kept
-whole, but for those inside elements that are no text of the article by their kind, role or class.
+whole, but for those inside elements that are no text of the article by their kind, role or class. What follows has-, with-, without- or
+no- in a class or id speaks of the layout and is not read. An element that holds the article, or more than half of its text (without an
+article: of the page's text), is not left out for its class: such a page is parsed again with these elements spared.
 
 Defined results: a null or empty page, and one without any text, has the text '' and n_chars 0. Character references are decoded; white
 space inside a block becomes one space. <br> and table cells count as white space. Rows that repeat a page_id are extracted each.
@@ -42,6 +44,10 @@ CLASS_OUT = re.compile(
     re.I,
 )
 HEADER_OUT = re.compile(r"(?:^|[\s_-])headers?(?:$|[\s_-])", re.I)
+#: Layout classes such as has-sidebar, post-no-comments or comments-open.
+MODIFIED = re.compile(r"(?<![^\s_-])(?:(?:has|with|without|no)[_-]\S*|comments?[_-](?:open|closed)(?!\S))", re.I)
+#: Comments of readers may be longer than the article; they are spared with nearly all of the text only.
+READERS = re.compile(r"comment|disqus|respond|repl(?:y|ies)", re.I)
 ROLES_OUT = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Standard deviation of the smoothing kernel, in lines.
@@ -56,42 +62,53 @@ _KERNEL /= _KERNEL.sum()
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: (text, tags, link characters, tuple of container numbers around it, heading)."""
+    """Lines of a page: (text, tags, link characters, tuple of container numbers around it, heading, paragraph)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.clear()
 
-    def clear(self) -> None:
+    def clear(self, spared: frozenset[int] = frozenset()) -> None:
         self.reset()
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
+        self.lines: list[tuple[str, int, int, tuple[int, ...], bool, bool]] = []
         self.kinds: list[str] = []  # by container number
-        self.open: list[tuple[str, int]] = []  # open block and outside elements, with their container's number or -1
+        self.open: list[tuple[str, int, int, bool]] = []  # open block and outside elements: container's number or -1, _is_out, watched
         self.path: tuple[int, ...] = ()
-        self.out = 0  # open elements whose text is left out
-        self.outs: list[int] = []
+        self.out = self.hard = 0  # open elements whose text is left out; those of them that are not left out for their class
         self.inside_article = 0
         self.parts: list[str] = []
         self.tags = self.links = self.in_link = 0
-        self.heading = False
+        self.heading = self.paragraph = False
+        self.spared = spared  # numbers of start tags that are not left out for their class
+        self.seen = 0
+        # Elements left out for their class, and articles: start tags open now; by start tag its kind, those around it, and its characters outside links.
+        self.watched: tuple[int, ...] = ()
+        self.kind: dict[int, str] = {}
+        self.around: dict[int, tuple[int, ...]] = {}
+        self.chars: dict[int, int] = {}
+        self.total = self.plain = 0  # characters outside links: all, and those not left out
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, self.tags, self.links, self.path, self.heading))
+                self.lines.append((text, self.tags, self.links, self.path, self.heading, self.paragraph))
             self.parts = []
         self.tags = self.links = 0
-        self.heading = False
+        self.heading = self.paragraph = False
 
     def handle_starttag(self, tag, attrs):
+        self.seen += 1
         if tag in SPACES:
             self.tags += 1
             if self.parts:
                 self.parts.append(" ")
         elif tag in BLOCKS:
             self.flush()
+            if self.open and (self.open[-1][0] == "p" or self.open[-1][0] == tag == "li"):  # end tags that were left out
+                self.close_from(len(self.open) - 1)
             self.tags = 1
+            self.paragraph = tag == "p"
             if tag[0] == "h" and len(tag) == 2 and tag != "hr":
                 self.heading = True
         else:
@@ -100,25 +117,34 @@ class _Lines(HTMLParser):
                 self.in_link += 1
         if tag in VOID:
             return
-        if tag == "p" or tag == "li":  # their end tags may be left out
-            return
         out = self._is_out(tag, attrs)
-        if out or tag in CONTAINERS:
+        # Of p and li only those left out are kept open, and lists inside them.
+        if out or tag in CONTAINERS or (tag in ("ul", "ol", "li") and any(e[0] == "li" for e in self.open)):
             number = -1
             if tag in CONTAINERS and not out:
                 number = len(self.kinds)
                 self.kinds.append(tag)
                 self.path += (number,)
                 self.inside_article += tag in ("article", "main")
-            self.open.append((tag, number))
-            self.outs.append(out)
-            self.out += out
+            watched = out == 2 or (not out and tag in ("article", "main"))
+            if watched:
+                if not out:
+                    self.kind[self.seen] = tag
+                else:
+                    self.kind[self.seen] = "readers" if any(n in ("class", "id") and v and READERS.search(v) for n, v in attrs) else "out"
+                self.around[self.seen], self.chars[self.seen] = self.watched, 0
+                self.watched += (self.seen,)
+            self.open.append((tag, number, out, watched))
+            self.out += out > 0
+            self.hard += out == 1
 
     def _is_out(self, tag, attrs) -> int:
+        """1: left out; 2: left out for its class or id."""
         if tag in OUTSIDE or (tag == "header" and not self.inside_article):
             return 1
         if not attrs or tag in ("html", "body"):
             return 0
+        by_class = 0
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return 1
@@ -129,9 +155,34 @@ class _Lines(HTMLParser):
             if name == "style" and HIDDEN.search(value):
                 return 1
             if name in ("class", "id") and (tag not in ("article", "main") or "comment" in value.lower()):
-                if CLASS_OUT.search(value) or (not self.inside_article and HEADER_OUT.search(value)):
-                    return 1
-        return 0
+                value = MODIFIED.sub("", value)
+                if self.seen not in self.spared and (CLASS_OUT.search(value) or (not self.inside_article and HEADER_OUT.search(value))):
+                    by_class = 2
+        return by_class
+
+    def close_from(self, k: int) -> None:
+        for name, number, out, watched in self.open[k:]:
+            if number >= 0:
+                self.path = self.path[:-1]
+                self.inside_article -= name in ("article", "main")
+            if watched:
+                self.watched = self.watched[:-1]
+            self.out -= out > 0
+            self.hard -= out == 1
+        del self.open[k:]
+
+    def to_spare(self) -> frozenset[int]:
+        """The elements left out for their class that hold the article or most of its text."""
+        outs = {n for n, kind in self.kind.items() if kind in ("out", "readers")}
+        if not outs:
+            return frozenset()
+        # An article inside such an element is a teaser or a comment, unless it has more text than all that is not left out.
+        inside = {n: [self.kind[k] for k in self.around[n] if k in outs] for n in self.kind}
+        articles = [n for n, kind in self.kind.items() if n not in outs and self.chars[n] and (kind == "main" or not inside[n] or ("readers" not in inside[n] and self.chars[n] > self.plain))]
+        best = max(articles, key=lambda n: (self.chars[n], -n), default=0)
+        whole = self.chars[best] if best else self.total
+        most = {n for n in outs if (not best or best in self.around[n]) and self.chars[n] > (DEEPER if self.kind[n] == "readers" else 0.5) * whole}
+        return frozenset(most | (outs & set(self.around[best]) if best else set()))
 
     def handle_endtag(self, tag):
         self.tags += 1
@@ -142,17 +193,23 @@ class _Lines(HTMLParser):
                 self.parts.append(" ")
         elif tag == "a" and self.in_link:
             self.in_link -= 1
+        if self.open and ((self.open[-1][0] == "p" != tag and tag in BLOCKS) or (self.open[-1][0] == "li" and tag in ("ul", "ol"))):
+            self.close_from(len(self.open) - 1)
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                for name, number in self.open[k:]:
-                    if number >= 0:
-                        self.path = self.path[:-1]
-                        self.inside_article -= name in ("article", "main")
-                self.out -= sum(self.outs[k:])
-                del self.open[k:], self.outs[k:]
+                self.close_from(k)
                 break
 
     def handle_data(self, data):
+        if self.hard:
+            return
+        if not self.in_link:
+            size = len(data.strip())
+            self.total += size
+            for n in self.watched:
+                self.chars[n] += size
+            if not self.out:
+                self.plain += size
         if not self.out:
             self.parts.append(data)
             if self.in_link:
@@ -161,7 +218,7 @@ class _Lines(HTMLParser):
 
 def smoothed_ratios(lines: list) -> np.ndarray:
     """Characters for each tag by line, smoothed along the page."""
-    ratio = np.array([(len(text) - links) / max(tags, 1) for text, tags, links, _, _ in lines], float)
+    ratio = np.array([(len(text) - links) / max(tags, 1) for text, tags, links, *_ in lines], float)
     padded = np.pad(ratio, len(_KERNEL) // 2, mode="edge")
     return np.convolve(padded, _KERNEL, mode="valid")
 
@@ -182,17 +239,21 @@ def upper_cluster(values: np.ndarray) -> np.ndarray:
 
 
 def main_text(parser: _Lines, html: str) -> str:
-    parser.clear()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
+    spared: frozenset[int] = frozenset()
+    for _ in range(2):
+        parser.clear(spared)
+        parser.feed(html)
+        parser.close()
+        parser.flush()
+        if spared or not (spared := parser.to_spare()):
+            break
     lines = parser.lines
     if not lines:
         return ""
-    content = upper_cluster(smoothed_ratios(lines)) & np.array([2 * links <= len(text) for text, _, links, _, _ in lines])
+    content = upper_cluster(smoothed_ratios(lines)) & np.array([2 * links <= len(text) for text, _, links, *_ in lines])
     weight: dict[int, int] = {}
     everything: dict[int, int] = {}
-    for (text, _, links, path, _), good in zip(lines, content, strict=True):
+    for (text, _, links, path, *_), good in zip(lines, content, strict=True):
         for number in path:
             everything[number] = everything.get(number, 0) + len(text) - links
             if good:
@@ -201,7 +262,7 @@ def main_text(parser: _Lines, html: str) -> str:
         regions = [n for n in everything if parser.kinds[n] == kind]
         if regions:
             best = max(regions, key=lambda n: (weight.get(n, 0), everything[n], -n))
-            return "\n".join(text for text, _, _, path, _ in lines if best in path)
+            return "\n".join(text for text, _, _, path, *_ in lines if best in path)
     if not content.any():
         return ""
     region: tuple[int, ...] = ()
@@ -218,12 +279,15 @@ def main_text(parser: _Lines, html: str) -> str:
         region += (best,)
     inside = [k for k in range(len(lines)) if lines[k][3][: len(region)] == region and (content[k] or 2 * lines[k][2] <= len(lines[k][0]))]
     if not region or parser.kinds[region[-1]] in ("html", "body"):
-        # The page as a whole: from the first to the last line of content, and headings or long lines next to them.
+        # The page as a whole: from the first to the last line of content, and headings, closing paragraphs or long lines next to them.
         marks = [n for n, k in enumerate(inside) if content[k]]
         first, last = marks[0], marks[-1]
         while first and (lines[inside[first - 1]][4] or len(lines[inside[first - 1]][0]) >= LONG_LINE):
             first -= 1
-        while last + 1 < len(inside) and len(lines[inside[last + 1]][0]) >= LONG_LINE:
+        while last + 1 < len(inside):
+            after, before = lines[inside[last + 1]], lines[inside[last]]
+            if len(after[0]) < LONG_LINE and not (after[5] and after[3] == before[3]):
+                break
             last += 1
         inside = inside[first : last + 1]
     return "\n".join(lines[k][0] for k in inside)
