@@ -29,3 +29,18 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert set(kept["mixing"]) <= set(kept["near_dedup"]) and max(kept["mixing"].count(i) for i in kept["mixing"]) <= 2
     last = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r.doc_id for r in last.collect()) == kept["mixing"] and last.where("NOT lossless").isEmpty()
+
+
+def test_stages_tell_rows_apart_without_doc_id(spark, tmp_path):
+    rows = [(None, prose(1)), (None, prose(2)), (None, prose(2)), (1, prose(3)), (5, prose(3)), (5, prose(4)), (None, prose(4)), (7, prose(5)), (7, prose(5)), (8, prose(6)), (9, prose(6) + " more"), (9, prose(8)), (None, prose(8) + " more")]
+    frame = docs(spark, rows)
+    exact = corpus_pipeline.exact_copies(spark, frame, str(tmp_path))
+    want = [rows[k] for k in (0, 1, 3, 5, 7, 9, 10, 11, 12)]
+    assert sorted(((r.doc_id, r.text) for r in exact.collect()), key=repr) == sorted(want, key=repr)
+    near = corpus_pipeline.near_copies(spark, exact, str(tmp_path))
+    want = [rows[k] for k in (0, 1, 3, 5, 7, 9, 11)]
+    assert sorted(((r.doc_id, r.text) for r in near.collect()), key=repr) == sorted(want, key=repr)
+    mixed = corpus_pipeline.mixing(spark, near, str(tmp_path))
+    assert mixed.dtypes == frame.dtypes
+    # One source: each text once, and about half of them twice.
+    assert {(r.doc_id, r.text) for r in mixed.collect()} == set(want) and len(want) < mixed.count() < 2 * len(want)

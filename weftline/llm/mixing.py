@@ -58,14 +58,15 @@ def source_targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, sh
     return free.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, *, quality: Column | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = TOTAL_SHARE, most: float = MOST_EPOCHS, seed: int = SEED, bins: int = BINS) -> DataFrame:
+def mix(docs: DataFrame, *, quality: Column | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = TOTAL_SHARE, most: float = MOST_EPOCHS, seed: int = SEED, bins: int = BINS, carry: bool = False) -> DataFrame:
     """One row per row of docs(doc_id, text, source): doc_id, size, source_size, target, taken, epochs (whole copies in the mix).
 
-    quality: positive sampling weight of a document; by default its share of letters.
+    quality: positive sampling weight of a document; by default its share of letters. carry: the row of docs itself as the column `row`.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     key = -F.log(uniform(F.col("doc_id"), seed=seed)) / (letter_share(text) if quality is None else quality)
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("key"))
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("key"), *row)
     # 1 - exp(-key) spreads keys of weight 1 evenly over the bins; any other weights keep their order.
     binned = stored(sized.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * bins).cast("int")), "sized")
 
@@ -95,7 +96,7 @@ def mix(docs: DataFrame, *, quality: Column | None = None, weights: tuple[float,
     placed = binned.join(_small(plan), F.col("source").eqNullSafe(F.col("its")))
     chosen = F.when(F.col("rest") <= 0, F.lit(False)).otherwise((F.col("bin") < F.col("border")) | ((F.col("bin") == F.col("border")) & F.coalesce(F.struct("key", "doc_id") <= F.col("last"), F.lit(False))))
     epochs = (F.col("whole") + F.coalesce(chosen, F.lit(False)).cast("int")).cast("int")
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * epochs).alias("taken"), epochs.alias("epochs"))
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * epochs).alias("taken"), epochs.alias("epochs"), *(["row"] if carry else []))
 
 
 def _small(by_source: DataFrame) -> DataFrame:
