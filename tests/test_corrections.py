@@ -66,11 +66,29 @@ def test_unfinished_and_loops(spark):
     [("a b c", "a x c", None), ("a b b", "a b x", "replacement_source_span_not_unique"), ("a b", "a b c", "replacement_format_does_not_support_insert_or_delete"), ("a b", "a b", None)],
 )
 def test_replacements(spark, source, target, error):
-    frame = spark.createDataFrame([(source, target)], "s string, t string").withColumn("r", E.make_replacements("s", "t"))
+    frame = spark.createDataFrame([(source, target)], "s string, t string").withColumn("c", E.word_edits(F.split("s", " +"), F.split("t", " +"))).withColumn("r", E.make_replacements("s", "t", "c"))
     row = frame.withColumn("back", E.replacements_to_script("s", F.coalesce("r.script", F.lit("KEEP")))).first()
     assert row.r.error == error and row.back.error is None
 
 
+def test_replacement_lines(spark):
+    frame = spark.createDataFrame([("one  two three four", "one  two 3 four five".replace(" five", "")), ("a b c d", "a x y d")], "s string, t string")
+    made = frame.withColumn("c", E.word_edits(F.split("s", " +"), F.split("t", " +"))).withColumn("r", E.make_replacements("s", "t", "c"))
+    got = made.withColumn("back", E.replacements_to_script("s", "r.script")).collect()
+    assert [r.r.script for r in got] == ["REPLACE ||| three ||| 3", "REPLACE ||| b c ||| x y"]
+    assert [json.loads(r.back.script) for r in got] == [[{"s": 9, "e": 14, "o": "three", "n": "3"}], [{"s": 2, "e": 5, "o": "b c", "n": "x y"}]]
+
+
+@pytest.mark.parametrize(
+    "script_text,error",
+    [("", "replacement_operation_count"), ("REPLACE ||| a", "replacement_line_schema"), ("REPLACE ||| a ||| a", "replacement_empty_or_no_op"), ("REPLACE ||| b ||| x", "replacement_source_span_not_unique"),
+     ("REPLACE ||| a b ||| x\nREPLACE ||| a ||| y", "replacement_operations_overlap"), (" KEEP ", None), ("REPLACE ||| a ||| x\rREPLACE ||| c ||| y", None)],
+)
+def test_replacement_errors(spark, script_text, error):
+    frame = spark.createDataFrame([("a b b c", script_text)], "s string, x string")
+    assert frame.select(E.replacements_to_script("s", "x").alias("r")).first().r.error == error
+
+
 def test_metrics_by_hand(spark):
     rows = [("1", "c", "d1", "a b c", "a x c", "a x c"), ("2", "c", "d1", "a b c", "a x c", "a b c"), ("3", "c", "d2", "a b", "a b", "a z"), ("4", "c", "d2", "a b", "a b", "a b")]
     frame = spark.createDataFrame(rows, "id string, category string, document string, source string, target string, prediction string")

@@ -104,3 +104,71 @@ def test_markdown_is_for_reports(spark):
     assert R.markdown(spark.range(2)).splitlines()[0] == "| id |"
     with pytest.raises(ValueError):
         R.markdown(spark.range(500))
+
+
+def test_places_of_many_partitions(spark):
+    """Range partitions are sampled and coalesced anew whenever they are planned; places must not depend on it."""
+    n = 300_000
+    frame = spark.range(0, n, 1, 50).select((F.xxhash64("id")).alias("k"), "id")
+    for partitions, adaptive in (("50", "true"), ("50", "false"), ("8", "true")):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            placed = J.with_place(frame, F.col("k"), "p")
+            row = placed.agg(F.count("*").alias("n"), F.countDistinct("p").alias("d"), F.min("p").alias("low"), F.max("p").alias("high")).first()
+            assert tuple(row) == (n, n, 1, n)
+            assert placed.where("p <= 2000").orderBy("p").select("k").collect() == frame.orderBy("k").select("k").limit(2000).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_cap_of_a_hot_band_matches_a_plain_ranking(spark):
+    from pyspark.sql import Window
+
+    frame = spark.range(20_000).withColumn("b", F.when(F.col("id") < 300, "x").when(F.col("id") < 700, F.lit(None)).otherwise("y"))
+    got = {r.id for r in S.stratified_cap(frame, "b", F.col("id")).collect()}
+    ranked = frame.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(S.hash_key(F.col("id"))))).where("r <= 600")
+    assert got == {r.id for r in ranked.collect()}
+
+
+def test_limiter_takes_chunks_in_order():
+    import pandas as pd
+
+    from weftline.streaming.events import _limiter
+
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.value = value
+
+    frame = pd.DataFrame({"ts": range(40), "event_id": range(40), "failed": [k % 17 == 16 for k in range(40)]})
+    shuffled = frame.sample(frac=1, random_state=1)
+    results = []
+    for size in (40, 7):
+        state = State()
+        list(_limiter((1,), iter([shuffled[k : k + size] for k in range(0, 40, size)]), state))
+        results.append(state.value)
+    assert results[0] == results[1] and results[0][2] == 40
+
+
+def test_longest_common_subsequence_against_the_table():
+    import random
+
+    from weftline.functions.metrics import _lcs
+
+    draw = random.Random(3)
+    for _ in range(60):
+        x, y = ([draw.choice("abcd") for _ in range(draw.randrange(0, 90))] for _ in range(2))
+        row = [0] * (len(y) + 1)
+        for a in x:
+            row = _next(row, a, y)
+        assert _lcs(x, y) == row[-1]
+
+
+def _next(row, a, y):
+    out = [0]
+    for k, b in enumerate(y):
+        out.append(row[k] + 1 if a == b else max(out[-1], row[k + 1]))
+    return out

@@ -43,8 +43,7 @@ def overlaps(pairs: DataFrame, key: str, a: str, b: str, sizes: dict[str, int],
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """length of the longest common subsequence of two token arrays.
 
-    One row of the table for each token of a, all cells of a row at once: within a row values only rise, so a running maximum
-    over max(above, diagonal + match) is the recurrence.
+    The rows of the table are sets of bits in one integer, a bit for each token of b, so that a whole row is a few operations on machine words.
     """
     return pd.Series([_lcs(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
@@ -52,13 +51,24 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
 def _lcs(x, y) -> int:
     if x is None or y is None or not len(x) or not len(y):
         return 0
-    codes: dict = {}
-    xs = np.fromiter((codes.setdefault(t, len(codes)) for t in x), np.int64, len(x))
-    ys = np.fromiter((codes.setdefault(t, len(codes)) for t in y), np.int64, len(y))
-    row = np.zeros(len(ys) + 1, np.int64)
-    for t in xs:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (ys == t)))
-    return int(row[-1])
+    places: dict = {}
+    for k, token in enumerate(y):
+        places.setdefault(token, []).append(k)
+    width, asked = len(y), set(x)
+    masks = {token: _bits(ks, width) for token, ks in places.items() if token in asked}
+    every = (1 << width) - 1
+    rises = every  # bits that are 0 where the row's value is larger than its left neighbour's
+    for token in x:
+        hit = rises & masks.get(token, 0)
+        if hit:
+            rises = ((rises + hit) | (rises - hit)) & every
+    return width - rises.bit_count()
+
+
+def _bits(places: list[int], width: int) -> int:
+    flags = np.zeros(width, np.uint8)
+    flags[places] = 1
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
 
 
 def rouge_f1(common: Column, a: Column, b: Column) -> Column:

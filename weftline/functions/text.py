@@ -120,18 +120,27 @@ def drop_inline_tags(c: Column, profile: ScriptProfile = LATIN) -> Column:
     return squeeze(F.regexp_replace(c, rf"(?i)[\(\[] *(?:{tags})(?: *[/,] *(?:{tags}))* *[\)\]]", " "))
 
 
-def drop_closing_sentence(c: Column, marker: str) -> Column:
-    """if the marker stands at most 2 characters before the end, the text is cut back to the end of the sentence before."""
-    at = F.locate(marker, c)
-    from_end = F.length(c) - (F.length(c) - F.locate(marker[::-1], F.reverse(c)) + 1)
-    head = trim_ws(F.regexp_extract(c, r"(?s)^(.*[.!?]\s+)", 1))
-    return F.when((at > 0) & (from_end <= 2), head).otherwise(c)
+def drop_closing_sentence(c: Column, markers: tuple[str, ...]) -> Column:
+    """for the first marker that stands before at most 2 characters of other than blanks and end marks, the text is cut back to the end of
+    the sentence before it."""
+    out = c
+    for marker in reversed(markers):
+        at = F.locate(marker, c)
+        behind = F.regexp_replace(F.substring(c, at + len(marker), F.length(c)), f"^[{WS}]*[./!?…]*|[./!?…]*[{WS}]*$", "")
+        head = F.regexp_extract(F.substring(c, F.lit(1), at - 1), rf"(?s)^(.*[.!?][{WS}]+)", 1)
+        out = F.when((at > 0) & (F.length(behind) <= 2), F.regexp_replace(head, f"[{WS}]+$", "")).otherwise(out)
+    return out
 
 
-def drop_opening_sentence(c: Column, marker: str) -> Column:
-    """if the marker stands within the first 5 characters, the first sentence is cut off."""
-    at = F.locate(marker, F.lower(c))
-    return F.when((at > 0) & (at <= 6), trim_ws(F.regexp_replace(c, r"^[^.!?]*[.!?]+\s*", ""))).otherwise(c)
+def drop_opening_sentence(c: Column, markers: tuple[str, ...]) -> Column:
+    """for the first marker that stands within the first 6 characters of a text of several sentences, the first one is cut off."""
+    rest = F.regexp_extract(c, rf"(?s)^.*?[.!?][{WS}]+(.*)$", 1)
+    several = c.rlike(rf"[.!?][{WS}]")
+    out = c
+    for marker in reversed(markers):
+        at = F.locate(marker, c)
+        out = F.when((at > 0) & (at <= 6) & several, trim_ws(rest)).otherwise(out)
+    return out
 
 
 def words(c: Column) -> Column:
@@ -158,15 +167,20 @@ def script_tokens(c: Column, profile: ScriptProfile = LATIN) -> Column:
     return F.regexp_extract_all(c, F.lit(rf"[{profile.block}]+|[A-Za-z]+|\p{{Nd}}+"), F.lit(0))
 
 
+def _marks() -> str:
+    """A bracket expression of the combining marks. None is below U+0300, and asking that first spares the walk through their ranges."""
+    return rf"[\x{{300}}-\x{{10ffff}}&&[{combining_class()}]]"
+
+
 def graphemes(c: Column) -> Column:
     """a character with the combining marks behind it; blank ones are dropped."""
-    return F.filter(F.regexp_extract_all(c, F.lit(f"(?s).[{combining_class()}]*"), F.lit(0)), lambda g: trim_ws(g) != "")
+    return F.filter(F.regexp_extract_all(c, F.lit(f"(?s).{_marks()}*"), F.lit(0)), lambda g: trim_ws(g) != "")
 
 
 def grapheme_count(c: Column) -> Column:
-    """The number of graphemes(), without making them."""
-    marks = combining_class()
-    return F.regexp_count(c, F.lit(f"(?s)[^{WS}][{marks}]*|[{WS}][{marks}]+"))
+    """The number of graphemes(), without making them. A text without a code point from U+0300 up has no marks, so its characters are counted."""
+    plain = F.length(F.regexp_replace(c, f"[{WS}]+", ""))
+    return F.when(~c.rlike(r"[\x{300}-\x{10ffff}]"), plain).otherwise(F.regexp_count(c, F.lit(f"(?s)[^{WS}]{_marks()}*|[{WS}]{_marks()}+")))
 
 
 def sentences(c: Column, least: int = SENTENCE_LEAST) -> Column:
@@ -184,6 +198,23 @@ def numbers(c: Column, pattern: str = NUMBER_GROUPED) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
 
+#: Numbers as the scorer sees them, between characters that are no word's.
+SCORED_NUMBER = r"(?<![\p{L}\p{N}_])[+-]?(?:\p{Nd}[\p{Nd},.:/-]*\p{Nd}|\p{Nd})(?![\p{L}\p{N}_])"
+
+#: Dates as year, word and day; with slashes or dashes, day first; and year first.
+DATE_PATTERNS = (rf"\p{{Nd}}{{4}}[{WS}]+[^{WS}]+[{WS}]+\p{{Nd}}{{1,2}}", r"\p{Nd}{1,2}[/-]\p{Nd}{1,2}[/-]\p{Nd}{2,4}", r"\p{Nd}{4}[/-]\p{Nd}{1,2}[/-]\p{Nd}{1,2}")
+
+
+def dates(c: Column) -> Column:
+    """the matches of each date pattern, one pattern after the other."""
+    return F.concat(*(F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in DATE_PATTERNS))
+
+
+def percent(c: Column, places: int = 2) -> Column:
+    """a share as a percentage with a fixed number of places; a dash without one."""
+    return F.coalesce(F.format_string(f"%.{places}f%%", 100.0 * c), F.lit("-"))
+
+
 def all_matches(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
@@ -250,15 +281,36 @@ def looks_truncated(original: Column, rewritten: Column, profile: ScriptProfile
     return (rewritten == "") | F.endswith(text, F.lit("..")) | (~ended & (F.length(original) > 500)) | ((F.length(original) >= 500) & (F.length(rewritten) / F.length(original) < 0.55))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once for each row, wherever the optimiser puts the expression.
+
+    A filter that is inferred from explode() is pushed below the projection that made its input, which then stands in the place of every
+    use of it, within lambdas too.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams(tokens: Column, n: int, sep: str = " ") -> Column:
     """N-grams of an array of strings, in order; empty for fewer tokens."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), sep))).otherwise(F.array().cast("array<string>"))
+
+    # Shifted copies laid beside one another: a slice for every place would copy the array each time.
+    def grams(t: Column) -> Column:
+        many = F.size(t) - n + 1
+        shifted = [F.slice(t, F.lit(k + 1), F.greatest(many, F.lit(0))) for k in range(n)]
+        return F.when(many > 0, reduce(lambda x, y: F.zip_with(x, y, lambda a, b: F.concat(a, F.lit(sep), b)), shifted)).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, grams)
 
 
 def stutters(tokens: Column) -> Column:
     """Places i < n - 5 at which three words are repeated by the next three."""
-    places = F.when(F.size(tokens) > 5, F.sequence(F.lit(1), F.size(tokens) - 5)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(places, lambda i: F.slice(tokens, i, 3) == F.slice(tokens, i + 3, 3)))
+
+    def found(t: Column) -> Column:
+        many = F.greatest(F.size(t) - 5, F.lit(0))
+        same = [F.zip_with(F.slice(t, F.lit(k + 1), many), F.slice(t, F.lit(k + 4), many), lambda a, b: a == b) for k in range(3)]
+        return F.size(F.filter(reduce(lambda x, y: F.zip_with(x, y, lambda a, b: a & b), same), lambda x: x))
+
+    return let(tokens, found)
 
 
 def trim_at_stops(c: Column, stops: tuple[str, ...]) -> Column:
@@ -271,19 +323,19 @@ def cut_broken(c: Column) -> Column:
     return trim_ws(F.regexp_replace(c, r"(?s)(?:\x{fffd}|\n#|<\|eot_id\|>|<end_of_turn>).*$", ""))
 
 
-def keyword_hits(c: Column, keywords: tuple[str, ...]) -> Column:
-    """how many entries of the list stand in the text as words of their own."""
+def keyword_hits(c: Column, keywords: tuple[str, ...], profile: ScriptProfile = LATIN) -> Column:
+    """how many entries of the list stand in the text as words of their own; text and keywords as matcher_text() has them."""
+    plain = [" ".join(re.sub(f"[^{profile.block}A-Za-z0-9]", " ", k).lower().split()) for k in keywords]
     padded = F.concat(F.lit(" "), c, F.lit(" "))
-    return reduce(lambda a, b: a + b, (F.contains(padded, F.lit(f" {k} ")).cast("int") for k in keywords), F.lit(0))
+    return reduce(lambda a, b: a + b, (F.contains(padded, F.lit(f" {k} ")).cast("int") for k in plain), F.lit(0))
 
 
 def category(headline: Column, content: Column, profile: ScriptProfile = LATIN) -> Column:
     """the first category, in the profile's order, whose score is 2 or more: twice the headline's hits, the content's, half for the
-    headline's hits on the list's second half (weak words)."""
+    headline's hits on weak words. Takes texts as matcher_text() gives them."""
     out = F.lit("General")
-    for name, keys in reversed(profile.categories):
-        strong, weak = keys[: len(keys) // 2], keys[len(keys) // 2 :]
-        score = 2 * keyword_hits(headline, strong) + keyword_hits(content, strong) + 0.5 * keyword_hits(headline, weak)
+    for name, strong, weak in reversed(profile.categories):
+        score = 2 * keyword_hits(headline, strong, profile) + keyword_hits(content, strong, profile) + 0.5 * keyword_hits(headline, weak, profile)
         out = F.when(score >= 2, name).otherwise(out)
     return out
 

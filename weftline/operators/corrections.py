@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import edits as E
 from ..functions.metrics import f_beta, ratio
-from ..functions.text import same_multiset, span_count
+from ..functions.text import SCORED_NUMBER, same_multiset, span_count
+from ..sources.shared import stored
+from .joins import with_place
 from .selection import hash_key, unit_hash
 
-#: Numbers as the scorer sees them, between characters that are no word's.
-SCORED_NUMBER = r"(?<![\p{L}\p{N}_])[+-]?(?:\p{Nd}[\p{Nd},.:/-]*\p{Nd}|\p{Nd})(?![\p{L}\p{N}_])"
+PAIRS = "array<struct<old:array<string>,new:array<string>>>"
 
 
 def apply_scripts(rows: DataFrame, source: str = "source", script: str = "script", finished: Column | None = None) -> DataFrame:
@@ -44,25 +45,35 @@ def validate_candidates(rows: DataFrame, source: str = "source", candidate: str
 
 
 def with_edits(rows: DataFrame) -> DataFrame:
-    """rows(id, category, document, source, target, prediction) with edits, spans, pairs and flags; both alignments run once."""
-    n = rows.withColumns({c: E.normal(F.col(c)) for c in ("source", "target", "prediction")})
+    """rows(id, category, document, source, target, prediction) with edits, spans, pairs and flags.
+
+    Optional columns: contextual (boolean), protected (array of spans) and lemma_pairs (array of (old, new) words of unseen lemmas). The
+    alignments are costly and every score reads them several times, so the result is written once to the shared folder.
+    """
+    lacking = {"contextual": F.lit(False), "protected": F.array().cast("array<string>"), "lemma_pairs": F.array().cast(PAIRS)}
+    n = rows.withColumns({c: e for c, e in lacking.items() if c not in rows.columns})
+    n = n.withColumns({c: E.normal(F.col(c)) for c in ("source", "target", "prediction")})
     w = n.withColumns({f"_{c}": E.edit_words(F.col(c)) for c in ("source", "target", "prediction")})
     e = w.withColumns({"gold": E.word_edits("_source", "_target"), "made": E.word_edits("_source", "_prediction")}).drop("_source", "_target", "_prediction")
     s, t, p = F.col("source"), F.col("target"), F.col("prediction")
     changed = s != t
-    return e.withColumns(
-        {
-            "exact": p == t,
-            "changed": changed,
-            "clean_preserved": ~changed & (p == s),
-            "undercorrected": changed & (p == s),
-            "wrong_corrected": changed & (p != s) & (p != t),
-            "gold_spans": E.edit_spans(F.col("gold")),
-            "made_spans": E.edit_spans(F.col("made")),
-            "gold_pairs": E.edit_pairs(F.col("gold")),
-            "made_pairs": E.edit_pairs(F.col("made")),
-            "number_mutation": ~same_multiset(F.regexp_extract_all(s, F.lit(SCORED_NUMBER), F.lit(0)), F.regexp_extract_all(p, F.lit(SCORED_NUMBER), F.lit(0))),
-        }
+    return stored(
+        e.withColumns(
+            {
+                "exact": p == t,
+                "changed": changed,
+                "clean_preserved": ~changed & (p == s),
+                "undercorrected": changed & (p == s),
+                "wrong_corrected": changed & (p != s) & (p != t),
+                "gold_spans": E.edit_spans(F.col("gold")),
+                "made_spans": E.edit_spans(F.col("made")),
+                "gold_pairs": E.edit_pairs(F.col("gold")),
+                "made_pairs": E.edit_pairs(F.col("made")),
+                "number_mutation": ~same_multiset(F.regexp_extract_all(s, F.lit(SCORED_NUMBER), F.lit(0)), F.regexp_extract_all(p, F.lit(SCORED_NUMBER), F.lit(0))),
+                "protected_mutation": protected_mutated(s, p, F.col("protected")),
+            }
+        ),
+        "edits",
     )
 
 
@@ -100,6 +111,11 @@ def partial_sums(edits: DataFrame, by: list[str]) -> DataFrame:
         common("gold_spans", "made_spans").alias("s_matched_spans"),
         F.sum(F.size("unseen")).alias("s_unseen"),
         common("unseen", "made").alias("s_unseen_hit"),
+        F.sum(F.size("lemma_pairs")).alias("s_lemmas"),
+        common("lemma_pairs", "made_pairs").alias("s_lemma_hit"),
+        yes("contextual").alias("n_contextual"),
+        yes(F.col("exact") & F.col("contextual")).alias("s_contextual_exact"),
+        yes("protected_mutation").alias("s_protected_mutation"),
         yes("number_mutation").alias("s_number_mutation"),
     )
 
@@ -126,35 +142,44 @@ def metrics(sums: DataFrame, keep: list[str]) -> DataFrame:
         "detection_recall": found,
         "detection_f1": f_beta(spotted, found),
         "unseen_pair_recall": r("s_unseen_hit", "s_unseen"),
+        "unseen_lemma_recall": r("s_lemma_hit", "s_lemmas"),
+        "contextual_exact": r("s_contextual_exact", "n_contextual"),
+        "protected_mutation_rate": r("s_protected_mutation", "n"),
         "number_mutation_rate": r("s_number_mutation", "n"),
     }
-    counts = ["n", "n_changed", "n_clean", "s_gold", "s_made", "s_unseen"]
+    counts = ["n", "n_changed", "n_clean", "n_contextual", "s_gold", "s_made", "s_unseen", "s_lemmas"]
     return sums.select(*keep, *counts, *(F.round(c, 6).alias(name) for name, c in out.items()))
 
 
+#: Metrics for which intervals are given.
+INTERVALS = (
+    "exact_match", "change_needed_exact", "clean_preservation", "overcorrection_rate", "edit_precision", "edit_recall", "edit_f05", "unseen_pair_recall",
+    "contextual_exact", "protected_mutation_rate", "number_mutation_rate",
+)
+
+
 def bootstrap(edits: DataFrame, document: str = "document", samples: int = 1000, seed: int = 42) -> DataFrame:
-    """Metric, low, high - intervals from resampling documents with replacement.
+    """Metric, low, high - intervals from samples of as many documents as there are, drawn with replacement.
 
-    Each document's count in a sample is a Poisson variable of mean 1, drawn by hash, which resamples independently of the others and so
-    needs no join of draws with documents; sums by document are spread over the samples and added up.
+    Metrics are ratios of sums, so each document is summed up and numbered first. A draw is a hash of sample and turn that names a document's
+    number; draws are counted by sample and document before they meet its sums.
     """
     by_document = partial_sums(edits, [document])
     names = [c for c in by_document.columns if c != document]
-    spread = by_document.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-    u = unit_hash(F.col(document), F.col("sample"), seed=seed)
-    cumulative, term, times = 0.0, 0.36787944117144233, F.lit(0)
-    for k in range(1, 9):
-        cumulative += term
-        term /= k
-        times = times + (u >= cumulative).cast("int")
-    drawn = spread.withColumn("times", times).where("times > 0")
+    placed = stored(with_place(by_document, F.col(document), "place").select("place", *names), "documents")
+    n = placed.count()
+    turns = edits.sparkSession.range(n * samples).select(F.floor(F.col("id") / max(n, 1)).alias("sample"), (F.floor(unit_hash(F.col("id"), seed=seed) * n) + 1).alias("place"))
+    drawn = turns.groupBy("sample", "place").agg(F.count("*").alias("times")).join(placed, "place")
     sums = drawn.groupBy("sample").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in names))
-    values = metrics(sums, ["sample"])
-    chosen = ["exact_match", "change_needed_exact", "clean_preservation", "overcorrection_rate", "edit_precision", "edit_recall", "edit_f05", "unseen_pair_recall", "number_mutation_rate"]
-    long = values.unpivot(["sample"], chosen, "metric", "value")
+    long = metrics(sums, ["sample"]).unpivot(["sample"], list(INTERVALS), "metric", "value")
     return long.groupBy("metric").agg(F.round(F.percentile("value", 0.025), 6).alias("low"), F.round(F.percentile("value", 0.975), 6).alias("high"))
 
 
+def acceptance(rates: DataFrame) -> DataFrame:
+    """Rows of (invalid_rate, applied_rate, edit_f05) with `accepted`: not half of the scripts invalid, some applied, and an F0.5 above 0."""
+    return rates.withColumn("accepted", (F.col("invalid_rate") < 0.5) & (F.col("applied_rate") > 0) & (F.col("edit_f05") > 0))
+
+
 def pair_disjoint_split(edits: DataFrame, key: str = "id", *, dev_share: float = 0.05, changed_share: float = 0.65, most_uses: int = 2, seed: int = 42) -> DataFrame:
     """Key and split (dev, train, dropped): dev rows are seeded from rare edit pairs and unchanged rows by hash; rows of the rest that
     share a pair with dev are dropped, so the two sides share none."""
@@ -173,5 +198,5 @@ def pair_disjoint_split(edits: DataFrame, key: str = "id", *, dev_share: float =
 
 def protected_mutated(source: Column, prediction: Column, spans: Column) -> Column:
     """F71 over an array of spans."""
-    return F.exists(spans, lambda s: (s != "") & (span_count(source, s) != span_count(prediction, s)))
+    return F.coalesce(F.exists(spans, lambda s: (s != "") & (span_count(source, s) != span_count(prediction, s))), F.lit(False))
 

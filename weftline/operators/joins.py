@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 def not_yet_done(source: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of source whose keys were not written yet. A null key was never written, so its rows stay."""
@@ -55,14 +57,18 @@ def zip_rows(left: DataFrame, right: DataFrame, left_order: Column, right_order:
 
 
 def with_place(df: DataFrame, order: Column, name: str) -> DataFrame:
-    """Row numbers from 1 in the order of a key: a range partitioning, the sizes of its partitions, and numbers within them."""
+    """Row numbers from 1 in the order of a key: a range partitioning, the sizes of its partitions, and numbers within them.
+
+    The ranged rows are written once and both the sizes and the rows are read from there. Planned twice, a range partitioning may draw its
+    borders differently. Rows of equal keys are numbered in any order.
+    """
     ranged = df.withColumn("_o", order).repartitionByRange("_o").sortWithinPartitions("_o")
     # The id holds the partition in its upper and the place in its lower 33 bits.
-    numbered = ranged.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
-    sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
+    rows = stored(ranged.withColumn("_id", F.monotonically_increasing_id()).drop("_o"), "ranged").withColumn("_part", F.shiftright("_id", 33))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    placed = numbered.join(F.broadcast(before), "_part")  # one row for each partition
-    return placed.withColumn(name, F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).drop("_o", "_id", "_part", "_before")
+    placed = rows.join(F.broadcast(before), "_part")  # one row for each partition
+    return placed.withColumn(name, F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).drop("_id", "_part", "_before")
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str, alias: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -47,16 +47,45 @@ def article_reason(title: Column, content: Column, profile: ScriptProfile = LATI
     )
 
 
+def summary_text(summary: Column) -> Column:
+    """A summary without a number or label in front."""
+    return T.trim_ws(F.regexp_replace(T.trim_ws(T.text_or_empty(summary)), r"(?i)^(?:[0-9]+[.)]|short:|medium:|long:)\s*", ""))
+
+
 def summary_reason(summary: Column, article: Column, bucket: str, profile: ScriptProfile = LATIN, *, glue_and_units: bool = True) -> Column:
     """Why a summary is rejected, or null. The older rule has neither glue nor units."""
+    s, article = summary_text(summary), T.text_or_empty(article)
+    glue = T.word_glue(s, profile) if glue_and_units else None
+    units = T.unit_mismatch(T.number_units(s, profile), T.number_units(article, profile)) if glue_and_units else None
+    return _summary_reason(s, T.word_count(s), T.word_count(article), _new_numbers(s, T.numbers(article, T.NUMBER_PLAIN)), glue, units, bucket, profile)
+
+
+def with_summary_reasons(rows: DataFrame, buckets: tuple[str, ...], article: str, profile: ScriptProfile = LATIN) -> DataFrame:
+    """P9 for summaries in columns named by bucket: rows with reason_<bucket>.
+
+    What the rules ask of a text is a column of its own first, so that no pattern runs twice over an article.
+    """
+    text = T.text_or_empty(F.col(article))
+    facts = rows.withColumns({"_m": T.word_count(text), "_numbers": T.numbers(text, T.NUMBER_PLAIN), "_units": T.number_units(text, profile), **{f"_s_{b}": summary_text(F.col(b)) for b in buckets}})
+    each = {}
+    for b in buckets:
+        s = F.col(f"_s_{b}")
+        each |= {f"_n_{b}": T.word_count(s), f"_x_{b}": _new_numbers(s, F.col("_numbers")), f"_g_{b}": T.word_glue(s, profile), f"_u_{b}": T.unit_mismatch(T.number_units(s, profile), F.col("_units"))}
+    facts = facts.withColumns(each)
+    out = facts.withColumns({f"reason_{b}": _summary_reason(*(F.col(f"_{c}_{b}") if c != "m" else F.col("_m") for c in "snmxgu"), b, profile) for b in buckets})
+    return out.drop("_m", "_numbers", "_units", *(f"_{c}_{b}" for c in "snxgu" for b in buckets))
+
+
+def _new_numbers(summary: Column, article_numbers: Column) -> Column:
+    return F.sort_array(F.array_except(F.array_except(F.array_distinct(T.numbers(summary, T.NUMBER_PLAIN)), article_numbers), F.array(*map(F.lit, FREE_NUMBERS))))
+
+
+def _summary_reason(s: Column, n: Column, m: Column, extra: Column, glue: Column | None, units: Column | None, bucket: str, profile: ScriptProfile) -> Column:
+    """The rules in order; n and m are the words of summary and article, extra the numbers that only the summary has."""
     _, low, high, most = next(b for b in BUCKETS if b[0] == bucket)
-    s = T.trim_ws(F.regexp_replace(T.trim_ws(T.text_or_empty(summary)), r"(?i)^(?:[0-9]+[.)]|short:|medium:|long:)\s*", ""))
-    article = T.text_or_empty(article)
-    n, m = T.word_count(s), T.word_count(article)
     cap = F.greatest(F.lit(most), F.floor(m * high + 15))
     ratio = F.coalesce(F.try_divide(n, m), F.lit(0.0))
     bound = F.when(m < 100, F.least(F.lit(0.85), high + 0.25 * (1 - m / 100))).otherwise(high)
-    extra = F.sort_array(F.array_except(F.array_except(F.array_distinct(T.numbers(s, T.NUMBER_PLAIN)), T.numbers(article, T.NUMBER_PLAIN)), F.array(*map(F.lit, FREE_NUMBERS))))
     rules = [
         (s == "", "empty"),
         (F.contains(s, F.lit("�")), "replacement_char"),
@@ -68,10 +97,7 @@ def summary_reason(summary: Column, article: Column, bucket: str, profile: Scrip
         ((ratio < low) | (ratio > bound), "ratio_out_of_band"),
         (F.size(extra) > 0, F.concat(F.lit("hallucinated_numbers:"), F.array_join(F.slice(extra, 1, 3), ","))),
     ]
-    if glue_and_units:
-        glue = T.word_glue(s, profile)
-        units = T.unit_mismatch(T.number_units(s, profile), T.number_units(article, profile))
-        rules += [(glue.isNotNull(), glue), (units.isNotNull(), units)]
+    rules += [(c.isNotNull(), c) for c in (glue, units) if c is not None]
     return first_reason(*rules)
 
 
@@ -84,38 +110,45 @@ def find_defect(summaries: dict[str, Column], article: Column, profile: ScriptPr
 
 
 def keeps_numbers(original: Column, rewritten: Column) -> Column:
-    """Whether every number of the original stands at least as often in the rewritten text."""
-    a, b = T.numbers(original), T.numbers(rewritten)
+    """Whether every number of the first array stands at least as often in the second."""
+    # Both are sorted, and each number takes its count along as a suffix: what is left of a multiset are then plain sets.
+    return F.size(F.array_except(_numbered(original), _numbered(rewritten))) == 0
+
+
+def _numbered(xs: Column) -> Column:
+    """Each element of an array with how many equal ones come before it: 'x#1', 'x#2' and so on."""
+    ordered = F.sort_array(xs)
+    return F.transform(ordered, lambda x, k: F.concat(x, F.lit("#"), (k + 2 - F.array_position(ordered, x)).cast("string")))
+
 
-    def times(xs: Column, x: Column) -> Column:
-        return F.size(F.filter(xs, lambda y: y == x))
+def with_rewrite_issues(rows: DataFrame, original: str, rewritten: str, word_repeat: str, phrase_repeat: str, profile: ScriptProfile = LATIN) -> DataFrame:
+    """Rows with `issues`, the sorted set of issues of a rewrite. The two repetition flags come from their own operators.
 
-    return F.forall(F.array_distinct(a), lambda x: times(b, x) >= times(a, x))
+    Normalised texts, their numbers and what is asked of them more than once are columns of their own first.
+    """
+    d = rows.withColumns({"_a": T.style_text(F.col(original)), "_b": T.style_text(F.col(rewritten))})
+    d = d.withColumns({"_low": F.lower("_b"), "_na": T.numbers(F.col("_a")), "_nb": T.numbers(F.col("_b")), "_ratio": F.length("_b") / F.greatest(F.length("_a"), F.lit(1))})
+    a, b, low, ratio = (F.col(c) for c in ("_a", "_b", "_low", "_ratio"))
 
+    def any_of(phrases: tuple[str, ...]) -> Column:
+        return reduce(lambda x, y: x | y, (F.contains(low, F.lit(p.lower())) for p in phrases), F.lit(False))
 
-def rewrite_issues(original: Column, rewritten: Column, word_repeat: Column, phrase_repeat: Column, profile: ScriptProfile = LATIN) -> Column:
-    """The sorted set of issues of a rewrite. The two repetition flags come from their own operators."""
-    a, b = T.style_text(original), T.style_text(rewritten)
-    ratio = F.length(b) / F.greatest(F.length(a), F.lit(1))
-    low = F.lower(b)
-    meta = reduce(lambda x, y: x | y, (F.contains(low, F.lit(p.lower())) for p in profile.meta_patterns))
-    forced = reduce(lambda x, y: x | y, (F.contains(low, F.lit(p)) for p in profile.forced_phrases)) if profile.forced_phrases else F.lit(False)
     rules = [
         (F.length(b) < 50, "too_short"),
         (ratio < 0.55, "too_short_relative_to_source"),
         (ratio > 1.80, "too_long"),
         (T.letter_ratio(b, profile) < 0.60, "low_script_ratio"),
         (T.looks_truncated(a, b, profile), "possible_truncation"),
-        (~keeps_numbers(a, b), "missing_source_number"),
-        (word_repeat, "word_repetition"),
-        (phrase_repeat, "phrase_repetition"),
+        (~keeps_numbers(F.col("_na"), F.col("_nb")), "missing_source_number"),
+        (F.col(word_repeat), "word_repetition"),
+        (F.col(phrase_repeat), "phrase_repetition"),
         (F.contains(b, F.lit("```")), "markdown_artifact"),
         (F.startswith(b, F.lit("#")), "markdown_heading"),
-        (meta, "meta_text"),
-        (forced, "forced_phrase"),
+        (any_of(profile.meta_patterns), "meta_text"),
+        (any_of(profile.forced_phrases), "forced_phrase"),
     ]
     found = F.array_compact(F.array(*(F.when(c, F.lit(r)) for c, r in rules)))
-    return F.when(b == "", F.array(F.lit("empty"))).otherwise(F.sort_array(found))
+    return d.withColumn("issues", F.when(b == "", F.array(F.lit("empty"))).otherwise(F.sort_array(found))).drop("_a", "_b", "_low", "_na", "_nb", "_ratio")
 
 
 def is_serious(issues: Column) -> Column:

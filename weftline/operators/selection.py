@@ -55,11 +55,21 @@ def exact_group_split(df: DataFrame, key: str, share: float, seed: int = 42) ->
 
 
 def stratified_cap(df: DataFrame, band: str, key: Column, factor: int = 2, seed: int = 42) -> DataFrame:
-    """At most `factor` times the smallest band's rows of each band, those that come first by hash."""
-    counts = df.groupBy(band).agg(F.count("*").alias("_n"))
-    least = counts.agg((F.min("_n") * factor).alias("_cap"))
-    ranked = df.crossJoin(F.broadcast(least)).withColumn("_r", F.row_number().over(Window.partitionBy(band).orderBy(hash_key(key, seed=seed))))  # one row
-    return ranked.where("_r <= _cap").drop("_r", "_cap")
+    """At most `factor` times the smallest band's rows of each band, those that come first by hash.
+
+    A band may hold most of all rows, so none is ranked whole: rows are counted by band and the first 3 digits of their hash, and only the
+    rows of the prefix in which a band's border lies are ranked. A null band is a band of its own.
+    """
+    hashed = df.withColumn("_h", hash_key(key, seed=seed)).withColumn("_p", F.substring("_h", 1, 3))
+    counts = hashed.groupBy(F.col(band).alias("_b"), "_p").agg(F.count("*").alias("_n"))
+    cap = counts.groupBy("_b").agg(F.sum("_n").alias("_all")).agg((F.min("_all") * factor).alias("_cap"))
+    along = Window.partitionBy("_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(along), F.lit(0))).crossJoin(F.broadcast(cap))  # one row
+    # The prefix in which the cap is reached, one row for each band; bands that stay under it have none.
+    border = starts.where("_before < _cap AND _before + _n >= _cap").select("_b", F.col("_p").alias("_border"), "_before", "_cap")
+    placed = hashed.join(border, F.col(band).eqNullSafe(F.col("_b")), "left")
+    ranked = placed.where("_p = _border").withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h")) + F.col("_before")).where("_r <= _cap").drop("_r")
+    return placed.where("_border IS NULL OR _p < _border").unionByName(ranked).select(*df.columns)
 
 
 def shard(df: DataFrame, index: Column, shards: int, which: int) -> DataFrame:

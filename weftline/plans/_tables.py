@@ -77,4 +77,7 @@ def sentences_sql(x: str, least: int = 15) -> str:
 
 
 def ngrams_sql(tokens: str, n: int, sep: str = " ") -> str:
-    return f"list_transform(range(1, greatest(len({tokens}) - {n} + 2, 1)), lambda i: array_to_string({tokens}[i : i + {n - 1}], '{sep}'))"
+    """Shifted copies of the list, zipped."""
+    many = f"greatest(len({tokens}) - {n - 1}, 0)"
+    parts = ", ".join(f"({tokens})[{k + 1} : {many} + {k}]" for k in range(n))
+    return f"list_transform(list_zip({parts}), lambda x: {f" || '{sep}' || ".join(f'x[{k + 1}]' for k in range(n))})"

@@ -1,7 +1,7 @@
 """Queries over edits, corrections and what surrounds generation.
 
-From each document of up to 4,000 characters of its first 60 words a correction task is derived: the target is those words; the source has
-every ninth word in lower case and every 23rd doubled, by the row's number; the prediction undoes the former for every second row.
+Each document is cut into passages of 40 words, the last of what remains, and each passage is a correction task: the target is its words; the
+source has every ninth word in lower case and every 23rd doubled, by the passage's number; the prediction undoes the former for every second one.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import edits as E
 from ..functions import text as T
 from ..operators import corrections as C
+from ..sources.shared import stored
 from ._tables import docs, literal, literal_sql, r6, table, words_sql
 
 QUERIES: dict = {}
@@ -28,21 +29,36 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+PASSAGE = 40
+
+
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, category, document, source, target, prediction."""
-    w = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), F.col("source").alias("document"), F.slice(T.words(F.col("text")), 1, 60).alias("w")).where(F.size("w") > 0)
+    """id, category, document, source, target, prediction, and contextual, protected and lemma_pairs."""
+    w = docs(spark, sf_dir).select("doc_id", F.col("lang").alias("category"), F.col("source").alias("document"), T.words(F.col("text")).alias("all")).where(F.size("all") > 0)
+    cut = T.let(F.col("all"), lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / PASSAGE).cast("int")), lambda k: F.slice(x, k * PASSAGE + 1, F.lit(PASSAGE))))
+    w = w.select("doc_id", "category", "document", F.posexplode(cut).alias("k", "w")).withColumn("id", F.col("doc_id") * (1 << 20) + F.col("k"))
+    turn = F.col("doc_id") + F.col("k")
 
     def spoil(keep: bool):
         def word(x, i):
-            lowered = F.when((i + F.col("id")) % 9 == 0, F.lower(x)).otherwise(x) if not keep else x
-            return F.when((i + F.col("id")) % 23 == 0, F.concat(lowered, F.lit(" "), lowered)).otherwise(lowered)
+            lowered = F.when((i + turn) % 9 == 0, F.lower(x)).otherwise(x) if not keep else x
+            return F.when((i + turn) % 23 == 0, F.concat(lowered, F.lit(" "), lowered)).otherwise(lowered)
 
         return F.array_join(F.transform("w", word), " ")
 
     clean = F.array_join("w", " ")
-    broken = F.col("id") % 4 != 0
+    broken = turn % 4 != 0
+    last = F.element_at("w", -1)
     return w.select(
-        "id", "category", "document", F.when(broken, spoil(False)).otherwise(clean).alias("source"), clean.alias("target"), F.when(broken & (F.col("id") % 2 == 0), spoil(True)).when(broken, spoil(False)).otherwise(clean).alias("prediction")
+        "id",
+        "category",
+        "document",
+        F.when(broken, spoil(False)).otherwise(clean).alias("source"),
+        clean.alias("target"),
+        F.when(broken & (turn % 2 == 0), spoil(True)).when(broken, spoil(False)).otherwise(clean).alias("prediction"),
+        (turn % 5 == 0).alias("contextual"),
+        F.slice("w", 1, 2).alias("protected"),
+        F.when(broken & (turn % 6 == 0), F.array(F.struct(F.array(F.lower(last)).alias("old"), F.array(last).alias("new")))).otherwise(F.array().cast(C.PAIRS)).alias("lemma_pairs"),
     )
 
 
@@ -54,21 +70,24 @@ def edit_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy(F.array_join("p.old", " ").alias("old"), F.array_join("p.new", " ").alias("new")).agg(F.count("*").alias("n"))
 
 
+def _taught(edits: DataFrame) -> DataFrame:
+    return edits.where("id % 3 = 0").select(F.explode("gold_pairs").alias("p")).select("p.old", "p.new")
+
+
 @query("correction_metrics")
 def correction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By category and, with a null category, overall; pairs of every third row are taught."""
     e = C.with_edits(tasks(spark, sf_dir))
-    taught = e.where("id % 3 = 0").select(F.explode("gold_pairs").alias("p")).select("p.old", "p.new")
-    sums = C.partial_sums(C.mark_unseen(e, taught), ["category"])
+    sums = C.partial_sums(C.mark_unseen(e, _taught(e)), ["category"])
     names = [c for c in sums.columns if c != "category"]
     return C.metrics(sums.rollup("category").agg(*(F.sum(c).alias(c) for c in names)), ["category"])
 
 
 @query("correction_intervals")
 def correction_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """200 resamples of the sources as documents."""
+    """1000 samples of the sources as documents; pairs of every third row are taught."""
     e = C.with_edits(tasks(spark, sf_dir))
-    return C.bootstrap(e.withColumn("unseen", F.col("gold")), samples=200)
+    return C.bootstrap(C.mark_unseen(e, _taught(e)))
 
 
 @query("pair_disjoint_split")
@@ -91,22 +110,29 @@ def edit_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replacement_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that replacements can express, and why others cannot."""
     t = tasks(spark, sf_dir).withColumns({"s": E.normal(F.col("source")), "t": E.normal(F.col("target"))})
-    made = t.withColumn("r", E.make_replacements("s", "t")).withColumn("back", E.replacements_to_script("s", F.coalesce("r.script", F.lit("KEEP"))))
+    t = t.withColumn("changes", E.word_edits(E.edit_words(F.col("s")), E.edit_words(F.col("t"))))
+    made = t.withColumn("r", E.make_replacements("s", "t", "changes")).withColumn("back", E.replacements_to_script("s", F.coalesce("r.script", F.lit("KEEP"))))
     outcome = F.coalesce("r.error", F.when(F.col("r.script") == "KEEP", "KEEP").otherwise("REPLACE"))
     return made.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"), F.count_if(F.col("back.error").isNotNull()).alias("not_read_back"))
 
 
 @query("candidate_validation")
 def candidate_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates of statuses and the acceptance gate, by category."""
+    """By category, rates of statuses, metrics of the candidates as they came (raw) and as they may be used (safe), and the gate."""
     t = tasks(spark, sf_dir).withColumn("candidate", F.when(F.col("id") % 11 == 0, "").when(F.col("id") % 7 == 0, F.regexp_replace("target", "[0-9]", "")).otherwise(F.col("prediction")))
-    v = C.validate_candidates(t)
+    v = stored(C.validate_candidates(t), "validated")
 
     def rate(name: str):
         return r6(F.avg((F.col("status") == name).cast("int"))).alias(name.lower() + "_rate")
 
-    r = v.groupBy("category").agg(F.count("*").alias("n"), *(rate(s) for s in ("INVALID", "REJECTED", "APPLIED", "KEEP")))
-    return r.withColumn("accepted", (F.col("invalid_rate") < 0.5) & (F.col("applied_rate") > 0))
+    rates = v.groupBy("category").agg(F.count("*").alias("n"), *(rate(s) for s in ("INVALID", "REJECTED", "APPLIED", "KEEP")))
+    both = []
+    for kind, column in (("raw", "candidate"), ("safe", "text")):
+        e = C.with_edits(v.select("id", "category", "document", "source", "target", F.col(column).alias("prediction"))).withColumn("unseen", F.col("gold"))
+        m = C.metrics(C.partial_sums(e, ["category"]), ["category"])
+        both.append(m.select("category", *(F.col(c).alias(f"{kind}_{c}") for c in ("exact_match", "edit_precision", "edit_recall", "edit_f05", "clean_preservation"))))
+    scored = rates.join(both[0], "category").join(both[1], "category").withColumn("edit_f05", F.col("safe_edit_f05"))
+    return C.acceptance(scored).drop("edit_f05")
 
 
 @query("style_divergence")
@@ -194,13 +220,13 @@ def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "label_masking",
-    "WITH x AS (SELECT event_id, CAST(user_id % 7 AS INT) AS p, [event_id % 11 - 2, event_id % 13, event_id % 17, 40000 - event_id % 5, -100, event_id % 19, 7, 8] AS ids FROM events WHERE event_id % 50 = 0), c AS (SELECT event_id, p, list_transform(ids, lambda i: CASE WHEN i BETWEEN 0 AND 39998 THEN i ELSE 1 END) AS ids FROM x) SELECT event_id, array_to_string(ids, ',') AS ids, array_to_string(list_concat(list_transform(range(0, p), lambda i: -100), ids[p + 1 : 8]), ',') AS labels FROM c",
+    "WITH x AS (SELECT event_id, CAST(user_id % 7 AS INT) AS p, [event_id % 11 - 2, event_id % 13, event_id % 17, 40000 - event_id % 5, -100, event_id % 19, 7, 8] AS ids FROM events), c AS (SELECT event_id, p, list_transform(ids, lambda i: CASE WHEN i BETWEEN 0 AND 39998 THEN i ELSE 1 END) AS ids FROM x) SELECT event_id, array_to_string(ids, ',') AS ids, array_to_string(list_concat(list_transform(range(0, p), lambda i: -100), ids[p + 1 : 8]), ',') AS labels FROM c",
 )
 def label_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ids out of range become padding; a prompt's labels are masked. Ids are derived from events."""
     k = F.col("event_id")
     ids = F.array(k % 11 - 2, k % 13, k % 17, 40000 - k % 5, F.lit(-100).cast("long"), k % 19, F.lit(7).cast("long"), F.lit(8).cast("long"))
-    e = table(spark, sf_dir, "events").where("event_id % 50 = 0").select("event_id", (F.col("user_id") % 7).cast("int").alias("p"), F.transform(ids, lambda i: F.when(i.between(0, 39998), i).otherwise(F.lit(1).cast("long"))).alias("ids"))
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 7).cast("int").alias("p"), F.transform(ids, lambda i: F.when(i.between(0, 39998), i).otherwise(F.lit(1).cast("long"))).alias("ids"))
     labels = F.concat(F.array_repeat(F.lit(-100).cast("long"), F.col("p")), F.slice("ids", F.col("p") + 1, F.lit(8)))
     return e.select("event_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), F.array_join(F.transform(labels, lambda x: x.cast("string")), ",").alias("labels"))
 

@@ -1,7 +1,7 @@
 """Queries over the metrics: scores of pairs and their reports.
 
-The tables have no (source, reference, prediction) triple, so one is derived from each document: the reference is its first 40 words, the
-prediction the words 4 to 43, in lower case for every fifth document. `documents.lang` is the category.
+The tables have no (source, reference, prediction) triple, so one is derived from each document: the reference is all its words, the prediction
+all from the fourth on, in lower case for every fifth document. `documents.lang` is the category.
 """
 
 from __future__ import annotations
@@ -30,12 +30,12 @@ def query(name: str, sql: str | None = None):
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, and the words of reference (b) and prediction (a)."""
     w = docs(spark, sf_dir).select("doc_id", "lang", T.words(F.col("text")).alias("w"))
-    prediction = F.slice("w", 4, 40)
-    return w.select("doc_id", "lang", F.when(F.col("doc_id") % 5 == 0, F.transform(prediction, F.lower)).otherwise(prediction).alias("a"), F.slice("w", 1, 40).alias("b"))
+    prediction = F.slice("w", F.lit(4), F.size("w"))
+    return w.select("doc_id", "lang", F.when(F.col("doc_id") % 5 == 0, F.transform(prediction, F.lower)).otherwise(prediction).alias("a"), F.col("w").alias("b"))
 
 
 PAIRS = f"""w AS (SELECT doc_id, lang, {words_sql("text")} AS w FROM documents),
-p AS (SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN list_transform(w[4:43], lambda x: lower(x)) ELSE w[4:43] END AS a, w[1:40] AS b FROM w)"""
+p AS (SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN list_transform(w[4:], lambda x: lower(x)) ELSE w[4:] END AS a, w AS b FROM w)"""
 
 
 def _overlap_sql(a: str, b: str, n: int, key: str = "doc_id", source: str = "p") -> str:
@@ -246,7 +246,9 @@ def headline_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trigrams(c):
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))
+    """Trigrams of characters; a text of 1 or 2 characters is one gram itself."""
+    characters = F.filter(F.split(c, ""), lambda x: x != "")
+    return T.let(characters, lambda x: F.when(F.size(x) < 3, F.array(F.array_join(x, ""))).otherwise(T.ngrams(x, 3, "")))
 
 
 @query(

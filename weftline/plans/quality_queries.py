@@ -113,9 +113,10 @@ FROM k"""
 @query("summary_reasons", _SUMMARY_REASON_SQL)
 def summary_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P9, P10, P17. Summaries are parts of their articles here, so units never mismatch; given rows test those."""
-    s = summaries(docs(spark, sf_dir))
-    parts = [s.select("doc_id", F.lit(b).alias("bucket"), Q.summary_reason(F.col(b), F.col("text"), b).alias("reason")) for b in ("short", "medium", "long")]
-    return parts[0].union(parts[1]).union(parts[2])
+    buckets = ("short", "medium", "long")
+    reasons = Q.with_summary_reasons(summaries(dealt_docs(spark, sf_dir)), buckets, "text")
+    each = F.array(*(F.struct(F.lit(b).alias("bucket"), F.col(f"reason_{b}").alias("reason")) for b in buckets))
+    return reasons.select("doc_id", F.inline(each))
 
 
 @query(
@@ -273,8 +274,8 @@ def rewrite_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = words.groupBy("doc_id").agg(((F.sum("n") >= 20) & F.bool_or(often)).alias("word_repeat"))
     phrase = repeated_phrases(d, 4).withColumnRenamed("repeated", "phrase_repeat")
     flagged = d.join(word, "doc_id", "left").join(phrase, "doc_id", "left").fillna({"word_repeat": False, "phrase_repeat": False})
-    issues = Q.rewrite_issues(F.col("original"), F.col("text"), F.col("word_repeat"), F.col("phrase_repeat"))
-    return flagged.select("doc_id", issues.alias("i")).select("doc_id", F.array_join("i", ",").alias("issues"), Q.is_serious(F.col("i")).alias("serious"))
+    found = Q.with_rewrite_issues(flagged, "original", "text", "word_repeat", "phrase_repeat")
+    return found.select("doc_id", F.array_join("issues", ",").alias("issues"), Q.is_serious(F.col("issues")).alias("serious"))
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import joins as J
 from ..operators import selection as S
-from ._tables import docs, literal, literal_sql, ngrams_sql, r6, sentences_sql, table, tokens_sql, words_sql
+from ._tables import dealt_docs, docs, literal, literal_sql, ngrams_sql, r6, sentences_sql, table, tokens_sql, words_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -187,11 +187,15 @@ def completeness_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.completeness(docs(spark, sf_dir, "doc_id"), table(spark, sf_dir, "labels").select((F.col("doc_id") + 100).alias("doc_id")), "doc_id")
 
 
-@query("as_of_last_value", "SELECT o.o_orderkey, o.o_orderdate AS ts, (SELECT arg_max(e.value, (e.ts, e.event_id)) FROM events e WHERE e.user_id = o.o_custkey AND e.event_type = 'purchase' AND e.ts <= o.o_orderdate + INTERVAL 10000 DAY) AS last_value FROM orders o WHERE o.o_orderkey % 16 = 1")
+@query(
+    "as_of_last_value",
+    """WITH e AS (SELECT user_id, ts, arg_max(value, event_id) AS value FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts)
+SELECT o.o_orderkey, o.o_orderdate AS ts, e.value AS last_value FROM orders o ASOF LEFT JOIN e ON e.user_id = o.o_custkey AND e.ts <= o.o_orderdate + INTERVAL 10000 DAY""",
+)
 def as_of_last_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J10 on every sixteenth order number: the customer's last purchase event at or before a day."""
+    """The last purchase event of each order's customer at or before a day."""
     shift = F.expr("INTERVAL 10000 DAYS")
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 16 = 1").select(F.col("o_custkey").alias("user_id"), (F.col("o_orderdate") + shift).alias("at"), "o_orderkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), (F.col("o_orderdate") + shift).alias("at"), "o_orderkey")
     e = table(spark, sf_dir, "events").where("event_type = 'purchase'").groupBy("user_id", F.col("ts").alias("at")).agg(F.max_by("value", "event_id").alias("value"))
     found = J.as_of(o, e, ["user_id"], "at", "value", "last_value")
     return found.select("o_orderkey", (F.col("at") - shift).alias("ts"), "last_value")
@@ -242,19 +246,30 @@ def dimension_cross_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "sentence_pairs",
     f"""
-WITH s AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS i, unnest(s) AS x FROM (SELECT doc_id, ({sentences_sql("text")})[1:30] AS s FROM documents)),
+WITH s AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS i, unnest(s) AS x FROM (SELECT doc_id, {sentences_sql("text")} AS s FROM documents)),
 t AS (SELECT doc_id, i, w, count(*) AS c FROM (SELECT doc_id, i, unnest({tokens_sql("lower(x)")}) AS w FROM s) GROUP BY ALL), n AS (SELECT doc_id, i, sqrt(sum(c * c)) AS n FROM t GROUP BY ALL),
 p AS (SELECT a.doc_id, a.i, b.i AS j, sum(a.c * b.c) AS dot FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.w = b.w AND a.i < b.i GROUP BY ALL)
 SELECT p.doc_id, CAST(p.i AS INT) AS i, CAST(p.j AS INT) AS j, round(p.dot / (x.n * y.n), 6) AS cosine FROM p JOIN n x ON x.doc_id = p.doc_id AND x.i = p.i JOIN n y ON y.doc_id = p.doc_id AND y.i = p.j WHERE p.dot / (x.n * y.n) >= 0.6""",
 )
 def sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a document's first 30 sentences with a cosine of 0.6 or more, joined through the words they share."""
-    s = docs(spark, sf_dir).select("doc_id", F.posexplode(F.slice(T.sentences(F.col("text")), 1, 30)).alias("i", "x"))
+    """Pairs of a document's sentences with a cosine of 0.6 or more.
+
+    A sentence's words are put in the order of how few of the document's sentences have them. Behind the place where what follows has under
+    0.6 of the sentence's norm, no word can be the first that a pair has in common, so only the words up to there are joined; that
+    leaves out the frequent words and loses no pair.
+    """
+    s = dealt_docs(spark, sf_dir, "doc_id", "text").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "x"))
     t = s.select("doc_id", "i", F.explode(T.word_tokens(F.lower("x"))).alias("w")).groupBy("doc_id", "i", "w").agg(F.count("*").alias("c"))
-    norms = t.groupBy("doc_id", "i").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("n"))
-    dots = t.join(t.select("doc_id", "w", F.col("i").alias("j"), F.col("c").alias("d")), ["doc_id", "w"]).where("i < j").groupBy("doc_id", "i", "j").agg(F.sum(F.col("c") * F.col("d")).alias("dot"))
-    both = dots.join(norms, ["doc_id", "i"]).join(norms.select("doc_id", F.col("i").alias("j"), F.col("n").alias("m")), ["doc_id", "j"])
-    cosine = F.col("dot") / (F.col("n") * F.col("m"))
+    spread = t.withColumn("df", F.count("*").over(Window.partitionBy("doc_id", "w")))
+    square, whole = F.col("c") * F.col("c"), Window.partitionBy("doc_id", "i")
+    placed = spread.withColumns({"n2": F.sum(square).over(whole), "rest": F.sum(square).over(whole.orderBy("df", "w").rowsBetween(0, Window.unboundedFollowing))})
+    heads = placed.where("rest >= 0.36 * n2 - 1e-9").select("doc_id", "w", "i")
+    candidates = heads.join(heads.withColumnRenamed("i", "j"), ["doc_id", "w"]).where("i < j").select("doc_id", "i", "j").distinct()
+    bags = t.groupBy("doc_id", "i").agg(F.map_from_entries(F.collect_list(F.struct("w", "c"))).alias("bag"), F.sqrt(F.sum(square)).alias("n"))
+    both = candidates.join(bags, ["doc_id", "i"]).join(bags.select("doc_id", F.col("i").alias("j"), F.col("bag").alias("other"), F.col("n").alias("m")), ["doc_id", "j"])
+    shared = F.array_intersect(F.map_keys("bag"), F.map_keys("other"))
+    dot = F.aggregate(shared, F.lit(0).cast("long"), lambda sum_, w: sum_ + F.col("bag")[w] * F.col("other")[w])
+    cosine = dot / (F.col("n") * F.col("m"))
     return both.where(cosine >= 0.6).select("doc_id", "i", "j", r6(cosine).alias("cosine"))
 
 
@@ -302,12 +317,24 @@ def balance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.count("*").alias("total"), F.count_if(F.col("has").isNull()).alias("unchanged"), r6(share).alias("share"), (share > 0.65).alias("warn"))
 
 
-@query("corpus_fingerprint", "SELECT lang, count(*) AS n, substr(sha256(string_agg(lang || chr(0) || sha256(text) || chr(1), '' ORDER BY doc_id)), 1, 16) AS fingerprint FROM documents GROUP BY lang")
+@query(
+    "corpus_fingerprint",
+    """WITH b AS (SELECT lang, doc_id // 4096 AS b, count(*) AS n, sha256(string_agg(lang || chr(0) || sha256(text) || chr(1), '' ORDER BY doc_id)) AS h FROM documents GROUP BY ALL),
+c AS (SELECT lang, b // 4096 AS c, sum(n) AS n, sha256(string_agg(h, '' ORDER BY b)) AS h FROM b GROUP BY ALL)
+SELECT lang, CAST(sum(n) AS BIGINT) AS n, substr(sha256(string_agg(h, '' ORDER BY c)), 1, 16) AS fingerprint FROM c GROUP BY lang""",
+)
 def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-dependent, by category, over the rows' own hashes; 70 characters a row are gathered."""
-    d = docs(spark, sf_dir).select("lang", "doc_id", F.concat(F.col("lang"), F.lit("\0"), F.sha2("text", 256), F.lit("\1")).alias("line"))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"]), "")
-    return d.groupBy("lang").agg(F.count("*").alias("n"), F.substring(F.sha2(lines, 256), 1, 16).alias("fingerprint"))
+    """Order-dependent, by category, over the rows' own hashes: a tree of hashes over ranges of 4096 and 4096 * 4096 doc_ids, so that no
+    task gathers a category's rows."""
+    rows = docs(spark, sf_dir).select("lang", F.col("doc_id").alias("at"), F.lit(1).alias("n"), F.concat(F.col("lang"), F.lit("\0"), F.sha2("text", 256), F.lit("\1")).alias("h"))
+
+    def level(parts: DataFrame, *by: str) -> DataFrame:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), "")
+        return parts.groupBy("lang", *by).agg(F.sum("n").alias("n"), F.sha2(joined, 256).alias("h"))
+
+    for _ in range(2):
+        rows = level(rows.withColumn("up", F.floor(F.col("at") / 4096)), "up").withColumnRenamed("up", "at")
+    return level(rows).select("lang", "n", F.substring("h", 1, 16).alias("fingerprint"))
 
 
 @query("scalable_fingerprint")
@@ -319,20 +346,21 @@ def scalable_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "canary_counts",
-    r"SELECT count(*) FILTER (regexp_matches(text, '\p{Nd}{4}')) AS years, count(*) FILTER (contains(text, '%%%')) AS noise, count(*) FILTER (list_sort(a) = list_sort(b) AND a <> b) AS permuted FROM (SELECT text, string_split(text, ' ')[1:4] AS a, list_reverse(string_split(text, ' ')[1:4]) AS b FROM documents)",
+    r"SELECT count(*) FILTER (regexp_matches(text, '\p{Nd}{4}')) AS years, count(*) FILTER (contains(text, '%%%')) AS noise, count(*) FILTER (list_sort(a) = list_sort(b) AND a <> b) AS permuted FROM (SELECT text, string_split(text, ' ') AS a, list_reverse(string_split(text, ' ')) AS b FROM documents)",
 )
 def canary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pattern counts, and pairs that differ in word order only."""
-    a = F.slice(F.split("text", " "), 1, 4)
+    a = F.split("text", " ")
     b = F.reverse(a)
     return docs(spark, sf_dir).agg(F.count_if(F.col("text").rlike(r"\p{Nd}{4}")).alias("years"), F.count_if(F.contains("text", F.lit("%%%"))).alias("noise"), F.count_if(T.same_multiset(a, b) & (a != b)).alias("permuted"))
 
 
-@query("array_sets", "SELECT doc_id, CAST(len(list_intersect(list_distinct(a), list_distinct(b))) AS INT) AS common, CAST(len(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x))) AS INT) AS only_a FROM (SELECT doc_id, string_split(text, ' ')[1:50] AS a, string_split(text, ' ')[26:75] AS b FROM documents)")
+@query("array_sets", "SELECT doc_id, CAST(len(list_intersect(list_distinct(a), list_distinct(b))) AS INT) AS common, CAST(len(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x))) AS INT) AS only_a FROM (SELECT doc_id, w[1 : len(w) // 2] AS a, w[len(w) // 2 + 1 : len(w)] AS b FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))")
 def array_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S1, S2 on rows' arrays."""
-    a, b = F.slice(F.split("text", " "), 1, 50), F.slice(F.split("text", " "), 26, 50)
-    return docs(spark, sf_dir).select("doc_id", F.size(F.array_intersect(a, b)).alias("common"), F.size(F.array_except(a, b)).alias("only_a"))
+    """S1, S2 on rows' arrays: the words of a text's first half and of its second half."""
+    half = F.floor(F.size("w") / 2).cast("int")
+    a, b = F.slice("w", F.lit(1), half), F.slice("w", half + 1, F.size("w"))
+    return docs(spark, sf_dir).select("doc_id", F.split("text", " ").alias("w")).select("doc_id", F.size(F.array_intersect(a, b)).alias("common"), F.size(F.array_except(a, b)).alias("only_a"))
 
 
 @query("table_sets", "SELECT 'both' AS part, count(*) AS n FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT 'only', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'any', count(*) FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels)")
@@ -344,10 +372,14 @@ def table_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts[0].union(counts[1]).union(counts[2])
 
 
-@query("distinct_edits_overlap", f"WITH g AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 'dev' ELSE 'train' END AS split, unnest({ngrams_sql('(' + words_sql('text') + ')[1:200]', 2)}) AS g FROM documents), s AS (SELECT g, bool_or(split = 'train') AS t, bool_or(split = 'dev') AS d FROM g GROUP BY g) SELECT count(*) FILTER (t) AS train, count(*) FILTER (d) AS dev, count(*) FILTER (t AND d) AS shared FROM s")
+@query(
+    "distinct_edits_overlap",
+    f"WITH w AS (SELECT doc_id, {words_sql('text')} AS w FROM documents), g AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 'dev' ELSE 'train' END AS split, unnest({ngrams_sql('w', 2)}) AS g FROM w), s AS (SELECT g, bool_or(split = 'train') AS t, bool_or(split = 'dev') AS d FROM g GROUP BY g) SELECT count(*) FILTER (t) AS train, count(*) FILTER (d) AS dev, count(*) FILTER (t AND d) AS shared FROM s",
+)
 def distinct_edits_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct pairs in train and dev and how many both have; pairs of the first 200 words here."""
-    g = docs(spark, sf_dir).select((F.col("doc_id") % 10 == 0).alias("dev"), F.explode(T.ngrams(F.slice(T.words(F.col("text")), 1, 200), 2)).alias("g"))
+    """Distinct pairs in train and dev and how many both have; pairs of words that follow one another here."""
+    w = dealt_docs(spark, sf_dir, "doc_id", "text").select("doc_id", T.words(F.col("text")).alias("w"))
+    g = w.select((F.col("doc_id") % 10 == 0).alias("dev"), F.explode(T.ngrams(F.col("w"), 2)).alias("g"))
     s = g.groupBy("g").agg(F.bool_or(~F.col("dev")).alias("t"), F.bool_or("dev").alias("d"))
     return s.agg(F.count_if("t").alias("train"), F.count_if("d").alias("dev"), F.count_if(F.col("t") & F.col("d")).alias("shared"))
 

@@ -66,20 +66,20 @@ def stream_adaptive_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RECORDS = "doc_id long, lang string, text string"
 
 
-@query("json_scan_modes", "SELECT 'DROPMALFORMED' AS mode, count(*) AS n, count(DISTINCT lang) AS langs FROM documents UNION ALL SELECT 'PERMISSIVE', count(*) + 2, count(DISTINCT lang) FROM documents UNION ALL SELECT 'array', count(*), count(DISTINCT label) FROM embeddings WHERE vec_id < 20")
+@query("json_scan_modes", "SELECT 'DROPMALFORMED' AS mode, count(*) AS n, count(DISTINCT lang) AS langs FROM documents UNION ALL SELECT 'PERMISSIVE', count(*) + 2, count(DISTINCT lang) FROM documents UNION ALL SELECT 'array', count(*), count(DISTINCT n_regionkey) FROM nation")
 def json_scan_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC1 to SRC4, SNK1, SNK2: documents written as JSON lines, two broken lines appended, and a small JSON array."""
     path, array = R.shared_path(spark, "records"), R.shared_path(spark, "array")
     R.write_records(docs(spark, sf_dir, "doc_id", "lang", "text"), path)
     R.write_records(spark.sql("SELECT * FROM VALUES ('{\"doc_id\": 1, \"lang'), ('not json') AS t(value)"), path, mode="append", fmt="text")
-    few = table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.to_json(F.struct("vec_id", "label")).alias("j"))
+    few = table(spark, sf_dir, "nation").select(F.to_json(F.struct("n_nationkey", "n_regionkey")).alias("j"))  # a dimension of some rows
     R.write_records(few.groupBy().agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value")), array, fmt="text")
 
     def count(df: DataFrame, mode: str, column: str) -> DataFrame:
         return df.agg(F.lit(mode).alias("mode"), F.count("*").alias("n"), F.countDistinct(column).alias("langs")).select("mode", "n", "langs")
 
     parts = [count(R.read_records(spark, path, _RECORDS, mode).select("doc_id", "lang"), mode, "lang") for mode in ("DROPMALFORMED", "PERMISSIVE")]
-    return parts[0].union(parts[1]).union(count(R.read_records(spark, array, "vec_id long, label int"), "array", "label"))
+    return parts[0].union(parts[1]).union(count(R.read_records(spark, array, "n_nationkey long, n_regionkey long"), "array", "n_regionkey"))
 
 
 @query("row_range", "SELECT row_number() OVER (ORDER BY doc_id) AS pos, doc_id FROM documents QUALIFY pos BETWEEN 11 AND 20")

@@ -319,21 +319,34 @@ def stutter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("doc_id", T.stutters(F.col("w")).alias("stutters"))
 
 
+#: Given rows, since the words of the tables are invented: a headline, and a text below it.
+_GIVEN_HEADLINES = [
+    (-1, "Cricket team wins\nThe match was short."),
+    (-2, "Weather\nForeign guests came from India and from Japan."),
+    (-3, "A victory, no defeat\nIt rained."),
+    (-4, "Minister speaks\nNothing else."),
+    (-5, "Decision and statement\nThe election."),
+    (-6, "Plain news\nabout teams and matches"),
+]
+
+
 def _category_sql() -> str:
     def hits(x: str, keys: tuple[str, ...]) -> str:
-        return "(" + " + ".join(f"CAST(contains(' ' || {x} || ' ', ' {k} ') AS INT)" for k in keys) + ")"
+        return "(" + " + ".join(["0", *(f"CAST(contains(' ' || {x} || ' ', ' {k} ') AS INT)" for k in keys)]) + ")"
 
     matcher = f"lower({squeeze_sql(f"regexp_replace(text, '[^{BLOCK}A-Za-z0-9{WS}]', ' ', 'g')")})"
     headline = f"lower({squeeze_sql(f"regexp_replace(string_split(text, chr(10))[1], '[^{BLOCK}A-Za-z0-9{WS}]', ' ', 'g')")})"
-    cases = " ".join(f"WHEN 2 * {hits('h', k[: len(k) // 2])} + {hits('c', k[: len(k) // 2])} + 0.5 * {hits('h', k[len(k) // 2 :])} >= 2 THEN '{n}'" for n, k in LATIN.categories)
-    return f"SELECT doc_id, CASE {cases} ELSE 'General' END AS category FROM (SELECT doc_id, {headline} AS h, {matcher} AS c FROM documents)"
+    cases = " ".join(f"WHEN 2 * {hits('h', strong)} + {hits('c', strong)} + 0.5 * {hits('h', weak)} >= 2 THEN '{n}'" for n, strong, weak in LATIN.categories)
+    given = f"SELECT * FROM {literal_sql('doc_id text', _GIVEN_HEADLINES)} UNION ALL SELECT doc_id, text FROM documents"
+    return f"SELECT doc_id, CASE {cases} ELSE 'General' END AS category FROM (SELECT doc_id, {headline} AS h, {matcher} AS c FROM ({given}))"
 
 
 @query("keyword_category", _category_sql())
 def keyword_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F36, F37; the first line plays the headline."""
+    """F36, F37 on given rows and all documents; the first line plays the headline."""
     h, c = T.matcher_text(F.split("text", "\n")[0]), T.matcher_text(F.col("text"))
-    return docs(spark, sf_dir).select("doc_id", h.alias("h"), c.alias("c")).select("doc_id", T.category(F.col("h"), F.col("c")).alias("category"))
+    rows = docs(spark, sf_dir, "doc_id", "text").unionByName(literal(spark, "doc_id text", _GIVEN_HEADLINES))
+    return rows.select("doc_id", h.alias("h"), c.alias("c")).select("doc_id", T.category(F.col("h"), F.col("c")).alias("category"))
 
 
 _ANSWERS = [
@@ -392,9 +405,9 @@ _MARKED = [
 @query(
     "marker_sentences",
     rf"""
-SELECT id, CASE WHEN position('time to discuss' IN text) > 0 AND length(text) - (length(text) - position(reverse('time to discuss') IN reverse(text)) + 1) <= 2
-    THEN {trim_sql(r"regexp_extract(text, '(?s)^(.*[.!?]\s+)', 1)")} ELSE text END AS without_closing,
-  CASE WHEN position('did you know' IN lower(text)) BETWEEN 1 AND 6 THEN {trim_sql(r"regexp_replace(text, '^[^.!?]*[.!?]+\s*', '')")} ELSE text END AS without_opening,
+SELECT id, CASE WHEN position('time to discuss' IN text) > 0 AND length(regexp_replace(substr(text, position('time to discuss' IN text) + 15), '^[{WS}]*[./!?…]*|[./!?…]*[{WS}]*$', '', 'g')) <= 2
+    THEN regexp_replace(regexp_extract(substr(text, 1, position('time to discuss' IN text) - 1), '(?s)^(.*[.!?]\s+)', 1), '[{WS}]+$', '') ELSE text END AS without_closing,
+  CASE WHEN position('Did you know' IN text) BETWEEN 1 AND 6 AND regexp_matches(text, '[.!?][{WS}]') THEN {trim_sql(r"regexp_extract(text, '(?s)^.*?[.!?]\s+(.*)$', 1)")} ELSE text END AS without_opening,
   CASE WHEN starts_with(text || ' ' || text, text) AND text <> '' THEN regexp_replace(substr(text || ' ' || text, length(text) + 1), '^[{WS}:.*-]+', '') ELSE text END AS without_title
 FROM """
     + literal_sql("id text other", _MARKED),
@@ -403,7 +416,7 @@ def marker_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F10, F14, F15, P14, on given rows."""
     t = literal(spark, "id text other", _MARKED)
     c = F.col("text")
-    return t.select("id", T.drop_closing_sentence(c, LATIN.closing_marker).alias("without_closing"), T.drop_opening_sentence(c, LATIN.opening_marker).alias("without_opening"), T.drop_title(F.concat(c, F.lit(" "), c), c).alias("without_title"))
+    return t.select("id", T.drop_closing_sentence(c, LATIN.closing_markers).alias("without_closing"), T.drop_opening_sentence(c, LATIN.opening_markers).alias("without_opening"), T.drop_title(F.concat(c, F.lit(" "), c), c).alias("without_title"))
 
 
 @query(

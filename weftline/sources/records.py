@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,20 +11,12 @@ from pyspark.sql.types import StructType
 
 from ..functions.text import nfc, trim_ws
 from ..operators.joins import with_place
+from .shared import shared_path  # noqa: F401
 
 MODES = ("FAILFAST", "DROPMALFORMED", "PERMISSIVE")
 BAD = "_corrupt_record"
 
 
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/weftline/{tag}-{uuid.uuid4().hex}"
-
-
 def is_array_file(spark: SparkSession, path: str) -> bool:
     """SRC1: whether the first character that is no white space is a bracket; only the first lines are read."""
     first = spark.read.text(path).where(trim_ws(F.col("value")) != "").first()

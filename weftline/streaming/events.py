@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.records import shared_path
+from ..sources.shared import shared_path
 
 LATE = "10 minutes"
 
@@ -62,15 +62,15 @@ def first_of_each(events: DataFrame, keys: list[str]) -> DataFrame:
 def _limiter(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """The allowed rate of one key: 15 % more after 15 successes in a row, half after a failure."""
     rate, streak, seen = state.get if state.exists else (1.0, 0, 0)
-    for batch in batches:
-        for failed in batch.sort_values(["ts", "event_id"])["failed"]:
-            seen += 1
-            if failed:
-                rate, streak = max(rate * 0.5, 0.01), 0
-            else:
-                streak += 1
-                if streak == 15:
-                    rate, streak = rate * 1.15, 0
+    # A key's events may come in several chunks; they are put in order together. A micro-batch bounds what one key has here.
+    for failed in pd.concat(list(batches)).sort_values(["ts", "event_id"])["failed"]:
+        seen += 1
+        if failed:
+            rate, streak = max(rate * 0.5, 0.01), 0
+        else:
+            streak += 1
+            if streak == 15:
+                rate, streak = rate * 1.15, 0
     state.update((rate, streak, seen))
     yield pd.DataFrame({"user_id": [key[0]], "rate": [rate], "streak": [streak], "seen": [seen]})
 
