@@ -29,16 +29,27 @@ CASES = [(5, "a  b"), (3, "a b"), (9, "a\tb"), (4, None), (8, ""), (2, "a b "),
 
 def test_exact_dedup_matches_grouping(spark):
     rows = CASES + [(100 + k, "hot copy") for k in range(200)]
-    got = {}
-    for r in exact_dedup(docs(spark, rows).repartition(5)).collect():
-        got.setdefault(r.doc_id, r)
     groups = {}
     for i, t in rows:
         groups.setdefault(normal(t), []).append(i)
+    want = []
     for i, t in rows:
         ids = groups[normal(t)]
-        assert (got[i].keep_id, got[i].group_size, got[i].kept) == (min(ids), len(ids), i == min(ids))
-        assert got[i].text_sha256 == hashlib.sha256(normal(t).encode()).hexdigest()
+        first = i == min(ids) and (i, t) not in [(w[0], w[-1]) for w in want]
+        want.append((i, min(ids), len(ids), first, hashlib.sha256(normal(t).encode()).hexdigest(), t))
+    got = exact_dedup(docs(spark, rows).repartition(5)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(w[:-1] for w in want)
+
+
+def test_exact_dedup_keeps_one_of_repeated_rows(spark):
+    got = exact_dedup(docs(spark, [(1, "same"), (1, "same"), (1, "same"), (None, "same"), (None, "only"), (2, "x" * 300_000), (3, "x" * 300_000)]).repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in got) == [(0, 0, 1, True), (0, 1, 4, False), (1, 1, 4, False), (1, 1, 4, False), (1, 1, 4, True), (2, 2, 2, True), (3, 2, 2, False)]
+
+
+def test_exact_dedup_of_a_text_in_many_partitions(spark):
+    rows = spark.range(0, 3000, 1, 300).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("t"), "id")).otherwise(F.lit("hot text " * 200)).alias("text"))
+    got = exact_dedup(rows).groupBy("group_size").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept"), F.min("keep_id").alias("least")).orderBy("group_size").collect()
+    assert [tuple(r) for r in got] == [(1, 1000, 1000, 0), (2000, 2000, 1, 1)]
 
 
 def test_exact_dedup_empty_table_and_extra_columns(spark):
@@ -56,7 +67,8 @@ def test_patricia_spills_and_finds_all():
     expected = {}
     for k, key in enumerate(keys):
         expected.setdefault(key, []).append(k)
-    assert sorted(tuple(sorted(v)) for v in trie.values()) == sorted(map(tuple, expected.values()))
+    found = dict(trie.items())
+    assert {k: sorted(v) for k, v in found.items()} == expected
 
 
 def brute_near(rows):
@@ -115,6 +127,46 @@ def test_near_duplicates_star_of_edits_around_a_middle_id(spark):
     assert {r.doc_id: r.class_id for r in near_duplicates(docs(spark, rows)).collect()} == want
 
 
+def brute_weighted(rows):
+    from collections import Counter
+
+    bags = {}
+    for i, t in rows:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if x]
+        bags[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+    return {(i, j): sum((bags[i] & bags[j]).values()) / max(1, sum((bags[i] | bags[j]).values())) for i in bags for j in bags if i < j}
+
+
+def test_near_duplicates_weigh_occurrences(spark):
+    line = prose(2, 12)
+    rows = [(1, " ".join([line] * 3)), (2, " ".join([line] * 4)), (3, " ".join([line] * 40)), (4, " ".join([line] * 41)), (5, prose(3)), (5, prose(3)), (6, "word " * 20_000), (7, "word " * 19_000)]
+    alike = {pair for pair, s in brute_weighted(rows).items() if s >= 0.8}
+    assert alike == {(3, 4), (6, 7)}
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5, 6: 6, 7: 6}
+    plain = {r.doc_id: r.class_id for r in near_duplicates(docs(spark, rows), weighted=False, margin=None).collect()}
+    assert plain[1] == plain[2] == plain[3] == plain[4] == 1 and plain[6] == plain[7] == 6
+
+
+def test_near_duplicates_recall_by_similarity(spark):
+    import random
+
+    draw = random.Random(5)
+    rows, planted = [], []
+    for k in range(60):
+        base = [f"w{draw.randrange(5000)}" for _ in range(300)]
+        rows.append((1000 + k, " ".join(base)))
+        for step, edits in enumerate((3, 5, 6)):  # similarities of about 0.90, 0.84 and 0.81
+            copy = list(base)
+            for place in range(edits):
+                copy[10 + place * 45] = f"x{k}_{step}_{place}"
+            rows.append((k * 3 + step, " ".join(copy)))
+            planted.append((k * 3 + step, 1000 + k))
+    want = brute_near(rows)
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs(spark, rows)).collect()}
+    assert sum(got[a] == got[b] for a, b in planted) == sum(want[a] == want[b] for a, b in planted) == len(planted)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 40).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     found = {r.node: r.root for r in components(edges.union(edges)).collect()}
@@ -150,6 +202,30 @@ def test_repeats_match_brute_force(spark):
     assert sorted(got) == brute_repeats(rows)
 
 
+def test_repeats_of_a_frequent_word_and_a_long_text(spark):
+    hot = " frequentword "
+    rows = [(k, "".join(hot + f"{(k * 131 + j * 17) % 997:03d}" for j in range(60))) for k in range(12)] + [(40, prose(9, 3000)), (41, prose(9, 3000)), (42, prose(11, 3000))]
+    got = [tuple(r) for r in remove_repeats(docs(spark, rows).repartition(4)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+    assert sorted(got) == brute_repeats(rows)
+
+
+def test_frequent_keys_are_joined_with_a_second_word():
+    import numpy as np
+
+    from weftline.llm.suffix_dedup import _keys
+
+    body = np.frombuffer("".join(f" frequentword {k:05d}" for k in range(400)).encode(), np.uint8)
+    plain = _keys(body, 50, np.zeros(0, np.uint64))
+    names, counts = np.unique(plain, return_counts=True)
+    hot = np.sort(names[counts > 100])
+    assert len(hot)
+    cut = _keys(body, 50, hot)
+    assert np.unique(cut, return_counts=True)[1].max() < counts.max() / 2
+    strings = {}
+    for p, key in enumerate(cut.tolist()):  # equal strings still share their key
+        assert strings.setdefault(body[p : p + 50].tobytes(), key) == key
+
+
 def test_repeats_longer_strings_repeated_ids_and_empty_table(spark):
     assert remove_repeats(docs(spark, [])).count() == 0
     rows = [(1, prose(5, 40)), (2, prose(5, 40) + "z"), (3, prose(6, 10))]

@@ -54,6 +54,22 @@ def test_language_id_defined_results(spark):
     assert [r[0] for r in none] == ["und"] and langid.identify(odd.limit(0), labelled, ["doc_id"]).count() == 0
 
 
+def test_language_id_learns_every_language(spark):
+    names = [f"l{k:02d}" for k in range(30)]
+    rows = [(k, " ".join(f"{'abcdefghijklmnopqrstuvwxyz'[(k % 30 * 7 + j * 3) % 26]}{'aeiou'[(k % 30 + j) % 5]}{k % 30 // 5}{'bcdfg'[k % 30 % 5]}" for j in range(12)), names[k % 30]) for k in range(240)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(frame, frame, ["doc_id", "lang"], most=60, landmarks=5).collect()  # 2 documents of each, fewer landmarks than languages
+    assert {r.lang_pred for r in got} == set(names) and sum(r.lang_pred == r.lang for r in got) > 200
+    assert all(r.margin >= 0 for r in got)
+
+
+def test_keep_identified_keeps_rows_as_they_are(spark):
+    frame = docs(spark, [(k, prose(k), ) for k in range(20)] + [(None, "the text"), (3, prose(3)), (50, "12"), (51, None)]).withColumns({"score": F.lit("x"), "norm": F.col("doc_id"), "lang_pred": F.lit(1)})
+    kept = langid.keep_identified(frame)
+    assert kept.dtypes == frame.dtypes
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept.collect()) == sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in frame.collect() if r.doc_id not in (50, 51))
+
+
 def tokens(text):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w] + ["</s>"]
 

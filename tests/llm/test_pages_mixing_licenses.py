@@ -49,6 +49,39 @@ def test_elements_that_hold_the_article_are_spared(html, want):
     assert main_text(_Lines(), html) == want
 
 
+LINKS = "".join(f"<p><a href=/{k}>Another story of the day, number {k}</a></p>" for k in range(4))
+METHOD = [
+    # A list of links without a class, below the article's text and inside its element.
+    (f"<article><h1><a href=/>T</a></h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>See <a href=/s>this and that page</a></p>{LINKS}</article>", f"T\n{LONG}\n{LONG}\n{LONG}\nSee this and that page"),
+    # Short lines in an article element, more in all than the text, which is in none.
+    (f"<div><article>{''.join(f'<p>Ticker {k} up</p>' for k in range(60))}</article></div><div>{''.join(f'<p>{LONG}</p>' for _ in range(8))}</div>", "\n".join([LONG] * 8)),
+]
+UNCLOSED = [
+    (f"<body><nav><ul><li><a href=/>Home</a></ul><article><p>{LONG}</p></article></body>", LONG),
+    (f"<body><aside>Advert<div id=content><p>{LONG}</p><p>{LONG}</p></div></body>", f"{LONG}\n{LONG}"),
+    (f"<div><header><h2>Site</h2><main><p>{LONG}</p></main></div>", LONG),
+    (f"<nav><div>Menu</div></nav><article><p>{LONG}</p></article>", LONG),
+]
+
+
+@pytest.mark.parametrize("html,want", METHOD + UNCLOSED)
+def test_content_regions(html, want):
+    assert main_text(_Lines(), html) == want
+
+
+def test_clusters_select_the_text(monkeypatch):
+    from weftline.llm import html_text
+
+    monkeypatch.setattr(html_text, "upper_cluster", lambda values: html_text.np.ones(len(values), bool))
+    assert all(main_text(_Lines(), html) != want for html, want in METHOD)
+
+
+def test_extraction_of_repeated_rows_and_nulls(spark):
+    rows = [(1, None, f"<p>{LONG}"), (1, None, f"<p>{LONG}"), (None, "u", None)]
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, None, LONG, len(LONG))] * 2 + [(None, "u", "", 0)], key=repr)
+
+
 def targets_by_hand(sizes, weights=(5.0, 2.0, 1.0)):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
     w = {s: weights[k % 3] for k, s in enumerate(names)}
@@ -83,6 +116,42 @@ def test_mix_meets_targets(spark):
     assert mix(frame.limit(0)).count() == 0
 
 
+def brute_mix(rows, target, quality):
+    """doc_id to copies, for one source."""
+    import hashlib
+    import math
+
+    keyed = []
+    for i, text in rows:
+        u = (int(hashlib.md5(f"42|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        keyed.append((-math.log(u) / quality, i, len(text.split())))
+    whole, total = int(target // sum(n for *_, n in keyed)), sum(n for *_, n in keyed)
+    rest, upto, out = target - whole * total, 0, {}
+    for _, i, n in sorted(keyed):
+        upto += n
+        out[i] = whole + (rest > 0 and upto - n / 2 <= rest)
+    return out
+
+
+def test_mix_cuts_large_bins_again(spark):
+    rows = [(k, " ".join(["слово"] * (1 + k % 9)), "ru", "s", 0) for k in range(2000)] + [(5000 + k, "х" * 40_000, "ru", "s", 0) for k in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = None
+    for sorted_rows in (100_000, 20, 1):  # no letter from A to Z: the last of 4096 bins has 43 % of the rows
+        out = mix(frame, sorted_rows=sorted_rows).collect()
+        want = want or brute_mix([(r[0], r[1]) for r in rows], out[0].target, 0.1)
+        assert {r.doc_id: r.epochs for r in out} == want
+
+
+def test_licenses_of_many_notices_and_repeated_rows(spark):
+    notice = TEMPLATES["MIT-grant"]
+    many = " ".join(f"{notice} w{k}" for k in range(400))
+    rows = [(1, many), (2, prose(1, 9) + " " + notice), (2, prose(1, 4) + " " + notice), (3, notice[len("Permission is ") :]), (4, TEMPLATES["MIT"] + " " + TEMPLATES["MIT"])]
+    got = {(r.doc_id, r.license): (round(r.containment, 3), r.first_word) for r in scan(docs(spark, rows)).collect()}
+    n = len(notice.split()) - 4
+    assert got[1, "MIT-grant"] == (1.0, 0) and got[2, "MIT-grant"] == (1.0, 4) and got[3, "MIT-grant"] == (round((n - 2) / n, 3), 0) and got[4, "MIT"] == (1.0, 0)
+
+
 def test_licenses_found_where_they_stand(spark):
     rows = [(k, f"{prose(k, 30)}\n{text.upper()} {prose(k + 1, 7)}") for k, text in enumerate(TEMPLATES.values())]
     rows += [(100, None), (101, ""), (102, "license"), (103, prose(1, 20000) + " " + TEMPLATES["MIT"]), (104, TEMPLATES["GPL-3.0"].replace("version 3.", "version 2.")), (105, "permission is hereby granted")]

@@ -1,27 +1,28 @@
 """Exact deduplication: Patricia-trie owners over partitions by length and content hash.
 
 Stage 1, without a shuffle: each input partition inserts its normalised texts into radix tries and so finds, for each of its texts,
-the smallest identifier that holds the same bytes there (the local owner). A group of copies that holds a third of all rows
-thus sends one text for each input partition, whatever its size.
+the first row that holds the same bytes there (the local owner), the smallest row and the number of rows. A group of copies that holds a
+third of all rows thus sends one text for each input partition, whatever its size.
 Stage 2: the local owners' full byte strings are shuffled by length and content hash; each partition inserts them into a trie whose
-terminal nodes gather the owners of one text. A trie over its byte budget spills its largest subtree to Spark's
-task-local scratch space and finishes it afterwards.
-Stage 3: the smallest identifier and the size of a group come from its owners' counts; rows meet them by a join on the owner.
+terminal nodes hold the smallest row of one text and its number of rows, so a text that many partitions send costs its length each time and
+no more memory. A trie over its byte budget spills its largest subtree to Spark's scratch folder of the executor and finishes it afterwards.
+Stage 3: owners meet their group by the hash of their text, and rows meet their owner.
 
 Defined results: a null text counts as empty; all empty texts are equal. Texts are equal when identical after each run of
-`[\\x20\\x09-\\x0D]` became one space. Rows that repeat a doc_id count as rows of their own. Extra columns of the input are not read.
-An empty table gives an empty result.
+`[\\x20\\x09-\\x0D]` became one space. Of rows that repeat a doc_id and a text one is kept, the first in the input; a null doc_id comes last in
+order. A text of any length is one key; it needs a few times its length in memory. Extra columns of the input are not read. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import os
 import pickle
 import tempfile
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import BLANKS, stored, table, text_bytes
@@ -30,6 +31,11 @@ from ._shared import BLANKS, stored, table, text_bytes
 TRIE_BYTES = 96 << 20
 
 
+def _scratch() -> str | None:
+    """Spark's scratch folder of this executor, which its Python workers are told."""
+    return os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
+
+
 class Patricia:
     """A compressed radix trie over byte strings; a terminal holds what merge() makes of all values put there.
 
@@ -82,18 +88,17 @@ class Patricia:
         sizes = {first: _weight(child) for first, child in node[1].items()}
         first = max(sizes, key=sizes.get)
         child = node[1].pop(first)
-        out = tempfile.TemporaryFile()  # has no name, so nothing stays behind
+        out = tempfile.TemporaryFile(dir=_scratch())  # has no name, so nothing stays behind
         for key, value in _walk(child, b""):
             pickle.dump((key[len(child[0]) :], value), out, protocol=5)
         self.spilled[path + child[0]] = out
         self.held -= sizes[first]
 
-    def values(self) -> Iterator[object]:
-        """The values of all terminals: those in memory, then each spilled subtree, one after the other."""
-        for _, value in _walk(self.root, b""):
-            yield value
+    def items(self) -> Iterator[tuple[bytes, object]]:
+        """The keys and values of all terminals: those in memory, then each spilled subtree, one after the other."""
+        yield from _walk(self.root, b"")
         self.root, self.held = [b"", {}, None], 0
-        for file in self.spilled.values():
+        for prefix, file in self.spilled.items():
             part = Patricia(self.merge, self.most)
             file.seek(0)
             while True:
@@ -102,7 +107,8 @@ class Patricia:
                 except EOFError:
                     break
             file.close()
-            yield from part.values()
+            for key, value in part.items():
+                yield prefix + key, value
         self.spilled = {}
 
 
@@ -137,66 +143,94 @@ def _walk(node: list, before: bytes) -> Iterator[tuple[bytes, object]]:
         todo.extend((child, key) for child in children.values())
 
 
+_TAGGED = "doc_id long, row_key long, owner long, sha string, least_doc long, least_row long, n long, body binary"
+
+
+def _joined(old: list, new: list) -> list:
+    """Terminals hold [owner, smallest row as (doc_id is null, doc_id, row), number of rows]."""
+    old[1] = min(old[1], new[1])
+    old[2] += new[2]
+    return old
+
+
+def _place(doc_id: int | None, row: int) -> tuple[bool, int, int]:
+    return doc_id is None, doc_id or 0, row
+
+
+def _record(rows: list[tuple]) -> pa.RecordBatch:
+    names = [part.split()[0] for part in _TAGGED.split(", ")]
+    types = [pa.string() if n == "sha" else pa.binary() if n == "body" else pa.int64() for n in names]
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
 def _local_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row with its owner among this task's rows so far, the first row of the same text; the owner's own row carries the text."""
-    trie = Patricia(lambda old, new: old)
+    """Each row with its owner, the first row of this task with the same text; then each owner with its text, smallest row and number of rows."""
+    trie, shas = Patricia(_joined), {}
+
+    def owners() -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for body, (owner, (no_id, least, row), n) in trie.items():
+            rows.append((None, None, owner, shas[owner], None if no_id else least, row, n, body))
+            size += len(body)
+            if size > 8 << 20:
+                yield _record(rows)
+                rows, size = [], 0
+        yield _record(rows)
+
     for batch in batches:
-        rows = batch.column("row_key").to_pylist()
-        texts = batch.column("norm").cast(pa.binary())
-        body, at = text_bytes(texts)
+        body, at = text_bytes(batch.column("norm").cast(pa.binary()))
         raw = body.tobytes()
-        owners, own = [], np.zeros(len(rows), bool)
-        for k, row in enumerate(rows):
+        rows = []
+        for k, (doc_id, row, sha) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist(), batch.column("sha").to_pylist(), strict=True)):
             if trie.held > trie.most // 2:  # a new trie; what it misses meets in stage 2
-                trie = Patricia(lambda old, new: old)
-            node = trie.put(raw[at[k] : at[k + 1]], row)
-            owners.append(node[2])
-            own[k] = node[2] == row
-        yield pa.record_batch(
-            [batch.column("doc_id"), pa.array(owners, pa.int64()), pa.array([raw[at[k] : at[k + 1]] if own[k] else None for k in range(len(rows))], pa.binary()), batch.column("sha")],
-            names=["doc_id", "owner", "body", "sha"],
-        )
+                yield from owners()
+                trie, shas = Patricia(_joined), {}
+            owner = trie.put(raw[at[k] : at[k + 1]], [row, _place(doc_id, row), 1])[2][0]
+            if owner == row:
+                shas[row] = sha
+            rows.append((doc_id, row, owner, sha, None, None, None, None))
+        yield _record(rows)
+    yield from owners()
+
+
+_GROUPS = "sha string, keep_id long, keep_row long, group_size long"
 
 
 def _global_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tries over the local owners of one partition; each terminal gathers the owners of one text, the smallest names the group."""
-    trie = Patricia(lambda old, new: old + new)
+    """Tries over the local owners of one partition: each terminal ends with the smallest row and the number of rows of one text."""
+    trie = Patricia(_joined)
     for batch in batches:
         body, at = text_bytes(batch.column("body"))
         raw = body.tobytes()
-        for k, owner in enumerate(batch.column("owner").to_pylist()):
-            trie.put(raw[at[k] : at[k + 1]], (owner,))
+        columns = (batch.column(c).to_pylist() for c in ("sha", "least_doc", "least_row", "n"))
+        for k, (sha, doc_id, row, n) in enumerate(zip(*columns, strict=True)):
+            trie.put(raw[at[k] : at[k + 1]], [sha, _place(doc_id, row), n])
     found: list = []
-    for owners in trie.values():
-        group = min(owners)
-        found.extend((owner, group) for owner in owners)
-        if len(found) >= 50_000:
-            yield _result(found)
-            found = []
-    yield _result(found)
 
+    def result() -> pa.RecordBatch:
+        parts = zip(*found, strict=True) if found else [()] * 4
+        return pa.record_batch([pa.array(x, t) for x, t in zip(parts, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["sha", "keep_id", "keep_row", "group_size"])
 
-def _result(found: list) -> pa.RecordBatch:
-    owner, group = zip(*found, strict=True) if found else ((), ())
-    return pa.record_batch([pa.array(owner, pa.int64()), pa.array(group, pa.int64())], names=["owner", "text_group"])
+    for _, (sha, (no_id, least, row), n) in trie.items():
+        found.append((sha, None if no_id else least, row, n))
+        if len(found) >= 50_000:
+            yield result()
+            found = []
+    yield result()
 
 
 def exact_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     norm = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), BLANKS, " ")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), norm.alias("norm")).withColumns({"sha": F.sha2(F.col("norm"), 256), "row_key": F.monotonically_increasing_id()})
-    tagged = stored(rows.mapInArrow(_local_owners, "doc_id long, owner long, body binary, sha string"), "owners")
-    sent = tagged.where("body IS NOT NULL").select("owner", "body", F.octet_length("body").alias("size"), F.xxhash64("body").alias("hash"))
-    grouped = sent.repartition("size", "hash").select("owner", "body").mapInArrow(_global_owners, "owner long, text_group long")
-    # An owner stands for the rows of one task at most, and a group has at most one owner for each task: no key is hot here.
-    owners = tagged.groupBy("owner").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(grouped, "owner")
-    same = Window.partitionBy("text_group")
-    result = owners.select("owner", F.min("least").over(same).alias("keep_id"), F.sum("n").over(same).alias("group_size"))
-    return (
-        tagged.select("doc_id", "owner", "sha")
-        .join(result, "owner")
-        .select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
-    )
+    tagged = stored(rows.mapInArrow(_local_owners, _TAGGED), "owners")
+    members, owners = tagged.where("n IS NULL").select("doc_id", "row_key", "owner", "sha"), tagged.where("n IS NOT NULL")
+    dealt = owners.select("sha", "least_doc", "least_row", "n", "body").repartition(F.octet_length("body"), F.xxhash64("body"))
+    groups = dealt.mapInArrow(_global_owners, _GROUPS)
+    # A group has one owner for each task at most, and an owner the rows of one task: neither key is hot.
+    named = owners.select("owner", "sha").join(groups, "sha").drop("sha")
+    return members.join(named, "owner").select("doc_id", "keep_id", "group_size", (F.col("row_key") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +241,7 @@ SQL = {
     "op7_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
-       doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
+       row_number() OVER (PARTITION BY norm ORDER BY doc_id) = 1 AS kept, sha256(norm) AS text_sha256
 FROM n"""
 }
 QUERIES = {"op7_exact_dedup": op7_exact_dedup}

@@ -3,10 +3,12 @@
 The standard library's streaming parser turns a page into lines, one for each block element's stretch of text, and notes for each line
 its characters, its tags and the elements around it. The ratio of characters to tags is smoothed along the page with a Gaussian kernel
 and split into two clusters; the upper one marks content. The region is the article (or main element) that holds most of the
-content's text, or without such an element the deepest element that holds nearly all of it. Lines of the region are kept
-whole, but for those inside elements that are no text of the article by their kind, role or class. What follows has-, with-, without- or
+content's text, if that is half of all content at least; else the deepest element that holds nearly all of the content. Inside the region the
+ratios are smoothed and clustered again: runs of lines that are links and lie in the lower cluster, as lists of related pages do, are left out;
+other lines are kept whole, but for those inside elements that are no text of the article by their kind, role or class. What follows has-, with-, without- or
 no- in a class or id speaks of the layout and is not read. An element that holds the article, or more than half of its text (without an
-article: of the page's text), is not left out for its class: such a page is parsed again with these elements spared.
+article: of the page's text), is not left out for its class: such a page is parsed again with these elements spared. So is a page on which
+an element such as nav or aside is never closed: it then ends where the next article, main, section or div begins.
 
 Defined results: a null or empty page, and one without any text, has the text '' and n_chars 0. Character references are decoded; white
 space inside a block becomes one space. <br> and table cells count as white space. Rows that repeat a page_id are extracted each.
@@ -54,6 +56,13 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SIGMA = 1.5
 #: A child element with this share of its parent's content text is searched further.
 DEEPER = 0.8
+#: Elements left out by their kind that may lack an end tag, and those that begin only behind them then.
+UNCLOSED = frozenset("nav aside header footer form menu dialog".split())
+BEHIND = frozenset("article main section div".split())
+#: Share of all content that an article or main element holds at least.
+HALF = 0.5
+#: So many lines of links behind one another are a list of them.
+LINK_RUN = 3
 #: Outside any smaller region, a line next to content belongs to it from this length on.
 LONG_LINE = 80
 
@@ -68,11 +77,13 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.clear()
 
-    def clear(self, spared: frozenset[int] = frozenset()) -> None:
+    def clear(self, spared: frozenset[int] = frozenset(), ended: frozenset[int] = frozenset()) -> None:
         self.reset()
+        self.ended = ended  # numbers of start tags that end where the article may begin
+        self.unclosed: set[int] = set()
         self.lines: list[tuple[str, int, int, tuple[int, ...], bool, bool]] = []
         self.kinds: list[str] = []  # by container number
-        self.open: list[tuple[str, int, int, bool]] = []  # open block and outside elements: container's number or -1, _is_out, watched
+        self.open: list[tuple[str, int, int, bool, int]] = []  # open block and outside elements: container's number or -1, _is_out, watched, start tag
         self.path: tuple[int, ...] = ()
         self.out = self.hard = 0  # open elements whose text is left out; those of them that are not left out for their class
         self.inside_article = 0
@@ -99,6 +110,11 @@ class _Lines(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.seen += 1
+        if self.ended and tag in BEHIND:
+            first = next((k for k, e in enumerate(self.open) if e[4] in self.ended), None)
+            if first is not None:
+                self.flush()
+                self.close_from(first)
         if tag in SPACES:
             self.tags += 1
             if self.parts:
@@ -134,7 +150,7 @@ class _Lines(HTMLParser):
                     self.kind[self.seen] = "readers" if any(n in ("class", "id") and v and READERS.search(v) for n, v in attrs) else "out"
                 self.around[self.seen], self.chars[self.seen] = self.watched, 0
                 self.watched += (self.seen,)
-            self.open.append((tag, number, out, watched))
+            self.open.append((tag, number, out, watched, self.seen))
             self.out += out > 0
             self.hard += out == 1
 
@@ -160,8 +176,11 @@ class _Lines(HTMLParser):
                     by_class = 2
         return by_class
 
-    def close_from(self, k: int) -> None:
-        for name, number, out, watched in self.open[k:]:
+    def close_from(self, k: int, own: str | None = None) -> None:
+        """Close the open elements from the k-th on; of these only the first, if named `own`, by its own end tag."""
+        for n, (name, number, out, watched, start) in enumerate(self.open[k:]):
+            if out == 1 and name in UNCLOSED and not (n == 0 and name == own):
+                self.unclosed.add(start)
             if number >= 0:
                 self.path = self.path[:-1]
                 self.inside_article -= name in ("article", "main")
@@ -197,7 +216,7 @@ class _Lines(HTMLParser):
             self.close_from(len(self.open) - 1)
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                self.close_from(k)
+                self.close_from(k, tag)
                 break
 
     def handle_data(self, data):
@@ -238,19 +257,47 @@ def upper_cluster(values: np.ndarray) -> np.ndarray:
     return values > (low + high) / 2
 
 
+def content_lines(lines: list) -> np.ndarray:
+    """Which lines are content: the upper cluster of smoothed ratios, without lines that are mostly links."""
+    return upper_cluster(smoothed_ratios(lines)) & np.array([2 * links <= len(text) for text, _, links, *_ in lines])
+
+
+def without_link_lists(lines: list) -> list:
+    """The lines but those of the lower cluster that are mostly links and stand in a run of such lines. Headings stay."""
+    lower = ~upper_cluster(smoothed_ratios(lines)) if lines else np.zeros(0, bool)
+    linked = [bool(low) and 2 * links > len(text) and not heading for low, (text, _, links, _, heading, _) in zip(lower, lines, strict=True)]
+    kept, run = [], []
+    for line, drop in zip([*lines, None], [*linked, False], strict=True):
+        if drop:
+            run.append(line)
+            continue
+        if len(run) < LINK_RUN:
+            kept += run
+        run = []
+        if line is not None:
+            kept.append(line)
+    return kept
+
+
 def main_text(parser: _Lines, html: str) -> str:
     spared: frozenset[int] = frozenset()
-    for _ in range(2):
-        parser.clear(spared)
+    ended: frozenset[int] = frozenset()
+    for _ in range(3):
+        parser.clear(spared, ended)
         parser.feed(html)
         parser.close()
         parser.flush()
-        if spared or not (spared := parser.to_spare()):
+        parser.close_from(0)
+        if not ended and parser.unclosed:
+            ended = frozenset(parser.unclosed)
+        elif not spared and (now := parser.to_spare()):
+            spared = now
+        else:
             break
     lines = parser.lines
     if not lines:
         return ""
-    content = upper_cluster(smoothed_ratios(lines)) & np.array([2 * links <= len(text) for text, _, links, *_ in lines])
+    content = content_lines(lines)
     weight: dict[int, int] = {}
     everything: dict[int, int] = {}
     for (text, _, links, path, *_), good in zip(lines, content, strict=True):
@@ -258,15 +305,16 @@ def main_text(parser: _Lines, html: str) -> str:
             everything[number] = everything.get(number, 0) + len(text) - links
             if good:
                 weight[number] = weight.get(number, 0) + len(text)
+    total = sum(len(lines[k][0]) for k in np.flatnonzero(content))
     for kind in ("article", "main"):
         regions = [n for n in everything if parser.kinds[n] == kind]
         if regions:
             best = max(regions, key=lambda n: (weight.get(n, 0), everything[n], -n))
-            return "\n".join(text for text, _, _, path, *_ in lines if best in path)
+            if weight.get(best, 0) >= HALF * total:
+                return "\n".join(line[0] for line in without_link_lists([line for line in lines if best in line[3]]))
     if not content.any():
         return ""
     region: tuple[int, ...] = ()
-    total = sum(len(lines[k][0]) for k in np.flatnonzero(content))
     while True:
         below: dict[int, int] = {}
         for k in np.flatnonzero(content):
@@ -290,7 +338,7 @@ def main_text(parser: _Lines, html: str) -> str:
                 break
             last += 1
         inside = inside[first : last + 1]
-    return "\n".join(lines[k][0] for k in inside)
+    return "\n".join(line[0] for line in without_link_lists([lines[k] for k in inside]))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

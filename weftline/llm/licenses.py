@@ -4,14 +4,16 @@ Templates and texts are five-word shingles. A window is a stretch of consecutive
 largest of WINDOWS that the template has, so a window that lines up with the template differs from it only where the text does. A
 window's signature has BANDS minima of one row each: a stretch of which the template contains 0.8, in a row, has a Jaccard similarity of
 2/3 or more with it, and is retrieved with a probability of 1 - (1/3)^BANDS, over 0.9998. What was retrieved is then laid on the
-template where the windows met, and the share of the template's shingles found there is counted exactly.
+template where the windows met, each such place once, and the share of the template's shingles found there is counted exactly: from the
+text's shingles that stand in a template, each counted for the places that it lies in, so no row carries a whole text.
 
 Every match holds most of the template's shingles, and so one of a few long words that stand in many of them: texts with none of these
 words are dropped first, which loses no match.
 
 Defined results: words are runs outside `[\\x20\\x09-\\x0D]` of the lower-case text. A null text, and one under five words, matches nothing.
-Per document and template the largest containment counts, at its first place. Rows that repeat a doc_id count as one document. Extra
-columns are not read.
+A text of any length is read whole; what is sent of it grows with its notices. Per document and template the largest containment counts, of
+equal ones at its first place. Rows that repeat a doc_id are matched each, and the best match of each template counts. An empty table gives an
+empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ._shared import BLANKS, table
 
 SHINGLE = 5
@@ -45,37 +48,38 @@ TEMPLATES = {
 
 
 def with_shingles(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows with a column shingles: the hashes of the text's five-word shingles, in order; empty for fewer words.
+    """rows with a column shingles: the hashes of the text's five-word shingles, in order; empty for fewer words."""
+    words = F.filter(F.split(F.lower(text), BLANKS), lambda w: w != "")
 
-    The words are a column of their own first, so that they are not split anew for every shingle.
-    """
-    words = rows.withColumn("words", F.filter(F.split(F.lower(text), BLANKS), lambda w: w != ""))
-    hashed = F.transform(F.sequence(F.lit(1), F.size("words") - SHINGLE + 1), lambda i: F.xxhash64(F.array_join(F.slice("words", i, F.lit(SHINGLE)), " ")))
-    return words.withColumn("shingles", F.when(F.size("words") >= SHINGLE, hashed).otherwise(F.array().cast("array<bigint>"))).drop("words")
+    def hashed(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(SHINGLE)), " ")))
+        return F.when(F.size(w) >= SHINGLE, each).otherwise(F.array().cast("array<bigint>"))
+
+    return rows.withColumn("shingles", let(words, hashed))
 
 
-def _banded(rows: DataFrame) -> DataFrame:
-    """rows(..., shingles) with a column band_j for each band: the shingles' hashes under that band's function."""
-    return rows.withColumns({f"band_{j}": F.transform("shingles", _seeded(j)) for j in range(BANDS)})
+def _bands(shingles: Column) -> Column:
+    """The shingles' hashes under each band's function, as an array of arrays."""
+    return F.array(*(F.transform(shingles, _seeded(j)) for j in range(BANDS)))
 
 
 def _seeded(band: int):
     return lambda s: F.xxhash64(s, F.lit(band))
 
 
-def _minimum(band: int, start: Column, size: int) -> Column:
-    return F.array_min(F.slice(f"band_{band}", start, F.lit(size)))
+def _minimum(bands: Column, band: int, start: Column, size: int) -> Column:
+    return F.array_min(F.slice(F.get(bands, F.lit(band)), start, F.lit(size)))
 
 
-def _starts(size: int) -> Column:
+def _starts(shingles: Column, size: int) -> Column:
     """Where windows of `size` shingles begin, from 1."""
-    return F.when(F.size("shingles") >= size, F.sequence(F.lit(1), F.size("shingles") - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(shingles) >= size, F.sequence(F.lit(1), F.size(shingles) - size + 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _retrieved(size: int, band: int, wanted: list[int]) -> Column:
-    """The windows whose minimum in a band is one of a template's: an array of (size, band, minimum, start)."""
-    windows = F.transform(_starts(size), lambda i: F.struct(F.lit(size).alias("size"), F.lit(band).alias("band"), _minimum(band, i, size).alias("minimum"), i.alias("start")))
-    return F.filter(windows, lambda w: w["minimum"].isin(wanted))
+def _retrieved(shingles: Column, bands: Column, size: int, band: int, wanted: list[int]) -> Column:
+    """The windows whose minimum in a band is one of a template's: an array of (name, start)."""
+    windows = F.transform(_starts(shingles, size), lambda i: F.struct(_minimum(bands, band, i, size).alias("minimum"), i.alias("start")))
+    return F.transform(F.filter(windows, lambda w: w["minimum"].isin(wanted)), lambda w: F.struct(_window_name(F.lit(size), F.lit(band), w["minimum"]).alias("name"), w["start"].alias("start")))
 
 
 def _template_rows(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -106,33 +110,59 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, text: str
     templates = templates or TEMPLATES
     spark = docs.sparkSession
     # Signatures of the templates' windows; a few rows, since the templates are a parameter of the job.
-    known = _banded(_template_rows(spark, templates)).where(F.size("shingles") > 0).persist()
-    places = []
+    known = _template_rows(spark, templates).where(F.size("shingles") > 0).withColumn("bands", _bands(F.col("shingles"))).persist()
+    names = sorted(templates)
+    wanted: dict[tuple[int, int], set[int]] = {}
+    window_codes: dict[int, set[int]] = {}
     for size, larger in zip(WINDOWS, (*WINDOWS[1:], 1 << 30), strict=True):
-        fits = known.where((F.size("shingles") >= size) & (F.size("shingles") < larger)).withColumn("at", F.explode(_starts(size)))
-        for row in fits.select("license", "at", *(_minimum(j, F.col("at"), size).alias(f"m{j}") for j in range(BANDS))).collect():
-            places += [(size, j, row[f"m{j}"], row["license"], row["at"]) for j in range(BANDS)]
+        fits = known.where((F.size("shingles") >= size) & (F.size("shingles") < larger)).withColumn("at", F.explode(_starts(F.col("shingles"), size)))
+        least = [_minimum(F.col("bands"), j, F.col("at"), size) for j in range(BANDS)]
+        minima = [F.struct(m.alias("m"), _window_name(F.lit(size), F.lit(j), m).alias("name")) for j, m in enumerate(least)]
+        for row in fits.select("license", "at", F.array(*minima).alias("minima")).collect():
+            for j, (m, name) in enumerate(row["minima"]):
+                wanted.setdefault((size, j), set()).add(m)
+                window_codes.setdefault(name, set()).add(_code(names.index(row["license"])) - row["at"])
     lengths = {r["license"]: r["shingles"] for r in known.select("license", "shingles").collect()}
     known.unpersist()
-    if not places:
+    if not wanted:
         return docs.select(F.col(key).cast("long").alias("doc_id"), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_word")).limit(0)
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.lower(F.col("text")).rlike("|".join(map(re.escape, signature_words(templates, containment)))))
-    rows = _banded(with_shingles(rows).select("doc_id", "shingles"))
-    # Of each size the windows that share a band with a template, as (size, band, minimum, start).
-    found = []
-    for size in sorted({p[0] for p in places}):
-        wanted = [sorted({p[2] for p in places if p[:2] == (size, j)}) for j in range(BANDS)]
-        found += [_retrieved(size, j, wanted[j]) for j in range(BANDS)]
-    hits = rows.select("doc_id", "shingles", F.explode(F.concat(*found)).alias("hit")).select("doc_id", "shingles", "hit.*")
-    listed = F.array(*(F.struct(F.lit(s).alias("size"), F.lit(j).alias("band"), F.lit(m).alias("minimum"), F.lit(name).alias("license"), F.lit(at).alias("at")) for s, j, m, name, at in places))
-    bands = spark.range(1).select(F.inline(listed))
-    full = F.array(*(F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, s)).alias("template")) for name, s in lengths.items()))
-    # Both tables come from the templates alone, so their size does not depend on the documents.
-    laid = hits.join(F.broadcast(bands), ["size", "band", "minimum"]).join(F.broadcast(spark.range(1).select(F.inline(full))), "license")
-    laid = laid.withColumn("first", F.col("start") - F.col("at"))
-    inside = F.slice("shingles", F.greatest(F.col("first"), F.lit(0)) + 1, F.greatest(F.size("template") + F.least(F.col("first"), F.lit(0)), F.lit(0)))
-    checked = laid.select("doc_id", "license", F.greatest(F.col("first"), F.lit(0)).alias("first_word"), (F.size(F.array_intersect("template", inside)) / F.size(F.array_distinct("template"))).alias("containment"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.where(F.lower(F.col("text")).rlike("|".join(map(re.escape, signature_words(templates, containment)))))
+    # The shingles of any template, each with all codes of the stretches in which it then lies: as many as the template is long.
+    shingle_codes: dict[int, set[int]] = {}
+    for name, shingles in lengths.items():
+        for s in shingles:
+            shingle_codes.setdefault(s, set()).update(_code(names.index(name)) - d for d in range(len(shingles)))
+
+    def retrieved(shingles: Column) -> Column:
+        """Where templates begin whose windows share a band with the text's: codes of template and place, each once."""
+
+        def laid(bands: Column) -> Column:
+            hits = F.concat(*(_retrieved(shingles, bands, size, j, sorted(minima)) for (size, j), minima in sorted(wanted.items())))
+            return F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(_entries(window_codes, h["name"]), lambda base: base + h["start"]))))
+
+        return let(_bands(shingles), laid)
+
+    def inside(shingles: Column) -> Column:
+        """The text's shingles that stand in a template, with the codes of all stretches in which they lie."""
+        found = F.filter(F.transform(shingles, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: x["s"].isin(sorted(shingle_codes)))
+        return F.flatten(F.transform(found, lambda x: F.transform(_entries(shingle_codes, x["s"]), lambda base: F.struct((base + x["i"]).alias("code"), x["s"].alias("shingle")))))
+
+    def marked(shingles: Column) -> Column:
+        def with_starts(codes: Column) -> Column:
+            starts = F.transform(codes, lambda c: F.struct(c.alias("code"), F.lit(None).cast("long").alias("shingle")))
+            return F.when(F.size(codes) > 0, F.concat(starts, inside(shingles)))
+
+        return let(retrieved(shingles), with_starts)
+
+    marks = with_shingles(rows).select("doc_id", "row", F.explode(let(F.col("shingles"), marked)).alias("mark")).select("doc_id", "row", "mark.*")
+    # A set holds a template's shingles at most; nulls, which mark a retrieved place, are counted apart.
+    counted = marks.groupBy("doc_id", "row", "code").agg(F.count_if(F.col("shingle").isNull()).alias("retrieved"), F.size(F.collect_set("shingle")).alias("common")).where("retrieved > 0")
+    known_sizes = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(names.index(n)).cast("long").alias("number"), F.lit(n).alias("license"), F.lit(len(set(s))).alias("size")) for n, s in lengths.items()))))
+    # One row for each template, whose number does not depend on the documents.
+    placed = counted.withColumns({"number": F.shiftright("code", 32), "first": F.col("code").bitwiseAND((1 << 32) - 1) - _OFFSET}).join(F.broadcast(known_sizes), "number")
+    checked = placed.select("doc_id", "license", F.greatest(F.col("first"), F.lit(0)).cast("int").alias("first_word"), (F.col("common") / F.col("size")).alias("containment"))
     best = F.min(F.struct((-F.col("containment")).alias("less"), F.col("first_word")))
     return (
         checked.where(F.col("containment") >= containment)
@@ -142,6 +172,24 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, text: str
     )
 
 
+#: A code is a template's number in the upper bits, and in the lower the shingle of the text at which it begins; it may begin before the text.
+_OFFSET = 1 << 20
+
+
+def _code(number: int) -> int:
+    return (number << 32) + _OFFSET
+
+
+def _window_name(size: Column, band: Column, minimum: Column) -> Column:
+    return F.xxhash64(size, band, minimum)
+
+
+def _entries(codes: dict[int, set[int]], name: Column) -> Column:
+    """The codes that a literal map has for a name; an empty array for other names."""
+    pairs = [x for k, v in sorted(codes.items()) for x in (F.lit(k).cast("long"), F.array(*(F.lit(c).cast("long") for c in sorted(v))))]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), name), F.array().cast("array<bigint>"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 

@@ -5,11 +5,13 @@ with the smallest exponential keys -ln(u) / w, where u is a hash of the document
 prefix-summed along the keys up to the rest, and the document across the border is taken if that brings the source nearer its target.
 
 A source may hold any share of all rows, so no window runs over a source: the keys are cut into bins by a monotone function, bins
-are summed and prefix-summed, and only the one bin in which a source's border lies is sorted.
+are summed and prefix-summed, and only the one bin in which a source's border lies is looked at further. While that has many rows it is
+cut again in the same way, so whatever the weights are, only a few rows are sorted.
 
 Defined results: size is the number of runs of characters outside `[\\x20\\x09-\\x0D]`; a null text has size 0, as has an empty one.
 A null source is a source of its own, last in order. A table without words gives targets of 0. Documents of size 0 are taken with 0
-words. Ties in the keys go by doc_id; rows that repeat a doc_id share a key and fall on the same side. Extra columns are not read.
+words. A text of any length is one document and is taken whole. Ties in the keys go by doc_id; rows that repeat a doc_id share a key and fall on
+the same side. An empty table gives an empty result. Extra columns are not read, and may bear any name with `carry`.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
 MOST_EPOCHS = 2.0
 SEED = 42
-#: Bins of keys for each source; rows in a bin are about its source's rows divided by this.
+#: Bins of keys for each source, and again for a border's bin of more rows than are sorted at once.
 BINS = 4096
+SORTED_ROWS = 100_000
 #: Up to so many sources their table is broadcast, under 1 MB.
 FEW_SOURCES = 10_000
 #: A document without any letter still has this quality.
@@ -58,7 +61,7 @@ def source_targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, sh
     return free.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, *, quality: Column | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = TOTAL_SHARE, most: float = MOST_EPOCHS, seed: int = SEED, bins: int = BINS, carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, *, quality: Column | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = TOTAL_SHARE, most: float = MOST_EPOCHS, seed: int = SEED, bins: int = BINS, sorted_rows: int = SORTED_ROWS, carry: bool = False) -> DataFrame:
     """One row per row of docs(doc_id, text, source): doc_id, size, source_size, target, taken, epochs (whole copies in the mix).
 
     quality: positive sampling weight of a document; by default its share of letters. carry: the row of docs itself as the column `row`.
@@ -67,38 +70,51 @@ def mix(docs: DataFrame, *, quality: Column | None = None, weights: tuple[float,
     key = -F.log(uniform(F.col("doc_id"), seed=seed)) / (letter_share(text) if quality is None else quality)
     row = [F.struct(*docs.columns).alias("row")] if carry else []
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("key"), *row)
-    # 1 - exp(-key) spreads keys of weight 1 evenly over the bins; any other weights keep their order.
+    # 1 - exp(-key) spreads keys of weight 1 evenly over the bins; other weights make some bins larger, which are cut again below.
     binned = stored(sized.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * bins).cast("int")), "sized")
 
-    sums = binned.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
+    sums = binned.groupBy("source", "bin").agg(*_bin_facts())
     targets = source_targets(sums.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights=weights, share=share, most=most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
 
-    along = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("start", F.coalesce(F.sum("bin_size").over(along), F.lit(0)))
-    border_bin = stored(
-        starts.withColumnRenamed("source", "its")
-        .join(targets, F.col("its").eqNullSafe(F.col("source")))
-        .where((F.col("start") < F.col("rest")) & (F.col("start") + F.col("bin_size") >= F.col("rest")))
-        .select("its", F.col("bin").alias("border"), "start", "rest"),
-        "borders",
-    )
-    inside = binned.join(_small(border_bin), F.col("source").eqNullSafe(F.col("its")) & (F.col("bin") == F.col("border")))
-    sorted_bin = Window.partitionBy("its", "border").orderBy("key", "doc_id")
-    upto = F.col("start") + F.sum("size").over(sorted_bin)
+    rests = targets.select(F.col("source").alias("its"), "rest", F.lit(0).cast("long").alias("from"))
+    border = stored(_borders(sums.join(rests, F.col("source").eqNullSafe(F.col("its"))).drop("source")), "borders")
+    rows = binned.select("source", "key", "doc_id", "size")
+    inside = rows.join(_small(border), F.col("source").eqNullSafe(F.col("its")) & F.col("key").between(F.col("low"), F.col("high"))).drop("source")
+    # A bin of many unlike keys is cut into bins of equal width between its smallest and its largest key, until few rows are left to sort.
+    while (border.agg(F.max(F.when(F.col("low") < F.col("high"), F.col("rows")))).first()[0] or 0) > sorted_rows:
+        width = F.try_divide(F.col("key") - F.col("low"), F.col("high") - F.col("low"))
+        finer = inside.withColumn("bin", F.least(F.coalesce(F.floor(width * bins), F.lit(0)), F.lit(bins - 1)).cast("int"))
+        finer = finer.groupBy("its", "bin", "rest", F.col("start").alias("from")).agg(*_bin_facts())
+        border = stored(_borders(finer), "borders")
+        inside = rows.join(_small(border), F.col("source").eqNullSafe(F.col("its")) & F.col("key").between(F.col("low"), F.col("high"))).drop("source")
+    upto = F.col("start") + F.sum("size").over(Window.partitionBy("its").orderBy("key", "doc_id"))
     prefix = inside.withColumn("upto", upto)
     # Taken while the middle of the document lies before the border: the document across it goes to the nearer side.
     last = prefix.where(F.col("upto") - F.col("size") / 2 <= F.col("rest")).groupBy("its").agg(F.max(F.struct("key", "doc_id")).alias("last"))
-    borders = border_bin.select("its", "border").join(last.withColumnRenamed("its", "also"), F.col("its").eqNullSafe(F.col("also")), "left").drop("also")
+    borders = border.select("its", "low").join(last.withColumnRenamed("its", "also"), F.col("its").eqNullSafe(F.col("also")), "left").drop("also")
     plan = stored(targets.join(borders, F.col("source").eqNullSafe(F.col("its")), "left").drop("its").withColumnRenamed("source", "its"), "plan")
 
     placed = binned.join(_small(plan), F.col("source").eqNullSafe(F.col("its")))
-    chosen = F.when(F.col("rest") <= 0, F.lit(False)).otherwise((F.col("bin") < F.col("border")) | ((F.col("bin") == F.col("border")) & F.coalesce(F.struct("key", "doc_id") <= F.col("last"), F.lit(False))))
+    before = (F.col("key") < F.col("low")) | F.coalesce(F.struct("key", "doc_id") <= F.col("last"), F.lit(False))
+    chosen = F.when(F.col("rest") <= 0, F.lit(False)).otherwise(before)
     epochs = (F.col("whole") + F.coalesce(chosen, F.lit(False)).cast("int")).cast("int")
     return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * epochs).alias("taken"), epochs.alias("epochs"), *(["row"] if carry else []))
 
 
+def _bin_facts() -> list[Column]:
+    """What a bin tells: its words, rows, and smallest and largest key."""
+    return [F.sum("size").alias("bin_size"), F.count("*").alias("rows"), F.min("key").alias("low"), F.max("key").alias("high")]
+
+
+def _borders(sums: DataFrame) -> DataFrame:
+    """Of bins (its, bin, rest, from, bin_size, rows, low, high) the one of each source in which the words up to it reach `rest`."""
+    along = Window.partitionBy("its").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("start", F.col("from") + F.coalesce(F.sum("bin_size").over(along), F.lit(0)))
+    return starts.where((F.col("start") < F.col("rest")) & (F.col("start") + F.col("bin_size") >= F.col("rest"))).select("its", "rest", "start", "rows", "low", "high")
+
+
 def _small(by_source: DataFrame) -> DataFrame:
     """A table of one row for each source, marked for broadcast if there are few; else the join shuffles, and Spark splits a hot source."""
     return F.broadcast(by_source) if by_source.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES else by_source

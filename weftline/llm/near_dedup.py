@@ -3,20 +3,21 @@
 Each shingle throws darts into the plane of weight and rank: a Poisson process of intensity 1, in unit cells whose darts depend on the
 shingle's hash alone. A document of total weight L looks at darts below its weights and below rank t / L, about t = k ln k + 2k of
 them however long it is; each dart has one of k coordinates, and a coordinate keeps its dart of the lowest rank. Two documents
-agree in a coordinate with the probability of their weighted Jaccard similarity. A document with an empty coordinate doubles its rank
+agree in a coordinate with the probability of their weighted Jaccard similarity; a shingle weighs as often as it occurs. A document with an empty coordinate doubles its rank
 limit, which changes no coordinate already found.
 
-Documents with equal shingle sets are one from the start, whatever their number. In every band's bucket the smallest identifier is
+Documents with equal shingles are one from the start, whatever their number. In every band's bucket the smallest identifier is
 the centre and all others are compared with it. While a bucket's members are in several components and the pairs across these are many,
 a further centre is compared with the members of other components: the member with most links so far, which is the base of a family
 of edits. At last all pairs of a bucket that are in two components are compared, each pair once, whatever the buckets it shares, unless
 its signatures agree in under 0.65 of their coordinates, which at similarity 0.8 has a probability of under 0.0001. So
-groups of copies of any size give as many pairs as members, and no pair that shares a bucket stays apart untested. Similarity is checked exactly on the sets of shingles. With BANDS
-of ROWS a pair of similarity 0.8 shares a bucket with a probability of 0.9999.
+groups of copies of any size give as many pairs as members, and no pair that shares a bucket stays apart untested. Similarity is checked exactly, on
+the sets of occurrences of shingles. With BANDS of ROWS a pair of similarity 0.8 shares a bucket with a probability of 0.9999.
 
 Defined results: words are runs outside `[\\x20\\x09-\\x0D]` of the lower-case text; a text of 1 to 4 words is one shingle; a null text or
 one without words is a class of its own. A class is a component of links of similarity THRESHOLD or more; class_id is its smallest
-doc_id, and that document is the one kept. Rows that repeat a doc_id are in one class. Extra columns are not read.
+doc_id, and that document is the one kept. Rows that repeat a doc_id are in one class. A text of any length is read whole; its shingles are one
+row when it is compared. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -128,8 +129,10 @@ def _signer(bands: int, depth: int, weighted: bool):
                 for j in range(depth):
                     value = mix64(value ^ signature.reshape(n, bands, depth)[:, :, j])
                 sums, again = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-                np.add.at(sums, row, mix64(element ^ np.uint64(1)))
-                np.add.at(again, row, mix64(element ^ np.uint64(2)))
+                every = _occurrences(element, count) if weighted else element
+                of = np.repeat(row, count) if weighted else row
+                np.add.at(sums, of, mix64(every ^ np.uint64(1)))
+                np.add.at(again, of, mix64(every ^ np.uint64(2)))
             size = np.bincount(row, minlength=n)
             none = pa.array(size == 0)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(value.reshape(-1).view(np.int64)), mask=none)
@@ -143,17 +146,30 @@ def _signer(bands: int, depth: int, weighted: bool):
     return run
 
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "body", 2 << 20):
-        row, element, _ = shingles(*text_bytes(batch.column("body")))
-        at = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(element.view(np.int64)))], names=["doc_id", "shingles"])
+def _occurrences(element: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A name for each occurrence: the first, second, ... of an element. The sets of these names have the weighted similarity of the elements."""
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    with np.errstate(over="ignore"):
+        return mix64(np.repeat(element, count) + nth.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+
+
+def _shingle_sets(weighted: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "body", 2 << 20):
+            row, element, count = shingles(*text_bytes(batch.column("body")))
+            if weighted:
+                row, element = np.repeat(row, count), _occurrences(element, count)
+            at = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(element.view(np.int64)))], names=["doc_id", "shingles"])
+
+    return run
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighted: bool = True, margin: float | None = AGREEMENT_MARGIN) -> DataFrame:
     """doc_id, class_id, class_size and kept of each row of docs.
 
-    weighted: give a shingle the weight of its number of occurrences when signing; the check is on sets in either case.
+    weighted: a shingle weighs its number of occurrences, in signatures and in the check; else it weighs 1. margin: pairs of two components
+    that share a bucket are compared if their signatures agree in threshold - margin of the coordinates; None compares all of them.
     """
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("body"))
     signed = stored(texts.mapInArrow(_signer(bands, rows, weighted), "doc_id long, set_a long, set_b long, bands array<long>, marks array<tinyint>"), "signatures")
@@ -162,7 +178,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
         .select("set_a", "set_b", F.col("least.doc_id").alias("rep"), "n", "least.bands", "least.marks"),
         "sets",
     )
-    roots = _links(texts, sets.select("rep", F.explode("bands").alias("bucket")), sets.select("rep", "marks"), threshold)
+    roots = _links(texts, sets.select("rep", F.explode("bands").alias("bucket")), sets.select("rep", "marks"), threshold, weighted, margin)
     classed = sets.select("set_a", "set_b", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class_id", F.coalesce("root", "rep"))
     sizes = classed.groupBy("class_id").agg(F.sum("n").alias("class_size"))
     named = classed.select("set_a", "set_b", "class_id").join(sizes, "class_id")
@@ -172,13 +188,13 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     )
 
 
-def _links(texts: DataFrame, buckets: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+def _links(texts: DataFrame, buckets: DataFrame, marks: DataFrame, threshold: float, weighted: bool, margin: float | None) -> DataFrame:
     """node, root of the components of links of similarity threshold or more between representatives that share a bucket."""
     many = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     now = stored(buckets.select("bucket", "rep").join(many, "bucket", "left_semi"), "members")
     wanted = now.select(F.col("rep").alias("doc_id")).distinct()
     # Representatives are documents; the texts meet their identifiers once, for all rounds.
-    sets = stored(texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_shingle_sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "shingles")
+    sets = stored(texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_shingle_sets(weighted), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "shingles")
     a, b = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
     tested = Appended(texts.sparkSession, "tested", "u long, v long, ok boolean")
@@ -216,7 +232,7 @@ def _links(texts: DataFrame, buckets: DataFrame, marks: DataFrame, threshold: fl
     both = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))
     once = F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket")
     # Signatures that agree this little are of sets of similarity `threshold` with a probability of under 0.0001.
-    alike = F.size(F.filter(F.zip_with("x.marks", "y.marks", lambda m, n: m == n), lambda same: same)) >= (threshold - AGREEMENT_MARGIN) * F.size("x.marks")
+    alike = F.size(F.filter(F.zip_with("x.marks", "y.marks", lambda m, n: m == n), lambda same: same)) >= (threshold - (1.0 if margin is None else margin)) * F.size("x.marks")
     return check(x.join(y, both & once & alike).select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")))
 
 
@@ -237,10 +253,11 @@ QUERIES = {"op8_near_dedup": op8_near_dedup}
 SQL = {
     "op8_near_dedup": r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')]
+g AS (SELECT doc_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')]
   ELSE list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM w),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+s AS (SELECT doc_id, g, count(*) AS times FROM g GROUP BY ALL),
+n AS (SELECT doc_id, sum(times) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, sum(least(a.times, b.times)) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE c::DOUBLE / (x.n + y.n - c) >= 0.8),
 both_ways AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
 reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, b.v FROM reach r JOIN both_ways b ON r.other = b.u),

@@ -9,7 +9,8 @@ that their joins move; at the end, scores are computed from the original vectors
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, as queries or as candidates. Shorter
 vectors count as padded with zeros. Ties go to the smaller identifier. A query with fewer candidates than asked for gets all that
-it can reach. Rows that repeat an identifier count as copies. An empty table gives an empty result. Extra columns are not read.
+it can reach. Rows that repeat an identifier and a vector count as copies; of an identifier with several vectors each is a candidate, and the one
+that has the smallest identifier among its copies is asked, once. A walk goes on until all of its best nodes are open. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -29,14 +30,13 @@ BACK = 30
 BLOCK = 128
 ORDERS = 6
 ROUNDS = 8
-#: Of a node's new links a task gives the best, LINKS / FOUND_SHARE of them; what is left out is found again in the next round.
-FOUND_SHARE = 3
+#: Of a node's new links each group gives its best so many; what is left out is found again in the next round.
+FOUND = 4
 #: Rounds end when under this share of all links is new.
 SETTLED = 0.01
 BEAM = 200
 #: Nodes that a query opens in one step.
-OPENED = 20
-STEPS = 20
+OPENED = 64
 SEED = 42
 
 
@@ -169,22 +169,20 @@ def _joiner(width: int, links: int):
                 continue
             s = x[low:high] @ x[low:high].T
             np.fill_diagonal(s, -2.0)
-            good = s > least[low:high, None] + 1e-7
-            h, t = np.nonzero(good)
-            if len(h):
-                heads.append(ids[low + h])
-                tails.append(ids[low + t])
-                scores.append(s[h, t])
+            # Of each node its group's best few, so what is given does not depend on how groups lie in batches and tasks.
+            few = _best(s, min(most, high - low - 1))
+            h = np.repeat(np.arange(high - low), few.shape[1])
+            t = few.reshape(-1)
+            good = s[h, t] > least[low + h] + 1e-7
+            heads.append(ids[low + h[good]])
+            tails.append(ids[low + t[good]])
+            scores.append(s[h[good], t[good]])
         if heads:
             h, t, s = np.concatenate(heads), np.concatenate(tails), np.concatenate(scores).astype(np.float64)
-            # Of each node this task's best few.
-            order = np.lexsort((t, -s, h))
+            order = np.lexsort((t, h))
             h, t, s = h[order], t[order], s[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])])
-            h, t, s = h[new], t[new], s[new]
-            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            keep = np.arange(len(h)) - np.repeat(start, np.diff(np.append(start, len(h)))) < most
-            yield pa.record_batch([pa.array(h[keep]), pa.array(t[keep]), pa.array(s[keep])], names=["node", "link", "score"])
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])]) if len(h) else np.zeros(0, bool)
+            yield pa.record_batch([pa.array(h[new]), pa.array(t[new]), pa.array(s[new])], names=["node", "link", "score"])
 
     return run
 
@@ -205,7 +203,7 @@ def build_graph(nodes: DataFrame, *, width: int, count: int, links: int = LINKS,
         least = graph.select("node", F.when(F.size("links") >= links, F.element_at("links", -1)["score"]).otherwise(F.lit(-2.0)).alias("least"))
         known = nodes.select("node", "code").join(least, "node", "left").fillna({"least": -2.0})
         brought = group.join(known, "node").repartition("hub").sortWithinPartitions("hub").select("hub", "node", "least", "code")
-        found = brought.mapInArrow(_joiner(width, max(1, links // FOUND_SHARE)), _EDGE).join(edges.select("node", "link"), ["node", "link"], "left_anti").withColumn("new", F.lit(True))
+        found = brought.mapInArrow(_joiner(width, FOUND), _EDGE).join(edges.select("node", "link"), ["node", "link"], "left_anti").withColumn("new", F.lit(True))
         # Pairs are found anew at different hubs with the same score, so the set drops repeats.
         scored = edges.withColumn("new", F.lit(False)).union(found)
         best = F.slice(F.sort_array(F.collect_set(F.struct("score", "link", "new")), asc=False), 1, links)
@@ -228,7 +226,7 @@ def _scorer(width: int, carry: list[str], a: str, b: str, coded: bool):
     return run
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, width: int, beam: int = BEAM, opened: int = OPENED, steps: int = STEPS) -> DataFrame:
+def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, width: int, beam: int = BEAM, opened: int = OPENED) -> DataFrame:
     """Greedy graph search: query, node, score of the best `beam` nodes of each row of queries(query, code, entry)."""
     out = graph.select("node", F.explode("links.link").alias("to"))
     back = graph.select(F.explode("links").alias("e"), F.col("node").alias("to")).select(F.col("e.link").alias("node"), "to", F.col("e.score").alias("score"))
@@ -241,7 +239,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, width: int
 
     pool = stored(scored(queries.select("query", F.col("entry").alias("node"))).withColumn("open", F.lit(False)), "pool")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-    for _ in range(steps):
+    while True:  # every step opens nodes that stay open, so it ends
         # Nodes to open: the best of the pool that are still closed.
         closed = pool.where("NOT open").withColumn("place", F.row_number().over(best)).where(F.col("place") <= opened)
         fresh = closed.join(ways, "node").select("query", F.explode("ways").alias("node")).distinct().join(pool, ["query", "node"], "left_anti")
@@ -265,8 +263,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", v
     width = width or 1
     coded = stored(nodes.select("node", "vector").mapInArrow(_coder(width), "node long, code binary"), "codes")
     graph = build_graph(coded, width=width, count=count)
-    asked = queries.select(F.col(id_col).cast("long").alias("query"), F.col(vec_col).alias("q")).where(usable(F.col("q"))).distinct()
-    entered = asked.join(nodes.select(F.col("vector").alias("q"), F.col("node").alias("entry")), "q").dropDuplicates(["query"])
+    asked = queries.select(F.col(id_col).cast("long").alias("query"), F.col(vec_col).alias("q")).where(usable(F.col("q")))
+    entered = asked.join(nodes.select(F.col("vector").alias("q"), F.col("node").alias("entry")), "q")
+    # Of an identifier's several vectors the one with the smallest node is asked.
+    entered = entered.groupBy("query").agg(F.min_by(F.struct("q", "entry"), "entry").alias("asked")).select("query", "asked.*")
     entered = stored(entered.join(coded.withColumnRenamed("node", "entry"), "entry").select("query", "q", "entry", "code"), "queries")
     found = search(coded, graph, entered, width=width)
     pairs = found.select("query", "node").join(nodes, "node").join(entered.select("query", "q"), "query")

@@ -6,13 +6,15 @@ further on, for 8, 16 and 32 bytes. At 32 bytes positions are sorted and those o
 more by two hashes of all LENGTH bytes. Neighbouring positions mostly
 share their key, so a task sends runs of positions as one stretch of text (about 3 bytes for each byte of the input, before
 compression), with all places of its block of documents where the same stretch stands; a stretch with many copies goes once for
-each block. Ranking all positions in every round over Spark's shuffle instead would send some 50 bytes for each byte and round.
+each block. A key that many positions have is joined with the smallest word by a second hash, which equal strings share as well, so a
+frequent word does not fill one bucket. Ranking all positions in every round over Spark's shuffle instead would send some 50 bytes for each byte and round.
 
 Of each rank the smallest doc_id is found, and a position with a smaller doc_id than its own marks its LENGTH bytes. Marks are gathered by
 document and joined with the text.
 
-Defined results: a null text counts as empty. Texts under LENGTH bytes lose nothing. A string that repeats in its own document only is
-kept. Rows that repeat a doc_id do not remove from one another; each is a row of the result. Extra columns are not read.
+Defined results: a null text counts as empty. Texts under LENGTH bytes lose nothing; a text of any length is cut whole. A string that repeats
+in its own document only is kept. Of equal strings in several documents those of the smallest doc_id stay. Rows that repeat a doc_id do not
+remove from one another; each is a row of the result. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ LENGTH = 50
 WORD = 8
 #: Text bytes for each bucket of keys.
 BUCKET_BYTES = 3 << 20
+PARTITION_BUCKETS = 4
+#: Documents that tell which keys are frequent, and the share of all positions from which a key may be.
+SAMPLE_DOCS = 2000
+LEAST_SHARE = 2e-6
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -55,11 +61,43 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (width - have)], out[width - have :]) if have < width else out
 
 
-def stretches(body: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _keys(body: np.ndarray, length: int, frequent: np.ndarray) -> np.ndarray:
+    """The key of each position: the smallest word, by hash, within `length` bytes; with a frequent one, the smallest by a second hash too."""
+    words = _words(body)[: len(body) - WORD + 1]
+    key = _least(mix64(words), length - WORD + 1)
+    if len(frequent):
+        hot = frequent[np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)] == key
+        if hot.any():
+            key = np.where(hot, _double(key, _least(mix64(words ^ _B), length - WORD + 1)), key)
+    return key
+
+
+def _key_counts(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "body"):
+            body, _ = text_bytes(batch.column("body"))
+            if len(body) >= length:
+                key, n = np.unique(_keys(body, length, np.zeros(0, np.uint64)), return_counts=True)
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+    return run
+
+
+def _frequent_keys(rows: DataFrame, length: int, buckets: int) -> np.ndarray:
+    """Keys of a large share of the positions, from a sample of documents by hash. They only steer how work is dealt, not what is found."""
+    share = max(1, rows.count() // SAMPLE_DOCS)
+    counted = rows.where(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(share)) == 0).mapInArrow(_key_counts(length), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    # At most 1 / LEAST_SHARE keys.
+    found = counted.where(F.col("n") > total * max(LEAST_SHARE, 0.25 / buckets)).select("key").toPandas()["key"].to_numpy(np.int64) if total else np.zeros(0, np.int64)
+    return np.sort(found.view(np.uint64))
+
+
+def stretches(body: np.ndarray, at: np.ndarray, length: int = LENGTH, frequent: np.ndarray = np.zeros(0, np.uint64)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Key, row, first position and number of positions of each run of positions with the same key."""
     if len(body) < length:
         return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3
-    key = _least(mix64(_words(body)[: len(body) - WORD + 1]), length - WORD + 1)
+    key = _keys(body, length, frequent)
     # Positions from which `length` bytes stay within their row.
     size = np.maximum(np.diff(at) - length + 1, 0)
     inside = np.zeros(len(key) + 1, np.int32)
@@ -77,11 +115,11 @@ def stretches(body: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[n
     return key[start], row, start, end - start
 
 
-def _cutter(buckets: int, length: int):
+def _cutter(buckets: int, length: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "body"):
             body, at = text_bytes(batch.column("body"))
-            key, row, start, count = stretches(body, at, length)
+            key, row, start, count = stretches(body, at, length, frequent)
             if not len(key):
                 continue
             size = count + length - 1
@@ -246,8 +284,9 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).cast("binary").alias("body"))
     total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    cut = rows.mapInArrow(_cutter(buckets, length), "bucket int, block binary")
-    spans = cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_ranker(length), "doc_id long, mark long, span long")
+    cut = rows.mapInArrow(_cutter(buckets, length, _frequent_keys(rows, length, buckets)), "bucket int, block binary")
+    # So many partitions that each reads the same amount, whatever the size of the input.
+    spans = cut.repartition(max(1, -(-buckets // PARTITION_BUCKETS)), "bucket").sortWithinPartitions("bucket").mapInArrow(_ranker(length), "doc_id long, mark long, span long")
     return stored(spans.groupBy("doc_id", "mark").agg(F.collect_list("span").alias("spans")), "spans")
 
 
