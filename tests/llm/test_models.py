@@ -93,6 +93,25 @@ def test_pitman_yor_counts_and_held_out_gain(spark, sf_dir):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_pitman_yor_scores_each_repeated_row(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "d e"), (2, None), (2, ""), (3, "a b c"), (None, "a b")]
+    got = pitman_yor.score(docs(spark, rows), F.lit(True)).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 3), (1, 3), (1, 4), (1, 4), (2, 1), (2, 1), (3, 4)]
+    assert len({round(r.score, 9) for r in got if r.n_tokens == 4}) == 1 and {r.train_tokens for r in got} == {20}
+
+
+@pytest.mark.parametrize("customers,others,base", [(40, 5.0, 0.1), (5000, 50.0, 0.02), (200_000, 500.0, 0.3)])
+def test_tables_of_a_restaurant_have_their_mean(customers, others, base):
+    """The expected number of tables follows from a recursion, one customer at a time, whatever the number of customers."""
+    d, mean = 0.75, 1.0
+    for n in range(1, customers):
+        fresh = (others + d * mean) * base
+        mean += fresh / (n - d * mean + fresh)
+    names = np.arange(400, dtype=np.uint64) * np.uint64(7919)
+    t = pitman_yor.seat(np.full(400, customers), np.full(400, others), np.full(400, base), names, d)
+    assert abs(t.mean() / mean - 1) < 0.05 and t.min() >= 1 and t.max() <= customers
+
+
 def test_pitman_yor_probabilities_sum_to_one(spark):
     """Texts of one word each, over all words and an unknown one: the probabilities after the start of a text sum to 1."""
     words = [f"w{k % 17}" for k in range(300)]
@@ -108,8 +127,10 @@ def test_pitman_yor_probabilities_sum_to_one(spark):
 
 def test_pitman_yor_defined_results(spark):
     frame = docs(spark, [(1, None), (2, ""), (3, "Aé b"), (3, "c"), (4, "x " * 20000)]).withColumns({"train": F.lit("t"), "block": F.lit(1)})
-    got = {r.doc_id: r for r in pitman_yor.score(frame, F.lit(True)).collect()}
-    assert got[1].n_tokens == got[2].n_tokens == 1 and got[3].n_tokens == 5 and got[4].n_tokens == 20001
+    rows = pitman_yor.score(frame, F.lit(True)).collect()
+    assert sorted(r.n_tokens for r in rows if r.doc_id == 3) == [2, 3]  # rows that repeat a doc_id are scored each
+    got = {r.doc_id: r for r in rows}
+    assert got[1].n_tokens == got[2].n_tokens == 1 and got[4].n_tokens == 20001
     assert all(math.isfinite(r.score) for r in got.values())
     nothing = pitman_yor.score(frame, F.lit(False)).collect()
     assert {r.n_known for r in nothing} == {0} and all(math.isfinite(r.score) for r in nothing)

@@ -10,10 +10,12 @@ One shuffle brings all occurrences of a word together (a frequent word is cut by
 grows with the corpus. Words by bucket are then a table in the shared folder; each sweep is a pass over it that needs the totals of the
 sweep before and returns its own, summed by Spark: CONTEXTS numbers, and one for each frequent word, of which there are at most
 1 / LEAST_SHARE. Random numbers are hashes of word, context, sweep and customer, so neither partitioning nor lost executors change a result.
-For the customers after SINGLE of one dish in one restaurant, blocks of a sixteenth draw their number of new tables at once.
+Customers of one dish in one restaurant come in blocks of a sixteenth of those seated before, one by one at first; a block draws its number of
+new tables from a binomial distribution.
 
-Defined results: a null text counts as empty and has one token, the end. Rows that repeat a doc_id count as one document with the tokens
-of all. Without training documents all words are unknown; N and V are then 0. Extra columns are not read.
+Defined results: a null text counts as empty and has one token, the end. Rows that repeat a doc_id are scored each. A text of any length is read
+whole. Words of equal counts have no order. Without training documents all words are unknown; N and V are then 0. An empty table gives an empty
+result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ BUCKET_BYTES = 6 << 20
 SAMPLE_DOCS = 2000
 #: Words of a smaller share of all tokens are never cut.
 LEAST_SHARE = 1e-5
-#: Customers of a dish in a restaurant who are seated singly.
-SINGLE = 512
+#: One in so many of the customers seated so far comes at once, at least one.
+BLOCK = 16
 _END, _START = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
 
 
@@ -179,30 +181,45 @@ def seat(customers: np.ndarray, others: np.ndarray, base: np.ndarray, name: np.n
     tables = (customers > 0).astype(np.float64)
     order = np.argsort(-customers, kind="stable")
     c, o, b, key, t = customers[order], others[order], base[order], name[order], tables[order]
-    many = np.searchsorted(-c, -np.arange(2, SINGLE + 1), side="right")  # how many dishes have that many customers
-    for n, m in enumerate(many, 2):
-        if not m:
-            break
-        fresh = (o[:m] + discount * t[:m]) * b[:m]
-        with np.errstate(over="ignore"):
-            u = to_unit(mix64(key[:m] + np.uint64(n)))
-        t[:m] += u * (n - 1 - discount * t[:m] + fresh) < fresh
-    n = SINGLE
-    m = int(np.searchsorted(-c, -(n + 1), side="right"))
+    n = 1
+    m = int(np.searchsorted(-c, -(n + 1), side="right"))  # dishes with more than n customers
     while m:
-        size = np.minimum(c[:m] - n, max(1, n // 16)).astype(np.float64)
+        # Up to 15 customers come one by one; then a sixteenth of those seated comes at a time, each with the same chance of a new table.
+        size = np.minimum(c[:m] - n, max(1, n // BLOCK)).astype(np.int64)
         fresh = (o[:m] + discount * t[:m]) * b[:m]
-        mean = size * fresh / (n + size / 2 - discount * t[:m] + fresh)
-        with np.errstate(over="ignore"):
-            u, v = to_unit(mix64(key[:m] + np.uint64(n))), to_unit(mix64(key[:m] ^ np.uint64(n)))
-        normal = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
-        t[:m] += np.clip(np.floor(mean + np.sqrt(mean) * normal + u), 0, size)
-        n += max(1, n // 16)
+        t[:m] += _binomial(size, fresh / (n - discount * t[:m] + fresh + (size - 1) / 2), key[:m], n)
+        n += max(1, n // BLOCK)
         m = int(np.searchsorted(-c, -(n + 1), side="right"))
     tables[order] = t
     return tables
 
 
+def _binomial(size: np.ndarray, p: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """A binomial draw for each entry by inverting its distribution at a hash of key and n; in the far tail of large sizes the sum stops."""
+    with np.errstate(over="ignore"):
+        u = to_unit(mix64(key + np.uint64(n)))
+    p = np.clip(p, 0.0, 1.0 - 1e-12)
+    out = np.zeros(len(size))
+    with np.errstate(under="ignore"):
+        log_none = size * np.log1p(-p)
+        # Where no success is too unlikely to be a number, the mean is large and the distribution is normal to well within a table.
+        wide = log_none < -600
+        if wide.any():
+            again = to_unit(mix64(key[wide] ^ np.uint64(n)))
+            spread = np.sqrt(-2 * np.log(u[wide])) * np.cos(2 * np.pi * again)
+            out[wide] = np.clip(np.rint(size[wide] * p[wide] + np.sqrt(size[wide] * p[wide] * (1 - p[wide])) * spread), 0, size[wide])
+        term = np.where(wide, 1.0, np.exp(np.maximum(log_none, -600)))
+        upto, k = term.copy(), 0
+        live = np.flatnonzero((u > upto) & ~wide)
+        while len(live):
+            term[live] *= (size[live] - k) / (k + 1) * p[live] / (1 - p[live])
+            upto[live] += term[live]
+            k += 1
+            out[live] = k
+            live = live[(u[live] > upto[live]) & (k < size[live])]
+    return out
+
+
 class _Chain:
     """The seats of one bucket's words, sweep after sweep."""
 
@@ -411,17 +428,26 @@ def _plan(rows: DataFrame) -> Plan:
 
 
 def score(docs: DataFrame, train: Column, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of each document; the model learns from the rows where train is true."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of docs; the model learns from the rows where train is true.
+
+    Inside, a row goes by a hash of doc_id and text: rows that repeat both have the same scores, and share out what was summed for them.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    named = docs.select(F.col(key).cast("long").alias("own"), F.xxhash64(F.col(key).cast("long"), body).alias("doc_id"), body.alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    rows = named.select("doc_id", "text", "train")
     plan = _plan(rows)
     packed = rows.mapInArrow(_packer(plan), "bucket int, block binary")
     words = stored(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge, _MERGED), "words")
     _learn(words, plan)
     sums = words.select("pairs", "tokens").mapInArrow(_scorer(plan), "block long, sums binary")
     parts = sums.repartition("block").sortWithinPartitions("block").mapInArrow(_documents, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    # A document is in one block; only rows that repeat a doc_id meet here.
-    summed = parts.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
-    return summed.withColumn("train_tokens", F.lit(int(plan.tokens)).cast("long"))
+    # A row is in one block; only rows that repeat doc_id and text meet here.
+    totals = ("n_tokens", "n_known", "base_score", "score")
+    summed = parts.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in totals))
+    times = named.groupBy("doc_id", "own").agg(F.count("*").alias("times"))
+    each = summed.join(times, "doc_id").select("own", "times", *((F.col(c) / F.col("times")).cast("long" if c[0] == "n" else "double").alias(c) for c in totals))
+    each = each.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return each.select(F.col("own").alias("doc_id"), *totals, F.lit(int(plan.tokens)).cast("long").alias("train_tokens"))
 
 
 def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
