@@ -172,3 +172,14 @@ def _next(row, a, y):
     for k, b in enumerate(y):
         out.append(row[k] + 1 if a == b else max(out[-1], row[k + 1]))
     return out
+
+
+def test_json_report_names_its_inputs(spark):
+    import json
+
+    from weftline.sources import records as R
+
+    frame = spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string")
+    report = json.loads(R.json_report(frame.agg(F.count("*").alias("n")), {"gold": frame, "again": frame.repartition(3).select("t", "id"), "other": frame.limit(1)}))
+    assert report["rows"] == [{"n": 2}] and report["inputs"]["gold"] == report["inputs"]["again"] != report["inputs"]["other"]
+    assert len(report["inputs"]["gold"]["sha256"]) == 64

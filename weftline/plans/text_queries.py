@@ -474,3 +474,23 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark)
     docs(spark, sf_dir).createOrReplaceTempView("weftline_documents")
     return spark.sql("SELECT lang, count(*) AS n, sum(size(text_words(text))) AS words, sum(size(text_sentences(text))) AS sentences FROM weftline_documents GROUP BY lang")
+
+
+_D = r"\p{Nd}"
+
+
+@query(
+    "extracted_dates",
+    rf"""SELECT doc_id, array_to_string(list_concat(list_concat(regexp_extract_all(text, '{_D}{{4}}[{WS}]+[^{WS}]+[{WS}]+{_D}{{1,2}}'), regexp_extract_all(text, '{_D}{{1,2}}[/-]{_D}{{1,2}}[/-]{_D}{{2,4}}')), regexp_extract_all(text, '{_D}{{4}}[/-]{_D}{{1,2}}[/-]{_D}{{1,2}}')), '|') AS dates
+FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {literal_sql("doc_id text", [(-1, "On 2026 May 16 and 3/4/2025, not 2024-12-01x")])})""",
+)
+def extracted_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F27 on all documents and a given row."""
+    rows = docs(spark, sf_dir, "doc_id", "text").unionByName(literal(spark, "doc_id text", [(-1, "On 2026 May 16 and 3/4/2025, not 2024-12-01x")]))
+    return rows.select("doc_id", F.array_join(T.dates(F.col("text")), "|").alias("dates"))
+
+
+@query("percent_format", "SELECT lang, printf('%.2f%%', 100.0::DOUBLE * count(*) FILTER (length(text) > 2000) / count(*)) AS long_share FROM documents GROUP BY lang")
+def percent_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a share as a report prints it."""
+    return docs(spark, sf_dir, "lang", "text").groupBy("lang").agg(T.percent(F.count_if(F.length("text") > 2000) / F.count("*")).alias("long_share"))

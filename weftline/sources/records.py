@@ -99,3 +99,18 @@ def markdown(report: DataFrame, most: int = 200) -> str:
         raise ValueError(f"over {most} rows")
     head = "| " + " | ".join(report.columns) + " |\n|" + "---|" * len(report.columns)
     return "\n".join([head, *("| " + " | ".join("-" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows)])
+
+
+def table_digest(df: DataFrame) -> str:
+    """SHA-256 of a table's rows whatever their order: of the number of rows and the sums of parts of the rows' own hashes."""
+    row = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
+    parts = [F.sum(F.conv(F.substring(row, k * 8 + 1, 8), 16, 10).cast("decimal(20,0)")).alias(f"s{k}") for k in range(8)]
+    return hashlib.sha256("|".join(map(str, df.agg(F.count("*"), *parts).first())).encode()).hexdigest()
+
+
+def json_report(report: DataFrame, inputs: dict[str, DataFrame], most: int = 200) -> str:
+    """SNK6: a small report as JSON, with the digest of each input table; a report of more than `most` rows fails."""
+    rows = report.limit(most + 1).toJSON().collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows")
+    return json.dumps({"inputs": {name: {"sha256": table_digest(df)} for name, df in inputs.items()}, "rows": [json.loads(r) for r in rows]}, ensure_ascii=False, indent=2)
