@@ -210,6 +210,41 @@ def match_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
 
 
+_BLEU_SQL = f"""CASE WHEN {_ALL_POSITIVE} THEN (CASE WHEN len(a) >= len(b) THEN 1.0::DOUBLE ELSE exp(1 - len(b)::DOUBLE / len(a)) END)
+  * exp((ln(o1.common::DOUBLE / o1.na) + ln(o2.common::DOUBLE / o2.na) + ln(o3.common::DOUBLE / o3.na) + ln(o4.common::DOUBLE / o4.na)) / 4) ELSE 0 END"""
+
+
+@query(
+    "category_evaluation",
+    f"""{_joined()}, x AS (SELECT p.lang, len(a) AS na, len(b) AS nb, a = b AS same, NOT regexp_matches(array_to_string(a, ' '), '[A-Za-z]') AS foreign_script, {_f1(1)} AS r1, {_f1(2)} AS r2, round({_BLEU_SQL}, 6) AS bleu {_from(4)})
+SELECT lang, count(*) AS n, round(avg(r1), 4) AS rouge1, round(avg(r2), 4) AS rouge2, round(avg(bleu), 4) AS bleu, count(*) FILTER (same) AS exact, round(avg(na), 2) AS mean_words, round(avg(nb), 2) AS mean_reference_words,
+  round(avg(na::DOUBLE / nullif(nb, 0)), 3) AS length_ratio, count(*) FILTER (na = 0) AS empty, count(*) FILTER (na > 0 AND foreign_script) AS without_script, count(*) FILTER (na BETWEEN 1 AND 3) AS under_4,
+  count(*) FILTER (na BETWEEN 4 AND 7) AS from_4_to_7, count(*) FILTER (na BETWEEN 8 AND 10) AS from_8_to_10, count(*) FILTER (na > 10) AS over_10 FROM x GROUP BY ROLLUP (lang)""",
+)
+def category_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores, rates and length buckets in one pass, by category and, with a null category, overall."""
+    p = pairs(spark, sf_dir)
+    row = p.select("doc_id", "lang", F.size("a").alias("na"), F.size("b").alias("nb"), (F.col("a") == F.col("b")).alias("same"), T.has_script(F.array_join("a", " ")).alias("script"))
+    o = row.join(M.overlaps(p, "doc_id", "a", "b", {str(n): n for n in (1, 2, 3, 4)}), "doc_id")
+    na, nb = F.col("na"), F.col("nb")
+    f1 = {n: r6(M.rouge_f1(F.col(f"common_{n}"), F.col(f"a_{n}"), F.col(f"b_{n}"))) for n in (1, 2)}
+    x = o.withColumns({"r1": f1[1], "r2": f1[2], "bleu": r6(M.bleu4({n: (F.col(f"common_{n}"), F.col(f"a_{n}")) for n in (1, 2, 3, 4)}, na, nb))})
+    return x.rollup("lang").agg(
+        F.count("*").alias("n"),
+        *(F.round(F.avg(c), 4).alias(n) for n, c in (("rouge1", "r1"), ("rouge2", "r2"), ("bleu", "bleu"))),
+        F.count_if("same").alias("exact"),
+        F.round(F.avg(na), 2).alias("mean_words"),
+        F.round(F.avg(nb), 2).alias("mean_reference_words"),
+        F.round(F.avg(F.try_divide(na, nb)), 3).alias("length_ratio"),
+        F.count_if(na == 0).alias("empty"),
+        F.count_if((na > 0) & ~F.col("script")).alias("without_script"),
+        F.count_if(na.between(1, 3)).alias("under_4"),
+        F.count_if(na.between(4, 7)).alias("from_4_to_7"),
+        F.count_if(na.between(8, 10)).alias("from_8_to_10"),
+        F.count_if(na > 10).alias("over_10"),
+    )
+
+
 _HEAD = f"h AS (SELECT doc_id, lang, len({words_sql('s')}) AS n, s FROM (SELECT doc_id, lang, ({sentences_sql('text', 1)})[1] AS s FROM documents))"
 
 
