@@ -115,3 +115,21 @@ def test_empty_tables(spark):
     e = C.with_edits(frame).withColumn("unseen", F.col("gold"))
     assert C.metrics(C.partial_sums(e, ["category"]), ["category"]).count() == 0
     assert C.apply_scripts(frame.withColumn("script", F.lit("KEEP"))).count() == 0
+
+
+def test_consensus_and_divergence_against_plain_ratios(spark):
+    import difflib
+    import random
+
+    draw = random.Random(5)
+    texts = [["".join(draw.choice("ab c") for _ in range(draw.randint(0, 30))) for _ in range(4)] for _ in range(40)]
+
+    def alike(a, b):
+        return difflib.SequenceMatcher(None, a, b).ratio()
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t array<string>")
+    got = rows.select("id", E.pick_consensus("t").alias("chosen"), E.style_divergence(F.col("t")[0], F.col("t")[1]).alias("far")).orderBy("id").collect()
+    for r, t in zip(got, texts, strict=True):
+        support = [sum(alike(a, b) for b in t) for a in t]
+        assert support[t.index(r.chosen)] == pytest.approx(max(support))
+        assert r.far == pytest.approx(100 * (1 - alike(t[0], t[1])))

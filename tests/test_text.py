@@ -83,3 +83,18 @@ def test_versions_and_families(spark):
 def test_composite(spark):
     frame = spark.createDataFrame([("Category: Sports\nArticle: a\nb",), ("just text",)], "f string")
     assert [tuple(r) for r in frame.select(*Q.composite(F.col("f"))).collect()] == [("Sports", "a\nb"), ("General", "just text")]
+
+
+def test_table_functions(spark):
+    from weftline.functions.register import register
+
+    register(spark)
+    spark.createDataFrame([(1, "One is here now.  Two is there then.", "One was here now. Two is there"), (2, None, None), (3, "", "a")], "id int, a string, b string").createOrReplaceTempView("weftline_pairs")
+
+    def rows(call):
+        return [tuple(r) for r in spark.sql(f"SELECT d.id, r.* FROM weftline_pairs d, LATERAL {call} AS r ORDER BY 1, 2").collect()]
+
+    assert rows("text_sentence_rows(d.a)") == [(1, 0, "One is here now."), (1, 1, "Two is there then.")]
+    assert [r[2] for r in rows("text_word_rows(d.a)")] == "One is here now. Two is there then.".split()
+    edits = spark.sql("SELECT d.id, r.* FROM weftline_pairs d, LATERAL text_edit_rows(d.a, d.b) AS r WHERE d.id <> 2 ORDER BY 1, 2").collect()
+    assert [tuple(r) for r in edits] == [(1, 1, 2, ["is"], ["was"]), (1, 7, 8, ["then."], []), (3, 0, 0, [], ["a"])]

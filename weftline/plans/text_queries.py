@@ -476,6 +476,23 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT lang, count(*) AS n, sum(size(text_words(text))) AS words, sum(size(text_sentences(text))) AS sentences FROM weftline_documents GROUP BY lang")
 
 
+@query(
+    "sql_table_functions",
+    f"""WITH w AS (SELECT doc_id, unnest({words_sql('text')}) AS word FROM documents), s AS (SELECT doc_id, unnest({sentences_sql('text')}) AS s FROM documents)
+SELECT doc_id, words, word_chars, coalesce(sentences, 0) AS sentences, coalesce(sentence_chars, 0) AS sentence_chars FROM (SELECT doc_id, count(*) AS words, CAST(sum(length(word)) AS BIGINT) AS word_chars FROM w GROUP BY doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS sentences, CAST(sum(length(s)) AS BIGINT) AS sentence_chars FROM s GROUP BY doc_id) USING (doc_id)""",
+)
+def sql_table_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and sentences as rows of table functions that SQL can join laterally."""
+    from ..functions.register import register
+
+    register(spark)
+    docs(spark, sf_dir).createOrReplaceTempView("weftline_documents")
+    return spark.sql("""WITH w AS (SELECT doc_id, count(*) AS words, sum(length(r.word)) AS word_chars FROM weftline_documents d, LATERAL text_word_rows(d.text) AS r GROUP BY doc_id),
+    s AS (SELECT doc_id, count(*) AS sentences, sum(length(r.sentence)) AS sentence_chars FROM weftline_documents d, LATERAL text_sentence_rows(d.text) AS r GROUP BY doc_id)
+    SELECT doc_id, words, word_chars, coalesce(sentences, 0) AS sentences, coalesce(sentence_chars, 0) AS sentence_chars FROM w LEFT JOIN s USING (doc_id)""")
+
+
 _D = r"\p{Nd}"
 
 
