@@ -115,12 +115,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def token_spans(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes that are no white space, none crossing a row, and the row of each."""
-    if not len(body):
+    return spans_of(~((body == 32) | ((body >= 9) & (body <= 13))), offsets)
+
+
+def spans_of(black: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of marked bytes, none crossing a row, and the row of each."""
+    if not len(black):
         return (np.zeros(0, np.int64),) * 3
-    black = ~((body == 32) | ((body >= 9) & (body <= 13)))
     first = black.copy()
     first[1:] &= ~black[:-1]
-    heads = offsets[:-1][offsets[:-1] < len(body)]
+    heads = offsets[:-1][offsets[:-1] < len(black)]
     first[heads] = black[heads]
     last = black.copy()
     last[:-1] &= first[1:] | ~black[1:]
@@ -137,6 +141,25 @@ def span_hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def distinct_words(body: np.ndarray, black: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The number of each span's word, and the distinct words; the spans are all the marked bytes, in order."""
+    at = np.zeros(len(start) + 1, np.int32)
+    np.cumsum(end - start, out=at[1:])
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(body[black]))]).dictionary_encode()
+    return words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
+
+
+def word_buckets(words: pa.Array, buckets: int) -> np.ndarray:
+    """A bucket of each word, by a hash of its bytes."""
+    body, at = text_bytes(words)
+    return (span_hashes(body, at[:-1], at[1:]) % np.uint64(buckets)).astype(np.int64)
+
+
+def number_of_buckets(df: DataFrame, column: str, each: int) -> int:
+    """So many buckets that `each` bytes of the column go to one."""
+    return max(1, -(-(df.agg(F.sum(F.octet_length(column))).first()[0] or 0) // each))
+
+
 _TYPES = [np.dtype(t) for t in (np.uint64, np.int64, np.uint32, np.uint8, np.float64, np.float32)]
 
 
