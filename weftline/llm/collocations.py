@@ -71,7 +71,9 @@ def _dealt(rows: list[tuple]) -> pa.RecordBatch:
 
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(bucket.astype(np.uint16) if bucket.max(initial=0) < 1 << 16 else bucket, kind="stable")
-    edge = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(order) else []
+    if not len(order):
+        return
+    edge = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
     for low, high in zip(edge, [*edge[1:], len(order)], strict=True):
         yield int(bucket[order[low]]), order[low:high]
 

@@ -12,7 +12,7 @@ archive cannot be found), header, length, ending, block_digest or payload_digest
 (warcinfo, request, metadata, ...), which are rows without an id.
 
 Defined results: a null html counts as empty. A null url leaves out WARC-Target-URI and is null again; white space, control characters and
-`%` of an url are written percent-encoded and decoded on reading. Of rows that repeat page_id and payload the first in the input is the
+`%` of an url are written percent-encoded and decoded on reading. Of rows that repeat page_id and payload one is the
 response; a null page_id comes last. A payload of any length is one record; writing takes it whole, reading does not. Extra columns are not
 read. An empty table gives an empty result.
 """
@@ -47,8 +47,9 @@ KEY = "X-Row-Id"
 _QUOTED = re.compile(r"[\x00-\x20%\x7f-\x9f]")
 
 
-def record_id(row: int, key: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{row}|{key}|{digest}'.encode()).digest()[:16], version=4)}>"
+def response_id(digest: str) -> str:
+    """The record that revisits of this payload refer to."""
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(digest.encode()).digest()[:16], version=4)}>"
 
 
 def member(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
@@ -60,16 +61,15 @@ def member(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
 
 
 def _page_member(row: dict) -> bytes:
-    lead = row["lead_row"] is None or row["lead_row"] == row["row"]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['size']}\r\n\r\n".encode()
-    fields = [("WARC-Record-ID", record_id(row["row"], row["page_id"], row["digest"])), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha256:{row['digest']}")]
+    fields = [("WARC-Record-ID", response_id(row["digest"]) if row["role"] == "first" else f"<urn:uuid:{uuid.uuid4()}>"), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha256:{row['digest']}")]
     if row["page_id"] is not None:
         fields.append((KEY, str(row["page_id"])))
     if row["url"] is not None:
         fields.append(("WARC-Target-URI", _QUOTED.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), row["url"])))
-    if lead:
+    if row["role"] != "again":
         return member("response", fields, http + row["payload"])
-    fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(row["lead_row"], row["lead_id"], row["digest"]))]
+    fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", response_id(row["digest"]))]
     return member("revisit", fields, http)
 
 
@@ -109,11 +109,19 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, key: str = "p
     """Write one record per row; archive, records and bytes of each archive. folder: an URI that all executors reach; unset, one in the shared folder."""
     folder = folder or shared_path(pages.sparkSession, "warc")
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("row"))
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
-    least = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("least")
-    leads = rows.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(least, F.count("*").alias("n")).where("n > 1")
-    found = rows.join(leads.select("digest", F.col("least.row").alias("lead_row"), F.col("least.page_id").alias("lead_id")), "digest", "left")
+    none = F.col("page_id").isNull().alias("none")
+    by_id = rows.where(F.col("size") >= LEAST_REVISIT).groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+    leads = stored(by_id.groupBy("digest").agg(F.min(F.struct(none, "page_id", "n")).alias("least"), F.sum("n").alias("n")).where("n > 1").select("digest", F.col("least.page_id").alias("lead_id"), F.col("least.n").alias("n")), "leads")
+    if leads.where("n > 1").isEmpty():
+        first = F.col("page_id").eqNullSafe(F.col("lead_id"))
+    else:  # rows repeat with their page_id: they are told apart by a number, which holds only in a stored table
+        rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+        leads = rows.join(leads, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct(none, "page_id", "row")).alias("least")).select("digest", F.col("least.row").alias("lead_row"), F.lit(2).alias("n"))
+        first = F.col("row") == F.col("lead_row")
+    role = F.when(F.col("n").isNull(), "only").when(first, "first").otherwise("again")
+    found = rows.join(leads, "digest", "left").select("page_id", "url", "payload", "digest", "size", role.alias("role"))
     return stored(found.mapInArrow(_writer(folder, archive_bytes), "archive string, records long, bytes long"), "archives")
 
 
