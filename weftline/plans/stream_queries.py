@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators.selection import hash_split
 from ..sources import records as R
+from ..sources.shared import shared_path
+from ..streaming import crawl as C
 from ..streaming import events as V
-from ._tables import docs, r6, table
+from ..streaming import quota as Q
+from ._tables import docs, r6, squeeze_sql, table, words_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -63,6 +66,57 @@ def stream_adaptive_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.run_once(V.adaptive_limits(V.read_events(spark, sf_dir), failed), "limits", "update").select("user_id", r6(F.col("rate")).alias("rate"), "streak", "seen")
 
 
+#: Calls of a user in these tables are hours apart, so the window is long. Two calls in 12 hours; an error rests the user for 6 hours.
+_LIMIT, _WINDOW, _COOLDOWN = 2, 12 * 3600, 6 * 3600
+
+
+@query(
+    "stream_quota",
+    f"""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS called, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+step AS (
+  SELECT user_id, event_id, called, k, true AS allowed, called AS release, [called] AS calls, CASE WHEN failed THEN called + {_COOLDOWN}000000 ELSE 0 END AS until FROM e WHERE k = 1
+  UNION ALL
+  SELECT user_id, event_id, called, k, called >= free, greatest(called, free), CASE WHEN called >= free THEN list_append(live, called) ELSE live END, CASE WHEN called >= free AND failed THEN greatest(until, called + {_COOLDOWN}000000) ELSE until END
+  FROM (SELECT *, greatest(until, CASE WHEN len(live) >= {_LIMIT} THEN live[1] + {_WINDOW}000000 ELSE 0 END) AS free
+    FROM (SELECT e.*, s.until, list_filter(s.calls, lambda t: e.called - t < {_WINDOW}000000) AS live FROM step s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)))
+SELECT CAST(user_id AS VARCHAR) AS key, event_id AS call, called, allowed, release FROM step""",
+)
+def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.10, W14: each user's calls against a trailing quota with a cooldown."""
+    decided = Q.quota(V.read_events(spark, sf_dir), F.col("user_id"), F.col("event_id"), F.col("event_type") == "error", limit=_LIMIT, window=_WINDOW, cooldown=_COOLDOWN)
+    return V.run_once(decided, "quota", "update")
+
+
+_LEAST_WORDS = 10
+_PAGE_WORDS = words_sql(squeeze_sql(f"nfc_normalize(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), 'http[^{T.WS}]+|www\\.[^{T.WS}]+', ' ', 'g'))"))
+
+
+@query(
+    "incremental_crawl",
+    f"""WITH live AS (SELECT 3 * page_id + page_id % 2 AS id, len({_PAGE_WORDS}) AS words FROM pages),
+b AS (SELECT max(id) AS last, max(id) // 3 AS first_end, greatest(50, (max(id) + 11) // 12) AS step FROM live),
+ids AS (SELECT unnest(range(0, last + 1)) AS id, first_end, step FROM b)
+SELECT i.id, CASE WHEN i.id <= first_end THEN i.id // step ELSE first_end // step + 1 + (i.id - first_end - 1) // step END AS batch, l.id IS NOT NULL AS alive, l.words
+FROM ids i LEFT JOIN live l ON l.id = i.id AND l.words >= {_LEAST_WORDS}""",
+)
+def incremental_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.10, SNK8: pages stand at about every third id. The crawl stops after a third of the ids, goes on from there to the last one, and is started once more with nothing
+    left to ask."""
+    pages = table(spark, sf_dir, "pages")
+    address = F.col("page_id") * 3 + F.col("page_id") % 2
+    last = pages.agg(F.max(address)).first()[0] or 0
+
+    def fetch(low: int, high: int) -> DataFrame:
+        near = pages.where(F.col("page_id").between(low // 3 - 1, high // 3)).select(address.alias("id"), F.size(T.words(T.clean_text(F.col("html")))).alias("words"))
+        return near.where(F.col("id").between(low, high) & (F.col("words") >= _LEAST_WORDS))
+
+    folder, step = shared_path(spark, "crawl"), max(50, (last + 11) // 12)
+    for end in (last // 3, last, last):
+        asked = C.crawl(spark, folder, fetch, end=end, step=step)
+    return asked.select("id", F.col("batch").cast("long").alias("batch"), "alive", F.col("words").cast("long").alias("words"))
+
+
 _RECORDS = "doc_id long, lang string, text string"
 
 
