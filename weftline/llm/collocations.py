@@ -36,7 +36,7 @@ TOP = 2000
 #: A phrase goes if a longer one that holds it has this share (in percent) of its occurrences.
 SUBSUMED = 50
 #: Text bytes of the blocks that a task holds at once, and for each bucket of names.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 BUCKET_BYTES = 8 << 20
 #: Parts of a language that are ranked on their own before the whole.
 PARTS = 64
@@ -56,7 +56,7 @@ def word_blocks(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     if not len(start):
         return np.zeros(0, np.int64), pa.array([], pa.binary())
     word, words = distinct_words(body, black, start, end)
-    ends = np.concatenate([[0], np.cumsum(_ENDS[body])])[start]
+    ends = np.searchsorted(np.flatnonzero(_ENDS[body]), start)
     apart = np.flatnonzero((row[1:] != row[:-1]) | (ends[1:] != ends[:-1])) + 1
     return np.insert(word, apart, -1), words
 
