@@ -62,7 +62,7 @@ def test_weighted_draws_follow_weights(spark):
 def test_lcs_and_overlaps(spark):
     frame = spark.createDataFrame([(1, ["a", "b", "c", "b"], ["b", "c", "a", "b"]), (2, [], ["x"]), (3, ["x"], ["y"])], "id int, a array<string>, b array<string>")
     assert [r[0] for r in frame.orderBy("id").select(M.lcs_length("a", "b")).collect()] == [3, 0, 0]
-    o = {r.id: (r.common_1, r.common_2) for r in M.overlaps(frame, "id", "a", "b", {"1": 1, "2": 2}).collect()}
+    o = {r.id: (r.common_1, r.common_2) for r in M.overlaps(frame, "a", "b", {"1": 1, "2": 2}).collect()}
     assert o == {1: (4, 2), 2: (0, 0), 3: (0, 0)}
 
 

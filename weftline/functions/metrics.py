@@ -1,7 +1,7 @@
 """Overlap metrics over pairs of texts.
 
-Token overlaps are multiset intersections: both sides are exploded to (key, gram, side) and counted, so neither long texts nor repeated
-grams cost more than their number. All results stay finite: an empty denominator gives 0, as each metric's definition says.
+Token overlaps are multiset intersections, computed inside the row by a merge of sorted arrays: no token becomes a row, and nothing is
+shuffled. All results stay finite: an empty denominator gives 0, as each metric's definition says.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
-from .text import ngrams
+from .text import let, ngrams
 
 
 def f_beta(p: Column, r: Column, beta: float = 1.0) -> Column:
@@ -26,17 +26,57 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def overlaps(pairs: DataFrame, key: str, a: str, b: str, sizes: dict[str, int], sep: str = "\x01") -> DataFrame:
-    """key and, for each name in sizes, common_<name>, a_<name> and b_<name>: multiset overlap and sizes of the n-grams of two token arrays."""
-    out = pairs.select(key)
+def multiset_merge(a: Column, b: Column) -> Column:
+    """Two arrays of strings as multisets: common (occurrences that both have), dot (of their counts), aa and bb (squares of theirs).
+
+    Both go into one sorted array, which is walked once; of equal elements those of a come first, so each sum is complete when its addend is met.
+    """
+    tagged = F.concat(F.transform(a, lambda g: F.struct(g.alias("g"), F.lit(0).alias("side"))), F.transform(b, lambda g: F.struct(g.alias("g"), F.lit(1).alias("side"))))
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(None).cast("string").alias("g"), *(zero.alias(n) for n in ("x", "y", "common", "dot", "aa", "bb")))
+
+    def step(now: Column, e: Column) -> Column:
+        same = now["g"].eqNullSafe(e["g"])
+        x, y = (F.when(same, now[n]).otherwise(zero) for n in ("x", "y"))
+        ours = e["side"] == 0
+        return F.when(
+            ours, F.struct(e["g"].alias("g"), (x + 1).alias("x"), zero.alias("y"), now["common"].alias("common"), now["dot"].alias("dot"), (now["aa"] + 2 * x + 1).alias("aa"), now["bb"].alias("bb"))
+        ).otherwise(
+            F.struct(e["g"].alias("g"), x.alias("x"), (y + 1).alias("y"), (now["common"] + F.when(y < x, 1).otherwise(0)).alias("common"), (now["dot"] + x).alias("dot"), now["aa"].alias("aa"), (now["bb"] + 2 * y + 1).alias("bb"))
+        )
+
+    return F.aggregate(F.sort_array(tagged), start, step)
+
+
+def count_cosine(a: Column, b: Column) -> Column:
+    """cosine of the counts of two arrays of strings; 0 if one is empty."""
+    return let(multiset_merge(a, b), lambda m: F.coalesce(F.try_divide(m["dot"].cast("double"), F.sqrt(m["aa"].cast("double")) * F.sqrt(m["bb"].cast("double"))), F.lit(0.0)))
+
+
+def multiset_common(a: Column, b: Column) -> Column:
+    """S3: occurrences that two arrays of strings both have."""
+    tagged = F.concat(F.transform(a, lambda g: F.struct(g.alias("g"), F.lit(0).alias("side"))), F.transform(b, lambda g: F.struct(g.alias("g"), F.lit(1).alias("side"))))
+    start = F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).alias("left"), F.lit(0).alias("common"))
+
+    def step(now: Column, e: Column) -> Column:
+        left = F.when(now["g"].eqNullSafe(e["g"]), now["left"]).otherwise(0)
+        move = F.when(e["side"] == 0, 1).when(left > 0, -1).otherwise(0)
+        return F.struct(e["g"].alias("g"), (left + move).alias("left"), F.when(move < 0, now["common"] + 1).otherwise(now["common"]).alias("common"))
+
+    return F.aggregate(F.sort_array(tagged), start, step, lambda x: x["common"].cast("long"))
+
+
+def overlaps(pairs: DataFrame, a: str, b: str, sizes: dict[str, int], sep: str = "\x01") -> DataFrame:
+    """pairs and, for each name in sizes, common_<name>, a_<name> and b_<name>: multiset overlap and sizes of the n-grams of two token arrays. No gram leaves its row."""
+
+    def many(c: str, n: int) -> Column:
+        return F.greatest(F.coalesce(F.size(c), F.lit(0)) - (n - 1), F.lit(0)).cast("long")
+
+    out = {}
     for name, n in sizes.items():
-        grams = pairs.select(key, F.explode(ngrams(F.col(a), n, sep)).alias("g"), F.lit(1).alias("x"), F.lit(0).alias("y")).union(
-            pairs.select(key, F.explode(ngrams(F.col(b), n, sep)).alias("g"), F.lit(0).alias("x"), F.lit(1).alias("y"))
-        )
-        counts = grams.groupBy(key, "g").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-        summed = counts.groupBy(key).agg(F.sum(F.least("x", "y")).alias(f"common_{name}"), F.sum("x").alias(f"a_{name}"), F.sum("y").alias(f"b_{name}"))
-        out = out.join(summed, key, "left")
-    return out.fillna(0)
+        x, y = (F.col(c) if n == 1 else ngrams(F.col(c), n, sep) for c in (a, b))
+        out |= {f"common_{name}": F.coalesce(multiset_common(x, y), F.lit(0).cast("long")), f"a_{name}": many(a, n), f"b_{name}": many(b, n)}
+    return pairs.withColumns(out)
 
 
 @pandas_udf(IntegerType())

@@ -68,9 +68,8 @@ def rouge_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ROUGE-1 over word sets, ROUGE-2 over bigrams."""
     p = pairs(spark, sf_dir)
     a, b = F.array_distinct("a"), F.array_distinct("b")
-    o = M.overlaps(p, "doc_id", "a", "b", {"2": 2})
-    sets = p.select("doc_id", r6(M.rouge_f1(F.size(F.array_intersect(a, b)), F.size(a), F.size(b))).alias("rouge1"))
-    return sets.join(o, "doc_id").select("doc_id", "rouge1", r6(M.rouge_f1(F.col("common_2"), F.col("a_2"), F.col("b_2"))).alias("rouge2"))
+    o = M.overlaps(p, "a", "b", {"2": 2})
+    return o.select("doc_id", r6(M.rouge_f1(F.size(F.array_intersect(a, b)), F.size(a), F.size(b))).alias("rouge1"), r6(M.rouge_f1(F.col("common_2"), F.col("a_2"), F.col("b_2"))).alias("rouge2"))
 
 
 def grapheme_pairs(p: DataFrame) -> DataFrame:
@@ -91,7 +90,7 @@ FROM p LEFT JOIN o1 USING (doc_id) LEFT JOIN o2 USING (doc_id)""",
 def rouge_graphemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F38 (R1, R2), F43, J13, S3."""
     p = grapheme_pairs(pairs(spark, sf_dir))
-    o = p.select("doc_id", F.size("a").alias("na"), F.size("b").alias("nb")).join(M.overlaps(p, "doc_id", "a", "b", {"1": 1, "2": 2}), "doc_id")
+    o = M.overlaps(p, "a", "b", {"1": 1, "2": 2}).select("*", F.size("a").alias("na"), F.size("b").alias("nb"))
     c1, c2, na, nb = F.col("common_1"), F.col("common_2"), F.col("na"), F.col("nb")
     two = M.f_beta(M.ratio(c2, F.greatest(na - 1, F.lit(1))), M.ratio(c2, F.greatest(nb - 1, F.lit(1))))
     return o.select("doc_id", r6(M.rouge_f1(c1, na, nb)).alias("rouge1"), r6(two).alias("rouge2"), r6(M.ratio(c1, na)).alias("token_precision"), r6(M.ratio(c1, nb)).alias("token_recall"))
@@ -121,7 +120,7 @@ _ALL_POSITIVE = " AND ".join(f"coalesce(o{n}.common, 0) > 0" for n in (1, 2, 3,
 def bleu4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F41."""
     p = pairs(spark, sf_dir)
-    o = p.select("doc_id", F.size("a").alias("na"), F.size("b").alias("nb")).join(M.overlaps(p, "doc_id", "a", "b", {str(n): n for n in (1, 2, 3, 4)}), "doc_id")
+    o = M.overlaps(p, "a", "b", {str(n): n for n in (1, 2, 3, 4)}).select("*", F.size("a").alias("na"), F.size("b").alias("nb"))
     counts = {n: (F.col(f"common_{n}"), F.col(f"a_{n}")) for n in (1, 2, 3, 4)}
     return o.select("doc_id", r6(M.bleu4(counts, F.col("na"), F.col("nb"))).alias("bleu"))
 
@@ -137,7 +136,7 @@ _SUM = "(" + " + ".join("coalesce(o{}.{{0}}, 0)".format(n) for n in (1, 2, 3, 4)
 )
 def gleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F42."""
-    o = M.overlaps(grapheme_pairs(pairs(spark, sf_dir)), "doc_id", "a", "b", {str(n): n for n in (1, 2, 3, 4)})
+    o = M.overlaps(grapheme_pairs(pairs(spark, sf_dir)), "a", "b", {str(n): n for n in (1, 2, 3, 4)})
     return o.select("doc_id", r6(M.gleu({n: (F.col(f"common_{n}"), F.col(f"a_{n}"), F.col(f"b_{n}")) for n in (1, 2, 3, 4)})).alias("gleu"))
 
 
@@ -149,7 +148,7 @@ SELECT p.doc_id, {_f1(1)} AS char_f1 {_from(1)}""",
 def char_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """code points, spaces included."""
     p = pairs(spark, sf_dir).select("doc_id", *(F.filter(F.split(F.array_join(c, " "), ""), lambda x: x != "").alias(c) for c in ("a", "b")))
-    o = M.overlaps(p, "doc_id", "a", "b", {"1": 1})
+    o = M.overlaps(p, "a", "b", {"1": 1})
     return o.select("doc_id", r6(M.rouge_f1(F.col("common_1"), F.col("a_1"), F.col("b_1"))).alias("char_f1"))
 
 
@@ -178,7 +177,7 @@ def _rouge1_sql() -> str:
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, na, nb and ROUGE-1 of each pair."""
     p = pairs(spark, sf_dir)
-    o = p.select("doc_id", "lang", F.size("a").alias("na"), F.size("b").alias("nb")).join(M.overlaps(p, "doc_id", "a", "b", {"1": 1}), "doc_id")
+    o = M.overlaps(p, "a", "b", {"1": 1}).select("*", F.size("a").alias("na"), F.size("b").alias("nb"))
     return o.select("doc_id", "lang", "na", "nb", r6(M.rouge_f1(F.col("common_1"), F.col("a_1"), F.col("b_1"))).alias("rouge1"))
 
 
@@ -224,8 +223,8 @@ SELECT lang, count(*) AS n, round(avg(r1), 4) AS rouge1, round(avg(r2), 4) AS ro
 def category_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores, rates and length buckets in one pass, by category and, with a null category, overall."""
     p = pairs(spark, sf_dir)
-    row = p.select("doc_id", "lang", F.size("a").alias("na"), F.size("b").alias("nb"), (F.col("a") == F.col("b")).alias("same"), T.has_script(F.array_join("a", " ")).alias("script"))
-    o = row.join(M.overlaps(p, "doc_id", "a", "b", {str(n): n for n in (1, 2, 3, 4)}), "doc_id")
+    o = M.overlaps(p, "a", "b", {str(n): n for n in (1, 2, 3, 4)})
+    o = o.select("*", F.size("a").alias("na"), F.size("b").alias("nb"), (F.col("a") == F.col("b")).alias("same"), T.has_script(F.array_join("a", " ")).alias("script"))
     na, nb = F.col("na"), F.col("nb")
     f1 = {n: r6(M.rouge_f1(F.col(f"common_{n}"), F.col(f"a_{n}"), F.col(f"b_{n}"))) for n in (1, 2)}
     x = o.withColumns({"r1": f1[1], "r2": f1[2], "bleu": r6(M.bleu4({n: (F.col(f"common_{n}"), F.col(f"a_{n}")) for n in (1, 2, 3, 4)}, na, nb))})
@@ -295,11 +294,8 @@ SELECT doc_id, round(coalesce(sum(x * y)::DOUBLE / nullif(sqrt(sum(x * x)) * sqr
 )
 def trigram_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cosine of counts of character trigrams."""
-    s = pairs(spark, sf_dir).select("doc_id", F.array_join("a", " ").alias("a"), F.array_join("b", " ").alias("b"))
-    g = s.select("doc_id", F.explode(_trigrams(F.col("a"))).alias("g"), F.lit(1).alias("x"), F.lit(0).alias("y")).union(s.select("doc_id", F.explode(_trigrams(F.col("b"))).alias("g"), F.lit(0).alias("x"), F.lit(1).alias("y")))
-    c = g.where("g <> ''").groupBy("doc_id", "g").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    cosine = F.try_divide(F.sum(F.col("x") * F.col("y")), F.sqrt(F.sum(F.col("x") * F.col("x"))) * F.sqrt(F.sum(F.col("y") * F.col("y"))))
-    return c.groupBy("doc_id").agg(r6(F.coalesce(cosine, F.lit(0.0))).alias("cosine"))
+    s = pairs(spark, sf_dir).select("doc_id", *(F.filter(_trigrams(F.array_join(c, " ")), lambda g: g != "").alias(c) for c in ("a", "b")))
+    return s.where((F.size("a") > 0) | (F.size("b") > 0)).select("doc_id", r6(M.count_cosine(F.col("a"), F.col("b"))).alias("cosine"))
 
 
 _STYLE_PARTS = rf"""{PAIRS},

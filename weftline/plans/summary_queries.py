@@ -87,7 +87,7 @@ def summary_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for method in Z.METHODS:
         p = Z.summarize(d, method).select("doc_id", T.words(F.col("summary")).alias("a")).join(gold, "doc_id")
-        o = M.overlaps(p, "doc_id", "a", "b", {"1": 1, "2": 2})
+        o = M.overlaps(p, "a", "b", {"1": 1, "2": 2})
         r = o.select(*(M.rouge_f1(F.col(f"common_{n}"), F.col(f"a_{n}"), F.col(f"b_{n}")).alias(f"rouge{n}") for n in (1, 2)))
         parts.append(r.agg(F.lit(method).alias("method"), F.count("*").alias("n"), *(F.round(F.avg(f"rouge{n}"), 4).alias(f"rouge{n}") for n in (1, 2))).select("method", "n", "rouge1", "rouge2"))
     out = parts[0]
@@ -107,7 +107,7 @@ def tfidf_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T7 for one relational method, so that SQL can check it."""
     d = docs(spark, sf_dir)
     p = Z.summarize(d, "tfidf").select("doc_id", T.words(F.col("summary")).alias("a")).join(d.select("doc_id", T.words(F.split("text", "\n")[0]).alias("b")), "doc_id")
-    o = M.overlaps(p, "doc_id", "a", "b", {"1": 1})
+    o = M.overlaps(p, "a", "b", {"1": 1})
     return o.agg(F.count("*").alias("n"), F.round(F.avg(M.rouge_f1(F.col("common_1"), F.col("a_1"), F.col("b_1"))), 4).alias("rouge1"))
 
 
