@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm.components import components
@@ -233,3 +234,25 @@ def test_repeats_longer_strings_repeated_ids_and_empty_table(spark):
     assert sorted(got) == brute_repeats(rows, 100)
     same = remove_repeats(docs(spark, [(1, prose(5)), (1, prose(5)), (1, prose(6))]).withColumn("spans", F.lit(1))).collect()
     assert [r.n_removed for r in same] == [0, 0, 0]
+
+
+def test_suffix_dedup_of_null_and_large_ids(spark):
+    a, b = prose(1, 40), prose(2, 40)
+    got = remove_repeats(docs(spark, [(None, a), (5, a), (8, a), (None, b), (2**60 + 1, b), (2**60 + 3, b), (None, prose(3, 40)), (None, prose(3, 40))]).repartition(3)).collect()
+    size, other, third = len(a.encode()), len(b.encode()), len(prose(3, 40).encode())
+    want = [(None, size, size), (5, size, 0), (8, size, size), (None, other, other), (2**60 + 1, other, 0), (2**60 + 3, other, other), (None, third, 0), (None, third, 0)]
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in got) == sorted((i or 0, n, m) for i, n, m in want)
+
+
+def test_near_duplicates_of_null_ids(spark):
+    got = near_duplicates(docs(spark, [(None, prose(1)), (5, prose(1)), (8, prose(1)), (None, prose(2)), (None, prose(2)), (None, None)]).repartition(4)).collect()
+    want = [(0, 5, 3, False), (5, 5, 3, True), (8, 5, 3, False), (0, 0, 2, True), (0, 0, 2, False), (0, 0, 1, True)]
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.class_size, r.kept) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_near_duplicates_of_one_id_with_two_texts(spark, turn):
+    near = prose(2).replace(WORDS[3], "changed", 1)
+    rows = [(5, prose(1)), (5, prose(2)), (9, near), (7, prose(4))][::turn]
+    got = near_duplicates(docs(spark, rows).coalesce(1)).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size, r.kept) for r in got) == [(5, 5, 1, True), (5, 5, 2, True), (7, 7, 1, True), (9, 5, 2, False)]

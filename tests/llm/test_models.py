@@ -188,3 +188,16 @@ def test_neighbours_small_tables(spark, n):
     rng = np.random.default_rng(5)
     frame = vectors(spark, rng.standard_normal((n, 4)))
     assert nearest(frame, frame).count() == n * (n - 1)
+
+
+def test_neighbours_leave_out_rows_without_an_identifier(spark):
+    frame = spark.createDataFrame([(None, [1.0, 0.0]), (0, [1.0, 0.1]), (1, [0.0, 1.0]), (None, [1.0, 0.1])], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.vec_id) for r in nearest(frame, frame.where("vec_id = 0 OR vec_id IS NULL")).collect()) == [(0, 1)]
+
+
+def test_language_id_learns_a_language_of_few_lettered_rows(spark):
+    rows = [(k, None if k % 500 else "zyx wvu tsr qpo", "rare", "s", 0) for k in range(4000)] + [(10_000 + k, "alpha beta gamma delta", "common", "s", 0) for k in range(50)]
+    rows += [(None, "alpha beta gamma", "common", "s", 0)] * 20 + [(None, f"unnumbered lines {k} of one more", "third", "s", 0) for k in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = langid.identify(frame, frame, ["lang"]).where("lang_pred <> 'und'").groupBy("lang", "lang_pred").count().collect()
+    assert sorted((r.lang, r.lang_pred, r["count"]) for r in got) == [("common", "common", 70), ("rare", "rare", 8), ("third", "third", 20)]

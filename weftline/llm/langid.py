@@ -125,14 +125,15 @@ def identify(docs: DataFrame, labelled: DataFrame, carry: list[str], *, text: st
     def lettered(body: Column) -> Column:
         return F.coalesce(body.rlike(r"\p{L}"), F.lit(False))
 
-    named = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(key).alias("id"), F.col(labelled_text).alias("body"))
+    named = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(key).alias("id"), F.col(labelled_text).alias("body")).where(lettered(F.col("body")))
+    named = named.withColumn("hash", F.when(F.col("id").isNotNull(), F.xxhash64("id")).otherwise(F.xxhash64("body")))
     counts = {r["lang"]: r["count"] for r in named.groupBy("lang").count().orderBy("lang").collect()}  # a row for each language
     per_language = max(1, min(per_language, most // max(1, len(counts))))
     # Only rows of small hashes are ranked, a few times as many as are taken, so what is ranked does not grow with the table.
     shares = [x for name, n in counts.items() for x in (F.lit(name), F.lit(min(1.0, OVERSAMPLE * per_language / n)))]
     share = F.element_at(F.create_map(*shares), F.col("lang")) if shares else F.lit(0.0)
-    usable = named.where((F.xxhash64("id") / float(1 << 64) + 0.5 <= share) & lettered(F.col("body")))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    usable = named.where(F.col("hash") / float(1 << 64) + 0.5 <= share)
+    by_hash = Window.partitionBy("lang").orderBy("hash", "id")
     sample = usable.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= per_language).select("lang", "place", normalised(F.col("body")).alias("norm"))
     languages, folded = fit(sample, landmarks=landmarks)
     rows = docs.select(*carry, F.coalesce(normalised(F.col(text)), F.lit("")).alias("norm"), lettered(F.col(text)).alias("lettered"))

@@ -16,7 +16,8 @@ the sets of occurrences of shingles. With BANDS of ROWS a pair of similarity 0.8
 
 Defined results: words are runs outside `[\\x20\\x09-\\x0D]` of the lower-case text; a text of 1 to 4 words is one shingle; a null text or
 one without words is a class of its own. A class is a component of links of similarity THRESHOLD or more; class_id is its smallest
-doc_id, and that document is the one kept. Rows that repeat a doc_id are in one class. A text of any length is read whole; its shingles are one
+doc_id, and that document is the one kept. A null doc_id comes last; a class of such rows only has a null class_id. Rows that repeat a doc_id
+are told apart by their texts; of those that are in one class one is kept. A text of any length is read whole; its shingles are one
 row when it is compared. An empty table gives an empty result. Extra columns are not read.
 """
 
@@ -139,8 +140,8 @@ def _signer(bands: int, depth: int, weighted: bool):
             marks = (signature & np.uint64(0xFF)).astype(np.uint8).view(np.int8).reshape(-1)
             short = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands * depth, pa.int32()), pa.array(marks), mask=none)
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(sums.view(np.int64), mask=size == 0), pa.array(again.view(np.int64), mask=size == 0), lists, short],
-                names=["doc_id", "set_a", "set_b", "bands", "marks"],
+                [batch.column("doc_id"), batch.column("hash"), pa.array(sums.view(np.int64), mask=size == 0), pa.array(again.view(np.int64), mask=size == 0), lists, short],
+                names=["doc_id", "hash", "set_a", "set_b", "bands", "marks"],
             )
 
     return run
@@ -160,7 +161,7 @@ def _shingle_sets(weighted: bool):
             if weighted:
                 row, element = np.repeat(row, count), _occurrences(element, count)
             at = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(element.view(np.int64)))], names=["doc_id", "shingles"])
+            yield pa.record_batch([batch.column("rep"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(element.view(np.int64)))], names=["rep", "shingles"])
 
     return run
 
@@ -171,31 +172,38 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     weighted: a shingle weighs its number of occurrences, in signatures and in the check; else it weighs 1. margin: pairs of two components
     that share a bucket are compared if their signatures agree in threshold - margin of the coordinates; None compares all of them.
     """
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("body"))
-    signed = stored(texts.mapInArrow(_signer(bands, rows, weighted), "doc_id long, set_a long, set_b long, bands array<long>, marks array<tinyint>"), "signatures")
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("body")).withColumn("hash", F.xxhash64("body"))
+    signatures = texts.mapInArrow(_signer(bands, rows, weighted), "doc_id long, hash long, set_a long, set_b long, bands array<long>, marks array<tinyint>")
+    # Rows and sets get numbers, which hold because they are stored; doc_id may be null or repeat.
+    signed = stored(signatures.withColumn("row", F.monotonically_increasing_id()), "signatures")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     sets = stored(
-        signed.where("set_a IS NOT NULL").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "bands", "marks")).alias("least"), F.count("*").alias("n"))
-        .select("set_a", "set_b", F.col("least.doc_id").alias("rep"), "n", "least.bands", "least.marks"),
+        signed.where("set_a IS NOT NULL").groupBy("set_a", "set_b").agg(F.min(F.struct(order.alias("order"), "hash", "bands", "marks")).alias("least"), F.count("*").alias("n"))
+        .select("set_a", "set_b", F.monotonically_increasing_id().alias("rep"), "n", F.col("least.order").alias("order"), F.col("least.hash").alias("hash"), "least.bands", "least.marks"),
         "sets",
     )
-    roots = _links(texts, sets.select("rep", F.explode("bands").alias("bucket")), sets.select("rep", "marks"), threshold, weighted, margin)
-    classed = sets.select("set_a", "set_b", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class_id", F.coalesce("root", "rep"))
-    sizes = classed.groupBy("class_id").agg(F.sum("n").alias("class_size"))
-    named = classed.select("set_a", "set_b", "class_id").join(sizes, "class_id")
-    return signed.select("doc_id", "set_a", "set_b").join(named, ["set_a", "set_b"], "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        (F.col("doc_id") == F.coalesce("class_id", "doc_id")).alias("kept"),
+    named_texts = sets.select("rep", F.col("order.doc_id").alias("of"), F.col("hash").alias("of_hash"))
+    roots = _links(texts, named_texts, sets.select("rep", F.explode("bands").alias("bucket")), sets.select("rep", "marks"), threshold, weighted, margin)
+    classed = sets.select("set_a", "set_b", "rep", "n", "order").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("root", "rep"))
+    classes = classed.groupBy("class").agg(F.sum("n").alias("class_size"), F.min("order").alias("first"))
+    named = classed.select("set_a", "set_b", "class").join(classes, "class")
+    found = signed.select("doc_id", "row", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
+    alone = F.col("first").isNull()
+    return found.select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        (alone | (F.col("row") == F.col("first.row"))).alias("kept"),
     )
 
 
-def _links(texts: DataFrame, buckets: DataFrame, marks: DataFrame, threshold: float, weighted: bool, margin: float | None) -> DataFrame:
+def _links(texts: DataFrame, named: DataFrame, buckets: DataFrame, marks: DataFrame, threshold: float, weighted: bool, margin: float | None) -> DataFrame:
     """node, root of the components of links of similarity threshold or more between representatives that share a bucket."""
     many = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     now = stored(buckets.select("bucket", "rep").join(many, "bucket", "left_semi"), "members")
-    wanted = now.select(F.col("rep").alias("doc_id")).distinct()
-    # Representatives are documents; the texts meet their identifiers once, for all rounds.
-    sets = stored(texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_shingle_sets(weighted), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "shingles")
-    a, b = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
+    wanted = named.join(now.select("rep").distinct(), "rep", "left_semi")
+    # Representatives are documents, known by doc_id and text; the texts meet them once, for all rounds.
+    same = texts["doc_id"].eqNullSafe(wanted["of"]) & (texts["hash"] == wanted["of_hash"])
+    sets = stored(texts.join(wanted.hint("shuffle_hash"), same).select("rep", "body").mapInArrow(_shingle_sets(weighted), "rep long, shingles array<long>").dropDuplicates(["rep"]), "shingles")
+    a, b = sets.select(F.col("rep").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("rep").alias("v"), F.col("shingles").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
     tested = Appended(texts.sparkSession, "tested", "u long, v long, ok boolean")
 

@@ -7,7 +7,7 @@ It ends when few links are new. A query walks the graph greedily: again and agai
 opened, until the pool's best BEAM are all open. Graph and walk compare vectors rounded to one byte for each component, which is all
 that their joins move; at the end, scores are computed from the original vectors, in double precision.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, as queries or as candidates. Shorter
+Defined results: vectors that are null, empty, zero or hold null or non-finite components, or have a null identifier, take no part, as queries or as candidates. Shorter
 vectors count as padded with zeros. Ties go to the smaller identifier. A query with fewer candidates than asked for gets all that
 it can reach. Rows that repeat an identifier and a vector count as copies; of an identifier with several vectors each is a candidate, and the one
 that has the smallest identifier among its copies is asked, once. A walk goes on until all of its best nodes are open. An empty table gives an empty result. Extra columns are not read.
@@ -87,7 +87,7 @@ def _coder(width: int):
 
 def nodes_of(vectors: DataFrame, id_col: str, vec_col: str, copies: int) -> DataFrame:
     """node, vector, and the `copies` smallest ids with that vector, of each distinct usable vector."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vector")).where(usable(F.col("vector")))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
     # Ranks under a limit are cut in each task first, so a common vector brings few rows.
     same = Window.partitionBy("vector").orderBy("id")
     few = rows.withColumn("place", F.row_number().over(same)).where(F.col("place") <= copies)
@@ -263,7 +263,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", v
     width = width or 1
     coded = stored(nodes.select("node", "vector").mapInArrow(_coder(width), "node long, code binary"), "codes")
     graph = build_graph(coded, width=width, count=count)
-    asked = queries.select(F.col(id_col).cast("long").alias("query"), F.col(vec_col).alias("q")).where(usable(F.col("q")))
+    asked = queries.select(F.col(id_col).cast("long").alias("query"), F.col(vec_col).alias("q")).where(F.col("query").isNotNull() & usable(F.col("q")))
     entered = asked.join(nodes.select(F.col("vector").alias("q"), F.col("node").alias("entry")), "q")
     # Of an identifier's several vectors the one with the smallest node is asked.
     entered = entered.groupBy("query").agg(F.min_by(F.struct("q", "entry"), "entry").alias("asked")).select("query", "asked.*")

@@ -14,7 +14,7 @@ document and joined with the text.
 
 Defined results: a null text counts as empty. Texts under LENGTH bytes lose nothing; a text of any length is cut whole. A string that repeats
 in its own document only is kept. Of equal strings in several documents those of the smallest doc_id stay. Rows that repeat a doc_id do not
-remove from one another; each is a row of the result. An empty table gives an empty result. Extra columns are not read.
+remove from one another; each is a row of the result. A null doc_id comes after all others, and such rows do not remove from one another. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ PARTITION_BUCKETS = 4
 #: Documents that tell which keys are frequent, and the share of all positions from which a key may be.
 SAMPLE_DOCS = 2000
 LEAST_SHARE = 2e-6
+#: Stands for a null doc_id, which comes last.
+LAST = (1 << 63) - 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -277,11 +279,15 @@ def _cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(x, pa.string() if n == "kept_sha256" else pa.int64()) for n, x in zip(names, zip(*out, strict=True) if out else [()] * 5, strict=True)], names=names)
 
 
+def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).cast("binary").alias("body"), F.col(key).cast("long").alias("given"))
+
+
 def repeated_spans(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, mark and spans (array of start * 2**32 + end, in bytes) of the documents of which something goes; spans may touch or overlap."""
+    """doc_id (LAST for null), mark and spans (array of start * 2**32 + end, in bytes) of the documents of which something goes; spans may touch or overlap."""
     if length < 5 * WORD:
         raise ValueError(f"the last round needs strings of {5 * WORD} bytes or more")
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).cast("binary").alias("body"))
+    rows = _rows(docs, text, key)
     total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     cut = rows.mapInArrow(_cutter(buckets, length, _frequent_keys(rows, length, buckets)), "bucket int, block binary")
@@ -293,8 +299,7 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
 def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs."""
     spans = repeated_spans(docs, text=text, key=key, length=length)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).cast("binary").alias("body"))
-    joined = rows.join(spans, ["doc_id", "mark"], "left").select("doc_id", "body", "spans")
+    joined = _rows(docs, text, key).join(spans, ["doc_id", "mark"], "left").select(F.col("given").alias("doc_id"), "body", "spans")
     return joined.mapInArrow(_cut_spans, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
