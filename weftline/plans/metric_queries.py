@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from ..functions import style as Y
 from ..functions import text as T
-from ._tables import docs, ngrams_sql, r6, sentences_sql, words_sql
+from ..functions.profiles import LATIN
+from ._tables import WS, docs, ngrams_sql, r6, sentences_sql, words_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -279,12 +281,6 @@ def headline_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _trigrams(c):
-    """Trigrams of characters; a text of 1 or 2 characters is one gram itself."""
-    characters = F.filter(F.split(c, ""), lambda x: x != "")
-    return T.let(characters, lambda x: F.when(F.size(x) < 3, F.array(F.array_join(x, ""))).otherwise(T.ngrams(x, 3, "")))
-
-
 @query(
     "trigram_cosine",
     f"""WITH {PAIRS}, s AS (SELECT doc_id, array_to_string(a, ' ') AS a, array_to_string(b, ' ') AS b FROM p),
@@ -294,49 +290,73 @@ SELECT doc_id, round(coalesce(sum(x * y)::DOUBLE / nullif(sqrt(sum(x * x)) * sqr
 )
 def trigram_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cosine of counts of character trigrams."""
-    s = pairs(spark, sf_dir).select("doc_id", *(F.filter(_trigrams(F.array_join(c, " ")), lambda g: g != "").alias(c) for c in ("a", "b")))
-    return s.where((F.size("a") > 0) | (F.size("b") > 0)).select("doc_id", r6(M.count_cosine(F.col("a"), F.col("b"))).alias("cosine"))
+    s = pairs(spark, sf_dir).select("doc_id", *(F.array_join(c, " ").alias(c) for c in ("a", "b"))).where("a <> '' OR b <> ''")
+    return s.select("doc_id", r6(M.char_cosine(3, short=True)("a", "b")).alias("cosine"))
+
+
+#: The rewritten text: digits of every third document move on by one, every seventh is doubled, and every eleventh stutters; the original is the whole text.
+_REWRITTEN = """CASE WHEN doc_id % 11 = 0 THEN repeat('one two three ', 20) WHEN doc_id % 7 = 0 THEN concat(text, ' ', text) WHEN doc_id % 3 = 0 THEN translate(text, '123456789', '234567891') WHEN doc_id % 5 = 0 THEN text ELSE substr(text, 40) END"""
+_D = r"\p{Nd}"
+_ZERO_WIDTH = "[\u200b\u200c\u200d\ufeff]"
+
+
+def _normal_sql(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(coalesce({x}, ''), '{_ZERO_WIDTH}', '', 'g'), '[{WS}]+', ' ', 'g'))"
 
 
-_STYLE_PARTS = rf"""{PAIRS},
-s AS (SELECT doc_id, array_to_string(a, ' ') AS a, array_to_string(b, ' ') AS b FROM p),
-n AS (SELECT doc_id, a, b, list_distinct(regexp_extract_all(b, '\p{{Nd}}+')) AS nb, list_distinct(regexp_extract_all(a, '\p{{Nd}}+')) AS na FROM s),
-k AS (SELECT *, CASE WHEN len(nb) = 0 THEN 100.0::DOUBLE ELSE 100.0::DOUBLE * len(list_intersect(na, nb)) / len(nb) END AS numbers,
-  greatest(0::DOUBLE, 100.0::DOUBLE - 2 * 100.0::DOUBLE * len(list_filter(na, lambda x: NOT list_contains(nb, x))) / greatest(len(na), 1)) AS extra,
-  length(a)::DOUBLE / greatest(length(b), 1) AS r FROM n),
-z AS (SELECT doc_id, 0.75 * numbers + 0.25 * extra AS number_final, greatest(0::DOUBLE, 100 - CASE WHEN r BETWEEN 0.6 AND 1.4 THEN 200::DOUBLE ELSE 100 END * abs(r - 1) / CASE WHEN r BETWEEN 0.6 AND 1.4 THEN 2 ELSE 1 END) AS length_score,
-  CASE WHEN length(a) < 50 THEN 0::DOUBLE ELSE 100 END AS quality FROM k)"""
+def _counts_sql(name: str, items: str) -> str:
+    """For each document and element its occurrences in the original (x) and in the rewritten text (y)."""
+    return f"{name} AS (SELECT doc_id, v, count(*) FILTER (side = 0) AS x, count(*) FILTER (side = 1) AS y FROM (SELECT doc_id, 0 AS side, unnest({items.replace('@', 'o')}) AS v FROM t UNION ALL SELECT doc_id, 1, unnest({items.replace('@', 'r')}) FROM t) GROUP BY doc_id, v)"
 
 
-@query("style_scores", f"WITH {_STYLE_PARTS} SELECT doc_id, round(number_final, 2) AS number_score, round(length_score, 2) AS length_score, quality, round(0.6 * number_final + 0.3 * length_score + 0.1 * quality, 2) AS composite FROM z")
+_FACTS_ITEM = rf"list_filter(regexp_extract_all(@, '[{LATIN.block}]+|[A-Za-z]+|{_D}+(?:[.,]{_D}+)?'), lambda w: NOT list_contains([{', '.join(f"'{w}'" for w in LATIN.stopwords)}], w) AND (regexp_matches(w, '{_D}') OR length(w) > 2))"
+_GRAM_ITEM = "list_transform(range(1, greatest(length(@) - 1, 1)), lambda i: substr(@, i, 3))"
+#: Written from the rule's text: sums over tables of counts, where the columns walk arrays.
+_STYLE_SQL = rf"""t AS (SELECT doc_id, lang, source, {_normal_sql("text")} AS o, {_normal_sql(_REWRITTEN)} AS r FROM documents),
+{_counts_sql("n", rf"regexp_extract_all(@, '{_D}+(?:[.,]{_D}+)?')")}, {_counts_sql("f", _FACTS_ITEM)}, {_counts_sql("g", _GRAM_ITEM)},
+nums AS (SELECT doc_id, sum(x) AS originals, sum(y) AS rewrittens, sum(least(x, y)) AS matched, sum(greatest(y - x, 0)) AS extra, list_sort(list(v) FILTER (x > y)) AS missing_numbers, list_sort(list(v) FILTER (y > x)) AS extra_numbers FROM n GROUP BY doc_id),
+fact AS (SELECT doc_id, sum(x) AS originals, sum(least(x, y)) AS matched, list_sort(list(v) FILTER (x > y)) AS missing_facts FROM f GROUP BY doc_id),
+gram AS (SELECT doc_id, sum(x * y) / nullif(sqrt(sum(x * x)) * sqrt(sum(y * y)), 0) AS cosine FROM g GROUP BY doc_id),
+words AS (SELECT doc_id, regexp_extract_all(r, '[{LATIN.block}]+|[A-Za-z]+|{_D}+(?:[.,]{_D}+)?') AS w FROM t),
+stutter AS (SELECT doc_id, len(w) AS n, len(list_filter(range(1, greatest(len(w) - 4, 1)), lambda i: w[i : i + 2] = w[i + 3 : i + 5])) AS repeated FROM words),
+parts AS (SELECT t.*, CASE WHEN coalesce(nums.originals, 0) = 0 THEN 100 ELSE nums.matched / nums.originals::DOUBLE * 100 END AS number_score,
+  CASE WHEN coalesce(nums.rewrittens, 0) = 0 OR nums.extra = 0 THEN 100 ELSE greatest(0::DOUBLE, 100 - nums.extra / nums.rewrittens::DOUBLE * 100 * 2) END AS extra_score,
+  CASE WHEN coalesce(fact.originals, 0) = 0 THEN 100 ELSE fact.matched / fact.originals::DOUBLE * 100 END AS facts, coalesce(cosine, 0) * 100 AS similarity,
+  CASE WHEN o = '' THEN 0 WHEN length(r) / length(o)::DOUBLE BETWEEN 0.60 AND 1.40 THEN greatest(0::DOUBLE, 100 - abs(length(r) / length(o)::DOUBLE - 1) * 200) ELSE greatest(0::DOUBLE, 100 - abs(length(r) / length(o)::DOUBLE - 1) * 100) END AS length_score,
+  CASE WHEN r = '' THEN 0 WHEN length(r) < 100 THEN 30 WHEN stutter.n >= 8 AND repeated >= 3 THEN 30 ELSE 100 END AS quality_score,
+  coalesce(missing_numbers, []) AS missing_numbers, coalesce(extra_numbers, []) AS extra_numbers, coalesce(missing_facts, []) AS missing_facts
+  FROM t LEFT JOIN nums USING (doc_id) LEFT JOIN fact USING (doc_id) LEFT JOIN gram USING (doc_id) LEFT JOIN stutter USING (doc_id)),
+scores AS (SELECT *, number_score * 0.75 + extra_score * 0.25 AS number_final, (number_score * 0.75 + extra_score * 0.25) * 0.30 + facts * 0.35 + similarity * 0.20 + length_score * 0.10 + quality_score * 0.05 AS overall FROM parts)"""
+
+
+def _rewritten_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).withColumn("rewritten", F.expr(_REWRITTEN))
+
+
+@query(
+    "style_scores",
+    f"""WITH {_STYLE_SQL} SELECT doc_id, round(number_final, 2) AS numbers, round(facts, 2) AS facts, round(similarity, 2) AS content_similarity, round(length_score, 2) AS length, round(quality_score::DOUBLE, 2) AS quality, round(overall, 2) AS overall,
+  o = r AS verbatim, array_to_string(missing_numbers, ' ') AS missing_numbers, array_to_string(extra_numbers, ' ') AS extra_numbers, len(missing_facts) AS missing_facts, sha256(array_to_string(missing_facts, ' ')) AS missing_facts_sha FROM scores""",
+)
 def style_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """numbers kept and added, length, quality, and their weighted sum."""
-    s = pairs(spark, sf_dir).select("doc_id", F.array_join("a", " ").alias("a"), F.array_join("b", " ").alias("b"))
-    na, nb = F.array_distinct(T.numbers(F.col("a"), T.NUMBER_PLAIN)), F.array_distinct(T.numbers(F.col("b"), T.NUMBER_PLAIN))
-    kept = F.when(F.size(nb) == 0, F.lit(100.0)).otherwise(100.0 * F.size(F.array_intersect(na, nb)) / F.size(nb))
-    extra = F.greatest(F.lit(0.0), 100.0 - 200.0 * F.size(F.array_except(na, nb)) / F.greatest(F.size(na), F.lit(1)))
-    r = F.length("a") / F.greatest(F.length("b"), F.lit(1))
-    length = F.greatest(F.lit(0.0), 100 - 100 * F.abs(r - 1))
-    quality = F.when(F.length("a") < 50, F.lit(0.0)).otherwise(100.0)
-    z = s.select("doc_id", (0.75 * kept + 0.25 * extra).alias("n"), length.alias("l"), quality.alias("quality"))
-    return z.select("doc_id", F.round("n", 2).alias("number_score"), F.round("l", 2).alias("length_score"), "quality", F.round(0.6 * F.col("n") + 0.3 * F.col("l") + 0.1 * F.col("quality"), 2).alias("composite"))
+    """numbers kept and made up, facts, trigrams, length and quality, and their weighted sum."""
+    s = Y.with_style_scores(_rewritten_pairs(spark, sf_dir), "text", "rewritten")
+    return s.select(
+        "doc_id", *(F.round(c, 2).alias(c) for c in ("numbers", "facts", "content_similarity", "length", "quality", "overall")), "verbatim",
+        F.array_join("missing_numbers", " ").alias("missing_numbers"), F.array_join("extra_numbers", " ").alias("extra_numbers"), F.size("missing_facts").cast("long").alias("missing_facts"), F.sha2(F.array_join("missing_facts", " "), 256).alias("missing_facts_sha"),
+    )
 
 
 @query(
     "style_tiers",
-    f"WITH {_STYLE_PARTS}, y AS (SELECT d.lang, avg(0.6 * number_final + 0.3 * length_score + 0.1 * quality) AS m FROM z JOIN documents d USING (doc_id) GROUP BY d.lang) SELECT lang AS style, round(m, 2) AS mean, CASE WHEN m >= 90 THEN 'excellent' WHEN m >= 80 THEN 'good' WHEN m >= 70 THEN 'fair' WHEN m >= 60 THEN 'weak' ELSE 'poor' END AS tier FROM y",
+    f"""WITH {_STYLE_SQL} SELECT source AS style, count(*) AS n, round(avg(overall), 2) AS mean, count(*) FILTER (o = r) AS copies,
+  CASE WHEN avg(overall) >= 90 THEN 'excellent' WHEN avg(overall) >= 80 THEN 'good' WHEN avg(overall) >= 70 THEN 'acceptable' WHEN avg(overall) >= 60 THEN 'needs improvement' ELSE 'poor' END AS tier FROM scores GROUP BY ROLLUP (source)""",
 )
 def style_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A22."""
-    s = pairs(spark, sf_dir).select("doc_id", "lang", F.array_join("a", " ").alias("a"), F.array_join("b", " ").alias("b"))
-    na, nb = F.array_distinct(T.numbers(F.col("a"), T.NUMBER_PLAIN)), F.array_distinct(T.numbers(F.col("b"), T.NUMBER_PLAIN))
-    kept = F.when(F.size(nb) == 0, F.lit(100.0)).otherwise(100.0 * F.size(F.array_intersect(na, nb)) / F.size(nb))
-    extra = F.greatest(F.lit(0.0), 100.0 - 200.0 * F.size(F.array_except(na, nb)) / F.greatest(F.size(na), F.lit(1)))
-    r = F.length("a") / F.greatest(F.length("b"), F.lit(1))
-    total = 0.6 * (0.75 * kept + 0.25 * extra) + 0.3 * F.greatest(F.lit(0.0), 100 - 100 * F.abs(r - 1)) + 0.1 * F.when(F.length("a") < 50, F.lit(0.0)).otherwise(100.0)
-    m = s.groupBy(F.col("lang").alias("style")).agg(F.avg(total).alias("m"))
-    tier = F.when(F.col("m") >= 90, "excellent").when(F.col("m") >= 80, "good").when(F.col("m") >= 70, "fair").when(F.col("m") >= 60, "weak").otherwise("poor")
-    return m.select("style", F.round("m", 2).alias("mean"), tier.alias("tier"))
+    """Mean score, verbatim copies and tier of each style (here: source) and, with a null style, overall."""
+    s = Y.with_style_scores(_rewritten_pairs(spark, sf_dir).select("source", "text", "rewritten"), "text", "rewritten")
+    m = s.rollup(F.col("source").alias("style")).agg(F.count("*").alias("n"), F.avg("overall").alias("m"), F.count_if("verbatim").alias("copies"))
+    return m.select("style", "n", F.round("m", 2).alias("mean"), "copies", Y.tier(F.col("m")).alias("tier"))
 
 
 @query(
