@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from . import edits, metrics
+from . import aggregates, edits, metrics
 from .text import SENTENCE_LEAST, WS, _nfc
 
 
 def register(spark: SparkSession) -> None:
-    """Scalar functions, and the table functions text_word_rows, text_sentence_rows and text_edit_rows for LATERAL joins."""
+    """Scalar functions, aggregates, and the table functions text_word_rows, text_sentence_rows and text_edit_rows for LATERAL joins."""
+    aggregates.register(spark)
     ws = WS.replace("\\", "\\\\")
 
     def trimmed(t: str) -> str:

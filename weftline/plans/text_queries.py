@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import aggregates as A
 from ..functions import text as T
 from ..functions.profiles import LATIN, SINHALA
 from ._tables import WS, dealt_docs, docs, literal, literal_sql, ngrams_sql, r6, sentences_sql, squeeze_sql, tokens_sql, trim_sql, words_sql
@@ -493,6 +494,43 @@ def sql_table_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, words, word_chars, coalesce(sentences, 0) AS sentences, coalesce(sentence_chars, 0) AS sentence_chars FROM w LEFT JOIN s USING (doc_id)""")
 
 
+_U64 = "18446744073709551616::UHUGEINT"
+
+
+def _mix_sql(x: str) -> str:
+    a = f"(xor({x}, {x} >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT % {_U64})::UBIGINT"
+    return f"list_transform(list_transform([{a}], lambda p: (xor(p, p >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT % {_U64})::UBIGINT), lambda p: xor(p, p >> 31))[1]"
+
+
+_GOLDEN = "11400714819323198485::UHUGEINT"
+
+
+@query(
+    "sql_aggregates",
+    rf"""WITH d AS (SELECT lang, doc_id, text, length(text) AS n, len({words_sql('text')}) AS words FROM documents),
+fp AS (SELECT lang, count(*) AS n, {', '.join(f"sum(('0x' || substr(sha256(text), {8 * k + 1}, 8))::BIGINT)::HUGEINT AS s{k}" for k in range(8))} FROM d GROUP BY lang),
+seeded AS (SELECT lang, words, n, {_mix_sql(f"((doc_id::UHUGEINT + {_GOLDEN}) % {_U64})::UBIGINT")} AS seed FROM d),
+turns AS (SELECT lang, words, n, sample, {_mix_sql(f"((seed::UHUGEINT + sample::UHUGEINT * {_GOLDEN}) % {_U64})::UBIGINT")} >> 32 AS u FROM seeded, range(0, {A.SAMPLES}) t(sample)),
+drawn AS (SELECT lang, sample, words, n, len(list_filter([{', '.join(map(str, A.DRAWN))}], lambda t: t <= u)) AS times FROM turns),
+samples AS (SELECT lang, sample, sum(words * times)::DOUBLE / sum(n * times) AS r FROM drawn GROUP BY ALL),
+boot AS (SELECT lang, round(quantile_cont(r, 0.025), 9) AS low, round(quantile_cont(r, 0.975), 9) AS high FROM samples GROUP BY lang),
+q AS (SELECT lang, round(quantile_cont(n, 0.025), 6) AS p025, round(quantile_cont(n, 0.5), 6) AS median, round(quantile_cont(n, 0.975), 6) AS p975 FROM d GROUP BY lang)
+SELECT lang, substr(sha256(concat_ws('|', n, {', '.join(f's{k}' for k in range(8))})), 1, 16) AS fingerprint, p025, median, p975, low, high FROM fp JOIN q USING (lang) JOIN boot USING (lang)""",
+)
+def sql_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.11, A9, A15, F70: registered aggregates in SQL text, through states of blocks of 1,000 ids that are merged by language."""
+    from ..functions.register import register
+
+    register(spark)
+    docs(spark, sf_dir).createOrReplaceTempView("weftline_documents")
+    return spark.sql("""WITH parts AS (
+      SELECT lang, fingerprint_part(text) AS f, percentile_part(length(text)) AS p, bootstrap_part(doc_id, size(text_words(text)), length(text)) AS b
+      FROM weftline_documents GROUP BY lang, doc_id DIV 1000),
+    merged AS (SELECT lang, fingerprint_merge(f) AS f, percentile_merge(p) AS p, bootstrap_merge(b) AS b FROM parts GROUP BY lang),
+    final AS (SELECT lang, fingerprint_final(f) AS fingerprint, percentile_final(p, 0.025D) AS p025, percentile_final(p, 0.5D) AS median, percentile_final(p, 0.975D) AS p975, bootstrap_final(b) AS ends FROM merged)
+    SELECT lang, fingerprint, round(p025, 6) AS p025, round(median, 6) AS median, round(p975, 6) AS p975, round(ends[0], 9) AS low, round(ends[1], 9) AS high FROM final""")
+
+
 _D = r"\p{Nd}"
 
 
