@@ -12,8 +12,11 @@ from .text import SENTENCE_LEAST, WS, _nfc
 
 
 def register(spark: SparkSession) -> None:
-    """Scalar functions, aggregates, and the table functions text_word_rows, text_sentence_rows and text_edit_rows for LATERAL joins."""
+    """Scalar functions, aggregates, the table function summary_rows, and text_word_rows, text_sentence_rows and text_edit_rows for LATERAL joins."""
+    from . import tables  # uses the operators, which use the functions
+
     aggregates.register(spark)
+    tables.register(spark)
     ws = WS.replace("\\", "\\\\")
 
     def trimmed(t: str) -> str:

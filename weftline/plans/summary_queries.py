@@ -79,6 +79,32 @@ def mmr_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.summarize(docs(spark, sf_dir), "keybert")
 
 
+def _summary_rows(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    from ..functions.register import register
+
+    register(spark)
+    docs(spark, sf_dir, "doc_id", "text").createOrReplaceTempView("weftline_texts")
+    return spark.sql(f"SELECT doc_id, summary FROM summary_rows(TABLE(SELECT doc_id, text FROM weftline_texts) PARTITION BY (doc_id), '{method}', 3)")
+
+
+@query("sql_summaries", _TFIDF)
+def sql_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.11, T1: the rows of tfidf_topn from SQL text, by a table function over partitions."""
+    return _summary_rows(spark, sf_dir, "tfidf")
+
+
+@query("sql_summaries_yake", ORACLE_SQL["yake_topn"])
+def sql_summaries_yake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.11, T4."""
+    return _summary_rows(spark, sf_dir, "extractive_yake")
+
+
+@query("sql_summaries_rake", ORACLE_SQL["rake_topn"])
+def sql_summaries_rake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.11, T3."""
+    return _summary_rows(spark, sf_dir, "extractive_rake")
+
+
 @query("summary_evaluation", None)
 def summary_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean ROUGE-1 and ROUGE-2 of each method's summaries against the first line, over words."""
