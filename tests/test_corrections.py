@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,26 @@ def test_consensus_and_divergence_against_plain_ratios(spark):
         support = [sum(alike(a, b) for b in t) for a in t]
         assert support[t.index(r.chosen)] == pytest.approx(max(support))
         assert r.far == pytest.approx(100 * (1 - alike(t[0], t[1])))
+
+
+@pytest.mark.parametrize("n", [1, 2, 100, 4096, 4097, 13_000])
+def test_drawn_counts_are_a_multinomial(n):
+    """Each sample draws n documents in all, and a document's count has mean 1 and variance 1 - 1/n."""
+    parts = [C.drawn_counts(n, 200, 7, leaf) for leaf in range(-(-n // C.LEAF))]
+    counts = np.concatenate(parts, axis=1)
+    assert counts.shape == (200, n) and (counts.sum(axis=1) == n).all() and (counts >= 0).all()
+    if n >= 100:
+        assert abs(counts.var() - (1 - 1 / n)) < 0.05 and abs(np.corrcoef(counts[:, 0], counts[:, n // 2])[0, 1]) < 0.3
+
+
+def test_bootstrap_agrees_with_explicit_draws(spark):
+    """Intervals of a ratio of sums over 5,000 documents: by the tree of ranges, and by 1,000 explicit samples."""
+    r = np.random.default_rng(1)
+    part, whole = r.integers(0, 20, 5000), r.integers(20, 60, 5000)
+    rows = spark.createDataFrame([(k + 1, int(a), int(b)) for k, (a, b) in enumerate(zip(part, whole, strict=True))], "place long, a long, b long").repartition(7)
+    sums = C.resampled_sums(rows, ["a", "b"], 5000, 1000, 42).toPandas()
+    picks = r.integers(0, 5000, (1000, 5000))
+    direct = part[picks].sum(axis=1) / whole[picks].sum(axis=1)
+    got = np.percentile(sums["a"] / sums["b"], [2.5, 97.5])
+    want = np.percentile(direct, [2.5, 97.5])
+    assert len(sums) == 1000 and np.abs(got - want).max() < 0.1 * (want[1] - want[0])

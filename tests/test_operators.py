@@ -1,5 +1,6 @@
 """Joins, selections, sources and summaries on small tables, with nulls, ties and empty inputs."""
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -59,6 +60,31 @@ def test_weighted_draws_follow_weights(spark):
     assert sum(got.values()) == 4000 and abs(got[2] / 4000 - 0.75) < 0.04 and 3 not in got
 
 
+def test_weighted_draws_of_one_heavy_row(spark):
+    """One row of 99 % of the weight: its draws are rows of draws, never an array of one row."""
+    weights = spark.range(2000).select("id", F.when(F.col("id") == 7, 99.0).when(F.col("id") == 8, -1.0).when(F.col("id") == 9, F.lit(None)).otherwise(1.0 / 1997).alias("w"))
+    n = 3_000_000
+    row = S.weighted_draws(weights, "id", "w", n).agg(F.count("*").alias("n"), F.countDistinct("draw").alias("draws"), F.count_if(F.col("id") == 7).alias("heavy"), F.countDistinct("id").alias("ids"), F.count_if(F.col("id").isin(8, 9)).alias("none")).first()
+    assert (row.n, row.draws, row.ids, row.none) == (n, n, 1998, 0) and abs(row.heavy / n - 0.99) < 0.001
+    assert S.weighted_draws(weights.where("id = 8"), "id", "w", 10).count() == 0
+
+
+def test_alias_table_holds_the_weights():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 5, 1000):
+        w = r.random(n) ** 8 + 1e-12
+        keep, other = S.alias_table(w)
+        share = keep + np.bincount(other, weights=1 - keep, minlength=n)
+        assert np.allclose(share / n, w / w.sum(), rtol=1e-9, atol=1e-12) and ((keep >= 0) & (keep <= 1)).all()
+
+
+def test_first_by_hash_takes_exactly_the_first(spark):
+    keys = spark.range(5000).select(F.col("id").alias("k"))
+    for n in (0, 1, 37, 2500, 5000, 9000):
+        got = {r.k for r in S.first_by_hash(keys, "k", n).collect()}
+        assert got == {r.k for r in keys.orderBy(S.hash_key(F.col("k"))).limit(n).collect()}
+
+
 def test_lcs_and_overlaps(spark):
     frame = spark.createDataFrame([(1, ["a", "b", "c", "b"], ["b", "c", "a", "b"]), (2, [], ["x"]), (3, ["x"], ["y"])], "id int, a array<string>, b array<string>")
     assert [r[0] for r in frame.orderBy("id").select(M.lcs_length("a", "b")).collect()] == [3, 0, 0]

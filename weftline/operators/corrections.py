@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions.metrics import f_beta, ratio
 from ..functions.text import SCORED_NUMBER, same_multiset, span_count
 from ..sources.shared import stored
 from .joins import with_place
-from .selection import hash_key, unit_hash
+from .selection import first_by_hash
 
 PAIRS = "array<struct<old:array<string>,new:array<string>>>"
 
@@ -158,38 +160,89 @@ INTERVALS = (
 )
 
 
+#: Documents whose draws one leaf of the tree of ranges decides.
+LEAF = 4096
+
+
+def drawn_counts(n: int, samples: int, seed: int, leaf: int) -> np.ndarray:
+    """How often each document of one leaf (documents leaf * LEAF up to the next leaf, of n in all) is drawn in each sample: samples by documents.
+
+    n draws with replacement from n documents are a multinomial. Going down a binary tree of ranges, the draws of a range fall on its left
+    half by a binomial law, whatever happens elsewhere. Each node's generator starts from its own place, so every leaf finds the same counts above it, and all leaves
+    together hold n draws of each sample.
+    """
+
+    def left_part(low: int, middle: int, high: int, draws: np.ndarray) -> np.ndarray:
+        return np.random.Generator(np.random.Philox(key=[seed, (low << 32) ^ high])).binomial(draws, (middle - low) / (high - low))
+
+    draws = np.full(samples, n, np.int64)
+    low, high, first = 0, n, leaf * LEAF
+    while high - low > LEAF:  # ranges begin at multiples of LEAF
+        middle = low + (-(-(high - low) // LEAF) + 1) // 2 * LEAF
+        left = left_part(low, middle, high, draws)
+        low, high, draws = (low, middle, left) if first < middle else (middle, high, draws - left)
+    out = np.zeros((samples, high - low), np.int64)
+    todo = [(low, high, draws)]
+    while todo:
+        a, b, now = todo.pop()
+        if b - a == 1:
+            out[:, a - low] = now
+            continue
+        middle = (a + b) // 2
+        left = left_part(a, middle, b, now)
+        todo += [(a, middle, left), (middle, b, now - left)]
+    return out
+
+
 def bootstrap(edits: DataFrame, document: str = "document", samples: int = 1000, seed: int = 42) -> DataFrame:
     """Metric, low, high - intervals from samples of as many documents as there are, drawn with replacement.
 
-    Metrics are ratios of sums, so each document is summed up and numbered first. A draw is a hash of sample and turn that names a document's
-    number; draws are counted by sample and document before they meet its sums.
+    Metrics are ratios of sums, so each document is summed up and numbered first. No draw is a row: a task finds for a range of LEAF documents how often each
+    sample draws them (drawn_counts) and adds up their sums; what is shuffled is a row for each sample and range.
     """
     by_document = partial_sums(edits, [document])
     names = [c for c in by_document.columns if c != document]
     placed = stored(with_place(by_document, F.col(document), "place").select("place", *names), "documents")
-    n = placed.count()
-    turns = edits.sparkSession.range(n * samples).select(F.floor(F.col("id") / max(n, 1)).alias("sample"), (F.floor(unit_hash(F.col("id"), seed=seed) * n) + 1).alias("place"))
-    drawn = turns.groupBy("sample", "place").agg(F.count("*").alias("times")).join(placed, "place")
-    sums = drawn.groupBy("sample").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in names))
+    sums = resampled_sums(placed, names, placed.count(), samples, seed)
     long = metrics(sums, ["sample"]).unpivot(["sample"], list(INTERVALS), "metric", "value")
     return long.groupBy("metric").agg(F.round(F.percentile("value", 0.025), 6).alias("low"), F.round(F.percentile("value", 0.975), 6).alias("high"))
 
 
+def resampled_sums(placed: DataFrame, names: list[str], n: int, samples: int, seed: int) -> DataFrame:
+    """sample and the sums of the columns `names` over the documents drawn; place counts them from 1 to n."""
+
+    def leaf_sums(rows: pa.Table) -> pa.Table:
+        place = rows.column("place").to_numpy() - 1
+        times = drawn_counts(n, samples, seed, int(place[0] // LEAF))[:, place % LEAF]
+        out = {"sample": pa.array(np.arange(samples))}
+        for c in names:
+            out[c] = pa.array(times @ rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64))
+        return pa.table(out)
+
+    leaves = placed.withColumn("leaf", F.floor((F.col("place") - 1) / LEAF)).groupBy("leaf").applyInArrow(leaf_sums, "sample long, " + ", ".join(f"`{c}` long" for c in names))
+    return leaves.groupBy("sample").agg(*(F.sum(c).alias(c) for c in names))
+
+
 def acceptance(rates: DataFrame) -> DataFrame:
     """Rows of (invalid_rate, applied_rate, edit_f05) with `accepted`: not half of the scripts invalid, some applied, and an F0.5 above 0."""
     return rates.withColumn("accepted", (F.col("invalid_rate") < 0.5) & (F.col("applied_rate") > 0) & (F.col("edit_f05") > 0))
 
 
+def _half_even(x: float) -> int:
+    return round(x)
+
+
 def pair_disjoint_split(edits: DataFrame, key: str = "id", *, dev_share: float = 0.05, changed_share: float = 0.65, most_uses: int = 2, seed: int = 42) -> DataFrame:
     """Key and split (dev, train, dropped): dev rows are seeded from rare edit pairs and unchanged rows by hash; rows of the rest that
     share a pair with dev are dropped, so the two sides share none."""
     pairs = edits.select(key, F.explode("gold_pairs").alias("pair"))
     uses = pairs.groupBy("pair").agg(F.count("*").alias("uses"))
     rare = pairs.join(uses, "pair").groupBy(key).agg((F.max("uses") <= most_uses).alias("rare"))
-    rows = edits.select(key, "changed").join(rare, key, "left").withColumn("h", hash_key(F.col(key), seed=seed))
-    n = rows.agg(F.count("*").alias("n")).select(F.greatest(F.lit(2), F.round(F.col("n") * dev_share)).cast("int").alias("size"))
-    wanted = n.select(F.round(F.col("size") * changed_share).cast("int").alias("k1"), "size").select("k1", (F.col("size") - F.col("k1")).alias("k0")).first()
-    seeded = rows.where("changed AND rare").orderBy("h").limit(wanted["k1"]).unionByName(rows.where("NOT changed").orderBy("h").limit(wanted["k0"])).select(key)
+    rows = stored(edits.select(key, "changed").join(rare, key, "left").select(key, "changed", F.coalesce("rare", F.lit(False)).alias("rare")), "rows")
+    n = rows.count()
+    size = max(2, _half_even(n * dev_share))
+    k1 = _half_even(size * changed_share)
+    seeded = first_by_hash(rows.where("changed AND rare").select(key), key, k1, seed).unionByName(first_by_hash(rows.where("NOT changed").select(key), key, size - k1, seed))
     reserved = pairs.join(seeded, key, "left_semi").select("pair").distinct()
     shares = pairs.join(reserved, "pair", "left_semi").select(key).distinct().withColumn("shares", F.lit(True))
     placed = edits.select(key).join(seeded.withColumn("dev", F.lit(True)), key, "left").join(shares, key, "left")

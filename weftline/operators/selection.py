@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,21 +38,26 @@ def hash_split(df: DataFrame, key: Column, share: float, seed: int = 42) -> Data
     return df.withColumn("split", F.when(unit_hash(key, seed=seed) < share, "train").otherwise("dev"))
 
 
-def exact_group_split(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
-    """L6 with an exact number of groups: the floor(share * groups) keys that come first by hash are 'train'.
+def first_by_hash(keys: DataFrame, key: str, wanted: int | Column, seed: int = 42) -> DataFrame:
+    """The `wanted` rows of keys that come first by hash, none sorted as a whole. wanted: a number, or a column over n, the number of keys.
 
-    The border is the n-th smallest of all hashes, found as a percentile would be: keys are counted by the first 3 digits of
+    The border is the wanted-th smallest of all hashes, found as a percentile would be: keys are counted by the first 3 digits of
     their hash, and only the keys of the one prefix in which the border lies are ranked.
     """
-    keys = df.select(key).distinct().withColumn("_h", hash_key(F.col(key), seed=seed)).withColumn("_p", F.substring("_h", 1, 3))
-    by_prefix = keys.groupBy("_p").agg(F.count("*").alias("n"))
-    upto = by_prefix.select("_p", "n", F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    placed = upto.select("_p", F.coalesce("before", F.lit(0)).alias("before"), "n", F.floor(F.col("total") * share).alias("wanted"))
+    hashed = keys.select(key).withColumn("_h", hash_key(F.col(key), seed=seed)).withColumn("_p", F.substring("_h", 1, 3))
+    by_prefix = hashed.groupBy("_p").agg(F.count("*").alias("_n"))
+    upto = by_prefix.select("_p", "_n", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("n"))
+    placed = upto.select("_p", F.coalesce("_before", F.lit(0)).alias("_before"), "_n", (wanted if isinstance(wanted, Column) else F.lit(wanted)).alias("_wanted"))
     # 4096 prefixes at most.
-    ranked = keys.join(F.broadcast(placed), "_p")
-    border = (F.col("before") < F.col("wanted")) & (F.col("before") + F.col("n") > F.col("wanted"))
-    inside = ranked.where(border).withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_h")) + F.col("before"))
-    train = ranked.where(F.col("before") + F.col("n") <= F.col("wanted")).select(key).union(inside.where(F.col("_r") <= F.col("wanted")).select(key))
+    ranked = hashed.join(F.broadcast(placed), "_p")
+    border = (F.col("_before") < F.col("_wanted")) & (F.col("_before") + F.col("_n") > F.col("_wanted"))
+    inside = ranked.where(border).withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_h")) + F.col("_before"))
+    return ranked.where(F.col("_before") + F.col("_n") <= F.col("_wanted")).select(key).union(inside.where(F.col("_r") <= F.col("_wanted")).select(key))
+
+
+def exact_group_split(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
+    """L6 with an exact number of groups: the floor(share * groups) keys that come first by hash are 'train'."""
+    train = first_by_hash(df.select(key).distinct(), key, F.floor(F.col("n") * share), seed)
     return df.join(train.withColumn("split", F.lit("train")), key, "left").fillna({"split": "dev"})
 
 
@@ -77,19 +84,49 @@ def shard(df: DataFrame, index: Column, shards: int, which: int) -> DataFrame:
     return df.where(F.pmod(index, F.lit(shards)) == which)
 
 
+#: Blocks of keys of an alias table.
+BLOCKS = 1024
+
+
+def alias_table(weights: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Walker's table: cell k gives itself with probability keep[k], else other[k]; each cell is drawn equally often."""
+    w = np.asarray(weights, np.float64)
+    n = len(w)
+    share = w * (n / w.sum())
+    keep, other = np.ones(n), np.arange(n)
+    low, high = [k for k in range(n) if share[k] < 1], [k for k in range(n) if share[k] >= 1]
+    while low and high:
+        small, large = low.pop(), high[-1]
+        keep[small], other[small] = share[small], large
+        share[large] -= 1 - share[small]
+        if share[large] < 1:
+            low.append(high.pop())
+    return keep, other
+
+
 def weighted_draws(weights: DataFrame, key: str, weight: str, draws: int, seed: int = 42) -> DataFrame:
     """Draw, key - `draws` rows drawn with replacement in proportion to the weights.
 
-    The weights' running total cuts [0, total) into intervals; each draw is a hash in it and meets its interval by an equi-join on
-    a grid of cells as fine as there are draws, so no range join over all pairs is needed.
+    Keys are dealt to BLOCKS blocks by hash. A draw first falls on a block, by an alias table of the blocks' sums (BLOCKS rows at most, on the driver), and
+    then on a cell of the block's own alias table, which is a row for each key; so a draw meets one row, however heavy a key is. Null,
+    negative and zero weights are not drawn; without others there are no draws.
     """
-    # The running total is taken in two steps, blocks and within blocks, so no task holds all rows.
-    blocks = weights.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(1024)))
-    sums = blocks.groupBy("_b").agg(F.sum(weight).alias("_s"))
-    starts = sums.select("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_start"), F.sum("_s").over(Window.partitionBy()).alias("_total"))
-    within = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    ends = blocks.withColumn("_end", F.sum(weight).over(within)).join(F.broadcast(starts), "_b")  # 1024 rows at most
-    spans = ends.select(key, ((F.col("_start") + F.col("_end") - F.col(weight)) / F.col("_total")).alias("low"), ((F.col("_start") + F.col("_end")) / F.col("_total")).alias("high"))
-    cells = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * draws), F.least(F.floor(F.col("high") * draws), F.lit(draws - 1)))))
-    drawn = weights.sparkSession.range(draws).select(F.col("id").alias("draw"), unit_hash(F.col("id"), seed=seed).alias("u")).withColumn("cell", F.floor(F.col("u") * draws))
-    return drawn.join(cells, "cell").where("u >= low AND u < high").select("draw", key)
+    kinds = dict(weights.dtypes)
+    blocks = weights.where(F.col(weight) > 0).select(F.pmod(F.xxhash64(key), F.lit(BLOCKS)).cast("int").alias("block"), F.col(key), F.col(weight).cast("double").alias("w"))
+    sums = blocks.groupBy("block").agg(F.sum("w").alias("w"), F.count("*").alias("n")).orderBy("block").collect()  # BLOCKS rows at most
+    if not sums:
+        return weights.sparkSession.createDataFrame([], f"draw long, `{key}` {kinds[key]}")
+
+    def cells(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(key)
+        keep, other = alias_table(rows.column("w").to_numpy())
+        return pa.table({"block": rows.column("block"), "cell": pa.array(np.arange(len(keep))), "keep": pa.array(keep), "own": rows.column(key), "other": rows.column(key).take(pa.array(other))})
+
+    tables = blocks.groupBy("block").applyInArrow(cells, f"block int, cell long, keep double, own {kinds[key]}, other {kinds[key]}")
+    keep, other = alias_table([r["w"] for r in sums])
+    top = weights.sparkSession.createDataFrame([(k, r["block"], r["n"], float(keep[k]), sums[other[k]]["block"], sums[other[k]]["n"]) for k, r in enumerate(sums)], "at long, b long, bn long, keep_block double, ob long, obn long")
+    turn = weights.sparkSession.range(draws).select(F.col("id").alias("draw"), *(unit_hash(F.col("id"), F.lit(k), seed=seed).alias(f"u{k}") for k in range(4)))
+    met = turn.withColumn("at", F.floor(F.col("u0") * len(sums))).join(F.broadcast(top), "at")
+    own = F.col("u1") < F.col("keep_block")
+    placed = met.select("draw", "u3", F.when(own, F.col("b")).otherwise(F.col("ob")).cast("int").alias("block"), F.floor(F.col("u2") * F.when(own, F.col("bn")).otherwise(F.col("obn"))).alias("cell"))
+    return placed.join(tables, ["block", "cell"]).select("draw", F.when(F.col("u3") < F.col("keep"), F.col("own")).otherwise(F.col("other")).alias(key))
