@@ -323,21 +323,55 @@ def cut_broken(c: Column) -> Column:
     return trim_ws(F.regexp_replace(c, r"(?s)(?:\x{fffd}|\n#|<\|eot_id\|>|<end_of_turn>).*$", ""))
 
 
-def keyword_hits(c: Column, keywords: tuple[str, ...], profile: ScriptProfile = LATIN) -> Column:
-    """how many entries of the list stand in the text as words of their own; text and keywords as matcher_text() has them."""
-    plain = [" ".join(re.sub(f"[^{profile.block}A-Za-z0-9]", " ", k).lower().split()) for k in keywords]
-    padded = F.concat(F.lit(" "), c, F.lit(" "))
-    return reduce(lambda a, b: a + b, (F.contains(padded, F.lit(f" {k} ")).cast("int") for k in plain), F.lit(0))
+def plain_keyword(keyword: str, profile: ScriptProfile = LATIN) -> str:
+    """A keyword as matcher_text() has texts."""
+    return " ".join(re.sub(f"[^{profile.block}A-Za-z0-9]", " ", keyword).lower().split())
+
+
+def keywords_found(c: Column, keywords: list[str]) -> Column:
+    """The distinct keywords, of one or more words and plain, that stand in a text of matcher_text() as words of their own.
+
+    The text's words are looked up in the set of all keywords at once; phrases are made only where a word begins one.
+    """
+
+    def of_words(w: Column, n: int) -> Column:
+        these = [k for k in keywords if k.count(" ") + 1 == n]
+        starts = sorted({k.split(" ")[0] for k in these})
+        places = F.filter(F.transform(w, lambda x, i: F.when(x.isin(*starts), i).otherwise(F.lit(-1))), lambda i: i >= 0)
+        grams = F.transform(places, lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))
+        return F.array_intersect(w if n == 1 else grams, F.array(*map(F.lit, these)))
+
+    def phrases(w: Column) -> Column:
+        parts = [of_words(w, n) for n in sorted({k.count(" ") + 1 for k in keywords})]
+        return F.concat(*parts) if parts else F.array().cast("array<string>")
+
+    return let(F.split(c, " "), phrases)
+
+
+def keyword_hits(found: Column, keywords: tuple[str, ...], profile: ScriptProfile = LATIN) -> Column:
+    """how many entries of the list are among the keywords found; an entry that the list repeats counts each time."""
+    plain = [plain_keyword(k, profile) for k in keywords]
+    out = F.lit(0)
+    for times in range(1, max((plain.count(k) for k in plain), default=0) + 1):
+        these = sorted({k for k in plain if plain.count(k) >= times})
+        out = out + F.size(F.array_intersect(found, F.array(*map(F.lit, these))))
+    return out
 
 
 def category(headline: Column, content: Column, profile: ScriptProfile = LATIN) -> Column:
     """the first category, in the profile's order, whose score is 2 or more: twice the headline's hits, the content's, half for the
-    headline's hits on weak words. Takes texts as matcher_text() gives them."""
-    out = F.lit("General")
-    for name, strong, weak in reversed(profile.categories):
-        score = 2 * keyword_hits(headline, strong, profile) + keyword_hits(content, strong, profile) + 0.5 * keyword_hits(headline, weak, profile)
-        out = F.when(score >= 2, name).otherwise(out)
-    return out
+    headline's hits on weak words. Takes texts as matcher_text() gives them; each is read once, whatever the number of keywords."""
+    every = sorted({plain_keyword(k, profile) for _, strong, weak in profile.categories for k in (*strong, *weak)} - {""})
+
+    def named(h: Column, c: Column) -> Column:
+        out = F.lit("General")
+        for name, strong, weak in reversed(profile.categories):
+            score = 2 * keyword_hits(h, strong, profile) + keyword_hits(c, strong, profile) + 0.5 * keyword_hits(h, weak, profile)
+            out = F.when(score >= 2, name).otherwise(out)
+        return out
+
+    both = F.struct(keywords_found(headline, every).alias("h"), keywords_found(content, every).alias("c"))
+    return let(both, lambda x: named(x["h"], x["c"]))
 
 
 def version_of(name: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..functions import text as T
-from ..functions.profiles import LATIN, SINHALA
+from ..functions.profiles import LATIN, SINHALA, ScriptProfile
 from ._tables import WS, dealt_docs, docs, literal, literal_sql, ngrams_sql, r6, sentences_sql, squeeze_sql, tokens_sql, trim_sql, words_sql
 
 QUERIES: dict = {}
@@ -331,14 +331,26 @@ _GIVEN_HEADLINES = [
 ]
 
 
-def _category_sql() -> str:
+#: Given rows of the other profile: names of its lists, one of them twice in its list, some of several words.
+_GIVEN_SINHALA = [
+    (-1, f"{SINHALA.categories[0][1][0]} x\nplain"),
+    (-2, f"plain\n{SINHALA.categories[1][1][0]}, {SINHALA.categories[1][1][4]}."),
+    (-3, f"{SINHALA.categories[2][2][0]} {SINHALA.categories[2][2][1]}\n{SINHALA.categories[2][1][3]}"),
+    (-4, f"{SINHALA.categories[2][2][0]}\nplain"),
+    *((-10 - k, f"{SINHALA.categories[k][1][-1]}\n{SINHALA.categories[k][1][-2]}") for k in range(3)),
+    (-20, "plain\n" + " ".join(k for k in SINHALA.categories[0][1] if SINHALA.categories[0][1].count(k) > 1)),
+    (-21, "plain\n" + ". ".join(next(k for k in SINHALA.categories[n][1] if " " in k) for n in range(3))),
+]
+
+
+def _category_sql(profile: ScriptProfile = LATIN, given: list[tuple] = _GIVEN_HEADLINES) -> str:
     def hits(x: str, keys: tuple[str, ...]) -> str:
-        return "(" + " + ".join(["0", *(f"CAST(contains(' ' || {x} || ' ', ' {k} ') AS INT)" for k in keys)]) + ")"
+        return "(" + " + ".join(["0", *(f"CAST(contains(' ' || {x} || ' ', ' {k} ') AS INT)" for k in (T.plain_keyword(k, profile) for k in keys))]) + ")"
 
-    matcher = f"lower({squeeze_sql(f"regexp_replace(text, '[^{BLOCK}A-Za-z0-9{WS}]', ' ', 'g')")})"
-    headline = f"lower({squeeze_sql(f"regexp_replace(string_split(text, chr(10))[1], '[^{BLOCK}A-Za-z0-9{WS}]', ' ', 'g')")})"
-    cases = " ".join(f"WHEN 2 * {hits('h', strong)} + {hits('c', strong)} + 0.5 * {hits('h', weak)} >= 2 THEN '{n}'" for n, strong, weak in LATIN.categories)
-    given = f"SELECT * FROM {literal_sql('doc_id text', _GIVEN_HEADLINES)} UNION ALL SELECT doc_id, text FROM documents"
+    matcher = f"lower({squeeze_sql(f"regexp_replace(text, '[^{profile.block}A-Za-z0-9{WS}]', ' ', 'g')")})"
+    headline = f"lower({squeeze_sql(f"regexp_replace(string_split(text, chr(10))[1], '[^{profile.block}A-Za-z0-9{WS}]', ' ', 'g')")})"
+    cases = " ".join(f"WHEN 2 * {hits('h', strong)} + {hits('c', strong)} + 0.5 * {hits('h', weak)} >= 2 THEN '{n}'" for n, strong, weak in profile.categories)
+    given = f"SELECT * FROM {literal_sql('doc_id text', given)} UNION ALL SELECT doc_id, text FROM documents"
     return f"SELECT doc_id, CASE {cases} ELSE 'General' END AS category FROM (SELECT doc_id, {headline} AS h, {matcher} AS c FROM ({given}))"
 
 
@@ -350,6 +362,14 @@ def keyword_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", h.alias("h"), c.alias("c")).select("doc_id", T.category(F.col("h"), F.col("c")).alias("category"))
 
 
+@query("keyword_category_sinhala", _category_sql(SINHALA, _GIVEN_SINHALA))
+def keyword_category_sinhala(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F36, F37 with the long lists of the Sinhala profile, on given rows and all documents."""
+    rows = docs(spark, sf_dir, "doc_id", "text").unionByName(literal(spark, "doc_id text", _GIVEN_SINHALA))
+    texts = rows.select("doc_id", T.matcher_text(F.split("text", "\n")[0], SINHALA).alias("h"), T.matcher_text(F.col("text"), SINHALA).alias("c"))
+    return texts.select("doc_id", T.category(F.col("h"), F.col("c"), SINHALA).alias("category"))
+
+
 _ANSWERS = [
     (1, "```json\nHere is the rewritten text\n# Title\n\n**Bold** line\n  plain \n```", "Plain headline ### Article: rest\nsecond"),
     (2, "one\n\ntwo", "- • listed headline </s> tail"),
