@@ -32,6 +32,16 @@ def literal_sql(columns: str, rows: list[tuple]) -> str:
     return f"(VALUES {values}) AS t({', '.join(columns.split())})"
 
 
+def with_given(spark: SparkSession, sf_dir: str, columns: str, rows: list[tuple], name: str, expressions: list[str]) -> DataFrame:
+    """Given rows, and rows that SQL expressions make of each row of a table."""
+    return literal(spark, columns, rows).union(table(spark, sf_dir, name).selectExpr(*expressions))
+
+
+def with_given_sql(columns: str, rows: list[tuple], name: str, expressions: list[str]) -> str:
+    """The same for DuckDB, to stand behind FROM."""
+    return f"(SELECT * FROM {literal_sql(columns, rows)} UNION ALL SELECT {', '.join(expressions)} FROM {name}) AS t({', '.join(columns.split())})"
+
+
 def sql_value(v: object, duck: bool = False) -> str:
     if v is None:
         return "NULL"

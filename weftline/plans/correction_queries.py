@@ -13,7 +13,7 @@ from ..functions import edits as E
 from ..functions import text as T
 from ..operators import corrections as C
 from ..sources.shared import stored
-from ._tables import docs, literal, literal_sql, r6, table, words_sql
+from ._tables import docs, literal, literal_sql, r6, table, with_given, with_given_sql, words_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -158,15 +158,22 @@ _ANSWERS = [
 ]
 
 
+_ANSWER_ROWS = [
+    "doc_id + 1000",
+    """CASE doc_id % 4 WHEN 0 THEN concat('```json', chr(10), '{"short": "', lang, '", "medium": "', source, '", "long": "', n_chars, '"}', chr(10), '```') WHEN 1 THEN concat('Sure: {"short": "', lang, '", "medium": "', source, '", "long": "x"} done')
+    WHEN 2 THEN concat('{"short": "', source, '"}') ELSE concat('no json from ', source) END""",
+]
+
+
 @query(
     "teacher_json",
     r"WITH t AS (SELECT id, regexp_extract(regexp_replace(answer, '```(?:json)?', '', 'g'), '(?s)\{.*\}') AS j FROM "
-    + literal_sql("id answer", _ANSWERS)
+    + with_given_sql("id answer", _ANSWERS, "documents", _ANSWER_ROWS)
     + r"), v AS (SELECT id, CASE WHEN j <> '' AND json_valid(j) THEN j END AS j FROM t) SELECT id, json_extract_string(j, '$.short') AS short, json_extract_string(j, '$.medium') AS medium, json_extract_string(j, '$.long') AS long, coalesce(json_extract_string(j, '$.short') IS NOT NULL AND json_extract_string(j, '$.medium') IS NOT NULL AND json_extract_string(j, '$.long') IS NOT NULL, false) AS complete FROM v",
 )
 def teacher_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F61, on given rows."""
-    t = literal(spark, "id answer", _ANSWERS)
+    """F61, on given rows and one of each document."""
+    t = with_given(spark, sf_dir, "id answer", _ANSWERS, "documents", _ANSWER_ROWS)
     j = F.regexp_extract(F.regexp_replace("answer", "```(?:json)?", ""), r"(?s)\{.*\}", 0)
     p = t.select("id", F.from_json(j, "short string, medium string, long string").alias("p")).select("id", "p.*")
     return p.withColumn("complete", F.col("short").isNotNull() & F.col("medium").isNotNull() & F.col("long").isNotNull())
@@ -180,17 +187,23 @@ _STREAMS = [
 ]
 
 
+_STREAM_ROWS = [
+    "doc_id + 1000",
+    """CASE doc_id % 3 WHEN 0 THEN concat('data: {"d": "', lang, '"}', chr(10), 'data: {"d": "', source, '"}', chr(10), chr(10), 'data: [DONE]') WHEN 1 THEN concat('{"d": "', source, '"}') ELSE concat('noise', chr(10), 'data: broken') END""",
+]
+
+
 @query(
     "router_response",
     r"WITH l AS (SELECT id, generate_subscripts(x, 1) AS k, unnest(x) AS line FROM (SELECT id, string_split(body, chr(10)) AS x FROM "
-    + literal_sql("id body", _STREAMS)
+    + with_given_sql("id body", _STREAMS, "documents", _STREAM_ROWS)
     + r")), p AS (SELECT id, k, trim(regexp_replace(line, '^data:', '')) AS j FROM l WHERE starts_with(line, 'data:') OR starts_with(line, '{')) SELECT i.id, coalesce(string_agg(CASE WHEN json_valid(j) THEN json_extract_string(j, '$.d') END, '' ORDER BY k), '') AS text FROM (SELECT DISTINCT id FROM l) i LEFT JOIN p USING (id) GROUP BY i.id",
 )
 def router_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """one JSON object, or lines of a stream whose parts are joined, on given rows."""
+    """one JSON object, or lines of a stream whose parts are joined, on given rows and one of each document."""
     lines = F.filter(F.split("body", "\n"), lambda x: F.startswith(x, F.lit("data:")) | F.startswith(x, F.lit("{")))
     parts = F.transform(lines, lambda x: F.get_json_object(F.trim(F.regexp_replace(x, "^data:", "")), "$.d"))
-    return literal(spark, "id body", _STREAMS).select("id", F.array_join(F.array_compact(parts), "").alias("text"))
+    return with_given(spark, sf_dir, "id body", _STREAMS, "documents", _STREAM_ROWS).select("id", F.array_join(F.array_compact(parts), "").alias("text"))
 
 
 @query(
@@ -231,13 +244,18 @@ def label_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), F.array_join(F.transform(labels, lambda x: x.cast("string")), ",").alias("labels"))
 
 
+_TASKS = [("grammar", 600, True), ("headline", 52, True), ("style", 8192, True), ("summarizer", 180, True), ("extractive", 0, False)]
+_TASK_OF = "CASE WHEN n_chars < 500 THEN 'grammar' WHEN lang = 'en' THEN 'headline' WHEN lang = 'de' THEN 'style' ELSE 'summarizer' END"
+
+
 @query(
     "task_catalogue",
-    "SELECT * FROM (VALUES ('grammar', 600, true), ('headline', 52, true), ('style', 8192, true), ('summarizer', 180, true), ('extractive', 0, false)) v(task, most_tokens, needs_model)",
+    f"SELECT v.task, v.most_tokens, v.needs_model, coalesce(d.n, 0) AS documents FROM {literal_sql('task most_tokens needs_model', _TASKS).replace('AS t(', 'AS v(')} LEFT JOIN (SELECT {_TASK_OF} AS task, count(*) AS n FROM documents GROUP BY 1) d USING (task)",
 )
 def task_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC12: the tasks as a table."""
-    return literal(spark, "task most_tokens needs_model", [("grammar", 600, True), ("headline", 52, True), ("style", 8192, True), ("summarizer", 180, True), ("extractive", 0, False)])
+    """SRC12: the tasks as a table, with the documents that fall to each."""
+    fallen = table(spark, sf_dir, "documents").groupBy(F.expr(_TASK_OF).alias("task")).agg(F.count("*").alias("documents"))
+    return literal(spark, "task most_tokens needs_model", _TASKS).join(fallen, "task", "left").fillna({"documents": 0})
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.profiles import LATIN
 from ..operators import quality as Q
-from ._tables import dealt_docs, docs, literal, literal_sql, r6, sentences_sql, table, trim_sql, words_sql
+from ._tables import dealt_docs, docs, literal, literal_sql, r6, sentences_sql, table, trim_sql, with_given, with_given_sql, words_sql
 from .text_queries import _phrase_sql, repeated_phrases
 
 QUERIES: dict = {}
@@ -199,14 +199,17 @@ _RESULTS = [
 ]
 
 
+_RESULT_ROWS = ["doc_id + 1000", "CASE doc_id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'ok' END", "CASE WHEN doc_id % 9 = 0 THEN 'timeout' END", "CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE text END"]
+
+
 @query(
     "failed_rows",
     f"SELECT id, coalesce(lower(status), '') = 'failed' OR coalesce(error, '') <> '' OR {trim_sql("coalesce(rewritten, '')")} = '' AS failed, CASE WHEN coalesce(error, '') <> '' THEN 'error' ELSE 'result' END AS branch FROM "
-    + literal_sql("id status error rewritten", _RESULTS),
+    + with_given_sql("id status error rewritten", _RESULTS, "documents", _RESULT_ROWS),
 )
 def failed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P7, SNK4."""
-    t = literal(spark, "id status error rewritten", _RESULTS)
+    """P7, SNK4, on given rows and all documents."""
+    t = with_given(spark, sf_dir, "id status error rewritten", _RESULTS, "documents", _RESULT_ROWS)
     bad = t.where("coalesce(error, '') <> ''").withColumn("branch", F.lit("error"))
     good = t.where("coalesce(error, '') = ''").withColumn("branch", F.lit("result"))
     return bad.union(good).select("id", Q.is_failed(F.col("status"), F.col("error"), F.col("rewritten")).alias("failed"), "branch")
@@ -304,13 +307,26 @@ _VERSION = r"CASE WHEN regexp_extract(name, '_v(\d+)', 1) <> '' THEN CAST(regexp
 _FAMILY = "CASE WHEN starts_with(name, 'mt5') THEN 'mt5' WHEN starts_with(name, 'extractive') THEN 'extractive' WHEN starts_with(name, 'grammar') THEN 'grammar' WHEN starts_with(name, 'headline') THEN 'headline' WHEN starts_with(name, 'style') THEN 'style' WHEN starts_with(name, 'summarizer') THEN 'summarizer' ELSE 'custom' END"
 
 
+#: A name for each language and source, so there are as many as sources.
+_ADAPTER_NAMES = "concat(CASE lang WHEN 'en' THEN 'style' WHEN 'de' THEN 'grammar' WHEN 'fr' THEN 'headline' ELSE 'summarizer' END, '_v', substr(source, 4))"
+_ADAPTERS_SQL = f"(SELECT name FROM {literal_sql('name kind', _ADAPTERS)} UNION SELECT {_ADAPTER_NAMES} FROM documents)"
+_REQUEST_ROWS = [
+    "doc_id + 1000", "CASE doc_id % 5 WHEN 0 THEN 'grammar' WHEN 1 THEN 'headline' WHEN 2 THEN 'style' WHEN 3 THEN 'summarizer' ELSE lang END",
+    f"CASE WHEN doc_id % 4 = 0 THEN {_ADAPTER_NAMES} WHEN doc_id % 31 = 0 THEN 'nosuch' END", "CASE WHEN n_chars < 1000 THEN 'SHORT' WHEN n_chars < 4000 THEN 'medium' WHEN n_chars < 9000 THEN 'long' ELSE 'giant' END",
+]
+
+
+def _adapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return literal(spark, "name kind", _ADAPTERS).select("name").union(docs(spark, sf_dir).selectExpr(f"{_ADAPTER_NAMES} AS name")).distinct()
+
+
 @query(
     "latest_adapters",
-    f"SELECT family, arg_max(name, version) AS latest, round(max(version), 6) AS version, array_to_string(list_sort(list_append(list(name), 'base')), ',') AS members FROM (SELECT name, {_FAMILY} AS family, {_VERSION} AS version FROM {literal_sql('name kind', _ADAPTERS)}) GROUP BY family",
+    f"SELECT family, arg_max(name, version) AS latest, round(max(version), 6) AS version, array_to_string(list_sort(list_append(list(name), 'base')), ',') AS members FROM (SELECT name, {_FAMILY} AS family, {_VERSION} AS version FROM {_ADAPTERS_SQL}) GROUP BY family",
 )
 def latest_adapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC10, F65, F66, A28, S7."""
-    t = literal(spark, "name kind", _ADAPTERS)
+    """SRC10, F65, F66, A28, S7: given adapters, and one of each language and source."""
+    t = _adapters(spark, sf_dir)
     a = t.select("name", T.family_of(F.col("name")).alias("family"), T.version_of(F.col("name")).alias("version"))
     members = F.array_join(F.sort_array(F.array_union(F.collect_list("name"), F.array(F.lit("base")))), ",")
     return a.groupBy("family").agg(F.max_by("name", "version").alias("latest"), r6(F.max("version")).alias("version"), members.alias("members"))
@@ -319,17 +335,17 @@ def latest_adapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "adapter_resolution",
     f"""
-WITH a AS (SELECT name, {_FAMILY} AS family, {_VERSION} AS version FROM {literal_sql("name kind", _ADAPTERS)}), d AS (SELECT family, arg_max(name, version) AS latest FROM a GROUP BY family),
-r AS (SELECT *, CASE WHEN task IN ('grammar', 'headline', 'style', 'summarizer') THEN task ELSE 'grammar' END AS task_ FROM {literal_sql("id task adapter len", _REQUESTS)}),
+WITH a AS (SELECT name, {_FAMILY} AS family, {_VERSION} AS version FROM {_ADAPTERS_SQL}), d AS (SELECT family, arg_max(name, version) AS latest FROM a GROUP BY family),
+r AS (SELECT *, CASE WHEN task IN ('grammar', 'headline', 'style', 'summarizer') THEN task ELSE 'grammar' END AS task_ FROM {with_given_sql("id task adapter len", _REQUESTS, "documents", _REQUEST_ROWS)}),
 j AS (SELECT r.id, r.task_, r.adapter, r.len, coalesce(r.adapter, d.latest) AS resolved, x.family, x.version FROM r LEFT JOIN d ON d.family = r.task_ LEFT JOIN a x ON x.name = coalesce(r.adapter, d.latest))
 SELECT id, task_ AS task, CASE WHEN family = task_ THEN resolved END AS resolved, CASE WHEN family IS NULL THEN 'unknown_adapter' WHEN family <> task_ THEN 'category_mismatch' END AS error,
   CASE WHEN version < 6 THEN NULL WHEN lower(len) IN ('short', 'medium', 'long') THEN lower(len) ELSE 'medium' END AS effective_length FROM j""",
 )
 def adapter_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P24, P25, P26."""
-    adapters = literal(spark, "name kind", _ADAPTERS).select("name", T.family_of(F.col("name")).alias("family"), T.version_of(F.col("name")).alias("version"))
+    """Given requests, and one of each document."""
+    adapters = _adapters(spark, sf_dir).select("name", T.family_of(F.col("name")).alias("family"), T.version_of(F.col("name")).alias("version"))
     latest = adapters.groupBy("family").agg(F.max_by("name", "version").alias("latest"))
-    r = literal(spark, "id task adapter len", _REQUESTS).withColumn("task", F.when(F.col("task").isin("grammar", "headline", "style", "summarizer"), F.col("task")).otherwise("grammar"))
+    r = with_given(spark, sf_dir, "id task adapter len", _REQUESTS, "documents", _REQUEST_ROWS).withColumn("task", F.when(F.col("task").isin("grammar", "headline", "style", "summarizer"), F.col("task")).otherwise("grammar"))
     j = r.join(latest.withColumnRenamed("family", "task"), "task", "left").withColumn("name", F.coalesce("adapter", "latest")).join(adapters, "name", "left")
     length = F.when(F.col("version") < 6, F.lit(None)).when(F.lower("len").isin("short", "medium", "long"), F.lower("len")).otherwise("medium")
     error = Q.first_reason((F.col("family").isNull(), "unknown_adapter"), (F.col("family") != F.col("task"), "category_mismatch"))

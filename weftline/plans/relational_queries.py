@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import joins as J
 from ..operators import selection as S
-from ._tables import dealt_docs, docs, literal, literal_sql, ngrams_sql, r6, sentences_sql, table, tokens_sql, words_sql
+from ._tables import dealt_docs, docs, literal, literal_sql, ngrams_sql, r6, sentences_sql, table, tokens_sql, with_given, with_given_sql, words_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -204,20 +204,28 @@ def as_of_last_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOSS = [(s, None if s % 50 == 0 else 3.0 / (1 + s / 40), 3.2 / (1 + s / 45) + (0.02 * (s // 50) if s > 400 else 0.0) if s % 50 == 0 else None) for s in range(10, 801, 10)]
 
 
+#: The given history is run -1; of the events each user's are a run, every tenth an evaluation.
+_LOSS_ROWS = ["user_id", "event_id", "CASE WHEN event_id % 10 <> 0 THEN value END", "CASE WHEN event_id % 10 = 0 THEN value / 2 END"]
+_GIVEN_LOSS = [(-1, *row) for row in _LOSS]
+
+
 @query(
     "loss_verdict",
     f"""
-WITH h AS (SELECT * FROM {literal_sql("step loss eval_loss", _LOSS)}),
-j AS (SELECT e.step, e.eval_loss, (SELECT arg_max(t.loss, t.step) FROM h t WHERE t.loss IS NOT NULL AND t.step <= e.step) AS train_loss FROM h e WHERE e.eval_loss IS NOT NULL)
-SELECT CAST(arg_min(step, (eval_loss, step)) AS INT) AS best_step, round(min(eval_loss), 6) AS best_loss, round(arg_max(eval_loss - train_loss, step), 6) AS last_gap, CASE WHEN arg_min(step, (eval_loss, step)) < max(step) THEN 'past its best' ELSE 'still falling' END AS verdict FROM j""",
+WITH h AS (SELECT * FROM {with_given_sql("run step loss eval_loss", _GIVEN_LOSS, "events", _LOSS_ROWS)}),
+e AS (SELECT run, step, eval_loss FROM h WHERE eval_loss IS NOT NULL), l AS (SELECT run, step, loss FROM h WHERE loss IS NOT NULL),
+j AS (SELECT e.*, l.loss AS train_loss FROM e ASOF LEFT JOIN l ON e.run = l.run AND e.step >= l.step)
+SELECT run, CAST(arg_min(step, (eval_loss, step)) AS BIGINT) AS best_step, round(min(eval_loss), 6) AS best_loss, round(arg_max(eval_loss - train_loss, step) FILTER (train_loss IS NOT NULL), 6) AS last_gap,
+  CASE WHEN arg_min(step, (eval_loss, step)) < max(step) THEN 'past its best' ELSE 'still falling' END AS verdict FROM j GROUP BY run""",
 )
 def loss_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each evaluation with the last training loss before it; the best step, and whether training went past it."""
-    h = literal(spark, "step loss eval_loss", _LOSS).withColumn("run", F.lit(1))
+    """Each evaluation with the last training loss of its run before it; each run's best step, and whether training went past it."""
+    h = with_given(spark, sf_dir, "run step loss eval_loss", _GIVEN_LOSS, "events", _LOSS_ROWS)
     j = J.as_of(h.where("eval_loss IS NOT NULL").select("run", "step", "eval_loss"), h.where("loss IS NOT NULL").select("run", "step", "loss"), ["run"], "step", "loss", "train_loss")
     best = F.min_by("step", F.struct("eval_loss", "step"))
-    return j.agg(
-        best.alias("best_step"), r6(F.min("eval_loss")).alias("best_loss"), r6(F.max_by(F.col("eval_loss") - F.col("train_loss"), "step")).alias("last_gap"),
+    gap = F.col("eval_loss") - F.col("train_loss")
+    return j.groupBy("run").agg(
+        best.cast("long").alias("best_step"), r6(F.min("eval_loss")).alias("best_loss"), r6(F.max_by(gap, F.when(gap.isNotNull(), F.col("step")))).alias("last_gap"),
         F.when(best < F.max("step"), "past its best").otherwise("still falling").alias("verdict"),
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import aggregates as A
 from ..functions import text as T
 from ..functions.profiles import LATIN, SINHALA, ScriptProfile
-from ._tables import WS, dealt_docs, docs, literal, literal_sql, ngrams_sql, r6, sentences_sql, squeeze_sql, tokens_sql, trim_sql, words_sql
+from ._tables import WS, dealt_docs, docs, literal, literal_sql, ngrams_sql, r6, sentences_sql, squeeze_sql, tokens_sql, trim_sql, with_given, with_given_sql, words_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -212,10 +212,17 @@ _UNIT_ROWS = [
 ]
 
 
+#: Figures with units behind each text, which its summary repeats or changes.
+_UNIT_TEXTS = [
+    "doc_id + 1000", "concat(text, ' Exports of ', doc_id % 50, ' million and ', doc_id % 7, '.5 crore.')",
+    "concat(substr(text, 1, 200), ' It was ', doc_id % 50, CASE WHEN doc_id % 3 = 0 THEN ' lakh' ELSE ' million' END)",
+]
+
+
 @query(
     "number_unit_consistency",
     rf"""
-WITH t AS (SELECT * FROM {literal_sql("id article summary", _UNIT_ROWS)}),
+WITH t AS (SELECT * FROM {with_given_sql("id article summary", _UNIT_ROWS, "documents", _UNIT_TEXTS)}),
 side AS (SELECT id, 0 AS s, article AS x FROM t UNION ALL SELECT id, 1, summary FROM t),
 hit AS (SELECT id, s, unnest(regexp_extract_all(x, '(?:[0-9][0-9,]*(?:\.[0-9]+)?)\s*(?:ten\s*lakh|thousand|lakh|million|crore|billion)|(?:ten\s*lakh|thousand|lakh|million|crore|billion)\s*\.?\s*(?:[0-9][0-9,]*(?:\.[0-9]+)?)')) AS h,
   generate_subscripts(regexp_extract_all(x, '(?:[0-9][0-9,]*(?:\.[0-9]+)?)\s*(?:ten\s*lakh|thousand|lakh|million|crore|billion)|(?:ten\s*lakh|thousand|lakh|million|crore|billion)\s*\.?\s*(?:[0-9][0-9,]*(?:\.[0-9]+)?)'), 1) AS k FROM side),
@@ -228,8 +235,8 @@ SELECT t.id, (SELECT count(*) FROM pair p WHERE p.id = t.id AND s = 0) AS n_arti
 FROM t""",
 )
 def number_unit_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F28, F30, J7, on given rows."""
-    t = literal(spark, "id article summary", _UNIT_ROWS).withColumns({"a": T.number_units(F.col("article")), "s": T.number_units(F.col("summary"))})
+    """F28, F30, J7, on given rows and all documents."""
+    t = with_given(spark, sf_dir, "id article summary", _UNIT_ROWS, "documents", _UNIT_TEXTS).withColumns({"a": T.number_units(F.col("article")), "s": T.number_units(F.col("summary"))})
     return t.select("id", F.size("a").cast("long").alias("n_article"), F.size("s").cast("long").alias("n_summary"), T.unit_mismatch(F.col("s"), F.col("a")).alias("reason"))
 
 
@@ -378,19 +385,25 @@ _ANSWERS = [
 ]
 
 
+_ANSWER_TEXTS = [
+    "doc_id + 1000", "concat('```json', chr(10), 'Here is the rewritten text', chr(10), '# ', substr(text, 1, 60), chr(10), chr(10), '**', substr(text, 1, 400), '**')",
+    "concat(substr(text, 1, 80), CASE WHEN doc_id % 2 = 0 THEN ' ### Article: rest' ELSE '' END)",
+]
+
+
 @query(
     "clean_answers",
     r"""
 WITH t AS (SELECT * FROM """
-    + literal_sql("id answer headline", _ANSWERS)
+    + with_given_sql("id answer headline", _ANSWERS, "documents", _ANSWER_TEXTS)
     + rf"""),
 l AS (SELECT id, headline, list_filter(string_split(regexp_replace(answer, '```[a-z]*', '', 'g'), chr(10)), lambda x: {trim_sql("x")} <> '' AND NOT regexp_matches(lower(x), 'here is the rewritten|rewritten article')) AS lines FROM t),
 h AS (SELECT *, {trim_sql(f"regexp_replace(regexp_replace(string_split({trim_sql('headline')}, chr(10))[1], '(?s)(?:###|Article:|Category:|Headline:|<[|]|</s>|Note:).*$', ''), '^[-• ]+', '')")} AS head FROM l)
 SELECT id, array_to_string(list_transform(lines, lambda x: regexp_replace(regexp_replace({trim_sql("x")}, '^#+ *', ''), '\*\*', '', 'g')), chr(10)) AS response, head, array_to_string(({words_sql("head")})[1:10], ' ') AS head10 FROM h""",
 )
 def clean_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F8, F9, on given rows."""
-    t = literal(spark, "id answer headline", _ANSWERS)
+    """F8, F9, on given rows and all documents."""
+    t = with_given(spark, sf_dir, "id answer headline", _ANSWERS, "documents", _ANSWER_TEXTS)
     return t.select("id", T.clean_response(F.col("answer")).alias("response"), T.clean_output(F.col("headline")).alias("head"), T.clean_output(F.col("headline"), 10).alias("head10"))
 
 
@@ -401,6 +414,10 @@ _HEADLINES = [
     (4, "Budget passed, Update -", "(VIDEO) start"),
 ]
 _TAGS = "|".join(LATIN.media_tags)
+_TAGGED_TEXTS = [
+    "doc_id + 1000", "concat(substr(text, 1, 60), CASE doc_id % 3 WHEN 0 THEN ' - Photos' WHEN 1 THEN ' (Video) | photo' ELSE '' END)",
+    "concat(substr(text, 1, 300), ' [Gallery] end (photo/video)')",
+]
 
 
 @query(
@@ -408,11 +425,11 @@ _TAGS = "|".join(LATIN.media_tags)
     rf"""
 SELECT id, regexp_replace(regexp_replace(headline, '(?i)(?:[ \-–—|/,]*[\(\[]?\b(?:{_TAGS})\b[\)\]]?)+[ .!]*$', '', 'g'), '[ \-–—|/,:;]+$', '', 'g') AS headline,
   {squeeze_sql(rf"regexp_replace(body, '(?i)[\(\[] *(?:{_TAGS})(?: *[/,] *(?:{_TAGS}))* *[\)\]]', ' ', 'g')")} AS body FROM """
-    + literal_sql("id headline body", _HEADLINES),
+    + with_given_sql("id headline body", _HEADLINES, "documents", _TAGGED_TEXTS),
 )
 def media_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F12, F13, on given rows."""
-    t = literal(spark, "id headline body", _HEADLINES)
+    """F12, F13, on given rows and all documents."""
+    t = with_given(spark, sf_dir, "id headline body", _HEADLINES, "documents", _TAGGED_TEXTS)
     return t.select("id", T.drop_trailing_tags(F.col("headline")).alias("headline"), T.drop_inline_tags(F.col("body")).alias("body"))
 
 
@@ -423,6 +440,9 @@ _MARKED = [
 ]
 
 
+_MARKED_TEXTS = ["doc_id + 1000", "CASE doc_id % 3 WHEN 0 THEN concat(text, ' It is time to discuss.') WHEN 1 THEN concat('Did you know? ', text) ELSE text END", "lang"]
+
+
 @query(
     "marker_sentences",
     rf"""
@@ -431,11 +451,11 @@ SELECT id, CASE WHEN position('time to discuss' IN text) > 0 AND length(regexp_r
   CASE WHEN position('Did you know' IN text) BETWEEN 1 AND 6 AND regexp_matches(text, '[.!?][{WS}]') THEN {trim_sql(r"regexp_extract(text, '(?s)^.*?[.!?]\s+(.*)$', 1)")} ELSE text END AS without_opening,
   CASE WHEN starts_with(text || ' ' || text, text) AND text <> '' THEN regexp_replace(substr(text || ' ' || text, length(text) + 1), '^[{WS}:.*-]+', '') ELSE text END AS without_title
 FROM """
-    + literal_sql("id text other", _MARKED),
+    + with_given_sql("id text other", _MARKED, "documents", _MARKED_TEXTS),
 )
 def marker_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F10, F14, F15, P14, on given rows."""
-    t = literal(spark, "id text other", _MARKED)
+    """F10, F14, F15, P14, on given rows and all documents."""
+    t = with_given(spark, sf_dir, "id text other", _MARKED, "documents", _MARKED_TEXTS)
     c = F.col("text")
     return t.select("id", T.drop_closing_sentence(c, LATIN.closing_markers).alias("without_closing"), T.drop_opening_sentence(c, LATIN.opening_markers).alias("without_opening"), T.drop_title(F.concat(c, F.lit(" "), c), c).alias("without_title"))
 
@@ -475,16 +495,17 @@ _TORN = [
     (4, "plain text"),
     (5, ""),
 ]
+_TORN_TEXTS = ["doc_id + 1000", f"CASE WHEN doc_id % 2 = 0 THEN concat(text, ' {_TORN[0][1]} ', lang) ELSE concat('{_TORN[1][1]} ', text, ' {_TORN[2][1]}') END"]
 _HEALED = rf"regexp_replace(text, '(^|[^\p{{L}}\p{{N}}_])([{SINHALA.block}][\x{{200d}}{SINHALA.joining_sign}]?[{SINHALA.cluster_ends}])[{WS}]+([{SINHALA.block}]+)', '\1\2\3', 'g')"
 for _pattern, _word in SINHALA.repairs:
     _HEALED = f"regexp_replace({_HEALED}, '{_pattern}', '{_word}', 'g')"
 
 
-@query("sinhala_repairs", f"SELECT id, {squeeze_sql(_HEALED)} AS healed, regexp_matches(text, '{SINHALA.joining_sign}[{SINHALA.dependent_signs}]') AS garbled, regexp_replace(text, '{SINHALA.joining_sign}[{SINHALA.dependent_signs}]', '', 'g') AS without FROM " + literal_sql("id text", _TORN))
+@query("sinhala_repairs", f"SELECT id, {squeeze_sql(_HEALED)} AS healed, regexp_matches(text, '{SINHALA.joining_sign}[{SINHALA.dependent_signs}]') AS garbled, regexp_replace(text, '{SINHALA.joining_sign}[{SINHALA.dependent_signs}]', '', 'g') AS without FROM " + with_given_sql("id text", _TORN, "documents", _TORN_TEXTS))
 def sinhala_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F11, F35, P14, on given rows."""
+    """F11, F35, P14, on given rows and all documents."""
     c = F.col("text")
-    return literal(spark, "id text", _TORN).select("id", T.heal(c, SINHALA).alias("healed"), T.is_garbled(c, SINHALA).alias("garbled"), T.drop_garbled(c, SINHALA).alias("without"))
+    return with_given(spark, sf_dir, "id text", _TORN, "documents", _TORN_TEXTS).select("id", T.heal(c, SINHALA).alias("healed"), T.is_garbled(c, SINHALA).alias("garbled"), T.drop_garbled(c, SINHALA).alias("without"))
 
 
 @query("sql_functions", f"SELECT lang, count(*) AS n, sum(len({words_sql('text')})) AS words, sum(len({sentences_sql('text')})) AS sentences FROM documents GROUP BY lang")
