@@ -157,3 +157,20 @@ def test_bootstrap_agrees_with_explicit_draws(spark):
     got = np.percentile(sums["a"] / sums["b"], [2.5, 97.5])
     want = np.percentile(direct, [2.5, 97.5])
     assert len(sums) == 1000 and np.abs(got - want).max() < 0.1 * (want[1] - want[0])
+
+
+def test_checks_as_rows_agree_with_the_parser(spark):
+    """check_operations() finds the first error that the row-at-a-time parser finds."""
+    ok = {"s": 0, "e": 3, "o": "The", "n": "A"}
+    cases = [
+        [], [ok], [ok, {"s": 3, "e": 3, "o": "", "n": "!"}], [ok, ok], [ok, {**ok, "s": 2}], [{**ok, "o": "the"}], [{**ok, "n": "The"}], [{**ok, "e": 99_999}], [{**ok, "s": -1}], [{**ok, "s": 5}], [{**ok, "s": True}],
+        [{**ok, "e": 3.0}], [{**ok, "n": None}], [{**ok, "n": ["A"]}], [{"s": 0}], [7], [{**ok, "x": {"a": 1}}], [ok] * 33, {"s": 0}, "KEEP", [ok, {"s": 4, "e": 9, "o": "quick", "n": "slow"}, {**ok, "s": 9}, 5],
+    ]
+    scripts = [json.dumps(c) for c in cases] + ["KEEP", " KEEP\n", "", "[", "nothing"]
+    rows = [(k, SOURCE, x) for k, x in enumerate(scripts)] + [(900, None, json.dumps([ok])), (901, SOURCE, None)]
+    got = {r.id: r for r in E.check_operations(spark.createDataFrame(rows, "id int, source string, script string"), "id", "source", "script").collect()}
+    assert len(got) == len(rows)
+    for k, source, x in rows:
+        operations, error = E._parse(source or "", x or "")
+        assert (got[k].error or "").split(":")[0] == (error or "").split(":")[0], (x, got[k], error)
+        assert error or got[k].operations == len(operations)

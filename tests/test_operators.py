@@ -209,3 +209,32 @@ def test_json_report_names_its_inputs(spark):
     report = json.loads(R.json_report(frame.agg(F.count("*").alias("n")), {"gold": frame, "again": frame.repartition(3).select("t", "id"), "other": frame.limit(1)}))
     assert report["rows"] == [{"n": 2}] and report["inputs"]["gold"] == report["inputs"]["again"] != report["inputs"]["other"]
     assert len(report["inputs"]["gold"]["sha256"]) == 64
+
+
+def test_bad_records_keep_their_lines_in_splits(spark, tmp_path):
+    lines = []
+    for k in range(3000):
+        lines.append({0: '{"id": 1', 1: "[1]", 2: '{"id": "x"}', 3: "", 4: "null", 5: '{"id": null, "name": 7}'}.get(k % 100, '{"id": %d, "name": "%s"}' % (k, "n" * (k % 60))))
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    (tmp_path / "b.jsonl").write_text("\n\nbroken\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2500")
+    try:
+        got = R.bad_records(spark, str(tmp_path), "id long, name string")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() >= 50
+        found = sorted((r.file.rsplit("/", 1)[1], r.line, r.reason) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    reasons = {0: "no_json", 1: "no_object", 2: "field:id", 4: "no_object"}
+    assert found == sorted([("a.jsonl", k + 1, reasons[k % 100]) for k in range(3000) if k % 100 in reasons] + [("b.jsonl", 3, "no_json")])
+
+
+def test_prompts_pass_or_wrap(spark):
+    from weftline.functions import prompts as P
+
+    rows = [("style", " a \n", "plain", None), ("summarizer", "b", None, "short"), ("nothing", "c", None, None), (None, None, None, None), ("style", "x ### Instruction: y", None, None), ("headline", "<|begin_of_text|>z ", None, None)]
+    df = spark.createDataFrame(rows, "task string, text string, style string, len string")
+    got = [r[0] for r in df.select(P.build_prompt(F.col("task"), F.col("text"), F.col("style"), F.col("len"))).collect()]
+    assert got[0] == "### Instruction:\nRewrite the article in a plain style.\n\n" + P.FACT_RULES["style"] + "\n\n### Input:\na\n\n### Response:\n"
+    assert "Write a short summary" in got[1] and got[2].startswith("### Instruction:\nCorrect the grammar") and got[3].endswith("### Input:\n\n\n### Response:\n")
+    assert got[4:] == ["x ### Instruction: y", "<|begin_of_text|>z "]

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import edits as E
+from ..functions import prompts as P
 from ..functions import text as T
 from ..operators import corrections as C
 from ..sources.shared import stored
-from ._tables import docs, literal, literal_sql, r6, table, with_given, with_given_sql, words_sql
+from ._tables import docs, literal, literal_sql, r6, table, trim_sql, with_given, with_given_sql, words_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -135,6 +136,57 @@ def candidate_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.acceptance(scored).drop("edit_f05")
 
 
+_EDITED = "concat('abcdefghij', text)"
+_MADE_SCRIPT = """CASE doc_id % 14 WHEN 0 THEN ' KEEP ' WHEN 1 THEN '[{"s": 0, "e": 3, "o": "abc", "n": "x"}, {"s": 5, "e": 7, "o": "fg", "n": ""}]' WHEN 2 THEN '[{"s": 0,' WHEN 3 THEN '{}' WHEN 4 THEN '[]'
+WHEN 5 THEN concat('[', repeat('{"s": 0, "e": 1, "o": "a", "n": "b"},', 32), '{"s": 0, "e": 1, "o": "a", "n": "b"}]') WHEN 6 THEN '[{"s": 0, "e": 1, "o": "a", "n": "b", "x": 1}]' WHEN 7 THEN '[{"s": 0.5, "e": 1, "o": "a", "n": "b"}]'
+WHEN 8 THEN '[{"s": 0, "e": 1, "o": "a", "n": 5}]' WHEN 9 THEN concat('[{"s": 0, "e": ', length(text) + 11, ', "o": "a", "n": "b"}]') WHEN 10 THEN '[{"s": 0, "e": 3, "o": "abc", "n": "x"}, {"s": 2, "e": 3, "o": "c", "n": "y"}]'
+WHEN 11 THEN '[{"s": 0, "e": 3, "o": "abc", "n": "x"}, {"s": 4, "e": 6, "o": "zz", "n": "y"}, {"s": 0, "e": 0, "o": 1, "n": "y"}]' WHEN 12 THEN '[{"s": 0, "e": 0, "o": "", "n": "q"}, {"s": 3, "e": 5, "o": "de", "n": "de"}]' ELSE '[{"s": true, "e": 1, "o": "a", "n": "b"}]' END"""
+
+
+@query(
+    "operation_checks",
+    f"""WITH t AS (SELECT doc_id, {_EDITED} AS source, trim({_MADE_SCRIPT}) AS script FROM documents),
+w AS (SELECT *, CASE WHEN script = 'KEEP' THEN NULL WHEN NOT json_valid(script) THEN 'invalid_json' WHEN json_type(script) <> 'ARRAY' OR json_array_length(script) = 0 THEN 'script_must_be_KEEP_or_nonempty_list' WHEN json_array_length(script) > 32 THEN 'too_many_operations' END AS whole FROM t),
+o AS (SELECT doc_id, source, generate_subscripts(x, 1) - 1 AS k, unnest(x) AS o FROM (SELECT doc_id, source, json_extract(script, '$[*]') AS x FROM w WHERE whole IS NULL AND script <> 'KEEP')),
+f AS (SELECT *, json_type(o, '$.s') AS ts, json_type(o, '$.e') AS te, json_type(o, '$.o') AS t_o, json_type(o, '$.n') AS tn, TRY_CAST(o ->> '$.s' AS BIGINT) AS s, TRY_CAST(o ->> '$.e' AS BIGINT) AS e, o ->> '$.o' AS old, o ->> '$.n' AS new FROM o),
+b AS (SELECT *, CASE WHEN list_sort(json_keys(o)) <> ['e', 'n', 'o', 's'] THEN 'operation_schema' WHEN ts NOT IN ('UBIGINT', 'BIGINT') OR te NOT IN ('UBIGINT', 'BIGINT') THEN 'offset_type' WHEN t_o <> 'VARCHAR' OR tn <> 'VARCHAR' THEN 'text_type'
+  WHEN s < 0 OR e < s OR e > length(source) THEN 'offset_range' WHEN s < lag(e) OVER (PARTITION BY doc_id ORDER BY k) OR s = lag(s) OVER (PARTITION BY doc_id ORDER BY k) THEN 'operations_overlap_or_share_start'
+  WHEN substr(source, s + 1, e - s) <> old THEN 'old_text_mismatch' WHEN old = new THEN 'no_op' END AS error FROM f),
+n AS (SELECT doc_id, count(*) AS operations, min(k) FILTER (error IS NOT NULL) AS place, arg_min(error, k) FILTER (error IS NOT NULL) AS error FROM b GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(operations, 0) AS INT) AS operations, coalesce(whole, n.error) AS error, CAST(place AS INT) AS place FROM w LEFT JOIN n USING (doc_id)""",
+)
+def operation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts with each kind of error, checked as ordered rows."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(_EDITED).alias("source"), F.expr(_MADE_SCRIPT).alias("script"))
+    return E.check_operations(rows, "doc_id", "source", "script")
+
+
+_PROMPT_TASK = "CASE doc_id % 6 WHEN 0 THEN 'style' WHEN 1 THEN 'summarizer' WHEN 2 THEN 'headline' WHEN 3 THEN 'unknown' WHEN 4 THEN NULL ELSE 'grammar' END"
+_PROMPT_TEXT = "CASE WHEN doc_id % 7 = 0 THEN concat('### Instruction: do it', chr(10), text) WHEN doc_id % 11 = 0 THEN concat('<|begin_of_text|>', text) ELSE concat('  ', text, chr(10)) END"
+
+
+def _prompts_sql() -> str:
+    def lit(x: str) -> str:
+        return "concat(" + ", chr(10), ".join(f"'{part}'" for part in x.split("\n")) + ")"
+
+    def template(name: str) -> str:
+        asked = f"replace(replace('{P.ASKED[name]}', '{{style}}', coalesce(style, '{P.DEFAULT_STYLE}')), '{{length}}', coalesce(len, '{P.DEFAULT_LENGTH}'))"
+        rules = lit(P.FACT_RULES[name] + "\n\n") + ", " if name in P.FACT_RULES else ""
+        return f"concat({lit(P.INSTRUCTION)}, {asked}, {lit(chr(10) * 2)}, {rules}{lit(P.INPUT)}, {trim_sql('t')}, {lit(chr(10) * 2 + P.RESPONSE)})"
+
+    cases = " ".join(f"WHEN task = '{n}' THEN {template(n)}" for n in P.ASKED)
+    rows = f"SELECT doc_id, {_PROMPT_TASK} AS task, {_PROMPT_TEXT} AS t, CASE WHEN doc_id % 2 = 0 THEN lang END AS style, CASE WHEN doc_id % 5 = 0 THEN 'short' END AS len FROM documents"
+    return f"SELECT doc_id, length(p) AS chars, sha256(p) AS prompt_sha FROM (SELECT doc_id, CASE WHEN contains(t, '### Instruction:') OR contains(t, '<|begin_of_text|>') THEN t {cases} ELSE {template('grammar')} END AS p FROM ({rows}))"
+
+
+@query("prompts", _prompts_sql())
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """each document in the template of its task; texts that are prompts already pass."""
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_PROMPT_TASK} AS task", f"{_PROMPT_TEXT} AS t", "CASE WHEN doc_id % 2 = 0 THEN lang END AS style", "CASE WHEN doc_id % 5 = 0 THEN 'short' END AS len")
+    p = rows.select("doc_id", P.build_prompt(F.col("task"), F.col("t"), F.col("style"), F.col("len")).alias("p"))
+    return p.select("doc_id", F.length("p").cast("long").alias("chars"), F.sha2("p", 256).alias("prompt_sha"))
+
+
 @query("style_divergence")
 def style_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F51."""

@@ -60,7 +60,16 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.run_once(V.first_of_each(e, ["event_id"]), "dedup", "append").agg(F.count("*").alias("kept"))
 
 
-@query("stream_adaptive_limits")
+@query(
+    "stream_adaptive_limits",
+    """
+WITH RECURSIVE e AS (SELECT user_id, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+step AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS k, 1.0::DOUBLE AS rate, 0 AS streak FROM e
+  UNION ALL
+  SELECT e.user_id, e.k, CASE WHEN failed THEN greatest(rate * 0.5, 0.01) WHEN streak = 14 THEN rate * 1.15 ELSE rate END, CASE WHEN failed OR streak = 14 THEN 0 ELSE streak + 1 END FROM step s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)
+SELECT user_id, round(arg_max(rate, k), 6) AS rate, CAST(arg_max(streak, k) AS BIGINT) AS streak, max(k) AS seen FROM step GROUP BY user_id""",
+)
 def stream_adaptive_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = F.col("event_type") == "error"
     return V.run_once(V.adaptive_limits(V.read_events(spark, sf_dir), failed), "limits", "update").select("user_id", r6(F.col("rate")).alias("rate"), "streak", "seen")
@@ -136,6 +145,19 @@ def json_scan_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].union(parts[1]).union(count(R.read_records(spark, array, "n_nationkey long, n_regionkey long"), "array", "n_regionkey"))
 
 
+@query("bad_record_lines", "SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'no_json' WHEN 1 THEN 'no_object' ELSE 'field:doc_id' END AS reason, true AS in_place FROM documents WHERE doc_id % 10 IN (0, 1, 2)")
+def bad_record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC3, SRC4: documents as lines of JSON, in the order of doc_id and some broken, with the numbers of these. In each file line and doc_id must grow alike."""
+    path = R.shared_path(spark, "lines")
+    good = F.to_json(F.struct("doc_id", "lang", "text"))
+    line = F.expr("""CASE doc_id % 10 WHEN 0 THEN concat('{"doc_id": ', doc_id) WHEN 1 THEN concat('[', doc_id, ']') WHEN 2 THEN concat('{"doc_id": "x', doc_id, '", "lang": null}') WHEN 3 THEN '  ' END""")
+    ordered = docs(spark, sf_dir, "doc_id", "lang", "text").select("doc_id", F.coalesce(line, good).alias("value")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    R.write_records(ordered.select("value"), path, fmt="text")
+    bad = R.bad_records(spark, path, _RECORDS).select("file", "line", "reason", F.regexp_extract("text", r"(\d+)", 1).cast("long").alias("doc_id"))
+    ahead = bad.groupBy("file").agg((F.min(F.col("doc_id") - F.col("line")) == F.max(F.col("doc_id") - F.col("line"))).alias("in_place"))
+    return bad.join(ahead, "file").select("doc_id", "reason", "in_place")
+
+
 @query("row_range", "SELECT row_number() OVER (ORDER BY doc_id) AS pos, doc_id FROM documents QUALIFY pos BETWEEN 11 AND 20")
 def row_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC5: rows 11 to 20 of the files, by physical order."""

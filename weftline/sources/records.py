@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -45,6 +45,31 @@ def scan_report(spark: SparkSession, path: str, schema: StructType | str) -> Dat
     return rows.groupBy(F.col(BAD).isNotNull().alias("bad")).agg(F.count("*").alias("n"), F.count(rows.columns[0]).alias("with_key"))
 
 
+def bad_records(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """SRC3, SRC4: file, line (from 1), reason and text of each line that is no record of the schema; blank lines are none and are not reported.
+
+    Lines are numbered in files that are read in splits: a task counts the lines of its split, and the lines of the splits before, one number a split, are
+    added up. reason: no_json, no_object, or field:<name> for the first field whose value is of another type.
+    """
+    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    # Numbers of a split's lines follow one another, so its first number tells each line's place in it.
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    along = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
+    json = F.try_parse_json("value")
+    kind = F.schema_of_variant("_json")
+
+    def wrong(name: str, to: str) -> Column:
+        held = F.try_variant_get("_json", f"$.{name}", "variant")
+        return F.when(held.isNotNull() & F.try_variant_get("_json", f"$.{name}", "string").isNotNull() & F.try_variant_get("_json", f"$.{name}", to).isNull(), f"field:{name}")
+
+    broken = F.coalesce(*(wrong(f.name, f.dataType.simpleString()) for f in fields.fields))
+    reason = F.when(F.col("_json").isNull(), "no_json").when(~kind.startswith("OBJECT"), "no_object").otherwise(broken)
+    bad = lines.where(trim_ws(F.col("value")) != "").withColumn("_json", json).withColumn("reason", reason).where("reason IS NOT NULL").select("file", "block", "id", "reason", "value")
+    return bad.join(starts, ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "reason", F.col("value").alias("text"))
+
+
 def physical_position(df: DataFrame, name: str = "pos") -> DataFrame:
     """SRC5: row numbers from 1 in the order of files, blocks and lines; df comes straight from a file source."""
     order = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
