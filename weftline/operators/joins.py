@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import nfc, scoring_text
 from ..sources.shared import stored
 
 
@@ -36,16 +37,22 @@ def completeness(gold: DataFrame, predictions: DataFrame, key: str) -> DataFrame
     )
 
 
-def one_to_one(gold: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
+def one_to_one(gold: DataFrame, predictions: DataFrame, key: str, inputs: tuple[str, str] | None = None) -> DataFrame:
     """The inner join, which fails when it runs if a key is missing, unknown or repeated.
 
-    The check is part of the plan: a full outer join over counts, so no action runs before the query's own.
+    inputs: the gold side's input and the one that was submitted with the prediction. They must be equal as scoring_text() has them; a null one was not
+    submitted and is not compared. An empty gold input fails as well. The checks are part of the plan: a full outer join over counts, so no action runs before the query's own.
     """
     g = gold.withColumn("_g", F.count("*").over(Window.partitionBy(key)))
     p = predictions.withColumn("_p", F.count("*").over(Window.partitionBy(key)))
     both = g.join(p, key, "full_outer")
-    fine = F.assert_true((F.col("_g") == 1) & (F.col("_p") == 1), F.concat(F.lit("not one to one: "), F.col(key).cast("string")))
-    return both.where(F.coalesce(fine.cast("int"), F.lit(1)) == 1).drop("_g", "_p")
+    name = F.col(key).cast("string")
+    fine = F.assert_true((F.col("_g") == 1) & (F.col("_p") == 1), F.concat(F.lit("not one to one: "), name)).isNull()
+    if inputs:
+        ours, theirs = (nfc(scoring_text(F.col(c))) for c in inputs)
+        fine = fine & F.assert_true(F.coalesce(ours, F.lit("")) != "", F.concat(F.lit("empty input: "), name)).isNull()
+        fine = fine & F.assert_true(F.col(inputs[1]).isNull() | (ours == theirs), F.concat(F.lit("inputs differ: "), name)).isNull()
+    return both.where(fine).drop("_g", "_p")
 
 
 def zip_rows(left: DataFrame, right: DataFrame, left_order: Column, right_order: Column) -> DataFrame:

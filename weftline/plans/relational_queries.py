@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import joins as J
 from ..operators import selection as S
-from ._tables import dealt_docs, docs, literal, literal_sql, ngrams_sql, r6, sentences_sql, table, tokens_sql, with_given, with_given_sql, words_sql
+from ..sources import records as R
+from ._tables import dealt_docs, docs, literal, literal_sql, ngrams_sql, r6, sentences_sql, table, tokens_sql, trim_sql, with_given, with_given_sql, words_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -187,6 +188,55 @@ def completeness_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.completeness(docs(spark, sf_dir, "doc_id"), table(spark, sf_dir, "labels").select((F.col("doc_id") + 100).alias("doc_id")), "doc_id")
 
 
+@query("one_to_one_join", f"SELECT doc_id, len({words_sql('text')}) AS words FROM documents WHERE {trim_sql('text')} <> ''")
+def one_to_one_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with predictions for them; the submitted inputs differ in white space, and every third one was not submitted."""
+    gold = docs(spark, sf_dir, "doc_id", "text").where(T.trim_ws(F.col("text")) != "")
+    sent = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("  "))))
+    made = gold.select("doc_id", sent.alias("input"), T.word_count(F.col("text")).cast("long").alias("words"))
+    return J.one_to_one(gold, made, "doc_id", ("text", "input")).select("doc_id", "words")
+
+
+_WORD = r"[\p{L}\p{N}_]"
+
+
+@query(
+    "scored_numbers",
+    rf"""WITH d AS (SELECT doc_id, concat(text, ' +5 and -3.2, 1/2 x9 7') AS a, CASE WHEN doc_id % 2 = 0 THEN concat('7 1/2 -3.2 ', text, ' +5') ELSE concat(text, ' +5 and -3.2, 1/2 x9 7 7') END AS b FROM documents),
+side AS (SELECT doc_id, 0 AS s, a AS x FROM d UNION ALL SELECT doc_id, 1, b FROM d),
+words AS (SELECT doc_id, s, unnest(regexp_extract_all(regexp_replace(x, '{_WORD}*\p{{L}}{_WORD}*|{_WORD}*_{_WORD}*', ' ', 'g'), '[+-]?(?:\p{{Nd}}[\p{{Nd}},.:/-]*\p{{Nd}}|\p{{Nd}})')) AS r FROM side),
+c AS (SELECT doc_id, r, count(*) FILTER (s = 0) AS n, count(*) FILTER (s = 1) AS m FROM words GROUP BY doc_id, r)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS numbers, bool_and(n = m) AS kept FROM c GROUP BY doc_id""",
+)
+def scored_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as the scorer sees them, and whether a changed text holds the same ones equally often. Even documents have them in another order, odd ones one more."""
+    b = "CASE WHEN doc_id % 2 = 0 THEN concat('7 1/2 -3.2 ', text, ' +5') ELSE concat(text, ' +5 and -3.2, 1/2 x9 7 7') END"
+    d = docs(spark, sf_dir, "doc_id", "text").select("doc_id", F.concat("text", F.lit(" +5 and -3.2, 1/2 x9 7")).alias("a"), F.expr(b).alias("b"))
+    n = d.select("doc_id", *(T.numbers(F.col(c), T.SCORED_NUMBER).alias(c) for c in "ab"))
+    return n.select("doc_id", F.size("a").cast("long").alias("numbers"), T.same_multiset(F.col("a"), F.col("b")).alias("kept"))
+
+
+@query(
+    "corpus_report",
+    """WITH r AS (SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang),
+h AS (SELECT sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || '}') AS h FROM documents),
+"""
+    + "p AS (SELECT count(*) AS n, "
+    + ", ".join(f"sum(('0x' || substr(h, {8 * k + 1}, 8))::BIGINT)::HUGEINT AS s{k}" for k in range(8))
+    + " FROM h) SELECT lang, r.n, chars, sha256(concat_ws('|', p.n, "
+    + ", ".join(f"s{k}" for k in range(8))
+    + ")) AS input_sha FROM r, p",
+)
+def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK6: a JSON report of the languages with the digest of its input, written to the shared folder and read again."""
+    d = docs(spark, sf_dir, "doc_id", "lang", "n_chars")
+    report = d.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    path = R.shared_path(spark, "report")
+    spark.createDataFrame([(R.json_report(report, {"documents": d}),)], "value string").write.text(path)
+    read = spark.read.option("multiLine", True).schema("inputs struct<documents: struct<sha256: string>>, rows array<struct<lang: string, n: long, chars: long>>").json(path)
+    return read.select("inputs.documents.sha256", F.inline("rows")).select("lang", "n", "chars", F.col("sha256").alias("input_sha"))
+
+
 @query(
     "as_of_last_value",
     """WITH e AS (SELECT user_id, ts, arg_max(value, event_id) AS value FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts)
