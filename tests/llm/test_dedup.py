@@ -256,3 +256,24 @@ def test_near_duplicates_of_one_id_with_two_texts(spark, turn):
     rows = [(5, prose(1)), (5, prose(2)), (9, near), (7, prose(4))][::turn]
     got = near_duplicates(docs(spark, rows).coalesce(1)).collect()
     assert sorted((r.doc_id, r.class_id, r.class_size, r.kept) for r in got) == [(5, 5, 1, True), (5, 5, 2, True), (7, 7, 1, True), (9, 5, 2, False)]
+
+
+def test_near_duplicates_of_unlike_members_of_large_buckets(spark, monkeypatch):
+    """Texts of one base, most of them just too unlike one another: their buckets are compared in blocks, and give the links of brute force."""
+    import random
+
+    from weftline.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "SMALL", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    draw = random.Random(9)
+    base = [f"b{k}" for k in range(200)]
+    rows = []
+    for k in range(90):
+        words = list(base)
+        for place in draw.sample(range(4, 196), 3 if k % 9 else 2):
+            words[place] = f"x{k}_{place}"
+        rows.append((k, " ".join(words)))
+    want = brute_near(rows)
+    assert 10 < len(set(want.values())) < 90
+    assert {r.doc_id: r.class_id for r in near_duplicates(docs(spark, rows), margin=None).collect()} == want

@@ -10,7 +10,8 @@ Documents with equal shingles are one from the start, whatever their number. In
 the centre and all others are compared with it. While a bucket's members are in several components and the pairs across these are many,
 a further centre is compared with the members of other components: the member with most links so far, which is the base of a family
 of edits. At last all pairs of a bucket that are in two components are compared, each pair once, whatever the buckets it shares, unless
-its signatures agree in under 0.65 of their coordinates, which at similarity 0.8 has a probability of under 0.0001. So
+its signatures agree in under 0.65 of their coordinates, which at similarity 0.8 has a probability of under 0.0001. Members of a large bucket
+are compared inside tasks, two blocks of them at a time, which send on only the links that join components. So
 groups of copies of any size give as many pairs as members, and no pair that shares a bucket stays apart untested. Similarity is checked exactly, on
 the sets of occurrences of shingles. With BANDS of ROWS a pair of similarity 0.8 shares a bucket with a probability of 0.9999.
 
@@ -39,8 +40,11 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 #: Four standard deviations of the share of equal coordinates at similarity 0.8.
 AGREEMENT_MARGIN = 0.15
-#: Pairs of two components a member of the open buckets up to which they are compared without looking for further centres.
+#: Blocks a member of the open buckets, on average, up to which they are compared without looking for further centres.
 FEW_PAIRS = 4
+#: Members of a bucket up to which its pairs are rows, and members of a block of a larger one.
+SMALL = 32
+BLOCK = 256
 #: Cumulative probabilities of a Poisson variable of mean 1.
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 
@@ -183,7 +187,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
         "sets",
     )
     named_texts = sets.select("rep", F.col("order.doc_id").alias("of"), F.col("hash").alias("of_hash"))
-    roots = _links(texts, named_texts, sets.select("rep", F.explode("bands").alias("bucket")), sets.select("rep", "marks"), threshold, weighted, margin)
+    roots = _links(texts, named_texts, sets.select("rep", F.explode("bands").alias("bucket")), sets.select("rep", "marks", "bands"), threshold, weighted, margin, bands * rows)
     classed = sets.select("set_a", "set_b", "rep", "n", "order").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("root", "rep"))
     classes = classed.groupBy("class").agg(F.sum("n").alias("class_size"), F.min("order").alias("first"))
     named = classed.select("set_a", "set_b", "class").join(classes, "class")
@@ -195,7 +199,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     )
 
 
-def _links(texts: DataFrame, named: DataFrame, buckets: DataFrame, marks: DataFrame, threshold: float, weighted: bool, margin: float | None) -> DataFrame:
+def _links(texts: DataFrame, named: DataFrame, buckets: DataFrame, marks: DataFrame, threshold: float, weighted: bool, margin: float | None, bands: int) -> DataFrame:
     """node, root of the components of links of similarity threshold or more between representatives that share a bucket."""
     many = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     now = stored(buckets.select("bucket", "rep").join(many, "bucket", "left_semi"), "members")
@@ -207,11 +211,19 @@ def _links(texts: DataFrame, named: DataFrame, buckets: DataFrame, marks: DataFr
     common = F.size(F.array_intersect("a", "b"))
     tested = Appended(texts.sparkSession, "tested", "u long, v long, ok boolean")
 
-    def check(pairs: DataFrame) -> DataFrame:
-        """Test pairs(u, v) that were not tested yet; the components of all links so far."""
+    def check(pairs: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+        """Test pairs(u, v) that were not tested yet; the components of all links so far, of which `roots` has those found before."""
         new = pairs.distinct().join(tested.read(), ["u", "v"], "left_anti")
         tested.add(new.join(a, "u").join(b, "v").select("u", "v", (common / (F.size("a") + F.size("b") - common) >= threshold).alias("ok")))
-        return components(tested.read().where("ok"))
+        links = tested.read().where("ok").select("u", "v")
+        if roots is None:
+            return components(links)
+        # Links within a component are left out, the others become links of roots: a small graph.
+        start = [roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("u", "v")]
+        across = links.join(start[0], "u", "left").join(start[1], "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v")).where("u <> v")
+        joined = stored(components(across), "joined")
+        moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        return stored(moved.union(joined.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")
 
     used = now.groupBy("bucket").agg(F.min("rep").alias("centre"))
     roots = check(_spokes(now, used))
@@ -225,7 +237,7 @@ def _links(texts: DataFrame, named: DataFrame, buckets: DataFrame, marks: DataFr
         size = parts.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
         if not size[0]:
             return roots
-        if size[1] <= FEW_PAIRS * size[0] or 2 * size[1] > last:
+        if size[1] <= FEW_PAIRS * BLOCK * size[0] or 2 * size[1] > last:
             break
         last = size[1]
         # Many pairs: first compare with one more centre a bucket, the member with most links so far, as long as that halves them.
@@ -233,15 +245,74 @@ def _links(texts: DataFrame, named: DataFrame, buckets: DataFrame, marks: DataFr
         fresh = rest.join(used.withColumnRenamed("centre", "rep"), ["bucket", "rep"], "left_anti").join(links, "rep", "left")
         hubs = stored(fresh.groupBy("bucket").agg(F.max_by("rep", F.struct(F.coalesce("links", F.lit(0)), F.xxhash64("rep", "bucket"), "rep")).alias("centre")), "centres")
         used = used.union(hubs)
-        roots = check(_spokes(rest, hubs))
-    # Every pair of a bucket that is in two components, each pair once: in the least of the open buckets it shares.
-    kept = rest.join(rest.groupBy("rep").agg(F.collect_list("bucket").alias("buckets")), "rep").join(marks, "rep")
+        roots = check(_spokes(rest, hubs), roots)
+    # Every pair of a bucket that is in two components, each pair once: in the least of the buckets it shares.
+    agree = (threshold - (1.0 if margin is None else margin)) * bands  # of all coordinates
+    sized = rest.join(rest.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+    small, large = sized.where(F.col("n") <= SMALL).drop("n"), sized.where(F.col("n") > SMALL)
+    kept = small.join(marks, "rep")
     x, y = kept.alias("x"), kept.alias("y")
     both = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))
-    once = F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket")
+    once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket")
     # Signatures that agree this little are of sets of similarity `threshold` with a probability of under 0.0001.
-    alike = F.size(F.filter(F.zip_with("x.marks", "y.marks", lambda m, n: m == n), lambda same: same)) >= (threshold - (1.0 if margin is None else margin)) * F.size("x.marks")
-    return check(x.join(y, both & once & alike).select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")))
+    alike = F.size(F.filter(F.zip_with("x.marks", "y.marks", lambda m, n: m == n), lambda same: same)) >= agree
+    tested.add(_block_links(large, marks.join(sets, "rep"), threshold, agree))
+    return check(x.join(y, both & once & alike).select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")), roots)
+
+
+def _block_links(members: DataFrame, texts: DataFrame, threshold: float, agree: float) -> DataFrame:
+    """u, v, ok: enough links to join what is similar among the members(bucket, rep, label, n) of large buckets.
+
+    A bucket is cut into blocks, and each two blocks meet in one task, which compares their members there: so a member becomes a row for each
+    block of its bucket, not for each other member, and only links are sent on.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK)
+    own = F.pmod(F.xxhash64("rep", F.lit(1)), blocks).cast("int")
+    dealt = members.select("bucket", "rep", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("other"))
+    keyed = dealt.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "rep", "label", "own")
+    return keyed.join(texts, "rep").groupBy("bucket", "low", "high").applyInArrow(_compare_blocks(threshold, agree), "u long, v long, ok boolean")
+
+
+def _compare_blocks(threshold: float, agree: float):
+    def run(members: pa.Table) -> pa.Table:
+        members = members.combine_chunks()
+        bucket, one = members.column("bucket")[0].as_py(), members.column("low")[0].as_py() == members.column("high")[0].as_py()
+        rep, label, own = (members.column(c).to_numpy() for c in ("rep", "label", "own"))
+        marks = np.array(members.column("marks").to_pylist(), np.int8)
+        bands = np.array(members.column("bands").to_pylist(), np.int64)
+        shingles = [np.asarray(s.values) for s in members.column("shingles")]
+        # Each set as the bits of one integer, a bit for each shingle of these members.
+        names = np.unique(np.concatenate(shingles))
+        bits, size = [], np.array([len(s) for s in shingles])
+        for s in shingles:
+            flags = np.zeros(len(names), np.uint8)
+            flags[np.searchsorted(names, s)] = 1
+            bits.append(int.from_bytes(np.packbits(flags).tobytes(), "big"))
+        group = {k: k for k in label.tolist()}
+
+        def root(k: int) -> int:
+            while group[k] != k:
+                group[k] = k = group[group[k]]
+            return k
+
+        first = np.flatnonzero(own == members.column("low")[0].as_py())
+        second = first if one else np.flatnonzero(own == members.column("high")[0].as_py())
+        found = []
+        for i in first.tolist():
+            j = second[(label[second] != label[i]) & ((rep[second] < rep[i]) if one else True)]
+            j = j[(np.minimum(size[j], size[i]) >= threshold * np.maximum(size[j], size[i])) & ((marks[j] == marks[i]).sum(axis=1) >= agree)]
+            j = j[~((bands[j] == bands[i]) & (bands[j] < bucket)).any(axis=1)]
+            for k in j.tolist():
+                x, y = root(int(label[i])), root(int(label[k]))
+                if x != y:
+                    common = (bits[i] & bits[k]).bit_count()
+                    if common / (int(size[i]) + int(size[k]) - common) >= threshold:
+                        group[x] = y
+                        found.append((max(int(rep[i]), int(rep[k])), min(int(rep[i]), int(rep[k]))))
+        u, v = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "ok": pa.array([True] * len(found), pa.bool_())})
+
+    return run
 
 
 def _spokes(members: DataFrame, centres: DataFrame) -> DataFrame:
