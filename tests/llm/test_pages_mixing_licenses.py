@@ -41,6 +41,11 @@ SPARED += [
     (f"<div id=content><p>{LONG}</p><p>{LONG}</p></div><div class=related><article><p>{LONG}</p></article></div>", f"{LONG}\n{LONG}"),
     (f"<article><p class='ad'>buy<p>{LONG}</p><p hidden>secret</p><ul><li class=ad>x<ul><li>y</li></ul>z<li>kept</ul><p>Short.</article>", f"{LONG}\nkept\nShort."),
     (f"<body><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>The end.</p></body>", f"{LONG}\n{LONG}\n{LONG}\nThe end."),
+    # Forms around the whole page, and forms inside it.
+    (f"<form id='aspnetForm'><nav>menu</nav><article><h1>T</h1><p>{LONG}</p></article><form><p>Your name</p></form></form>", f"T\n{LONG}"),
+    (f"<form id='aspnetForm'><div id=c><p>{LONG}</p><p>{LONG}</p><form class=search><p>Find</p></form></div></form>", f"{LONG}\n{LONG}"),
+    (f"<article><p>{LONG}</p><form><p>Your name and mail</p></form><p>{LONG}</p></article><form><p>{LONG}</p></form>", f"{LONG}\n{LONG}"),
+    (f"<article><p>{LONG}</p><form><p>Your name<article><p>no article</p></article></form><p>{LONG}</p></article>", f"{LONG}\n{LONG}"),
 ]
 
 

@@ -7,7 +7,7 @@ content's text, if that is half of all content at least; else the deepest elemen
 ratios are smoothed and clustered again: runs of lines that are links and lie in the lower cluster, as lists of related pages do, are left out;
 other lines are kept whole, but for those inside elements that are no text of the article by their kind, role or class. What follows has-, with-, without- or
 no- in a class or id speaks of the layout and is not read. An element that holds the article, or more than half of its text (without an
-article: of the page's text), is not left out for its class: such a page is parsed again with these elements spared. So is a page on which
+article: of the page's text), is not left out for its class or for being a form, as whole pages stand in one on many sites: such a page is parsed again with these elements spared. So is a page on which
 an element such as nav or aside is never closed: it then ends where the next article, main, section or div begins.
 
 Defined results: a null or empty page, and one without any text, has the text '' and n_chars 0. Character references are decoded; white
@@ -36,7 +36,7 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACES = frozenset("br td th option wbr img".split())
 #: Elements whose text is no text of the article.
-OUTSIDE = frozenset("head title nav footer aside form script style noscript template iframe object svg canvas button select textarea menu dialog audio video map".split())
+OUTSIDE = frozenset("head title nav footer aside script style noscript template iframe object svg canvas button select textarea menu dialog audio video map".split())
 #: Elements that are kept open until their own end tag, for region search.
 CONTAINERS = frozenset("html body article main section div table td header figure blockquote details center".split())
 CLASS_OUT = re.compile(
@@ -155,7 +155,9 @@ class _Lines(HTMLParser):
             self.hard += out == 1
 
     def _is_out(self, tag, attrs) -> int:
-        """1: left out; 2: left out for its class or id."""
+        """1: left out; 2: left out for its class or id, or as a form, unless it holds the article."""
+        if tag == "form":
+            return 0 if self.seen in self.spared else 2
         if tag in OUTSIDE or (tag == "header" and not self.inside_article):
             return 1
         if not attrs or tag in ("html", "body"):
@@ -179,7 +181,7 @@ class _Lines(HTMLParser):
     def close_from(self, k: int, own: str | None = None) -> None:
         """Close the open elements from the k-th on; of these only the first, if named `own`, by its own end tag."""
         for n, (name, number, out, watched, start) in enumerate(self.open[k:]):
-            if out == 1 and name in UNCLOSED and not (n == 0 and name == own):
+            if (out == 1 or (out and name == "form")) and name in UNCLOSED and not (n == 0 and name == own):
                 self.unclosed.add(start)
             if number >= 0:
                 self.path = self.path[:-1]
