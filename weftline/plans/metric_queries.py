@@ -13,7 +13,7 @@ from ..functions import metrics as M
 from ..functions import style as Y
 from ..functions import text as T
 from ..functions.profiles import LATIN
-from ._tables import WS, docs, ngrams_sql, r6, sentences_sql, words_sql
+from ._tables import WS, docs, ngrams_sql, r6, sentences_sql, spread, words_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None):
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, and the words of reference (b) and prediction (a)."""
-    w = docs(spark, sf_dir).select("doc_id", "lang", T.words(F.col("text")).alias("w"))
+    w = spread(docs(spark, sf_dir, "doc_id", "lang", "text")).select("doc_id", "lang", T.words(F.col("text")).alias("w"))
     prediction = F.slice("w", F.lit(4), F.size("w"))
     return w.select("doc_id", "lang", F.when(F.col("doc_id") % 5 == 0, F.transform(prediction, F.lower)).otherwise(prediction).alias("a"), F.col("w").alias("b"))
 
@@ -330,7 +330,7 @@ scores AS (SELECT *, number_score * 0.75 + extra_score * 0.25 AS number_final, (
 
 
 def _rewritten_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).withColumn("rewritten", F.expr(_REWRITTEN))
+    return spread(docs(spark, sf_dir)).withColumn("rewritten", F.expr(_REWRITTEN))
 
 
 @query(
