@@ -51,3 +51,9 @@ def test_repeats_by_a_plain_walk(texts):
         assert r.word == (len(w) >= 20 and any(c >= 12 and len(x) > 3 and x != "word" for x, c in Counter(w).items()))
         assert (r.four, r.three) == (phrase(w, 4), phrase(w, 3))
         assert r.most == (max(Counter(zip(w, w[1:], w[2:], w[3:])).values()) if len(w) >= 12 else 0)
+
+
+@pytest.mark.parametrize("name", ["word_positions", "tfidf_topn", "rake_topn", "yake_topn", "textrank_topn"])
+def test_scores_stay_in_their_row(spark, sf_dir, name):
+    plan = plan_of(catalogue.QUERIES[name](spark, sf_dir))
+    assert "Join" not in plan and "Aggregate" not in plan and "Window" not in plan and "RepartitionByExpression [doc_id" not in plan

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import joins as J
 from ..operators import selection as S
+from ..operators import summarize as Z
 from ..sources import records as R
-from ._tables import dealt_docs, docs, literal, literal_sql, ngrams_sql, r6, sentences_sql, table, tokens_sql, trim_sql, with_given, with_given_sql, words_sql
+from ._tables import dealt_docs, docs, literal, literal_sql, ngrams_sql, r6, sentences_sql, spread, table, tokens_sql, trim_sql, with_given, with_given_sql, words_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -341,15 +342,8 @@ SELECT doc_id, w AS word, count(*) AS n, list_sort(list(pos))[count(*) // 2 + 1]
 )
 def word_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of a word in its document's running words, their upper median, and its neighbours."""
-    s = docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("k", "x")).select("doc_id", "k", T.word_tokens(F.lower("x")).alias("t"))
-    offset = F.coalesce(F.sum(F.size("t")).over(Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = s.withColumn("offset", offset).select("doc_id", "k", "offset", "t", F.posexplode("t").alias("i", "w"))
-    p = placed.select("doc_id", "k", "w", (F.col("offset") + F.col("i")).alias("pos"), F.when(F.col("i") > 0, F.get("t", F.col("i") - 1)).alias("before"), F.get("t", F.col("i") + 1).alias("after"))
-    positions = F.sort_array(F.collect_list("pos"))
-    grouped = p.groupBy("doc_id", F.col("w").alias("word")).agg(
-        F.count("*").alias("n"), F.get(positions, (F.count("*") / 2).cast("int")).alias("median_pos"), F.countDistinct("before").alias("left_words"), F.countDistinct("after").alias("right_words"), F.countDistinct("k").alias("n_sentences")
-    )
-    return grouped.where("n >= 5")
+    s = spread(docs(spark, sf_dir, "doc_id", "text")).select("doc_id", Z.frequent_words(Z.sentence_words(T.sentences(F.col("text")))).alias("words"))
+    return s.select("doc_id", F.inline("words"))
 
 
 @query("rate_limit_window", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS calls FROM events")

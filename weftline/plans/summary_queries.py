@@ -9,6 +9,7 @@ from ..functions import metrics as M
 from ..functions import text as T
 from ..functions.profiles import LATIN
 from ..operators import summarize as Z
+from ..sources.shared import stored
 from ._tables import docs, ngrams_sql, r6, sentences_sql, table, tokens_sql
 
 QUERIES: dict = {}
@@ -105,14 +106,20 @@ def sql_summaries_rake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary_rows(spark, sf_dir, "extractive_rake")
 
 
+def _with_first_line(d: DataFrame, method: str) -> DataFrame:
+    """The words of each summary (a) and of its document's first line (b). The line goes along in the key, so that no text is joined
+    again. Summaries and lines are written once: they are a small part of the texts, and Spark does not plan the overlaps' function over that of the scores."""
+    keyed = d.select(F.struct("doc_id", F.split("text", "\n")[0].alias("line")).alias("key"), "text")
+    return stored(Z.summarize(keyed, method, key="key"), "summaries").select("key.doc_id", T.words(F.col("summary")).alias("a"), T.words(F.col("key.line")).alias("b"))
+
+
 @query("summary_evaluation", None)
 def summary_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean ROUGE-1 and ROUGE-2 of each method's summaries against the first line, over words."""
     d = docs(spark, sf_dir)
-    gold = d.select("doc_id", T.words(F.split("text", "\n")[0]).alias("b"))
     parts = []
     for method in Z.METHODS:
-        p = Z.summarize(d, method).select("doc_id", T.words(F.col("summary")).alias("a")).join(gold, "doc_id")
+        p = _with_first_line(d, method)
         o = M.overlaps(p, "a", "b", {"1": 1, "2": 2})
         r = o.select(*(M.rouge_f1(F.col(f"common_{n}"), F.col(f"a_{n}"), F.col(f"b_{n}")).alias(f"rouge{n}") for n in (1, 2)))
         parts.append(r.agg(F.lit(method).alias("method"), F.count("*").alias("n"), *(F.round(F.avg(f"rouge{n}"), 4).alias(f"rouge{n}") for n in (1, 2))).select("method", "n", "rouge1", "rouge2"))
@@ -132,7 +139,7 @@ o AS (SELECT doc_id, coalesce(2.0::DOUBLE * sum(least(x, y)) / nullif(sum(x) + s
 def tfidf_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T7 for one relational method, so that SQL can check it."""
     d = docs(spark, sf_dir)
-    p = Z.summarize(d, "tfidf").select("doc_id", T.words(F.col("summary")).alias("a")).join(d.select("doc_id", T.words(F.split("text", "\n")[0]).alias("b")), "doc_id")
+    p = _with_first_line(d, "tfidf")
     o = M.overlaps(p, "a", "b", {"1": 1})
     return o.agg(F.count("*").alias("n"), F.round(F.avg(M.rouge_f1(F.col("common_1"), F.col("a_1"), F.col("b_1"))), 4).alias("rouge1"))
 
