@@ -79,6 +79,13 @@ def with_edits(rows: DataFrame) -> DataFrame:
     )
 
 
+def gold_edits(rows: DataFrame) -> DataFrame:
+    """Rows with changed and gold_pairs as with_edits() has them, for what reads no prediction: source and target are aligned only, and nothing is written."""
+    n = rows.withColumns({c: E.normal(F.col(c)) for c in ("source", "target")})
+    w = n.withColumns({f"_{c}": E.edit_words(F.col(c)) for c in ("source", "target")}).withColumn("gold", E.word_edits("_source", "_target"))
+    return w.withColumns({"changed": F.col("source") != F.col("target"), "gold_pairs": E.edit_pairs(F.col("gold"))}).drop("_source", "_target")
+
+
 def mark_unseen(edits: DataFrame, taught: DataFrame, key: str = "id") -> DataFrame:
     """Column unseen, the gold edits whose pair is not among taught(old, new)."""
     exploded = edits.select(key, F.explode("gold").alias("g")).select(key, "g", F.col("g.old").alias("old"), F.col("g.new").alias("new"))
