@@ -117,38 +117,44 @@ def keeps_numbers(original: Column, rewritten: Column) -> Column:
 
 def _numbered(xs: Column) -> Column:
     """Each element of an array with how many equal ones come before it: 'x#1', 'x#2' and so on."""
-    ordered = F.sort_array(xs)
-    return F.transform(ordered, lambda x, k: F.concat(x, F.lit("#"), (k + 2 - F.array_position(ordered, x)).cast("string")))
+    return T.let(F.sort_array(xs), lambda ordered: F.transform(ordered, lambda x, k: F.concat(x, F.lit("#"), (k + 2 - F.array_position(ordered, x)).cast("string"))))
 
 
 def with_rewrite_issues(rows: DataFrame, original: str, rewritten: str, word_repeat: str, phrase_repeat: str, profile: ScriptProfile = LATIN) -> DataFrame:
     """Rows with `issues`, the sorted set of issues of a rewrite. The two repetition flags come from their own operators.
 
-    Normalised texts, their numbers and what is asked of them more than once are columns of their own first.
+    Normalised texts, their numbers and what is asked of them more than once are bound: a filter on the issues, which is pushed below, would else
+    put their patterns in the place of each use.
     """
-    d = rows.withColumns({"_a": T.style_text(F.col(original)), "_b": T.style_text(F.col(rewritten))})
-    d = d.withColumns({"_low": F.lower("_b"), "_na": T.numbers(F.col("_a")), "_nb": T.numbers(F.col("_b")), "_ratio": F.length("_b") / F.greatest(F.length("_a"), F.lit(1))})
-    a, b, low, ratio = (F.col(c) for c in ("_a", "_b", "_low", "_ratio"))
 
-    def any_of(phrases: tuple[str, ...]) -> Column:
-        return reduce(lambda x, y: x | y, (F.contains(low, F.lit(p.lower())) for p in phrases), F.lit(False))
-
-    rules = [
-        (F.length(b) < 50, "too_short"),
-        (ratio < 0.55, "too_short_relative_to_source"),
-        (ratio > 1.80, "too_long"),
-        (T.letter_ratio(b, profile) < 0.60, "low_script_ratio"),
-        (T.looks_truncated(a, b, profile), "possible_truncation"),
-        (~keeps_numbers(F.col("_na"), F.col("_nb")), "missing_source_number"),
-        (F.col(word_repeat), "word_repetition"),
-        (F.col(phrase_repeat), "phrase_repetition"),
-        (F.contains(b, F.lit("```")), "markdown_artifact"),
-        (F.startswith(b, F.lit("#")), "markdown_heading"),
-        (any_of(profile.meta_patterns), "meta_text"),
-        (any_of(profile.forced_phrases), "forced_phrase"),
-    ]
-    found = F.array_compact(F.array(*(F.when(c, F.lit(r)) for c, r in rules)))
-    return d.withColumn("issues", F.when(b == "", F.array(F.lit("empty"))).otherwise(F.sort_array(found))).drop("_a", "_b", "_low", "_na", "_nb", "_ratio")
+    def found(x: Column) -> Column:
+        a, b, low, ratio = (x[c] for c in ("a", "b", "low", "ratio"))
+
+        def any_of(phrases: tuple[str, ...]) -> Column:
+            return reduce(lambda x, y: x | y, (F.contains(low, F.lit(p.lower())) for p in phrases), F.lit(False))
+
+        rules = [
+            (F.length(b) < 50, "too_short"),
+            (ratio < 0.55, "too_short_relative_to_source"),
+            (ratio > 1.80, "too_long"),
+            (T.letter_ratio(b, profile) < 0.60, "low_script_ratio"),
+            (T.looks_truncated(a, b, profile), "possible_truncation"),
+            (~keeps_numbers(T.numbers(a), T.numbers(b)), "missing_source_number"),
+            (F.col(word_repeat), "word_repetition"),
+            (F.col(phrase_repeat), "phrase_repetition"),
+            (F.contains(b, F.lit("```")), "markdown_artifact"),
+            (F.startswith(b, F.lit("#")), "markdown_heading"),
+            (any_of(profile.meta_patterns), "meta_text"),
+            (any_of(profile.forced_phrases), "forced_phrase"),
+        ]
+        return F.when(b == "", F.array(F.lit("empty"))).otherwise(F.sort_array(F.array_compact(F.array(*(F.when(c, F.lit(r)) for c, r in rules)))))
+
+    def measured(t: Column) -> Column:
+        more = F.struct(t["a"].alias("a"), t["b"].alias("b"), F.lower(t["b"]).alias("low"), (F.length(t["b"]) / F.greatest(F.length(t["a"]), F.lit(1))).alias("ratio"))
+        return T.let(more, found)
+
+    texts = F.struct(T.style_text(F.col(original)).alias("a"), T.style_text(F.col(rewritten)).alias("b"))
+    return rows.withColumn("issues", T.let(texts, measured))
 
 
 def is_serious(issues: Column) -> Column:
