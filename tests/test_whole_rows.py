@@ -57,3 +57,12 @@ def test_repeats_by_a_plain_walk(texts):
 def test_scores_stay_in_their_row(spark, sf_dir, name):
     plan = plan_of(catalogue.QUERIES[name](spark, sf_dir))
     assert "Join" not in plan and "Aggregate" not in plan and "Window" not in plan and "RepartitionByExpression [doc_id" not in plan
+
+
+def test_sequences_are_found_without_a_join(spark, sf_dir):
+    assert "Join" not in plan_of(catalogue.QUERIES["rouge_l"](spark, sf_dir))
+
+
+def test_inputs_are_compared_by_digests_taken_before_the_join(spark, sf_dir):
+    above, below = plan_of(catalogue.QUERIES["one_to_one_join"](spark, sf_dir)).split("Join FullOuter")
+    assert "regexp_replace" not in above and "sha2" in below
