@@ -311,25 +311,10 @@ p AS (SELECT a.doc_id, a.i, b.i AS j, sum(a.c * b.c) AS dot FROM t a JOIN t b ON
 SELECT p.doc_id, CAST(p.i AS INT) AS i, CAST(p.j AS INT) AS j, round(p.dot / (x.n * y.n), 6) AS cosine FROM p JOIN n x ON x.doc_id = p.doc_id AND x.i = p.i JOIN n y ON y.doc_id = p.doc_id AND y.i = p.j WHERE p.dot / (x.n * y.n) >= 0.6""",
 )
 def sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a document's sentences with a cosine of 0.6 or more.
-
-    A sentence's words are put in the order of how few of the document's sentences have them. Behind the place where what follows has under
-    0.6 of the sentence's norm, no word can be the first that a pair has in common, so only the words up to there are joined; that
-    leaves out the frequent words and loses no pair.
-    """
-    s = dealt_docs(spark, sf_dir, "doc_id", "text").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "x"))
-    t = s.select("doc_id", "i", F.explode(T.word_tokens(F.lower("x"))).alias("w")).groupBy("doc_id", "i", "w").agg(F.count("*").alias("c"))
-    spread = t.withColumn("df", F.count("*").over(Window.partitionBy("doc_id", "w")))
-    square, whole = F.col("c") * F.col("c"), Window.partitionBy("doc_id", "i")
-    placed = spread.withColumns({"n2": F.sum(square).over(whole), "rest": F.sum(square).over(whole.orderBy("df", "w").rowsBetween(0, Window.unboundedFollowing))})
-    heads = placed.where("rest >= 0.36 * n2 - 1e-9").select("doc_id", "w", "i")
-    candidates = heads.join(heads.withColumnRenamed("i", "j"), ["doc_id", "w"]).where("i < j").select("doc_id", "i", "j").distinct()
-    bags = t.groupBy("doc_id", "i").agg(F.map_from_entries(F.collect_list(F.struct("w", "c"))).alias("bag"), F.sqrt(F.sum(square)).alias("n"))
-    both = candidates.join(bags, ["doc_id", "i"]).join(bags.select("doc_id", F.col("i").alias("j"), F.col("bag").alias("other"), F.col("n").alias("m")), ["doc_id", "j"])
-    shared = F.array_intersect(F.map_keys("bag"), F.map_keys("other"))
-    dot = F.aggregate(shared, F.lit(0).cast("long"), lambda sum_, w: sum_ + F.col("bag")[w] * F.col("other")[w])
-    cosine = dot / (F.col("n") * F.col("m"))
-    return both.where(cosine >= 0.6).select("doc_id", "i", "j", r6(cosine).alias("cosine"))
+    """Pairs of a document's sentences with a cosine of 0.6 or more."""
+    d = spread(docs(spark, sf_dir, "doc_id", "text").where("doc_id IS NOT NULL"))
+    s = d.select("doc_id", Z.similar_sentences(0.6)(Z.sentence_words(T.sentences(F.col("text")))).alias("pairs"))
+    return s.select("doc_id", F.inline("pairs")).withColumn("cosine", r6(F.col("cosine")))
 
 
 @query(
