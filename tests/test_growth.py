@@ -39,3 +39,30 @@ def test_similar_sentences_by_brute_force(at_once, monkeypatch):
                 if dot and dot / (norms[i] * norms[j]) >= 0.6:
                     found[i, j] = dot / (norms[i] * norms[j])
         assert {(i, j): np.float64(c) for i, j, c in pairs} == found and len(pairs) == len(found)
+
+
+def test_graphemes_become_no_strings(spark, sf_dir):
+    for name in ("gleu", "rouge_graphemes"):
+        assert "regexp_extract_all" not in plan_of(catalogue.QUERIES[name](spark, sf_dir))
+
+
+@pytest.mark.parametrize("at_once", [1, 1 << 20])
+def test_grapheme_overlaps_by_brute_force(spark, at_once, monkeypatch):
+    import pyarrow as pa
+
+    from weftline.functions import metrics as M
+    from weftline.functions import text as T
+
+    monkeypatch.setattr(M, "GRAMS_AT_ONCE", at_once)
+    rng = random.Random(9)
+    letters = ["a", "b", "c", " ", " ", "́", "ẹ́", "\U0001d11e", "ක්", "\n", " ́"]
+    rows = [tuple("".join(rng.choice(letters[: rng.choice([2, 11])]) for _ in range(rng.choice([0, 1, 4, 40]))) for _ in range(2)) for _ in range(120)] + [(None, "ab"), ("", ""), ("́", "́a")]
+    # Very many different characters: four of them and a row do not fit into 64 bits.
+    many = "".join(map(chr, rng.sample(range(0x4E00, 0x9FFF), 15000))) + "".join(map(chr, rng.sample(range(0x20000, 0x2A6DF), 20000)))
+    rows.append((many, many[7:] + many[:9]))
+    frame = spark.createDataFrame(rows, "a string, b string")
+    split = frame.select(F.coalesce(T.graphemes(F.col("a")), F.array().cast("array<string>")).alias("a"), F.coalesce(T.graphemes(F.col("b")), F.array().cast("array<string>")).alias("b")).collect()
+    got = M.grapheme_common((1, 2, 3, 4)).func(pa.array([a for a, _ in rows], pa.string()), pa.array([b for _, b in rows], pa.string())).to_pylist()
+    for r, found in zip(split, got, strict=True):
+        grams = [[Counter(zip(*(x[k:] for k in range(n)))) for x in (r.a, r.b)] for n in (1, 2, 3, 4)]
+        assert found == [*(sum((x & y).values()) for x, y in grams), len(r.a), len(r.b)]
