@@ -52,6 +52,10 @@ def with_edits(rows: DataFrame) -> DataFrame:
     Optional columns: contextual (boolean), protected (array of spans) and lemma_pairs (array of (old, new) words of unseen lemmas). The
     alignments are costly and every score reads them several times, so the result is written once to the shared folder.
     """
+    return stored(_edited(rows), "edits")
+
+
+def _edited(rows: DataFrame) -> DataFrame:
     lacking = {"contextual": F.lit(False), "protected": F.array().cast("array<string>"), "lemma_pairs": F.array().cast(PAIRS)}
     n = rows.withColumns({c: e for c, e in lacking.items() if c not in rows.columns})
     n = n.withColumns({c: E.normal(F.col(c)) for c in ("source", "target", "prediction")})
@@ -59,23 +63,20 @@ def with_edits(rows: DataFrame) -> DataFrame:
     e = w.withColumns({"gold": E.word_edits("_source", "_target"), "made": E.word_edits("_source", "_prediction")}).drop("_source", "_target", "_prediction")
     s, t, p = F.col("source"), F.col("target"), F.col("prediction")
     changed = s != t
-    return stored(
-        e.withColumns(
-            {
-                "exact": p == t,
-                "changed": changed,
-                "clean_preserved": ~changed & (p == s),
-                "undercorrected": changed & (p == s),
-                "wrong_corrected": changed & (p != s) & (p != t),
-                "gold_spans": E.edit_spans(F.col("gold")),
-                "made_spans": E.edit_spans(F.col("made")),
-                "gold_pairs": E.edit_pairs(F.col("gold")),
-                "made_pairs": E.edit_pairs(F.col("made")),
-                "number_mutation": ~same_multiset(F.regexp_extract_all(s, F.lit(SCORED_NUMBER), F.lit(0)), F.regexp_extract_all(p, F.lit(SCORED_NUMBER), F.lit(0))),
-                "protected_mutation": protected_mutated(s, p, F.col("protected")),
-            }
-        ),
-        "edits",
+    return e.withColumns(
+        {
+            "exact": p == t,
+            "changed": changed,
+            "clean_preserved": ~changed & (p == s),
+            "undercorrected": changed & (p == s),
+            "wrong_corrected": changed & (p != s) & (p != t),
+            "gold_spans": E.edit_spans(F.col("gold")),
+            "made_spans": E.edit_spans(F.col("made")),
+            "gold_pairs": E.edit_pairs(F.col("gold")),
+            "made_pairs": E.edit_pairs(F.col("made")),
+            "number_mutation": ~same_multiset(F.regexp_extract_all(s, F.lit(SCORED_NUMBER), F.lit(0)), F.regexp_extract_all(p, F.lit(SCORED_NUMBER), F.lit(0))),
+            "protected_mutation": protected_mutated(s, p, F.col("protected")),
+        }
     )
 
 
@@ -93,40 +94,65 @@ def mark_unseen(edits: DataFrame, taught: DataFrame, key: str = "id") -> DataFra
     return edits.join(new, key, "left").withColumn("unseen", F.coalesce("unseen", F.array().cast(edits.schema["gold"].dataType)))
 
 
-def partial_sums(edits: DataFrame, by: list[str]) -> DataFrame:
-    """Sums by group. All metrics are ratios of such sums, so groups, totals and resamples add them up."""
+def _marks(edits: DataFrame) -> dict[str, Column]:
+    """What each row counts in the sums, but for unseen edits: counts by name."""
 
     def common(a: str, b: str) -> Column:
-        return F.sum(F.size(F.array_intersect(a, b)))
-
-    def yes(c: str | Column) -> Column:
-        return F.count_if(c if isinstance(c, Column) else F.col(c))
-
-    clean = ~F.col("changed")
-    return edits.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        yes("changed").alias("n_changed"),
-        yes(clean).alias("n_clean"),
-        yes("exact").alias("s_exact"),
-        yes(F.col("exact") & F.col("changed")).alias("s_changed_exact"),
-        yes("clean_preserved").alias("s_preserved"),
-        yes("undercorrected").alias("s_under"),
-        yes("wrong_corrected").alias("s_wrong"),
-        F.sum(F.size("gold")).alias("s_gold"),
-        F.sum(F.size("made")).alias("s_made"),
-        common("gold", "made").alias("s_matched"),
-        F.sum(F.size("gold_spans")).alias("s_gold_spans"),
-        F.sum(F.size("made_spans")).alias("s_made_spans"),
-        common("gold_spans", "made_spans").alias("s_matched_spans"),
-        F.sum(F.size("unseen")).alias("s_unseen"),
-        common("unseen", "made").alias("s_unseen_hit"),
-        F.sum(F.size("lemma_pairs")).alias("s_lemmas"),
-        common("lemma_pairs", "made_pairs").alias("s_lemma_hit"),
-        yes("contextual").alias("n_contextual"),
-        yes(F.col("exact") & F.col("contextual")).alias("s_contextual_exact"),
-        yes("protected_mutation").alias("s_protected_mutation"),
-        yes("number_mutation").alias("s_number_mutation"),
-    )
+        return F.size(F.array_intersect(a, b))
+
+    def yes(c: Column) -> Column:
+        return F.coalesce(c, F.lit(False)).cast("int")
+
+    c = {name: F.col(name) for name in edits.columns}
+    return {
+        "n": F.lit(1),
+        "n_changed": yes(c["changed"]),
+        "n_clean": yes(~c["changed"]),
+        "s_exact": yes(c["exact"]),
+        "s_changed_exact": yes(c["exact"] & c["changed"]),
+        "s_preserved": yes(c["clean_preserved"]),
+        "s_under": yes(c["undercorrected"]),
+        "s_wrong": yes(c["wrong_corrected"]),
+        "s_gold": F.size("gold"),
+        "s_made": F.size("made"),
+        "s_matched": common("gold", "made"),
+        "s_gold_spans": F.size("gold_spans"),
+        "s_made_spans": F.size("made_spans"),
+        "s_matched_spans": common("gold_spans", "made_spans"),
+        "s_lemmas": F.size("lemma_pairs"),
+        "s_lemma_hit": common("lemma_pairs", "made_pairs"),
+        "n_contextual": yes(c["contextual"]),
+        "s_contextual_exact": yes(c["exact"] & c["contextual"]),
+        "s_protected_mutation": yes(c["protected_mutation"]),
+        "s_number_mutation": yes(c["number_mutation"]),
+    }
+
+
+UNSEEN = ("s_unseen", "s_unseen_hit")
+
+
+def partial_sums(edits: DataFrame, by: list[str]) -> DataFrame:
+    """Sums by group of rows with edits and unseen. All metrics are ratios of such sums, so groups, totals and resamples add them up."""
+    marks = _marks(edits) | {"s_unseen": F.size("unseen"), "s_unseen_hit": F.size(F.array_intersect("unseen", "made"))}
+    return edits.groupBy(*by).agg(*(F.sum(c).alias(name) for name, c in marks.items()))
+
+
+def sums_with_unseen(rows: DataFrame, teaches: Column, by: str) -> DataFrame:
+    """partial_sums() of rows as with_edits() takes them; the pairs of rows where `teaches` holds are taught, and gold edits of other pairs are unseen.
+
+    A row's counts are found inside the row and only they and its gold edits are written. Edits are summed up by pair and group before pairs that are
+    taught leave, so what is shuffled are different pairs, and no row is joined to its edits.
+    """
+    e = _edited(rows)
+    marks = _marks(e)
+    gold = F.transform(F.array_distinct("gold"), lambda g: F.struct(g["old"].alias("old"), g["new"].alias("new"), F.array_contains("made", g).alias("hit")))
+    counted = stored(e.select(F.col(by), teaches.alias("teaches"), gold.alias("gold"), *(c.alias(name) for name, c in marks.items())), "counted")
+    sums = counted.groupBy(by).agg(*(F.sum(name).alias(name) for name in marks))
+    each = counted.select(by, "teaches", F.explode("gold").alias("g")).groupBy("g.old", "g.new", by)
+    pairs = each.agg(F.count("*").alias("s_unseen"), F.count_if("g.hit").alias("s_unseen_hit"), F.bool_or(F.coalesce("teaches", F.lit(False))).alias("taught"))
+    unseen = pairs.join(pairs.where("taught").select("old", "new").distinct(), ["old", "new"], "left_anti").groupBy(by).agg(*(F.sum(c).alias(c) for c in UNSEEN))
+    both = sums.unionByName(unseen, allowMissingColumns=True).groupBy(by)
+    return both.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*marks, *UNSEEN)))
 
 
 def metrics(sums: DataFrame, keep: list[str]) -> DataFrame:
@@ -207,7 +233,11 @@ def bootstrap(edits: DataFrame, document: str = "document", samples: int = 1000,
     Metrics are ratios of sums, so each document is summed up and numbered first. No draw is a row: a task finds for a range of LEAF documents how often each
     sample draws them (drawn_counts) and adds up their sums; what is shuffled is a row for each sample and range.
     """
-    by_document = partial_sums(edits, [document])
+    return bootstrap_sums(partial_sums(edits, [document]), document, samples, seed)
+
+
+def bootstrap_sums(by_document: DataFrame, document: str = "document", samples: int = 1000, seed: int = 42) -> DataFrame:
+    """bootstrap() of the sums of each document."""
     names = [c for c in by_document.columns if c != document]
     placed = stored(with_place(by_document, F.col(document), "place").select("place", *names), "documents")
     sums = resampled_sums(placed, names, placed.count(), samples, seed)

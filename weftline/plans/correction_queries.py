@@ -14,7 +14,7 @@ from ..functions import prompts as P
 from ..functions import text as T
 from ..operators import corrections as C
 from ..sources.shared import stored
-from ._tables import docs, literal, literal_sql, r6, table, trim_sql, with_given, with_given_sql, words_sql
+from ._tables import docs, literal, literal_sql, r6, spread, table, trim_sql, with_given, with_given_sql, words_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,9 +35,13 @@ PASSAGE = 40
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, category, document, source, target, prediction, and contextual, protected and lemma_pairs."""
-    w = docs(spark, sf_dir).select("doc_id", F.col("lang").alias("category"), F.col("source").alias("document"), T.words(F.col("text")).alias("all")).where(F.size("all") > 0)
-    cut = T.let(F.col("all"), lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / PASSAGE).cast("int")), lambda k: F.slice(x, k * PASSAGE + 1, F.lit(PASSAGE))))
-    w = w.select("doc_id", "category", "document", F.posexplode(cut).alias("k", "w")).withColumn("id", F.col("doc_id") * (1 << 20) + F.col("k"))
+    d = spread(docs(spark, sf_dir, "doc_id", "lang", "source", "text")).select("doc_id", F.col("lang").alias("category"), F.col("source").alias("document"), T.words(F.col("text")).alias("all"))
+
+    def passages(x):
+        return F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / PASSAGE).cast("int")), lambda k: F.slice(x, k * PASSAGE + 1, F.lit(PASSAGE))))
+
+    # An outer explode brings no filter that would cut the text again; documents without words fall out behind it.
+    w = d.select("doc_id", "category", "document", F.posexplode_outer(T.let(F.col("all"), passages)).alias("k", "w")).where("w IS NOT NULL").withColumn("id", F.col("doc_id") * (1 << 20) + F.col("k"))
     turn = F.col("doc_id") + F.col("k")
 
     def spoil(keep: bool):
@@ -50,13 +54,15 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = F.array_join("w", " ")
     broken = turn % 4 != 0
     last = F.element_at("w", -1)
+    w = w.withColumns({"clean": clean, "spoilt": F.when(broken, spoil(False))})
+    clean, spoilt = F.col("clean"), F.col("spoilt")
     return w.select(
         "id",
         "category",
         "document",
-        F.when(broken, spoil(False)).otherwise(clean).alias("source"),
+        F.when(broken, spoilt).otherwise(clean).alias("source"),
         clean.alias("target"),
-        F.when(broken & (turn % 2 == 0), spoil(True)).when(broken, spoil(False)).otherwise(clean).alias("prediction"),
+        F.when(broken & (turn % 2 == 0), spoil(True)).when(broken, spoilt).otherwise(clean).alias("prediction"),
         (turn % 5 == 0).alias("contextual"),
         F.slice("w", 1, 2).alias("protected"),
         F.when(broken & (turn % 6 == 0), F.array(F.struct(F.array(F.lower(last)).alias("old"), F.array(last).alias("new")))).otherwise(F.array().cast(C.PAIRS)).alias("lemma_pairs"),
@@ -71,15 +77,10 @@ def edit_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy(F.array_join("p.old", " ").alias("old"), F.array_join("p.new", " ").alias("new")).agg(F.count("*").alias("n"))
 
 
-def _taught(edits: DataFrame) -> DataFrame:
-    return edits.where("id % 3 = 0").select(F.explode("gold_pairs").alias("p")).select("p.old", "p.new")
-
-
 @query("correction_metrics")
 def correction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By category and, with a null category, overall; pairs of every third row are taught."""
-    e = C.with_edits(tasks(spark, sf_dir))
-    sums = C.partial_sums(C.mark_unseen(e, _taught(e)), ["category"])
+    sums = C.sums_with_unseen(tasks(spark, sf_dir), F.col("id") % 3 == 0, "category")
     names = [c for c in sums.columns if c != "category"]
     return C.metrics(sums.rollup("category").agg(*(F.sum(c).alias(c) for c in names)), ["category"])
 
@@ -87,8 +88,7 @@ def correction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("correction_intervals")
 def correction_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1000 samples of the sources as documents; pairs of every third row are taught."""
-    e = C.with_edits(tasks(spark, sf_dir))
-    return C.bootstrap(C.mark_unseen(e, _taught(e)))
+    return C.bootstrap_sums(C.sums_with_unseen(tasks(spark, sf_dir), F.col("id") % 3 == 0, "document"), "document")
 
 
 @query("pair_disjoint_split")
