@@ -66,3 +66,50 @@ def test_grapheme_overlaps_by_brute_force(spark, at_once, monkeypatch):
     for r, found in zip(split, got, strict=True):
         grams = [[Counter(zip(*(x[k:] for k in range(n)))) for x in (r.a, r.b)] for n in (1, 2, 3, 4)]
         assert found == [*(sum((x & y).values()) for x, y in grams), len(r.a), len(r.b)]
+
+
+def test_ends_are_trimmed_as_the_pattern_does(spark):
+    from weftline.functions import text as T
+
+    rng = random.Random(10)
+    rows = [("".join(rng.choice([*T.BLANKS, "a", "é", "​", "."]) for _ in range(rng.choice([0, 1, 2, 6, 12]))),) for _ in range(2000)] + [(None,)] + [(f"a{chr(c)}b{chr(c)}",) for c in range(1, 0x3100)]
+    d = spark.createDataFrame(rows, "t string")
+    trimmed, split = F.regexp_replace("t", f"^[{T.WS}]+|[{T.WS}]+$", ""), F.filter(F.split("t", f"[{T.WS}]+"), lambda w: w != "")
+    assert d.where(~trimmed.eqNullSafe(T.trim_ws(F.col("t"))) | ~split.eqNullSafe(T.words(F.col("t")))).count() == 0
+
+
+def test_units_are_searched_once(spark, sf_dir):
+    from weftline.functions import text as T
+
+    d = spark.createDataFrame([("1,250.5 million and crore . 12, 3 x, ten  lakh 4 thousand 2.5billion",)], "t string").select(T.number_units(F.col("t")).alias("u"))
+    assert plan_of(d).count("regexp_extract_all") == 1
+    assert [r.number for r in d.first().u] == [1250, 12, 4, 2]
+
+
+def test_sums_join_no_row_to_its_edits(spark, sf_dir):
+    from weftline.operators import corrections as C
+    from weftline.plans import correction_queries as Q
+
+    rows = Q.tasks(spark, sf_dir)
+    sums = C.sums_with_unseen(rows, F.col("id") % 3 == 0, "category")
+    plan = plan_of(sums)
+    assert "LeftOuter" not in plan and "source" not in plan
+    e = C.with_edits(rows)
+    taught = e.where("id % 3 = 0").select(F.explode("gold_pairs").alias("p")).select("p.old", "p.new")
+    before = C.partial_sums(C.mark_unseen(e, taught), ["category"])
+    names = sorted(before.columns)
+    assert sorted(map(tuple, sums.select(names).collect()), key=repr) == sorted(map(tuple, before.select(names).collect()), key=repr)
+
+
+def test_pages_of_a_range_are_cleaned_once_by_all_tasks(spark, tmp_path, monkeypatch):
+    from weftline.streaming import crawl as W
+
+    from weftline.plans import stream_queries as V
+
+    plans, keep = [], V.stored
+    monkeypatch.setattr(V, "stored", lambda df, tag: plans.append(plan_of(df)) or keep(df, tag))
+    monkeypatch.setattr(W, "crawl", lambda spark, folder, fetch, **how: fetch(0, how["end"]).selectExpr("id", "0 AS batch", "true AS alive", "words"))
+    spark.createDataFrame([(k, "u", "<p>" + "word " * k + "</p>") for k in range(30)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    rows = catalogue.QUERIES["incremental_crawl"](spark, str(tmp_path)).collect()
+    assert {(r.id, r.words) for r in rows} == {(3 * k + k % 2, k) for k in range(10, 30)}
+    assert plans and all("Repartition" in p and p.count("<[^>]+>") == 1 for p in plans)
