@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 
@@ -10,6 +11,7 @@ from tests.llm.test_dedup import docs, prose
 from weftline.llm import langid, pieces, pitman_yor
 from weftline.llm.neighbours import nearest
 
+VOCABULARY = [f"w{k}" for k in range(3000)]
 TEXTS = [(1, "Hello  world ▁ x\n\n y 😀"), (2, ""), (3, None), (4, " "), (5, "a" * 20000), (6, "日本語\ttext\r\n\x00end"), (7, "same text"), (7, "same text"), (8, "same text")]
 
 
@@ -100,6 +102,56 @@ def test_pitman_yor_scores_each_repeated_row(spark):
     assert len({round(r.score, 9) for r in got if r.n_tokens == 4}) == 1 and {r.train_tokens for r in got} == {20}
 
 
+def test_pitman_yor_shuffles_the_same_in_more_buckets(spark, monkeypatch):
+    """What is shuffled follows the text, not documents times buckets; a larger corpus has more of both."""
+    rng = random.Random(9)
+    frame = docs(spark, [(k, " ".join(rng.choices(VOCABULARY, k=60))) for k in range(3000)]).coalesce(1)
+    status = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = status.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    moved = []
+    for size in (1 << 18, 1 << 13):
+        monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", size)
+        before = written()
+        assert pitman_yor.score(frame, F.lit(True)).agg(F.sum("n_tokens")).first()[0] == 3000 * 61
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        moved.append(written() - before)
+    assert moved[1] < 1.5 * moved[0], moved
+
+
+def test_pitman_yor_scores_do_not_depend_on_blocks_and_buckets(spark, monkeypatch):
+    """Null ids, and whole blocks that occur twice, are scored row by row however the work is cut."""
+    rng = random.Random(10)
+    rows = [(None if k % 7 == 0 else k, " ".join(rng.choices(VOCABULARY[: rng.choice([3, 3000])], k=rng.choice([0, 1, 90])))) for k in range(120)]
+    frame = docs(spark, rows).coalesce(1)
+    found = []
+    for block, piece, bucket in ((8 << 20, 2 << 20, 8 << 20), (1000, 300, 500), (1, 1, 1 << 20)):
+        monkeypatch.setattr(pitman_yor, "BLOCK_BYTES", block)
+        monkeypatch.setattr(pitman_yor, "PIECE_BYTES", piece)
+        monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", bucket)
+        got = pitman_yor.score(frame.union(frame), F.col("doc_id") % 2 == 1).collect()
+        found.append(sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.score, round(r.base_score, 6)) for r in got))
+    assert [r[:2] for r in found[0]] == sorted((-1 if k is None else k, len(tokens(t))) for k, t in rows * 2)
+    assert found[0] == found[1] == found[2]
+
+
+def test_pitman_yor_tells_of_answers_that_are_missing():
+    """A block whose rows changed between two readings is an error, not a wrong sum."""
+    import pyarrow as pa
+
+    plan = pitman_yor.Plan(1, np.zeros(0, np.uint64), np.zeros(0, np.int64), 3.0, 5.0)
+    batch = pa.record_batch([pa.array([1], pa.int64()), pa.array([2], pa.int64()), pa.array(["a b"]), pa.array([True])], names=["own", "doc_id", "text", "train"])
+    own, pairs = next(pitman_yor._packer(plan)(iter([batch]))).to_pylist()
+    assert own["bucket"] == -1 and pairs["bucket"] == 0 and own["block"] == pairs["block"]
+    answer = pitman_yor._planes(np.zeros(2, np.int64), np.array([1, 1], np.uint32), np.ones(2, np.int64))
+    short = pitman_yor._rows([-1, 0], [own["block"]] * 2, [own["data"], answer])
+    with pytest.raises(RuntimeError, match="3 pairs and 2 answers"):
+        list(pitman_yor._documents(plan)(iter([short])))
+
+
 @pytest.mark.parametrize("customers,others,base", [(40, 5.0, 0.1), (5000, 50.0, 0.02), (200_000, 500.0, 0.3)])
 def test_tables_of_a_restaurant_have_their_mean(customers, others, base):
     """The expected number of tables follows from a recursion, one customer at a time, whatever the number of customers."""

@@ -6,10 +6,13 @@ restaurant are a vector of a fixed size. In a Gibbs sweep the customers of every
 seats again, one after the other, by the Chinese restaurant rule, given all other seats as the sweep before left them; a word's tables are
 its customers in the parent. The predictive probabilities of the last SAMPLES sweeps are averaged.
 
-One shuffle brings all occurrences of a word together (a frequent word is cut by contexts), packed by blocks of documents: what it gathers
-grows with the corpus. Words by bucket are then a table in the shared folder; each sweep is a pass over it that needs the totals of the
+Documents go by blocks. A block sends each distinct pair of word and context to the word's bucket once (a frequent word is cut by contexts), with
+its training count and no document: what the buckets gather grows with the corpus. Which documents have a pair stays with the block, as numbers
+of its own pairs and documents. Words by bucket are then a table in the shared folder; each sweep is a pass over it that needs the totals of the
 sweep before and returns its own, summed by Spark: CONTEXTS numbers, and one for each frequent word, of which there are at most
-1 / LEAST_SHARE. Random numbers are hashes of word, context, sweep and customer, so neither partitioning nor lost executors change a result.
+1 / LEAST_SHARE. At last a bucket answers each block with the scores of its pairs, in the block's order, and the block sums them by document. So no
+row is made for a document and a bucket, and what is shuffled is in proportion to the text. Scores go as whole numbers of 1 / UNIT, so sums don't
+depend on their order. Random numbers are hashes of word, context, sweep and customer, so neither partitioning nor lost executors change a result.
 Customers of one dish in one restaurant come in blocks of a sixteenth of those seated before, one by one at first; a block draws its number of
 new tables from a binomial distribution.
 
@@ -36,7 +39,11 @@ PARENT_DISCOUNT, PARENT_STRENGTH = 0.6, 20.0
 SWEEPS, SAMPLES = 3, 2
 SEED = 42
 #: Text bytes for each bucket of words.
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 8 << 20
+#: Text bytes for each block of documents, and for each piece of it that is cut into words at once.
+BLOCK_BYTES, PIECE_BYTES = 8 << 20, 2 << 20
+#: Scores of pairs are sent as multiples of this part of one: at most 5e-10 off.
+UNIT = 1 << 30
 #: Documents that tell which words are frequent; this only steers how the work is cut.
 SAMPLE_DOCS = 2000
 #: Words of a smaller share of all tokens are never cut.
@@ -90,85 +97,147 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(words.view(np.int64)), pa.array(count)], names=["word", "n"])
 
 
+def _planes(*arrays: np.ndarray) -> bytes:
+    """Numbers packed by the place of their bytes, so that the bytes that say little stand together."""
+    return pack([np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.ravel() for a in arrays])
+
+
+def _numbers(blob: bytes, *types: type) -> list[np.ndarray]:
+    return [np.ascontiguousarray(a.reshape(np.dtype(t).itemsize, -1).T).view(t).ravel() for a, t in zip(unpack(blob), types, strict=True)]
+
+
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _lengths(heads: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(heads, n))
+
+
+#: Distinct words as differences, the number of pairs of each, and the context and training count of each pair.
+_PAIRS = (np.uint64, np.uint32, np.uint32, np.int64)
+#: The documents' doc_id and whether it is null; of each pair the number of its documents; these documents, and how often they have the pair.
+_TOKENS = (np.int64, np.uint8, np.uint32, np.uint32, np.uint32)
+#: Names of blocks, how many pairs each asks for, and which these are in the bucket, as differences.
+_ASKS = (np.int64, np.uint32, np.int64)
+#: The score of each pair in -1 / UNIT, the number of pairs of each word, and the word's training count.
+_ANSWER = (np.int64, np.uint32, np.int64)
+
+
+def _packed_pairs(words: np.ndarray, context: np.ndarray, count: np.ndarray) -> bytes:
+    head = _heads(words)
+    return _planes(np.diff(words[head], prepend=np.uint64(0)), _lengths(head, len(words)).astype(np.uint32), context.astype(np.uint32), count.astype(np.int64))
+
+
+def _unpacked_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words, the number of each pair's word among them, and context and training count of each pair."""
+    steps, runs, context, count = _numbers(blob, *_PAIRS)
+    return np.cumsum(steps, dtype=np.uint64), np.repeat(np.arange(len(runs)), runs), context, count
+
+
+_ROWS = "bucket int, block long, data binary"
+
+
+def _rows(bucket: list[int], block: list[int], data: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(bucket, pa.int32()), pa.array(block, pa.int64()), pa.array(data, pa.binary())], names=["bucket", "block", "data"])
+
+
 def _packer(plan: Plan):
+    """Of each block, a row for each bucket with its pairs, and one for its documents, whose bucket is below 0."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            words, context, rows = _sequence(batch)
-            order = np.lexsort((context, words))
+        for batch in slices(batches, "text", BLOCK_BYTES):
+            words, context, rows = _block_sequence(batch)
+            order = np.lexsort((context, words))  # stable: rows ascend within a pair
             words, context, rows = words[order], context[order], rows[order]
             bucket = _bucket(plan, words, context)
             order = np.argsort(bucket, kind="stable")
-            bucket, words, context, rows = bucket[order], words[order], context[order], rows[order]
-            # One row for each (word, context, document), with a count.
-            head = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (context[1:] != context[:-1]) | (rows[1:] != rows[:-1])]))
-            count = np.diff(np.append(head, len(words)))
-            bucket, words, context, rows = bucket[head], words[head], context[head], rows[head]
-            docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            train = batch.column("train").to_numpy(zero_copy_only=False).astype(np.uint8)
-            edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            words, context, rows = words[order], context[order], rows[order]
+            # One entry for each (word, context, document), with a count.
+            entry = _heads(words, context, rows)
+            times = _lengths(entry, len(words))
+            bucket, words, context, rows = bucket[order][entry], words[entry], context[entry], rows[entry]
+            pair = _heads(words, context)
+            train = batch.column("train").to_numpy(zero_copy_only=False).astype(np.int64)
+            count = np.add.reduceat(times * train[rows], pair)
+            ids, docs = batch.column("own"), batch.column("doc_id").to_numpy(zero_copy_only=False)
             with np.errstate(over="ignore"):  # a block's name depends on its documents only
-                block = mix64(mix64(docs.astype(np.int64).view(np.uint64)) + np.arange(len(docs), dtype=np.uint64)).sum(keepdims=True)
-            names, blobs = [], []
-            for low, high in zip(edge, np.append(edge[1:], len(bucket)), strict=True):
-                here, local = np.unique(rows[low:high], return_inverse=True)
-                part = [words[low:high], context[low:high].astype(np.uint32), local.astype(np.uint32), count[low:high].astype(np.uint32), docs[here], train[here], block]
-                names.append(int(bucket[low]))
-                blobs.append(pack(part))
-            yield pa.record_batch([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "block"])
+                name = int(mix64(mix64(docs.astype(np.int64).view(np.uint64)) + np.arange(len(docs), dtype=np.uint64)).sum().view(np.int64))
+            own = [ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)]
+            tokens = _planes(*own, _lengths(pair, len(words)).astype(np.uint32), rows.astype(np.uint32), times.astype(np.uint32))
+            bucket, words, context = bucket[pair], words[pair], context[pair]
+            edge = _heads(bucket)
+            parts = [_packed_pairs(words[low:high], context[low:high], count[low:high]) for low, high in zip(edge, np.append(edge[1:], len(bucket)), strict=True)]
+            yield _rows([-1 - name % plan.buckets, *bucket[edge].tolist()], [name] * (len(edge) + 1), [tokens, *parts])
 
     return run
 
 
+def _block_sequence(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found, start = [], 0
+    for piece in slices(iter([batch]), "text", PIECE_BYTES):
+        words, context, rows = _sequence(piece)
+        found.append((words, context, rows + start))
+        start += piece.num_rows
+    words, context, rows = map(np.concatenate, zip(*found, strict=True))
+    return words, context, rows
+
+
 def _bucket(plan: Plan, words: np.ndarray, context: np.ndarray) -> np.ndarray:
-    home = mix64(words)
+    """Buckets are ranges of hashes, so the words that a block sends to one are near each other and their differences small."""
+    home = ((words >> np.uint64(32)) * np.uint64(plan.buckets)) >> np.uint64(32)
     if len(plan.frequent):
         place = np.minimum(np.searchsorted(plan.frequent, words), len(plan.frequent) - 1)
         hit = plan.frequent[place] == words
         parts = np.where(hit, plan.parts[place], 1).astype(np.uint64)
-        home = home + mix64(context.astype(np.uint64)) % parts
-    return (home % np.uint64(plan.buckets)).astype(np.int32)
+        home = (home + mix64(context.astype(np.uint64)) % parts) % np.uint64(plan.buckets)
+    return home.astype(np.int32)
 
 
-_MERGED = "bucket int, pairs binary, tokens binary"
+_MERGED = "bucket int, block long, pairs binary, data binary"
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All blocks of a bucket, which follow one another, to one row: pairs of word and context with training counts, and their documents.
+    """All blocks of a bucket, which follow one another, to one row: pairs of word and context with training counts, and the pairs that each
+    block asks for. The rows of documents pass as they are.
 
     Rows stay packed, since many rows make one Arrow batch.
     """
-    bucket, blocks = None, []
+    bucket, names, blocks = None, [], []
+
+    def row(bucket: int, block: int | None, pairs: bytes | None, data: bytes) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([bucket], pa.int32()), pa.array([block], pa.int64()), pa.array([pairs], pa.binary()), pa.array([data], pa.binary())], names=["bucket", "block", "pairs", "data"])
 
     def done() -> pa.RecordBatch:
-        words, context, doc, times, docs, train, names, sizes, shift = [], [], [], [], [], [], [], [], 0
+        words, context, count = [], [], []
         for block in blocks:
-            w, c, d, t, ids, learn, name = unpack(block)
-            names.append(name)
-            sizes.append(len(ids))
-            words.append(w)
+            w, of, c, n = _unpacked_pairs(block)
+            words.append(w[of])
             context.append(c)
-            doc.append(d + np.uint32(shift))
-            times.append(t)
-            docs.append(ids)
-            train.append(learn)
-            shift += len(ids)
-        w, c, d, t, learn = map(np.concatenate, (words, context, doc, times, train))
+            count.append(n)
+        sizes = np.array([len(c) for c in count], np.uint32)
+        w, c, n = map(np.concatenate, (words, context, count))
         order = np.lexsort((c, w))
-        w, c, d, t = w[order], c[order], d[order], t[order]
-        head = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (c[1:] != c[:-1])]))
-        pair = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(w))))
-        count = np.bincount(pair, weights=t * learn[d], minlength=len(head)).astype(np.int64)
-        pairs = pack([w[head], c[head].astype(np.uint32), count])
-        tokens = pack([pair.astype(np.uint32), d.astype(np.uint32), t.astype(np.uint32), np.concatenate(docs), np.concatenate(names), np.array(sizes, np.uint32)])
-        return pa.record_batch([pa.array([bucket], pa.int32()), pa.array([pairs], pa.binary()), pa.array([tokens], pa.binary())], names=["bucket", "pairs", "tokens"])
+        w, c, n = w[order], c[order], n[order]
+        head = _heads(w, c)
+        asked = np.empty(len(w), np.int64)
+        asked[order] = np.repeat(np.arange(len(head)), _lengths(head, len(w)))
+        return row(bucket, None, _packed_pairs(w[head], c[head], np.add.reduceat(n, head)), _planes(np.array(names, np.int64), sizes, np.diff(asked, prepend=0)))
 
     for batch in batches:
-        for name, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), strict=True):
+        for name, block, data in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), batch.column("data"), strict=True):
+            if name < 0:
+                yield row(name, block, None, data.as_py())
+                continue
             if name != bucket and blocks:
                 yield done()
-                blocks = []
+                names, blocks = [], []
             bucket = name
-            blocks.append(block)
+            names.append(block)
+            blocks.append(data.as_py())
     if blocks:
         yield done()
 
@@ -225,11 +294,9 @@ class _Chain:
 
     def __init__(self, plan: Plan, pairs: bytes):
         self.plan = plan
-        self.pair_word, context, self.count = unpack(pairs)
+        self.words, self.of, context, self.count = _unpacked_pairs(pairs)
+        self.pair_word = self.words[self.of]
         self.context = context.astype(np.int64)
-        head = np.flatnonzero(np.concatenate([[True], self.pair_word[1:] != self.pair_word[:-1]]))
-        self.words = self.pair_word[head]
-        self.of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(self.pair_word))))
         self.word_count = np.bincount(self.of, weights=self.count, minlength=len(self.words))
         self.cut = np.zeros(len(self.words), bool)
         if len(plan.frequent):
@@ -343,13 +410,11 @@ def _learn(words: DataFrame, plan: Plan) -> None:
 
 
 def _scorer(plan: Plan):
-    """Sums of each block's documents over the words of a task: block, sums (ids, tokens, known tokens, base and model score)."""
+    """Of each bucket, a row for each block that asks it: the scores of its pairs and the training counts of their words, in the block's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        size = 0
         for batch in batches:
-            for pairs, tokens in zip(batch.column("pairs"), batch.column("tokens"), strict=True):
+            for bucket, pairs, data in zip(batch.column("bucket").to_pylist(), batch.column("pairs"), batch.column("data"), strict=True):
                 chain = _Chain(plan, pairs.as_py())
                 chain.start()
                 p, taken = np.zeros(len(chain.count)), 0
@@ -358,57 +423,56 @@ def _scorer(plan: Plan):
                     if k > SWEEPS - SAMPLES:
                         p += chain.probability(plan.sweeps[k])
                         taken += 1
-                score = np.log10(p / taken)
-                base = np.log10((chain.word_count[chain.of] + 0.1) / (plan.tokens + 0.1 * (plan.known + 1)))
-                pair, doc, times, docs, names, sizes = unpack(tokens.as_py())
-                known = (chain.word_count > 0)[chain.of][pair]
-                sums = np.vstack([docs.view(np.float64), *(np.bincount(doc, weights=w, minlength=len(docs)) for w in (times, times * known, times * base[pair], times * score[pair]))])
-                start = 0
-                for name, n in zip(names.tolist(), sizes.tolist(), strict=True):
-                    held.setdefault(name, []).append(sums[:, start : start + n])
-                    start += n
-                size += len(docs)
-                if size > 2_000_000:
-                    yield from _packed(held)
-                    held, size = {}, 0
-        yield from _packed(held)
+                score = np.rint(-np.log10(p / taken) * UNIT).astype(np.int64)
+                words = chain.word_count.astype(np.int64)
+                names, sizes, steps = _numbers(data.as_py(), *_ASKS)
+                asked, end, answers = np.cumsum(steps), np.cumsum(sizes, dtype=np.int64), []
+                for low, high in zip(end - sizes, end, strict=True):
+                    mine = asked[low:high]
+                    of = chain.of[mine]
+                    head = _heads(of)
+                    answers.append(_planes(score[mine], _lengths(head, len(of)).astype(np.uint32), words[of[head]]))
+                yield _rows([bucket] * len(names), names.tolist(), answers)
 
     return run
 
 
-def _packed(held: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    names, blobs = [], []
-    for name, parts in held.items():
-        ids, n, known, base, score = _by_doc(parts)
-        names.append(name)
-        blobs.append(pack([ids.view(np.int64), n.astype(np.uint32), known.astype(np.uint32), base, score]))
-    yield pa.record_batch([pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(blobs, pa.binary())], names=["block", "sums"])
+_SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents of each block, whose rows follow one another."""
-    name, parts = None, []
+def _documents(plan: Plan):
+    """The documents of each block, whose rows follow one another: its own first, then the answers by bucket."""
 
-    def done() -> pa.RecordBatch:
-        ids, n, known, base, score = _by_doc(parts)
-        return pa.record_batch([pa.array(ids.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    for batch in batches:
-        for block, sums in zip(batch.column("block").to_pylist(), batch.column("sums"), strict=True):
-            if block != name and parts:
-                yield done()
-                parts = []
-            name = block
-            ids, *rest = unpack(sums.as_py())
-            parts.append(np.vstack([ids.view(np.float64), *rest]))
-    if parts:
-        yield done()
+    def done(name: int, own: list[bytes], answers: list[bytes]) -> Iterator[pa.RecordBatch]:
+        found = [_numbers(a, *_ANSWER) for a in answers]
+        score = np.concatenate([s for s, _, _ in found])
+        count = np.concatenate([np.repeat(c, runs) for _, runs, c in found])
+        base = np.log10((count + 0.1) / (plan.tokens + 0.1 * (plan.known + 1)))
+        for tokens in own:
+            ids, none, each, doc, times = _numbers(tokens, *_TOKENS)
+            if len(each) != len(score):
+                raise RuntimeError(f"block {name} has {len(each)} pairs and {len(score)} answers: its rows changed between two readings")
+            pair = np.repeat(np.arange(len(each)), each)
+            sums = [np.bincount(doc, weights=w, minlength=len(ids)) for w in (times, times * (count > 0)[pair], times * base[pair], times * score[pair].astype(np.float64))]
+            yield pa.record_batch([pa.array(ids, mask=none.astype(bool)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(-sums[3] / UNIT)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, last, own, answers = None, -1, [], []
+        for batch in batches:
+            for bucket, block, data in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), batch.column("data"), strict=True):
+                if block != name:
+                    if own or answers:
+                        yield from done(name, own, answers)
+                    name, last, own, answers = block, -1, [], []
+                if bucket < 0:
+                    own.append(data.as_py())
+                elif bucket != last:  # blocks of the same rows have one name, and the same answers
+                    answers.append(data.as_py())
+                    last = bucket
+        if own or answers:
+            yield from done(name, own, answers)
 
-def _by_doc(held: list[np.ndarray]) -> np.ndarray:
-    together = np.concatenate(held, axis=1)
-    ids, inverse = np.unique(together[0].view(np.int64), return_inverse=True)
-    return np.vstack([ids.view(np.float64), *(np.bincount(inverse, weights=w, minlength=len(ids)) for w in together[1:])])
+    return run
 
 
 def _plan(rows: DataFrame) -> Plan:
@@ -428,26 +492,21 @@ def _plan(rows: DataFrame) -> Plan:
 
 
 def score(docs: DataFrame, train: Column, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of docs; the model learns from the rows where train is true.
+    """doc_id, n_tokens, n_known, base_score, score and train_tokens of each row of docs; the model learns from the rows where train is true.
 
-    Inside, a row goes by a hash of doc_id and text: rows that repeat both have the same scores, and share out what was summed for them.
+    Inside, a block of rows goes by a hash of their doc_id and text; each row is scored by itself.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    named = docs.select(F.col(key).cast("long").alias("own"), F.xxhash64(F.col(key).cast("long"), body).alias("doc_id"), body.alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    rows = named.select("doc_id", "text", "train")
+    rows = docs.select(F.col(key).cast("long").alias("own"), F.xxhash64(F.col(key).cast("long"), body).alias("doc_id"), body.alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     plan = _plan(rows)
-    packed = rows.mapInArrow(_packer(plan), "bucket int, block binary")
-    words = stored(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge, _MERGED), "words")
+    packed = rows.mapInArrow(_packer(plan), _ROWS)
+    kept = stored(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge, _MERGED), "words")
+    words = kept.where("bucket >= 0")
     _learn(words, plan)
-    sums = words.select("pairs", "tokens").mapInArrow(_scorer(plan), "block long, sums binary")
-    parts = sums.repartition("block").sortWithinPartitions("block").mapInArrow(_documents, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    # A row is in one block; only rows that repeat doc_id and text meet here.
-    totals = ("n_tokens", "n_known", "base_score", "score")
-    summed = parts.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in totals))
-    times = named.groupBy("doc_id", "own").agg(F.count("*").alias("times"))
-    each = summed.join(times, "doc_id").select("own", "times", *((F.col(c) / F.col("times")).cast("long" if c[0] == "n" else "double").alias(c) for c in totals))
-    each = each.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
-    return each.select(F.col("own").alias("doc_id"), *totals, F.lit(int(plan.tokens)).cast("long").alias("train_tokens"))
+    answers = words.select("bucket", "pairs", "data").mapInArrow(_scorer(plan), _ROWS)
+    of_blocks = kept.where("bucket < 0").select("bucket", "block", "data").union(answers)
+    scored = of_blocks.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_documents(plan), _SCORED)
+    return scored.select("*", F.lit(int(plan.tokens)).cast("long").alias("train_tokens"))
 
 
 def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
