@@ -153,7 +153,9 @@ def bucket_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def legacy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P12."""
     s = summaries(docs(spark, sf_dir)).select(T.word_count(F.col("text")).alias("a"), T.word_count(F.col("medium")).alias("m"))
-    return s.agg(F.count("*").alias("n"), F.count_if((F.col("a") >= 50) & F.col("m").between(10, 150) & (F.col("m") / F.col("a")).between(0.05, 0.5)).alias("kept"))
+    # The ratio is read twice, so it is computed ahead of the conditions that would spare texts without words a division.
+    ratio = F.try_divide("m", "a")
+    return s.agg(F.count("*").alias("n"), F.count_if((F.col("a") >= 50) & F.col("m").between(10, 150) & ratio.between(0.05, 0.5)).alias("kept"))
 
 
 @query(
