@@ -13,12 +13,25 @@ from weftline.operators import corrections as C
 from weftline.plans import catalogue
 
 
-@pytest.mark.parametrize("name", ["edit_scripts"])
+@pytest.mark.parametrize("name", ["edit_scripts", "candidate_validation"])
 def test_reasons_are_found_once(spark, sf_dir, name):
     plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("quoted_span_mutation") == 1 and "Join" not in plan
 
 
+def test_raw_and_safe_as_aligned_apart(spark):
+    a = "The cat sat on the mat with 12 \"old\" dogs near www.site.org and x@y.org today"
+    texts = [a, a.replace("cat", "dog"), a.replace("12", "13"), a.lower(), "", None, "  ", a + " " + a, a.replace('"old"', "old"), f" {a}\n", a.replace("www.site.org", "WWW.site.org")]
+    rows = spark.createDataFrame([(k, "c", "d", a, t or "", c) for k, (t, c) in enumerate((t, c) for t in texts[:4] for c in texts)], "id long, category string, document string, source string, target string, candidate string")
+    v = C.validate_candidates(rows).localCheckpoint()
+    columns = ["id", "prediction", "gold", "made", "exact", "changed", "clean_preserved", "undercorrected", "wrong_corrected", "made_spans", "gold_pairs", "number_mutation", "protected_mutation"]
+    got = C.raw_and_safe(rows.drop("document"))
+    for kind, c in (("raw", "candidate"), ("safe", "text")):
+        apart = C.with_edits(v.select("id", "category", "document", "source", "target", F.coalesce(c, F.lit("")).alias("prediction"))).join(v.select("id", "status", "reasons"), "id")
+        one, other = (sorted(map(tuple, df.select(*columns, "status", "reasons").collect()), key=repr) for df in (got.where(F.col("kind") == kind), apart))
+        assert one == other and len(one) == 44
+
+
 def test_scripts_are_judged_as_before(spark):
     rows = [("aaa bbb", "KEEP"), ("aaa bbb", "["), ("aaa bbb", '[{"s":0,"e":3,"o":"aaa","n":"aab"}]'), ("say 'a' 5", '[{"s":8,"e":9,"o":"5","n":"6"}]')]
     got = [(r.status, r.reasons, r.text, r.operation_count) for r in C.apply_scripts(spark.createDataFrame(rows, "source string, script string")).collect()]
