@@ -55,3 +55,16 @@ def test_loops_by_a_plain_count():
     texts = [" ".join(rng.choice("ab" if k % 2 else "abcdefgh") for _ in range(rng.choice([0, 3, 11, 12, 14, 40]))) for k in range(300)]
     wanted = [len(w) >= 12 and max(Counter(zip(w, w[1:], w[2:], w[3:])).values()) >= 3 for w in map(str.split, texts)]
     assert E.loops.func(pd.Series(texts)).tolist() == wanted and any(wanted) and not all(wanted)
+
+
+def test_a_known_stretch_is_not_widened_again(monkeypatch):
+    """A text of changes far apart: each stretch between them is widened to both sides a few times, not once for each size of blocks."""
+    import difflib
+
+    rng = random.Random(2)
+    a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(240))
+    b = "".join(c.upper() if k % 30 == 29 else c for k, c in enumerate(a))
+    calls, widened = [], E._ahead
+    monkeypatch.setattr(E, "_ahead", lambda *x: calls.append(x) or widened(*x))
+    assert E._longest(a, b, 0, 240, 0, 240) == (120, 120, 59) == tuple(difflib.SequenceMatcher(None, a, b, autojunk=False).find_longest_match())
+    assert len(calls) <= 4
